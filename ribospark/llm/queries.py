@@ -6,13 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ribospark.llm import url_filters
+from ribospark.llm import language_id, quality_rules, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_rules.judge_quality(docs, quality_rules.fit_quality(docs, _table(spark, sf_dir, "labels")))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.held_out_languages(_table(spark, sf_dir, "documents"))
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(_table(spark, sf_dir, "pages"), url_filters.default_rules())
 
@@ -43,7 +52,7 @@ def _op5_sql() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_url_filters": op5_url_filters}
+    return {"op4_quality_rules": op4_quality_rules, "op5_url_filters": op5_url_filters, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
