@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ribospark.llm import language_id, quality_rules, url_filters
+from ribospark.llm import language_id, mixing, quality_rules, token_output, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,25 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_quality(docs, quality_rules.fit_quality(docs, _table(spark, sf_dir, "labels")))
 
 
+def mix_documents(docs: DataFrame) -> DataFrame:
+    """``documents`` mixed with each row's source as its only source."""
+    return mixing.mix_sources(docs, F.array(F.col("source").cast("string")), mixing.word_count(F.col("text")))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_documents(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.token_output(_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.held_out_languages(_table(spark, sf_dir, "documents"))
 
@@ -52,7 +72,7 @@ def _op5_sql() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_quality_rules": op4_quality_rules, "op5_url_filters": op5_url_filters, "op10_language_id": op10_language_id}
+    return {"op3_token_output": op3_token_output, "op4_quality_rules": op4_quality_rules, "op5_url_filters": op5_url_filters, "op7_mixing": op7_mixing, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
