@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ribospark.llm import decontamination, language_id, mixing, near_dedup, quality_rules, token_output, url_filters
+from ribospark.llm import decontamination, language_id, lm_scoring, mixing, near_dedup, quality_rules, token_output, url_filters
+from ribospark.llm.common import remainder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +39,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learn = remainder(F.col("doc_id"), 7) != 2
+    scored = lm_scoring.score_texts(_table(spark, sf_dir, "documents"), learn)
+    return scored.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
@@ -80,7 +87,7 @@ def _op5_sql() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op3_token_output": op3_token_output, "op4_quality_rules": op4_quality_rules, "op5_url_filters": op5_url_filters, "op7_mixing": op7_mixing, "op8_near_dedup": op8_near_dedup, "op10_language_id": op10_language_id}
+    return {"op1_decontamination": op1_decontamination, "op2_lm_scoring": op2_lm_scoring, "op3_token_output": op3_token_output, "op4_quality_rules": op4_quality_rules, "op5_url_filters": op5_url_filters, "op7_mixing": op7_mixing, "op8_near_dedup": op8_near_dedup, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
