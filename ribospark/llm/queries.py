@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ribospark.llm import decontamination, language_id, line_dedup, lm_scoring, mixing, near_dedup, quality_rules, token_output, url_filters
+from ribospark.llm import decontamination, language_id, line_dedup, lm_scoring, mixing, near_dedup, quality_rules, suffix_dedup, token_output, url_filters
 from ribospark.llm.common import remainder
 
 
@@ -50,6 +50,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lost.select("doc_id", "n_units", "n_removed", "starts", "ends", "kept_docs", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
@@ -92,7 +96,7 @@ def _op5_sql() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op2_lm_scoring": op2_lm_scoring, "op3_token_output": op3_token_output, "op4_quality_rules": op4_quality_rules, "op5_url_filters": op5_url_filters, "op6_line_dedup": op6_line_dedup, "op7_mixing": op7_mixing, "op8_near_dedup": op8_near_dedup, "op10_language_id": op10_language_id}
+    return {"op1_decontamination": op1_decontamination, "op2_lm_scoring": op2_lm_scoring, "op3_token_output": op3_token_output, "op4_quality_rules": op4_quality_rules, "op5_url_filters": op5_url_filters, "op6_line_dedup": op6_line_dedup, "op7_mixing": op7_mixing, "op8_near_dedup": op8_near_dedup, "op9_suffix_dedup": op9_suffix_dedup, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
