@@ -1,10 +1,65 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again."""
+"""The corpus pipeline: documents in, token shards out.
+
+Each stage is a function (spark, docs, sf_dir) -> DataFrame; its rows are written as Parquet
+and read again as the next stage's ``docs``. All stages but the last return the columns of
+``documents``:
+
+1. language id      rejects texts without a recognisable language
+2. near dedup       keeps one document of each group of near copies
+3. decontamination  rejects documents that hold a benchmark item
+4. mixing           brings the sources to their target weights; a row appears as often as it is taken
+5. token output     writes the token shards and returns their digests, one row for each document
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ribospark.llm import decontamination, language_id, mixing, near_dedup, token_output
+from ribospark.llm.queries import END_ID, tokenizer_path
+from ribospark.plans.runtime import ensure_checkpoint_dir
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language_id.keep_known(docs, language_id.learn_languages(docs, F.lit(True)))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.drop_near_duplicates(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs, F.array(F.col("source").cast("string")), mixing.word_count(F.col("text")))
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return token_output.token_output(docs, tokenizer_path(), END_ID)
+
+
+STAGES = [
+    ("language id", language_stage),
+    ("near dedup", near_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+    ("token output", token_stage),
+]
+
+#: SQL can express neither the language model nor the signatures; tests hold ``run`` against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; the tables between them go to the shared checkpoint folder."""
+    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+        docs = spark.read.parquet(f"{folder}/{i}")
+    return docs

@@ -33,6 +33,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -191,6 +192,20 @@ def learn_languages(docs: DataFrame, learn: Column, id_col: str = "doc_id", text
     return PpmLanguages(texts, depth) if texts else None
 
 
+def judge(tree: PpmLanguages | None, texts: list[str | None]) -> list[tuple[str, float, float]]:
+    """(language, score, bits per byte) of every text."""
+    out = [("und", 0.0, 0.0)] * len(texts)
+    able = [i for i, t in enumerate(texts) if tree is not None and t and _LETTER.search(t)]
+    data = [texts[i].encode("utf-8", "surrogatepass") for i in able]
+    if able:
+        length = tree.code_lengths(data)
+        least = length.min(axis=1)
+        share = 1 / np.exp2(np.clip(least[:, None] - length, -1000, 0)).sum(axis=1)
+        for i, t, j, s, x in zip(able, data, length.argmin(axis=1), share, least):
+            out[i] = (tree.languages[j], float(s), float(x) / len(t))
+    return out
+
+
 def predict_languages(docs: DataFrame, model: PpmLanguages | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """id, columns named in ``keep`` as they are, lang_pred, score and bits per byte of every document."""
     spark = docs.sparkSession
@@ -199,17 +214,7 @@ def predict_languages(docs: DataFrame, model: PpmLanguages | None, id_col: str =
     def rows(batches: Iterator[dict]):
         tree = shared.value
         for b in batches:
-            texts = b["_text"].to_pylist()
-            able = [i for i, t in enumerate(texts) if tree is not None and t and _LETTER.search(t)]
-            lang, score, bits = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
-            data = [texts[i].encode("utf-8", "surrogatepass") for i in able]
-            if able:
-                length = tree.code_lengths(data)
-                best = length.argmin(axis=1)
-                least = length.min(axis=1)
-                share = 1 / np.exp2(np.clip(least[:, None] - length, -1000, 0)).sum(axis=1)
-                for i, t, j, s, x in zip(able, data, best, share, least):
-                    lang[i], score[i], bits[i] = tree.languages[j], float(s), float(x) / len(t)
+            lang, score, bits = zip(*judge(tree, b["_text"].to_pylist())) if len(b["_text"]) else ((), (), ())
             yield {id_col: b[id_col], **{c: b[c] for c in keep}, "lang_pred": lang, "score": score, "bits": bits}
 
     kinds = dict(docs.dtypes)
@@ -218,6 +223,17 @@ def predict_languages(docs: DataFrame, model: PpmLanguages | None, id_col: str =
     return map_batches(taken, rows, ddl)
 
 
+def keep_known(docs: DataFrame, model: PpmLanguages | None, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that get a language with a score of at least ``least``, all columns kept."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([lang != "und" and score >= least for lang, score, _ in judge(shared.value, b.column(text_col).to_pylist())], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out_languages(docs: DataFrame, modulus: int = 3, fold: int = 1) -> DataFrame:
     """Learn outside the fold, predict every document; ``held_out`` marks the fold."""
     model = learn_languages(docs, remainder(F.col("doc_id"), modulus) != fold)

@@ -142,16 +142,17 @@ def route(patterns: dict[tuple, int], targets: dict, max_repeat: int = 3) -> dic
     return used
 
 
-def mix_sources(docs: DataFrame, members: Column, size: Column, id_col: str = "doc_id", weights: tuple[int, ...] = (5, 2, 1), max_repeat: int = 3, seed: int = 7) -> DataFrame:
-    """id, members, size, copies (0..max_repeat), taken (size * copies) and the sources' totals and targets by pattern.
+def _keyed(rows: DataFrame, id_col: str, seed: int) -> DataFrame:
+    """``rows`` with the seeded hash, its bucket and the order of choice (columns starting with _mix)."""
+    hashed = F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), F.col("_mix_size"))
+    return rows.withColumn("_mix_hash", hashed).withColumn("_mix_bucket", F.pmod(F.col("_mix_hash"), F.lit(BUCKETS)).cast("int")).withColumn("_mix_order", F.struct(F.col("_mix_hash").alias("hash"), F.col(id_col).cast("long").alias("id"), F.col("_mix_size").alias("size")))
 
-    ``members`` is an array of source names (an element may be null). The result has one
-    row for each row of ``docs``; ``source_size`` and ``target`` are those of the first
-    member.
-    """
+
+def mixing_plan(docs: DataFrame, members: Column, size: Column, id_col: str = "doc_id", weights: tuple[int, ...] = (5, 2, 1), max_repeat: int = 3, seed: int = 7) -> DataFrame:
+    """One row for each membership pattern: its whole copies and the last document that gets one more."""
     spark = docs.sparkSession
-    sized = cut(docs.select(F.col(id_col).cast("long").alias(id_col), members.alias("_members"), size.cast("long").alias("size")).withColumn("_hash", F.xxhash64(F.lit(seed), F.col(id_col), F.col("size"))).withColumn("_bucket", F.pmod(F.col("_hash"), F.lit(BUCKETS)).cast("int")))
-    by_pattern = sized.groupBy("_members").agg(F.sum("size").alias("n")).limit(MAX_PATTERNS + 1).collect()
+    sized = cut(_keyed(docs.select(F.col(id_col).cast("long").alias("_id"), members.alias("_members"), size.cast("long").alias("_mix_size")), "_id", seed))
+    by_pattern = sized.groupBy("_members").agg(F.sum("_mix_size").alias("n")).limit(MAX_PATTERNS + 1).collect()
     if len(by_pattern) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
     patterns = {tuple(r["_members"]): int(r["n"]) for r in sorted(by_pattern, key=lambda r: [(x is None, x or "") for x in r["_members"]])}
@@ -159,25 +160,49 @@ def mix_sources(docs: DataFrame, members: Column, size: Column, id_col: str = "d
     for p, n in patterns.items():
         for s in dict.fromkeys(p):
             sizes[s] = sizes.get(s, 0) + n
-    total = sum(patterns.values())
-    # overlapping sources hold some words twice: targets share the words there are, not their sum
-    scale = total / max(1, sum(sizes.values()))
-    targets = share_targets(sizes, weights, max_repeat)
-    quotas = {s: t * scale for s, t in targets.items()}
+    # overlapping sources hold some words twice: the targets share the words there are, not their sum
+    scale = sum(patterns.values()) / max(1, sum(sizes.values()))
+    quotas = {s: t * scale for s, t in share_targets(sizes, weights, max_repeat).items()}
     used = route(patterns, quotas, max_repeat)
     plan = [(list(p), used[p] // n if n else 0, used[p] % n if n else 0, sizes[p[0]] if p else 0, quotas[p[0]] if p else 0.0) for p, n in patterns.items()]
-    plan_df = spark.createDataFrame(plan, "_p array<string>, _whole long, _rest long, source_size long, target double")
-    buckets = sized.groupBy("_members", "_bucket").agg(F.sum("size").alias("_n"))
-    before = Window.partitionBy("_members").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = buckets.withColumn("_upto", F.sum("_n").over(before))
+    wanted = F.broadcast(spark.createDataFrame(plan, "_p array<string>, _whole long, _rest long, source_size long, target double"))
+    upto = Window.partitionBy("_members").orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = sized.groupBy("_members", "_mix_bucket").agg(F.sum("_mix_size").alias("_n")).withColumn("_upto", F.sum("_n").over(upto))
     # the bucket in which the rest runs out: the first whose running sum passes it
-    ends = sums.join(F.broadcast(plan_df), F.col("_members").eqNullSafe(F.col("_p"))).filter("_upto > _rest")
-    edge = ends.groupBy("_p").agg(F.min(F.struct("_bucket", (F.col("_rest") - F.col("_upto") + F.col("_n")).alias("left"))).alias("_edge"))
-    full = plan_df.join(edge.withColumnRenamed("_p", "_q"), F.col("_p").eqNullSafe(F.col("_q")), "left").select("_p", "_whole", "source_size", "target", F.coalesce("_edge._bucket", F.lit(-1)).alias("_last"), F.coalesce("_edge.left", F.lit(0)).alias("_left"))
-    marked = sized.join(F.broadcast(full), F.col("_members").eqNullSafe(F.col("_p")))
-    inside = marked.filter("_bucket = _last")
-    running = Window.partitionBy("_members").orderBy("_hash", id_col, "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = inside.withColumn("_upto", F.sum("size").over(running)).withColumn("_more", F.expr("_upto - size / 2 <= _left and _left > 0").cast("long")).drop("_upto")
-    outside = marked.filter("_bucket <> _last").withColumn("_more", F.expr("_bucket < _last").cast("long"))
-    copies = F.least(F.col("_whole") + F.col("_more"), F.lit(max_repeat)).cast("int")
-    return outside.unionByName(inside).select(id_col, F.col("_members").alias("members"), "size", "source_size", "target", F.when(F.col("size") > 0, copies).otherwise(0).alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
+    ends = sums.join(wanted, F.col("_members").eqNullSafe(F.col("_p"))).filter("_upto > _rest")
+    edge = ends.groupBy("_p").agg(F.min(F.struct("_mix_bucket", (F.col("_rest") - F.col("_upto") + F.col("_n")).alias("left"))).alias("e")).select(F.col("_p").alias("_q"), F.col("e._mix_bucket").alias("_last"), F.col("e.left").alias("_left"))
+    inside = sized.join(F.broadcast(edge), F.col("_members").eqNullSafe(F.col("_q")) & (F.col("_mix_bucket") == F.col("_last")))
+    running = Window.partitionBy("_members").orderBy("_mix_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = inside.withColumn("_upto", F.sum("_mix_size").over(running)).filter("_left > 0 and _upto - _mix_size / 2 <= _left")
+    final = inside.groupBy("_q").agg(F.max("_mix_order").alias("_until")).withColumnRenamed("_q", "_r")
+    out = spark.createDataFrame(plan, "_p array<string>, _whole long, _rest long, source_size long, target double").join(edge, F.col("_p").eqNullSafe(F.col("_q")), "left").join(final, F.col("_p").eqNullSafe(F.col("_r")), "left")
+    return cut(out.select("_p", "_whole", "source_size", "target", F.coalesce("_last", F.lit(-1)).alias("_last"), "_until"))
+
+
+def with_copies(docs: DataFrame, plan: DataFrame, members: Column, size: Column, id_col: str = "doc_id", max_repeat: int = 3, seed: int = 7) -> DataFrame:
+    """``docs`` and ``_mix_size``, ``_mix_copies``, ``_mix_source_size``, ``_mix_target``; the plan (bounded) is broadcast, nothing is shuffled."""
+    told = F.broadcast(plan.select(F.col("_p").alias("_mix_p"), F.col("_whole").alias("_mix_whole"), F.col("source_size").alias("_mix_source_size"), F.col("target").alias("_mix_target"), F.col("_last").alias("_mix_last"), F.col("_until").alias("_mix_until")))
+    keyed = _keyed(docs.withColumn("_mix_size", size.cast("long")).withColumn("_mix_members", members), id_col, seed)
+    joined = keyed.join(told, F.col("_mix_members").eqNullSafe(F.col("_mix_p")))
+    chosen = (F.col("_mix_bucket") < F.col("_mix_last")) | ((F.col("_mix_bucket") == F.col("_mix_last")) & F.coalesce(F.col("_mix_order") <= F.col("_mix_until"), F.lit(False)))
+    copies = F.when(F.col("_mix_size") > 0, F.least(F.col("_mix_whole") + chosen.cast("long"), F.lit(max_repeat))).otherwise(0).cast("int")
+    return joined.withColumn("_mix_copies", copies).drop("_mix_hash", "_mix_bucket", "_mix_order", "_mix_p", "_mix_whole", "_mix_last", "_mix_until")
+
+
+def mix_sources(docs: DataFrame, members: Column, size: Column, id_col: str = "doc_id", **options) -> DataFrame:
+    """id, members, size, source_size and target (of the first member), copies (0..max_repeat) and taken words of every row.
+
+    ``members`` is an array of source names (an element may be null).
+    """
+    plan = mixing_plan(docs, members, size, id_col, **options)
+    options = {k: v for k, v in options.items() if k in ("max_repeat", "seed")}
+    out = with_copies(docs.select(F.col(id_col).cast("long").alias(id_col), members.alias("_m"), size.alias("_s")), plan, F.col("_m"), F.col("_s"), id_col, **options)
+    return out.select(id_col, F.col("_m").alias("members"), F.col("_mix_size").alias("size"), F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), F.col("_mix_copies").alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
+
+
+def mixed_documents(docs: DataFrame, members: Column, size: Column, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows that the mix takes, each as often as it is taken, all columns kept."""
+    plan = mixing_plan(docs, members, size, id_col, **options)
+    options = {k: v for k, v in options.items() if k in ("max_repeat", "seed")}
+    taken = with_copies(docs, plan, members, size, id_col, **options).filter("_mix_copies > 0")
+    return taken.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)

@@ -29,6 +29,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+#: The id that ends a document.
+END_ID = 2
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -59,7 +63,7 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_output.token_output(_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
+    return token_output.token_output(_table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
