@@ -155,7 +155,8 @@ class PpmLanguages:
         paid_from: list[np.ndarray] = [node]
         for length in range(1, self.depth + 1):
             longer = np.full(n, -1, np.int32)
-            longer[: n - length] = self.children[length][node[: n - length], codes[length:]]
+            m = max(0, n - length)
+            longer[:m] = self.children[length][node[:m], codes[length : length + m]]
             left = np.flatnonzero((node >= 0) & (longer < 0))  # the context is known, not what follows it
             left = left[left + length < n]
             left = left[real[left + length]]
