@@ -13,9 +13,9 @@ Shards are the rows of an uncompressed Parquet folder (partition, number in it,
 it in the partition, the image), so any store that Spark writes to can hold them; a rerun
 of a lost task replaces its files whole.
 
-Encoding: words between ASCII white space are encoded by the tokenizers library one by one
-and remembered (a bounded memo), which gives the ids of the whole text for a tokenizer that
-drops white space before it splits; ``by_word=False`` encodes whole texts instead.
+Encoding: words are encoded by the tokenizers library one by one and remembered (a bounded
+memo), which gives the ids of the whole text for a tokenizer that drops white space before
+it splits (tests compare both); ``by_word=False`` encodes whole texts instead.
 
 Defined results: a null text is empty and has only the end id; rows that share a doc_id
 follow one another in the order of their texts; null ids come first; an empty table gives
@@ -24,6 +24,8 @@ an empty table; other columns are not read.
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import uuid
 import zlib
@@ -164,21 +166,57 @@ def read_shard(image: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
     return docs, lengths, WaveletMatrix(n, zeros.tolist(), planes, ranks)
 
 
+#: Texts of these characters are lower-cased and split alike by the regular expression below and by the tokenizers library.
+_PLAIN = re.compile("[^\x09-\x0d\x20-\x7e\xa1\xab\xbb\xbf\xc0-\u012f\u0131-\u017f\u2010-\u2027\u20ac]")
+# The layout of a tokenizer whose words can be taken apart beforehand, and its word pattern.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: The same pattern for plain texts in lower case.
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xc0-\xd6\xd8-\xf6\xf8-\u017f]+|[0-9]|[^\\sa-z0-9\xc0-\xd6\xd8-\xf6\xf8-\u017f]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter of every byte in byte-level vocabularies: printable Latin-1 stands for itself, the rest follows from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+def takes_pieces(path: str) -> bool:
+    """Whether the tokenizer file has the layout for which ``_PIECES`` holds."""
+    with open(path, encoding="utf-8") as f:
+        layout = json.load(f)
+    split = ((layout.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    return (layout.get("normalizer") or {}).get("normalizers") == _NORMALIZERS and split.get("pattern") == {"Regex": _PATTERN} and split.get("invert") is True and layout["model"]["type"] == "BPE"
+
+
 class WordEncoder:
-    """Ids of texts through a memo of their words; the memo is emptied at ``limit`` words."""
+    """Ids of texts through a memo of their words; the memo is emptied at ``limit`` words.
+
+    Plain texts are split into the tokenizer's own pieces, whose ids its model gives
+    directly; other texts into words between ASCII white space, encoded in full.
+    """
 
     def __init__(self, path: str, by_word: bool = True, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_word, self.limit = Tokenizer.from_file(path), by_word, limit
+        self.pieces, self.letters = by_word and takes_pieces(path), _byte_letters()
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._clear()
 
     def _clear(self) -> None:
         self.place: dict[str, int] = {}
         self.flat, self.start = np.empty(1 << 16, np.uint32), np.zeros(1, np.int64)
 
-    def _learn(self, words: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _learn(self, words: list[str], plain: bool) -> None:
+        if plain:
+            cut = self.tokenizer.model.tokenize
+            ids = [[t.id for t in cut(w.encode().decode("latin-1").translate(self.letters))] for w in words]
+        else:
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        base = len(self.place)
+        self.place.update((w, base + i) for i, w in enumerate(words))
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         end = int(self.start[-1])
         if (need := end + int(sizes.sum())) > len(self.flat):
@@ -186,19 +224,23 @@ class WordEncoder:
         self.flat[end:need] = np.fromiter((x for i in ids for x in i), np.uint32, need - end)
         self.start = np.concatenate([self.start, end + sizes.cumsum()])
 
+    def _split(self, text: str) -> tuple[bool, list[str]]:
+        if self.pieces and not _PLAIN.search(text) and not any(x in text for x in self.special):
+            return True, _PIECES.findall(text.lower())
+        return False, WORD.findall(text)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_word:
             return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         if len(self.place) > self.limit:
             self._clear()
-        split = [WORD.findall(t) for t in texts]
-        fresh = list(dict.fromkeys(w for words in split for w in words if w not in self.place))
-        if fresh:
-            base = len(self.place)
-            self.place.update((w, base + i) for i, w in enumerate(fresh))
-            self._learn(fresh)
+        split = [self._split(t) for t in texts]
+        for kind in (True, False):
+            fresh = {w for plain, words in split if plain is kind for w in words}.difference(self.place)
+            if fresh:
+                self._learn(list(fresh), kind)
         out = []
-        for words in split:
+        for _, words in split:
             at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
             begin, size = self.start[at], self.start[at + 1] - self.start[at]
             total = size.cumsum()
