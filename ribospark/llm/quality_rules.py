@@ -10,8 +10,8 @@ left, right, value) and scored level by level over whole batches.
 Base rule: a document with under ``min_words`` words, or with more than half of its words
 in repeated 3-word windows, fails without asking the trees.
 
-Sample bound: ``max_labelled`` labelled documents, taken in the order of a hash of their
-id; labels are learned from, never used when judging. Without labels of both classes no
+Sample bound: about ``max_labelled`` labelled documents, those whose hashed id falls under
+a threshold that their number gives; labels are learned from, never used when judging. Without labels of both classes no
 trees are fitted and the base rule alone decides.
 
 Defined results: a null text has no words (and fails); repeated rows give repeated
@@ -169,20 +169,17 @@ def _stats_columns(stats: list[Stats]) -> dict:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = 8_000) -> BoostedTrees | None:
-    """Trees fitted on a sample of at most ``max_labelled`` labelled documents."""
-    picked = (
-        labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y"))
-        .filter("_id is not null and _y is not null")
-        .orderBy(F.xxhash64("_id"), "_id", "_y")
-        .limit(max_labelled)
-    )
+    """Trees fitted on a hash sample of about ``max_labelled`` labelled documents."""
+    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y")).filter("_id is not null and _y is not null")
+    share = min(1.0, max_labelled / max(1, known.count()))
+    picked = known.filter(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < round(share * 1_000_000))
     sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_id")
 
     def rows(batches: Iterator[dict]):
         for b in batches:
             yield {"y": b["_y"], "x": [list(document_stats(t).features) for t in b["_text"].to_pylist()]}
 
-    found = map_batches(sample.select("_text", "_y"), rows, "y double, x array<double>").limit(2 * max_labelled).collect()
+    found = map_batches(sample.select("_text", "_y"), rows, "y double, x array<double>").collect()
     y = np.array([float(r["y"] > 0.5) for r in found])
     if len(y) == 0 or y.min() == y.max():
         return None
