@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ribospark.functions.binding import bind
 from ribospark.functions.constants import THREE_TO_ONE
 from ribospark.functions.sequences import translate
 
@@ -46,7 +47,10 @@ def _between(text: Column, mark: str) -> Column:
 
 def mutated_dna(seq: Column, change: Column) -> Column:
     """The coding sequence after a ``c.`` change, or null where it can't be applied."""
-    at = _numbers(change)
+    return bind(_numbers(change), lambda at: _edited_dna(seq, change, at))
+
+
+def _edited_dna(seq: Column, change: Column, at: Column) -> Column:
     n = F.size(at)
     one, two = F.try_element_at(at, F.lit(1)), F.try_element_at(at, F.lit(2))
     ref = F.regexp_replace(F.split_part(change, F.lit(">"), F.lit(1)), "[^A-Z]+", "")
@@ -63,7 +67,10 @@ def mutated_dna(seq: Column, change: Column) -> Column:
 
 def mutated_protein(protein: Column, change: Column, kind: Column) -> Column:
     """The protein after a ``p.`` change of a mutation type, or null where it can't be applied."""
-    at = _numbers(change)
+    return bind(F.struct(protein.alias("protein"), _numbers(change).alias("at")), lambda v: _edited_protein(v["protein"], change, kind, v["at"]))
+
+
+def _edited_protein(protein: Column, change: Column, kind: Column, at: Column) -> Column:
     n = F.size(at)
     one, two = F.try_element_at(at, F.lit(1)), F.try_element_at(at, F.lit(2))
     residue = three_to_one(F.regexp_replace(change, r"^p\..*[0-9]+", ""))
