@@ -6,6 +6,7 @@ so a lost executor never loses the only copy of an intermediate table.
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 
@@ -49,6 +50,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+
+    The driver then collects its garbage, so that shuffle files and checkpoints that
+    nothing refers to any more leave the executors' disks now and not only once the
+    driver's memory happens to be short.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
