@@ -53,16 +53,16 @@ class PpmLanguages:
         k = len(self.languages)
         pieces = [(lang, t) for lang in self.languages for t in texts[lang] if t]
         flat = np.frombuffer(b"".join(t for _, t in pieces), np.uint8)
-        lang = np.repeat([self.languages.index(x) for x, _ in pieces], [len(t) for _, t in pieces]).astype(np.int64)
-        doc = np.repeat(np.arange(len(pieces)), [len(t) for _, t in pieces])
+        lang = np.repeat(np.array([self.languages.index(x) for x, _ in pieces], np.int32), [len(t) for _, t in pieces])
+        doc = np.repeat(np.arange(len(pieces), dtype=np.int32), [len(t) for _, t in pieces])
         known = np.unique(flat)
         self.code = np.zeros(256, np.int32)  # 0: a byte never learned
         self.code[known] = np.arange(1, len(known) + 1)
         self.width = width = len(known) + 2  # the last code separates texts
-        codes = self.code[flat].astype(np.int64)
+        codes = self.code[flat]  # nodes times codes stay far below 2^31
         # children[L][node of length L-1, code] -> node of length L, or -1; node counts by language
         self.children, counts, parents, symbols = [], [], [], []
-        node = np.zeros(len(flat), np.int64)
+        node = np.zeros(len(flat), np.int32)
         for length in range(1, depth + 2):
             n = max(0, len(flat) - length + 1)
             inside = (node[:n] >= 0) & (doc[:n] == doc[length - 1 : length - 1 + n])
@@ -75,7 +75,7 @@ class PpmLanguages:
                 order = np.lexsort((keys, -total))[:max_nodes]
                 keep = np.zeros(len(keys), bool)
                 keep[order] = True
-            number = np.where(keep, keep.cumsum() - 1, -1)
+            number = np.where(keep, keep.cumsum() - 1, -1).astype(np.int32)
             size = len(counts[-1]) if counts else 1
             table = np.full((size + 1, width), -1, np.int32)  # the last row answers for node -1
             table[keys[keep] // width, keys[keep] % width] = number[keep]
@@ -83,7 +83,7 @@ class PpmLanguages:
             parents.append(keys[keep] // width)
             symbols.append(keys[keep] % width)
             counts.append(by[keep].astype(np.float64))
-            grown = np.full(len(flat), -1, np.int64)
+            grown = np.full(len(flat), -1, np.int32)
             grown[:n][inside] = number[inverse]
             node = grown
         self.cost, self.escape = [], []
@@ -177,7 +177,7 @@ class PpmLanguages:
             out += np.bincount(row[rest], minlength=rows)[:, None] * self.floor
 
 
-def learn_languages(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 400, max_bytes: int = 1_000_000, depth: int = 4) -> PpmLanguages | None:
+def learn_languages(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 300, max_bytes: int = 500_000, depth: int = 4) -> PpmLanguages | None:
     """The tree of the languages that occur among the rows where ``learn`` holds."""
     size = F.octet_length(F.col(text_col))
     order = Window.partitionBy("_lang").orderBy("_hash", "_id", "_size")
