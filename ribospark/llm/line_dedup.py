@@ -5,9 +5,9 @@ white space, into sentences: its units, each with its offsets in the original te
 unit's digest is a 64-bit hash of its words (lower-cased runs of letters and digits). Digests
 are grouped globally; the occurrence of the least rank (doc_id, then the text's hash, then
 place) stays, and every other one is repeated. A maximal run of repeated units that stand
-next to each other in a text is removed if it has at least ``min_words`` words, so that a
-long repeated passage goes and a chance repetition of a few words stays. Offsets of what is
-removed are kept.
+next to each other in a text is removed if it has at least ``min_words`` words; with 1, as in the
+registered query, every repeated unit goes, however short. Offsets of what is removed are
+kept.
 
 Digest groups are never gathered: the first occurrence is a partially aggregated minimum,
 and only digests that occur twice are joined back to their units, a hot digest being split

@@ -50,7 +50,7 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lost = line_dedup.dedup_units(_table(spark, sf_dir, "documents"))
+    lost = line_dedup.dedup_units(_table(spark, sf_dir, "documents"), min_words=1)
     return lost.select("doc_id", "n_units", "n_removed", "starts", "ends", "kept_docs", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ribospark.llm import decontamination, language_id, line_dedup, lm_scoring, mixing, near_dedup, quality_rules, suffix_dedup, token_output, url_filters
 from ribospark.llm.common import WordHashes
-from ribospark.llm.queries import mix_documents, tokenizer_path
+from ribospark.llm.queries import mix_documents, op6_line_dedup, tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, kept string, class_id long, size string"
 PASSAGE = " ".join(f"word{i * 7919 % 1000}" for i in range(120))
@@ -131,6 +131,25 @@ def test_line_dedup(docs, empty):
     assert line_dedup.dedup_units(empty).count() == 0
 
 
+def test_line_dedup_query_removes_short_units(spark, tmp_path):
+    """The registered query against a plain pass: every occurrence of a unit but the first goes, however short."""
+    texts = ["Read more\nUp here it rains. Ok.", "Sign up!\nA line of its own\nRead more\nRead  MORE\nAnother one", "Ok. But why? Ok.\nsign up", "Nothing twice."]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen, want = set(), {}
+    for d, text in enumerate(texts):
+        marked = []
+        for a, z, _, digest in line_dedup.units(text):
+            marked.append((a, z, digest in seen))
+            seen.add(digest)
+        starts = [a for k, (a, _, r) in enumerate(marked) if r and not (k and marked[k - 1][2])]
+        ends = [z for k, (_, z, r) in enumerate(marked) if r and not (k + 1 < len(marked) and marked[k + 1][2])]
+        if starts:
+            kept = "".join(text[a:z] for a, z in zip([0, *ends], [*starts, len(text)]))
+            want[d] = (sum(r for _, _, r in marked), starts, ends, hashlib.sha256(kept.encode()).hexdigest())
+    got = {r["doc_id"]: (r["n_removed"], r["starts"], r["ends"], r["kept_sha256"]) for r in op6_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == want and {d: n for d, (n, *_) in got.items()} == {1: 2, 2: 3}
+
+
 def test_language_id(docs, empty):
     got = Counter((r["doc_id"], r["lang_pred"]) for r in language_id.held_out_languages(docs).collect())
     assert sum(got.values()) == docs.count() and got[(0, "und")] == got[(1, "und")] == got[(None, "und")] == 1
