@@ -108,3 +108,17 @@ def psm_peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = protein(spark, sf_dir).select(F.explode(cleave(F.col("seq"), "Trypsin", 0, 20, 21)).alias("sequence")).distinct()
     changed = F.concat(F.substring("sequence", 1, 9), F.translate(F.substring("sequence", 10, 1), FROM, TO), F.substring("sequence", 11, 100))
     return p.unionByName(p.select(changed.alias("sequence"))).distinct()
+
+
+def digested_peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tryptic peptides of 7 to 40 residues of all proteins."""
+    from ribospark.functions.sequences import cleave
+
+    return protein(spark, sf_dir).select(F.explode(cleave(F.col("seq"), "Trypsin", 0, 7, 40)).alias("sequence")).distinct()
+
+
+def searched_peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All digested peptides, and each of them with its middle residue changed."""
+    p = digested_peptides(spark, sf_dir)
+    changed = F.expr(f"concat(substring(sequence, 1, length(sequence) div 2 - 1), translate(substring(sequence, length(sequence) div 2, 1), '{FROM}', '{TO}'), substring(sequence, length(sequence) div 2 + 1))")
+    return p.unionByName(p.select(changed.alias("sequence"))).distinct()

@@ -294,6 +294,25 @@ def psm_locate_positions(spark, d):
     return peptides.locate_peptides(psms, B.protein(spark, d))
 
 
+@query
+def peptide_containment_all(spark, d):
+    """``peptide_containment_semijoin`` for all digested peptides."""
+    return peptides.contained_peptides(B.searched_peptides(spark, d), B.protein(spark, d))
+
+
+@query
+def one_mismatch_all(spark, d):
+    """``one_mismatch_locate`` for all digested peptides."""
+    return peptides.one_mismatch(B.searched_peptides(spark, d), B.protein(spark, d))
+
+
+@query
+def psm_locate_all(spark, d):
+    """``psm_locate_positions`` for all digested peptides."""
+    psms = B.searched_peptides(spark, d).withColumn("usi", F.concat(F.lit("mzspec:"), "sequence"))
+    return peptides.locate_peptides(psms, B.protein(spark, d))
+
+
 @query
 def cds_transcript_positions(spark, d):
     return genome.transcript_positions(B.blocks(spark, d)).select("transcript_id", "start", "end", "rank", "trans_start", "trans_end")
@@ -320,10 +339,20 @@ def _short(spark, d):
     return B.protein(spark, d).select(F.explode(S.cleave(F.col("seq"), "Trypsin", 0, 7, 12)).alias("sequence")).distinct()
 
 
+def _ions(sequences):
+    ions = sequences.select("sequence", F.explode(P.fragment_ions(F.col("sequence"))).alias("x"))
+    return ions.select("sequence", "x.ion", F.round("x.mz", 3).alias("mz"))
+
+
 @query
 def theoretical_ions(spark, d):
-    ions = _short(spark, d).select("sequence", F.explode(P.fragment_ions(F.col("sequence"))).alias("x"))
-    return ions.select("sequence", "x.ion", F.round("x.mz", 3).alias("mz"))
+    return _ions(_short(spark, d))
+
+
+@query
+def theoretical_ions_all(spark, d):
+    """``theoretical_ions`` for all digested peptides."""
+    return _ions(B.digested_peptides(spark, d))
 
 
 @query
@@ -339,13 +368,23 @@ def nearest_peak_match(spark, d):
     return B.spectra(spark, d).select("scan", "peaks", masses).select("scan", "mz", F.round(near["error"], 6).alias("error"), near["intensity"].alias("intensity"), P.ppm(near["error"], F.col("mz")).alias("ppm"))
 
 
-@query
-def ion_support_flags(spark, d):
+def _supported(spark, d, sequences):
     n = B.spectra(spark, d).agg(F.max("scan").alias("m"))  # one row
-    psms = _short(spark, d).crossJoin(n).select("sequence", F.lit("f").alias("file"), F.pmod(F.crc32("sequence"), F.col("m") + 1).cast("int").alias("scan"), (F.length("sequence") - 3).cast("string").alias("position"))
+    psms = sequences.crossJoin(n).select("sequence", F.lit("f").alias("file"), F.pmod(F.crc32("sequence"), F.col("m") + 1).cast("int").alias("scan"), (F.length("sequence") - 3).cast("string").alias("position"))
     return spectra.inspect_spectra(psms, B.spectra(spark, d), 7.0)
 
 
+@query
+def ion_support_flags(spark, d):
+    return _supported(spark, d, _short(spark, d))
+
+
+@query
+def ion_support_all(spark, d):
+    """``ion_support_flags`` for all digested peptides."""
+    return _supported(spark, d, B.digested_peptides(spark, d))
+
+
 @query
 def version_resolution(spark, d):
     wanted = B.table(spark, d, "orders").select((F.col("o_custkey").cast("string")).alias("wanted"), F.col("o_orderkey").alias("ord"))

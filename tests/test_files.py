@@ -1,6 +1,7 @@
 """Sources, sinks, operators and streams on small files."""
 
 import base64
+import re
 import struct
 import zlib
 
@@ -77,6 +78,45 @@ def test_peptides(spark):
     assert got == {"u1": ("canonical", None, None), "u2": ("2", "V>I", "p1,p2"), "u3": ("non-canonical", None, None)}
 
 
+def test_peptide_queries_take_all_lengths(spark, tmp_path):
+    """The queries over all digested peptides against plain loops: 7 to 40 residues, not one or two lengths."""
+    from ribospark.functions.constants import RESIDUE_MASS
+    from ribospark.plans import bridges as B
+    from ribospark.plans import queries as Q
+
+    words = "abcdefg hjklmnpq abcdefgi stabcdefgyz jklmnprstabcdefghabcdefgjklmnpo abcdefggi abcdffgi".split()
+    texts = [" ".join(words[k % 7 :] + words[: k % 5]) + chr(97 + k) for k in range(12)] + [None, "abcdefgi"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, [0.1 * j for j in range(60)]) for k in range(3)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    d = str(tmp_path)
+    seqs = {str(k): "".join(c for c in t or "" if c.isalpha()).translate(str.maketrans(B.LETTERS, B.RESIDUES)) for k, t in enumerate(texts)}
+    digested = {p for s in seqs.values() for p in re.split("(?<=[KR])(?!P)", s) if 7 <= len(p) <= 40}
+    swap = str.maketrans(B.FROM, B.TO)
+    asked = digested | {p[: len(p) // 2 - 1] + p[len(p) // 2 - 1].translate(swap) + p[len(p) // 2 :] for p in digested}
+    lengths = {len(p) for p in digested}
+    assert min(lengths) < 10 and max(lengths) > 21 and len(lengths) > 4
+    canonical = {p for p in asked if any(p in s for s in seqs.values())}
+    assert {r["sequence"] for r in Q.peptide_containment_all(spark, d).collect()} == canonical
+    found = {}
+    for p in asked:
+        for k, s in seqs.items():
+            for at in range(len(s) - len(p) + 1):
+                diff = [i for i in range(len(p)) if s[at + i] != p[i]]
+                if len(diff) == 1:
+                    found.setdefault((p, diff[0] + 1, f"{s[at + diff[0]]}>{p[diff[0]]}"), set()).add(k)
+                    break
+    want = {(*key, ",".join(sorted(ids))) for key, ids in found.items()}
+    assert {tuple(r) for r in Q.one_mismatch_all(spark, d).select("sequence", "position", "variant", "proteins").collect()} == want and want
+    located = {(p, "canonical", None, None) for p in canonical} | {(p, str(i), v, ids) for p, i, v, ids in want if p not in canonical}
+    located |= {(p, "non-canonical", None, None) for p in asked - canonical - {w[0] for w in want}}
+    assert {tuple(r) for r in Q.psm_locate_all(spark, d).select("sequence", "position", "variant", "proteins").collect()} == located
+    ions = {(r["sequence"], r["ion"]): r["mz"] for r in Q.theoretical_ions_all(spark, d).collect()}
+    assert set(ions) == {(p, f"{kind}{i}") for p in digested for kind in "by" for i in range(1, len(p) + 1)}
+    assert all(abs(ions[p, f"b{len(p)}"] - sum(RESIDUE_MASS[c] for c in p) - 1.007276) < 0.001 for p in digested)
+    assert {(r["sequence"], r["status"]) for r in Q.ion_support_all(spark, d).select("sequence", "status").collect()} >= {(p, "checked") for p in digested if len(p) > 21}
+    assert {r["sequence"] for r in Q.ion_support_all(spark, d).collect()} == digested
+
+
 def test_genome(spark):
     blocks = spark.createDataFrame([("t", "1", "+", 11, 16), ("t", "1", "+", 101, 130), ("m", "MT", "-", 11, 16), ("m", "MT", "-", 101, 130)], "transcript_id string, chrom string, strand string, start long, end long")
     peps = spark.createDataFrame([("KFP", "a", 1), ("KFP", "b", 2), ("PKF", "b", 3), ("XX", "a", 4)], "peptide string, protein string, ord long")
