@@ -177,16 +177,17 @@ class PpmLanguages:
             out += np.bincount(row[rest], minlength=rows)[:, None] * self.floor
 
 
-def learn_languages(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 300, max_bytes: int = 500_000, depth: int = 4) -> PpmLanguages | None:
-    """The tree of the languages that occur among the rows where ``learn`` holds."""
-    size = F.octet_length(F.col(text_col))
+def learn_languages(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 400, max_bytes: int = 1_000_000, depth: int = 4) -> PpmLanguages | None:
+    """The tree of the languages that occur among the rows where ``learn`` holds; a longer text counts by its first ``max_bytes`` bytes."""
+    length = F.octet_length(F.col(text_col))
+    size = F.when(length > max_bytes, max_bytes).otherwise(length)  # null for a null text
     order = Window.partitionBy("_lang").orderBy("_hash", "_id", "_size")
-    sized = docs.filter(learn & F.col(lang_col).isNotNull() & (size > 0) & (size <= max_bytes)).select(F.col(lang_col).alias("_lang"), F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col)).alias("_hash"), size.alias("_size"))
+    sized = docs.filter(learn & F.col(lang_col).isNotNull() & (size > 0)).select(F.col(lang_col).alias("_lang"), F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col)).alias("_hash"), size.alias("_size"))
     picked = sized.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= max_docs).withColumn("_sum", F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("_sum") - F.col("_size") < max_bytes)
     keys = picked.select("_lang", "_id", "_size").distinct()
-    text = docs.filter(learn & (size <= max_bytes)).select(F.col(lang_col).alias("_lang"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).withColumn("_size", F.octet_length("_text"))
+    text = docs.filter(learn).select(F.col(lang_col).alias("_lang"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), size.alias("_size"))
     matched = text.join(F.broadcast(keys), (text["_lang"] == keys["_lang"]) & text["_id"].eqNullSafe(keys["_id"]) & (text["_size"] == keys["_size"]))
-    found = matched.select(text["_lang"], text["_text"].cast("binary").alias("_text")).distinct().collect()
+    found = matched.select(text["_lang"], F.substring(text["_text"].cast("binary"), 1, max_bytes).alias("_text")).distinct().collect()
     texts: dict[str, list[bytes]] = {}
     for lang, data in sorted((r[0], bytes(r[1])) for r in found):
         texts.setdefault(lang, []).append(data)

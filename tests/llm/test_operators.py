@@ -159,6 +159,13 @@ def test_language_id(docs, empty):
     assert {r["lang_pred"] for r in language_id.predict_languages(docs, None).collect()} == {"und"}
 
 
+def test_language_sample_takes_a_megabyte_and_long_texts(spark):
+    rows = [(i, f"{i}the text " * 30_000, "en") for i in range(4)] + [(9, "ein satz " * 130_000, "de")]
+    model = language_id.learn_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert model.languages == ["de", "en"]  # all texts of de are over the bound
+    assert all(model.code[ord(str(i))] for i in range(4))  # 0.9 MB come before the last of en
+
+
 def test_quality(spark, docs, empty):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(15)], "doc_id long, quality int, toxic int")
     rows = quality_rules.judge_quality(docs, quality_rules.fit_quality(docs, labels)).collect()
