@@ -13,12 +13,14 @@ Shards are the rows of an uncompressed Parquet folder (partition, number in it,
 it in the partition, the image), so any store that Spark writes to can hold them; a rerun
 of a lost task replaces its files whole.
 
-Encoding: words are encoded by the tokenizers library one by one and remembered (a bounded
-memo), which gives the ids of the whole text for a tokenizer that drops white space before
-it splits (tests compare both); ``by_word=False`` encodes whole texts instead.
+Encoding: words are encoded by the tokenizers library one by one and remembered (bounded
+memos), which gives the ids of the whole text for a tokenizer that drops white space before
+it splits (tests compare both, over all of Unicode's first plane); ``by_word=False`` encodes
+whole texts instead. Ranges are by id and hash of the text, so that a repeated (or null) id
+is no single task.
 
 Defined results: a null text is empty and has only the end id; rows that share a doc_id
-follow one another in the order of their texts; null ids come first; an empty table gives
+follow one another in the order of a hash of their texts; null ids come first; an empty table gives
 an empty table; other columns are not read.
 """
 
@@ -30,12 +32,14 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ribospark.llm.common import WORD, map_batches
+from ribospark.llm.common import WORD, map_batches, mix
 from ribospark.plans.runtime import ensure_checkpoint_dir
 
 MAGIC = b"RSWM0001"
@@ -134,7 +138,7 @@ class WaveletMatrix:
         return now.astype(np.uint32)
 
 
-def write_shard(doc_ids: list[int], lengths: list[int], ids: np.ndarray) -> bytes:
+def write_shard(doc_ids: list[int], lengths: np.ndarray | list[int], ids: np.ndarray) -> bytes:
     """The file image of a shard."""
     import zstandard
 
@@ -166,7 +170,7 @@ def read_shard(image: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
     return docs, lengths, WaveletMatrix(n, zeros.tolist(), planes, ranks)
 
 
-#: Texts of these characters are lower-cased and split alike by the regular expression below and by the tokenizers library.
+#: Texts of these characters are lower-cased and split alike by the classes below and by the tokenizers library.
 _PLAIN = re.compile("[^\x09-\x0d\x20-\x7e\xa1\xab\xbb\xbf\xc0-\u012f\u0131-\u017f\u2010-\u2027\u20ac]")
 # The layout of a tokenizer whose words can be taken apart beforehand, and its word pattern.
 _NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -175,6 +179,10 @@ _PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xc0-\xd6\xd8-\xf6\xf8-\u017f]+|[0-9]|[^\\sa-z0-9\xc0-\xd6\xd8-\xf6\xf8-\u017f]+")
 
 
+_LETTER = re.compile("[a-z\xc0-\xd6\xd8-\xf6\xf8-\u017f]")
+_SPACE = re.compile(r"\s")
+
+
 def _byte_letters() -> dict[int, str]:
     """The letter of every byte in byte-level vocabularies: printable Latin-1 stands for itself, the rest follows from 256 on."""
     own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -190,70 +198,185 @@ def takes_pieces(path: str) -> bool:
     return (layout.get("normalizer") or {}).get("normalizers") == _NORMALIZERS and split.get("pattern") == {"Regex": _PATTERN} and split.get("invert") is True and layout["model"]["type"] == "BPE"
 
 
+class Pieces:
+    """Ids of pieces by the 64-bit hash of their characters; emptied once it holds over ``limit`` of them."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self._empty()
+
+    def _empty(self) -> None:
+        self.keys, self.start, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.flat = np.empty(0, np.uint32)
+
+    def missing(self, keys: np.ndarray) -> np.ndarray:
+        """Which of the distinct ``keys`` aren't held."""
+        at = np.searchsorted(self.keys, keys)
+        return np.ones(len(keys), bool) if len(self.keys) == 0 else self.keys[np.minimum(at, len(self.keys) - 1)] != keys
+
+    def learn(self, keys: np.ndarray, ids: list[list[int]]) -> None:
+        """Add new ascending ``keys``."""
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        start = len(self.flat) + sizes.cumsum() - sizes
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.start, self.size = (np.insert(old, at, new) for old, new in ((self.keys, keys), (self.start, start), (self.size, sizes)))
+
+    def gather(self, keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``keys[times]`` one after another, and how many each has; ``keys`` are held and ascending."""
+        at = np.searchsorted(self.keys, keys)[times]
+        begin, sizes = self.start[at], self.size[at]
+        total = sizes.cumsum()
+        return self.flat[np.arange(int(total[-1]) if len(at) else 0) + np.repeat(begin - total + sizes, sizes)], sizes
+
+    def trim(self) -> None:
+        if len(self.keys) > self.limit:
+            self._empty()
+
+
+#: By character below ``_TOP``: class (0 white space, 1 letter, 2 digit, 3 other) and lower case.
+_TOP = 0x20AD
+_LOWER = np.array([ord(c) if len(c := chr(i).lower()) == 1 else i for i in range(_TOP)], np.uint32)
+_CLASS = np.array([0 if c.isspace() else 2 if c in "0123456789" else 1 if _LETTER.match(c) else 3 for c in map(chr, _LOWER)], np.uint8)
+_CODE = np.random.default_rng(17).integers(1, 2**63, _TOP).astype(np.uint64)
+_APOSTROPHE = ord("'")
+#: Characters that are looked at together; a longer text is cut at white space.
+SPAN = 1 << 19
+_FACTOR = 0x9E3779B97F4A7C15
+
+
+@cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash's factor and of its inverse modulo 2^64."""
+    with np.errstate(over="ignore"):
+        return tuple(np.full(n, f, np.uint64).cumprod() for f in (_FACTOR, pow(_FACTOR, -1, 1 << 64)))
+
+
+def cut_units(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash, whole) of the units of a plain text: pieces, or whole words around an apostrophe."""
+    code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    kind, low = _CLASS[code], _LOWER[code]
+    edge = np.flatnonzero((kind[1:] != kind[:-1]) | (kind[1:] == 2)) + 1
+    start, end = np.concatenate([[0], edge]), np.concatenate([edge, [len(code)]])
+    on = kind[start] > 0
+    start, end = start[on], end[on]
+    whole = np.zeros(len(start), bool)
+    mark = np.flatnonzero(code == _APOSTROPHE)
+    if len(mark):
+        space = np.concatenate([[-1], np.flatnonzero(kind == 0), [len(code)]])
+        word = np.unique(np.searchsorted(space, mark))
+        first, last = space[word - 1] + 1, space[word]
+        at = np.minimum(np.searchsorted(last, start, side="right"), len(word) - 1)
+        keep = (start < first[at]) | (start >= last[at])
+        start, end = np.concatenate([start[keep], first]), np.concatenate([end[keep], last])
+        order = start.argsort(kind="stable")
+        start, end = start[order], end[order]
+        whole = order >= keep.sum()
+    size = 1 << max(16, (len(code)).bit_length())
+    power, inverse = _powers(size)
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), (_CODE[low] * power[: len(low)]).cumsum()])
+        key = mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64) * np.uint64(2) + whole)
+    return start, end, key, whole
+
+
 class WordEncoder:
-    """Ids of texts through a memo of their words; the memo is emptied at ``limit`` words.
+    """Ids of texts from the ids of their pieces, which are learned once.
 
-    Plain texts are split into the tokenizer's own pieces, whose ids its model gives
-    directly; other texts into words between ASCII white space, encoded in full.
+    Plain texts are split into the tokenizer's own pieces with array operations; the ids of
+    a new piece come from the library's model. Words around an apostrophe are split by the
+    tokenizer's pattern. Other texts are encoded word by word by the library in full.
     """
 
-    def __init__(self, path: str, by_word: bool = True, limit: int = 400_000):
+    def __init__(self, path: str, by_word: bool = True, limit: int = 600_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.by_word, self.limit = Tokenizer.from_file(path), by_word, limit
-        self.pieces, self.letters = by_word and takes_pieces(path), _byte_letters()
+        self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
+        self.letters, self.pieces = _byte_letters(), Pieces(limit)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self._clear()
-
-    def _clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.flat, self.start = np.empty(1 << 16, np.uint32), np.zeros(1, np.int64)
-
-    def _learn(self, words: list[str], plain: bool) -> None:
-        if plain:
-            cut = self.tokenizer.model.tokenize
-            ids = [[t.id for t in cut(w.encode().decode("latin-1").translate(self.letters))] for w in words]
-        else:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        base = len(self.place)
-        self.place.update((w, base + i) for i, w in enumerate(words))
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        end = int(self.start[-1])
-        if (need := end + int(sizes.sum())) > len(self.flat):
-            self.flat = np.concatenate([self.flat[:end], np.empty(2 * need - end, np.uint32)])
-        self.flat[end:need] = np.fromiter((x for i in ids for x in i), np.uint32, need - end)
-        self.start = np.concatenate([self.start, end + sizes.cumsum()])
-
-    def _split(self, text: str) -> tuple[bool, list[str]]:
-        if self.pieces and not _PLAIN.search(text) and not any(x in text for x in self.special):
-            return True, _PIECES.findall(text.lower())
-        return False, WORD.findall(text)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if not self.by_word:
-            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        if len(self.place) > self.limit:
-            self._clear()
-        split = [self._split(t) for t in texts]
-        for kind in (True, False):
-            fresh = {w for plain, words in split if plain is kind for w in words}.difference(self.place)
-            if fresh:
-                self._learn(list(fresh), kind)
-        out = []
-        for _, words in split:
-            at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-            begin, size = self.start[at], self.start[at + 1] - self.start[at]
-            total = size.cumsum()
-            index = np.arange(int(total[-1]) if len(words) else 0) + np.repeat(begin - total + size, size)
-            out.append(self.flat[index])
-        return out
+        self.by_piece = by_word and takes_pieces(path)
+        if any(WORD.fullmatch(t) is None for t in self.special):
+            self.by_word = self.by_piece = False  # such a token may span words
+
+    def _model_ids(self, pieces: list[str]) -> list[list[int]]:
+        tokenize = self.tokenizer.model.tokenize
+        spelled = "\n".join(pieces).encode().decode("latin-1").translate(self.letters).split(self.letters[10])
+        return [[t.id for t in tokenize(w)] for w in spelled]
+
+    def _plain_ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of plain texts one after another, and how many each has."""
+        joined = "\n".join([*texts, ""])
+        start, end, key, whole = cut_units(joined)
+        self.pieces.trim()
+        order = key.argsort()
+        first = np.diff(key[order], prepend=~key[order[:1]]) != 0
+        every = key[order[first]]
+        number = np.empty(len(key), np.int64)
+        number[order] = first.cumsum() - 1
+        fresh = self.pieces.missing(every)
+        distinct, at = every[fresh], order[first][fresh]
+        for words in (False, True):
+            own = whole[at] == words
+            found = [joined[a:z].lower() for a, z in zip(start[at[own]].tolist(), end[at[own]].tolist())]
+            if not found:
+                continue
+            if words:
+                cuts = [_PIECES.findall(w) for w in found]
+                flat = iter(self._model_ids([p for c in cuts for p in c]))
+                self.pieces.learn(distinct[own], [[x for _ in c for x in next(flat)] for c in cuts])
+            else:
+                self.pieces.learn(distinct[own], self._model_ids(found))
+        ids, sizes = self.pieces.gather(every, number)
+        last = np.fromiter(map(len, texts), np.int64, len(texts)).cumsum() + np.arange(len(texts))
+        ends = np.concatenate([[0], sizes.cumsum()])[np.searchsorted(start, last)]
+        return ids, np.diff(ends, prepend=0)
+
+    def _parts(self, texts: list[str]) -> Iterator[tuple[int, str, bool]]:
+        """(text number, part, plain): texts, cut at white space where they are very long."""
+        for i, text in enumerate(texts):
+            plain = self.by_piece and not _PLAIN.search(text) and not any(x in text for x in self.special)
+            at = 0
+            while plain and len(text) - at > SPAN:
+                stop = next((m.start() for m in _SPACE.finditer(text, at + SPAN)), len(text))
+                yield i, text[at:stop], True
+                at = stop
+            yield i, text[at:], plain
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and how many each has."""
+        ids: list[np.ndarray] = []
+        count = np.zeros(len(texts), np.int64)
+        held: list[tuple[int, str]] = []
+
+        def plain() -> None:
+            if held:
+                found, sizes = self._plain_ids([t for _, t in held])
+                ids.append(found)
+                np.add.at(count, [i for i, _ in held], sizes)
+                held.clear()
+
+        chars = 0
+        for i, part, on in self._parts(texts):
+            if on:
+                held.append((i, part))
+                chars += len(part)
+            if not on or chars > SPAN:
+                plain()
+                chars = 0
+            if not on:
+                words = WORD.findall(part) if self.by_word else [part]
+                found = [x for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False) for x in e.ids]
+                ids.append(np.array(found, np.uint32))
+                count[i] += len(found)
+        plain()
+        return np.concatenate(ids) if ids else np.empty(0, np.uint32), count
 
 
 _ENCODERS: dict[tuple, WordEncoder] = {}
 
 
 def encoder(path: str, by_word: bool) -> WordEncoder:
-    """One encoder for each Python worker: its memo serves all tasks of the worker."""
+    """One encoder for each Python worker: loaded once, its bounded memos serve all tasks of the worker."""
     if (path, by_word) not in _ENCODERS:
         _ENCODERS[path, by_word] = WordEncoder(path, by_word)
     return _ENCODERS[path, by_word]
@@ -267,34 +390,43 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
 
         part, state = TaskContext.get().partitionId(), {"seq": 0, "before": 0}
         ids: list[int] = []
+        lengths: list[np.ndarray] = []
         pieces: list[np.ndarray] = []
         held = 0
         coder = encoder(tokenizer, by_word)
 
         def shard() -> dict:
-            tokens = np.concatenate(pieces)
-            out = {"part": [part], "seq": [state["seq"]], "before": [state["before"]], "n_docs": [len(ids)], "n_tokens": [len(tokens)], "image": [write_shard(ids, [len(p) for p in pieces], tokens)]}
+            tokens, sizes = np.concatenate(pieces), np.concatenate(lengths)
+            out = {"part": [part], "seq": [state["seq"]], "before": [state["before"]], "n_docs": [len(ids)], "n_tokens": [len(tokens)], "image": [write_shard(ids, sizes, tokens)]}
             state["seq"] += 1
             state["before"] += len(tokens)
-            ids.clear()
-            pieces.clear()
+            for x in (ids, lengths, pieces):
+                x.clear()
             return out
 
         for b in batches:
             for at in range(0, len(b["_id"]), 256):
                 texts = [t or "" for t in b["_text"][at : at + 256].to_pylist()]
-                for i, tokens in zip(b["_id"][at : at + 256].to_pylist(), coder.encode(texts)):
-                    ids.append(NO_ID if i is None else i)
-                    pieces.append(np.append(tokens, np.uint32(end_id)))
-                    held += len(tokens) + 1
+                names = [NO_ID if i is None else i for i in b["_id"][at : at + 256].to_pylist()]
+                tokens, sizes = coder.encode(texts)
+                tokens, sizes = np.insert(tokens, sizes.cumsum(), np.uint32(end_id)), sizes + 1
+                ends, done = np.concatenate([[0], sizes.cumsum()]), 0
+                while done < len(names):
+                    # a shard closes behind the document with which it is full
+                    stop = min(int(np.searchsorted(ends, ends[done] + shard_tokens - held)), len(names))
+                    ids += names[done:stop]
+                    lengths.append(sizes[done:stop])
+                    pieces.append(tokens[ends[done] : ends[stop]])
+                    held += int(ends[stop] - ends[done])
+                    done = stop
                     if held >= shard_tokens:
                         yield shard()
                         held = 0
         if ids:
             yield shard()
 
-    taken = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    dealt = taken.repartitionByRange(F.col("_id")).sortWithinPartitions("_id", "_text")
+    taken = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).withColumn("_h", F.xxhash64("_text"))
+    dealt = taken.repartitionByRange(F.col("_id"), F.col("_h")).sortWithinPartitions("_id", "_h", "_text")
     map_batches(dealt, rows, "part int, seq int, before long, n_docs long, n_tokens long, image binary").write.option("compression", "uncompressed").parquet(folder)
 
 

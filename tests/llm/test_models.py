@@ -32,13 +32,36 @@ def test_wavelet_matrix(ids):
         assert m.rank(t, len(ids) // 2) == (ids[: len(ids) // 2] == t).sum()
 
 
-def test_words_encode_like_whole_texts():
+def _same_ids(texts):
     coder = token_output.WordEncoder(tokenizer_path())
+    ids, sizes = coder.encode(texts)
+    at = 0
+    for text, n, want in zip(texts, sizes.tolist(), coder.tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert ids[at : at + n].tolist() == want.ids, repr(text)
+        at += n
+    assert at == len(ids)
+    return coder
+
+
+def test_words_encode_like_whole_texts(monkeypatch):
     rng = random.Random(3)
     letters = "aZ'sStTrR1 9.,!?-_é É ñß€«»¿¡'llve\n\t\x0b„“”‚‘’…–—#$%&*²ªΣİ́漢"
     texts = ["", "it's 'sIt'LL!! <|endoftext|>x \x1c\x85 Σς ſ ŉ ½"] + ["".join(rng.choice(letters) for _ in range(rng.randint(1, 60))) for _ in range(500)]
-    for a, b in zip(coder.encode(texts), coder.tokenizer.encode_batch(texts, add_special_tokens=False)):
-        assert a.tolist() == b.ids
+    coder = _same_ids(texts)
+    for token in coder.special:
+        _same_ids([token, f"x{token}y", f" {token} it's{token}"])
+    monkeypatch.setattr(token_output, "SPAN", 20)
+    _same_ids([*texts, "long it's text " * 50, "x" * 200, "a" * 30 + " b"])
+
+
+def test_every_character_of_the_first_plane():
+    _same_ids([f"a{c}b{c} {c}'s{c}A" for c in map(chr, range(0x10000)) if not 0xD800 <= ord(c) < 0xE000])
+
+
+def test_a_full_table_of_pieces_starts_again():
+    coder = token_output.WordEncoder(tokenizer_path(), limit=5)
+    for text in ("one two three four five six", "seven one it's", "six five"):
+        assert coder.encode([text])[0].tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_bag_minhash_is_unbiased():

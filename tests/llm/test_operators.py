@@ -231,6 +231,9 @@ def test_token_output(spark, docs, empty, tmp_path):
         assert r["start"] == at and r["ids_crc32"] == want[r["doc_id"]]
         at += r["n_tokens"]
     assert token_output.token_output(empty, tokenizer_path(), 2, str(tmp_path / "b")).count() == 0
+    same = spark.createDataFrame([(None if i % 2 else 7, f"text {i % 50}") for i in range(400)], "doc_id long, text string")
+    rows = token_output.token_output(same, tokenizer_path(), 2, str(tmp_path / "c"), shard_tokens=100).orderBy("start").collect()
+    assert [r["doc_id"] for r in rows] == [None] * 200 + [7] * 200 and rows[-1]["start"] + rows[-1]["n_tokens"] == sum(r["n_tokens"] for r in rows)
 
 
 def test_urls(spark):
