@@ -17,38 +17,41 @@ The prediction is the language with the shortest code (ties: the first name);
 ``score`` is its share of the posterior over the learned languages, which are equally
 likely beforehand. ``bits`` is the shortest code length per byte.
 
-Training sample: at most ``max_docs`` labelled documents and ``max_bytes`` bytes for each
-language, in the order of a hash of their id; this bounds the tree, as does ``max_nodes``
-for each gram length (the most frequent stay; grams seen once are left out). Every
-document is scored, over its whole text.
-
-Defined results: ``und`` with score 0 for a null text, a text without a letter, or when
-nothing could be learned; repeated rows give repeated results; an empty table gives an
-empty table; other columns are not read.
+Training sample: at most ``max_docs`` distinct labelled texts and ``max_bytes`` bytes for each
+language, those of the least hashes (of id and text); of a longer text the first ``max_bytes``
+bytes count. A gram of over two bytes is kept if it was seen ``seen`` times: twice, or more
+often where the tree would need more than ``max_tree`` bytes. A count never falls short of
+that of a longer gram, so a kept gram's beginning and end are kept as well. Every document
+is scored, over its whole text.
+
+Defined results: ``und`` with score 0 for a null text, a text without a letter (Unicode
+category L), or when nothing could be learned; repeated rows give repeated results; an empty
+table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ribospark.llm.common import map_batches, remainder
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 #: Bytes scored at a time; a longer text goes on with the last bytes of the piece before as context.
-PIECE = 1 << 20
+PIECE = 1 << 18
+#: Texts that are judged together.
+CHUNK = 200
 
 
 class PpmLanguages:
     """The frozen context tree of all languages."""
 
-    def __init__(self, texts: dict[str, list[bytes]], depth: int = 4, max_nodes: int = 60_000):
+    def __init__(self, texts: dict[str, list[bytes]], depth: int = 4, max_tree: int = 96_000_000):
         self.languages, self.depth = sorted(texts), depth
         k = len(self.languages)
         pieces = [(lang, t) for lang in self.languages for t in texts[lang] if t]
@@ -58,38 +61,15 @@ class PpmLanguages:
         known = np.unique(flat)
         self.code = np.zeros(256, np.int32)  # 0: a byte never learned
         self.code[known] = np.arange(1, len(known) + 1)
-        self.width = width = len(known) + 2  # the last code separates texts
-        codes = self.code[flat]  # nodes times codes stay far below 2^31
-        # children[L][node of length L-1, code] -> node of length L, or -1; node counts by language
-        self.children, counts, parents, symbols = [], [], [], []
-        node = np.zeros(len(flat), np.int32)
-        for length in range(1, depth + 2):
-            n = max(0, len(flat) - length + 1)
-            inside = (node[:n] >= 0) & (doc[:n] == doc[length - 1 : length - 1 + n])
-            key = node[:n][inside] * width + codes[length - 1 : length - 1 + n][inside]
-            keys, inverse = np.unique(key, return_inverse=True)
-            by = np.bincount(inverse * k + lang[:n][inside], minlength=len(keys) * k).reshape(len(keys), k)
-            total = by.sum(axis=1)
-            keep = total >= (1 if length <= 2 else 2)
-            if keep.sum() > max_nodes:
-                order = np.lexsort((keys, -total))[:max_nodes]
-                keep = np.zeros(len(keys), bool)
-                keep[order] = True
-            number = np.where(keep, keep.cumsum() - 1, -1).astype(np.int32)
-            size = len(counts[-1]) if counts else 1
-            table = np.full((size + 1, width), -1, np.int32)  # the last row answers for node -1
-            table[keys[keep] // width, keys[keep] % width] = number[keep]
-            self.children.append(table)
-            parents.append(keys[keep] // width)
-            symbols.append(keys[keep] % width)
-            counts.append(by[keep].astype(np.float64))
-            grown = np.full(len(flat), -1, np.int32)
-            grown[:n][inside] = number[inverse]
-            node = grown
-        self.cost, self.escape = [], []
+        self.width = len(known) + 2  # the last code separates texts
+        self.seen = 2
+        while not self._grow(self.code[flat], lang, doc, k, max_tree):
+            self.seen += max(1, self.seen // 3)
+        counts, self.cost, self.escape = self._counts, [], []
+        del self._counts
         with np.errstate(divide="ignore", invalid="ignore"):
             for length in range(1, depth + 2):
-                size, c, up = len(counts[length - 2]) if length > 1 else 1, counts[length - 1], parents[length - 1]
+                size, c, up = len(counts[length - 2]) if length > 1 else 1, counts[length - 1], self.parents[length - 1]
                 n, d = np.zeros((size, k)), np.zeros((size, k))
                 np.add.at(n, up, c)
                 np.add.at(d, up, c > 0)
@@ -98,10 +78,51 @@ class PpmLanguages:
                 if length == 1:
                     shorter = np.full((len(c), k), 8.0)
                 else:
-                    shorter = self.cost[-1][self._suffix(parents, symbols, length)]
+                    shorter = self.cost[-1][self._suffix(self.parents, self.symbols, length)]
                 seen = -np.log2(c / (n + d)[up])
                 self.cost.append(np.where(c > 0, seen, escape[up] + shorter))
         self.floor = self.escape[0][0] + 8.0  # a byte never learned, after the empty context
+        # bits per byte that the sample of a language stays well below
+        own = {x: [t for t in texts[x] if t] for x in self.languages}
+        self.usual = [1.5 * float(np.quantile(self.code_lengths(own[x])[:, j] / [len(t) for t in own[x]], 0.99)) + 0.5 if own[x] else 8.0 for j, x in enumerate(self.languages)]
+
+    def _grow(self, codes: np.ndarray, lang: np.ndarray, doc: np.ndarray, k: int, max_tree: int) -> bool:
+        """Take the grams that occur ``self.seen`` times; false if they need more than ``max_tree`` bytes."""
+        # children[L][node of length L-1, code] -> node of length L, or -1; node counts by language
+        self.children, self._counts, self.parents, self.symbols = [], [], [], []
+        node, used = np.zeros(len(codes), np.int32), 0
+        for length in range(1, self.depth + 2):
+            n = max(0, len(codes) - length + 1)
+            at = np.flatnonzero((node[:n] >= 0) & (doc[:n] == doc[length - 1 : length - 1 + n]))
+            key = node[at].astype(np.int64) * self.width + codes[at + length - 1]
+            keys, inverse = np.unique(key, return_inverse=True)
+            by = np.bincount(inverse * k + lang[at], minlength=len(keys) * k).reshape(len(keys), k)
+            keep = by.sum(axis=1) >= (1 if length <= 2 else self.seen)
+            number = np.where(keep, keep.cumsum() - 1, -1).astype(np.int32)
+            self.parents.append((keys[keep] // self.width).astype(np.int32))
+            self.symbols.append((keys[keep] % self.width).astype(np.int32))
+            self._counts.append(by[keep].astype(np.float64))
+            used += int(keep.sum()) * (8 * k + 8 + (4 * self.width if length <= self.depth else 0))
+            if used > max_tree and length > 2 and keep.any():
+                return False
+            node = np.full(len(codes), -1, np.int32)
+            node[at] = number[inverse]
+        self._tables()
+        return True
+
+    def _tables(self) -> None:
+        sizes = [1, *map(len, self.parents)]
+        for size, up, code in zip(sizes, self.parents, self.symbols):
+            table = np.full((size + 1, self.width), -1, np.int32)  # the last row answers for node -1
+            table[up, code] = np.arange(len(up), dtype=np.int32)
+            self.children.append(table)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"children": []}  # the tables are filled anew where they are needed
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._tables()
 
     def _suffix(self, parents: list, symbols: list, length: int) -> np.ndarray:
         """For the nodes of a length, the node of their gram without its first byte."""
@@ -179,19 +200,31 @@ class PpmLanguages:
 
 def learn_languages(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 400, max_bytes: int = 1_000_000, depth: int = 4) -> PpmLanguages | None:
     """The tree of the languages that occur among the rows where ``learn`` holds; a longer text counts by its first ``max_bytes`` bytes."""
-    length = F.octet_length(F.col(text_col))
-    size = F.when(length > max_bytes, max_bytes).otherwise(length)  # null for a null text
-    order = Window.partitionBy("_lang").orderBy("_hash", "_id", "_size")
-    sized = docs.filter(learn & F.col(lang_col).isNotNull() & (size > 0)).select(F.col(lang_col).alias("_lang"), F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col)).alias("_hash"), size.alias("_size"))
-    picked = sized.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= max_docs).withColumn("_sum", F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("_sum") - F.col("_size") < max_bytes)
-    keys = picked.select("_lang", "_id", "_size").distinct()
-    text = docs.filter(learn).select(F.col(lang_col).alias("_lang"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), size.alias("_size"))
-    matched = text.join(F.broadcast(keys), (text["_lang"] == keys["_lang"]) & text["_id"].eqNullSafe(keys["_id"]) & (text["_size"] == keys["_size"]))
-    found = matched.select(text["_lang"], F.substring(text["_text"].cast("binary"), 1, max_bytes).alias("_text")).distinct().collect()
+    spark = docs.sparkSession
+    text = F.col(text_col).cast("string")
+    size = F.least(F.octet_length(text), F.lit(max_bytes))
+    able = docs.filter(learn & F.col(lang_col).isNotNull() & (F.length(text) > 0))
+    able = able.select(F.col(lang_col).alias("_lang"), F.xxhash64(F.col(id_col), text).alias("_hash"), size.alias("_size"), text.alias("_text"))
+    totals = able.groupBy("_lang").agg(F.count(F.lit(1)).alias("n"), F.sum("_size").alias("bytes")).collect()  # a row for each language
+    # twice the bounds: what is over them goes when the sample is put in order
+    bounds = [(r["_lang"], _limit(r["n"], r["bytes"], max_docs, max_bytes)) for r in totals]
+    if not bounds:
+        return None
+    wanted = F.broadcast(spark.createDataFrame(bounds, "_l string, _below long"))
+    picked = able.join(wanted, (F.col("_lang") == F.col("_l")) & (F.col("_hash") <= F.col("_below")))
+    found = picked.select("_lang", "_hash", F.substring(F.col("_text").cast("binary"), 1, max_bytes).alias("_text")).distinct().collect()
     texts: dict[str, list[bytes]] = {}
-    for lang, data in sorted((r[0], bytes(r[1])) for r in found):
-        texts.setdefault(lang, []).append(data)
-    return PpmLanguages(texts, depth) if texts else None
+    for lang, _, data in sorted((r[0], r[1], bytes(r[2])) for r in found):
+        own = texts.setdefault(lang, [])
+        if len(own) < max_docs and sum(map(len, own)) < max_bytes:
+            own.append(data)
+    return PpmLanguages(texts, depth)
+
+
+def _limit(n: int, size: int, max_docs: int, max_bytes: int) -> int:
+    """The hash up to which about twice the bounds' share of ``n`` texts of ``size`` bytes lies, but not fewer than some twenty."""
+    share = max(2 * min(max_docs / n, max_bytes / size), 20 / n)
+    return 2**63 - 1 if share >= 1 else int(share * 2**64) - 2**63
 
 
 def judge(tree: PpmLanguages | None, texts: list[str | None]) -> list[tuple[str, float, float]]:
@@ -208,16 +241,30 @@ def judge(tree: PpmLanguages | None, texts: list[str | None]) -> list[tuple[str,
     return out
 
 
+def is_known(tree: PpmLanguages | None, texts: list[str | None], least: float) -> list[bool]:
+    """Whether a text has a language of at least this score and costs no more than texts of that language do.
+
+    The bound is half as much again as 99 of 100 sample texts cost a byte, and half a bit and
+    64 bits for the whole text on top, so that it lies far above any text of the language.
+    """
+    out = []
+    for t, (lang, score, bits) in zip(texts, judge(tree, texts)):
+        size = len(t.encode("utf-8", "surrogatepass")) if lang != "und" else 0
+        out.append(lang != "und" and score >= least and bits * size <= tree.usual[tree.languages.index(lang)] * size + 64)
+    return out
+
+
 def predict_languages(docs: DataFrame, model: PpmLanguages | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """id, columns named in ``keep`` as they are, lang_pred, score and bits per byte of every document."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # bounded by max_nodes for each gram length
+    shared = spark.sparkContext.broadcast(model)  # bounded by max_tree
 
     def rows(batches: Iterator[dict]):
         tree = shared.value
         for b in batches:
-            lang, score, bits = zip(*judge(tree, b["_text"].to_pylist())) if len(b["_text"]) else ((), (), ())
-            yield {id_col: b[id_col], **{c: b[c] for c in keep}, "lang_pred": lang, "score": score, "bits": bits}
+            for at in range(0, len(b["_text"]), CHUNK):
+                lang, score, bits = zip(*judge(tree, b["_text"][at : at + CHUNK].to_pylist()))
+                yield {id_col: b[id_col][at : at + CHUNK], **{c: b[c][at : at + CHUNK] for c in keep}, "lang_pred": lang, "score": score, "bits": bits}
 
     kinds = dict(docs.dtypes)
     ddl = ", ".join([f"{id_col} long", *(f"{c} {'long' if kinds[c] == 'bigint' else kinds[c]}" for c in keep), "lang_pred string, score double, bits double"])
@@ -226,12 +273,14 @@ def predict_languages(docs: DataFrame, model: PpmLanguages | None, id_col: str =
 
 
 def keep_known(docs: DataFrame, model: PpmLanguages | None, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that get a language with a score of at least ``least``, all columns kept."""
+    """The rows of ``docs`` whose language ``is_known``, all columns kept."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array([lang != "und" and score >= least for lang, score, _ in judge(shared.value, b.column(text_col).to_pylist())], pa.bool_()))
+            texts, tree = b.column(text_col), shared.value
+            on = [x for at in range(0, len(texts), CHUNK) for x in is_known(tree, texts[at : at + CHUNK].to_pylist(), least)]
+            yield b.filter(pa.array(on, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
