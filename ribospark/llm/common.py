@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +79,54 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+_WORD_BYTE = np.ones(256, bool)
+_WORD_BYTE[[0x20, *range(0x09, 0x0E)]] = False
+_LOWER_BYTE = np.array([_ASCII_LOWER.get(i, i) for i in range(256)], np.uint8)
+_BYTE_CODE = np.random.default_rng(23).integers(1, 2**63, 256).astype(np.uint64)
+_FACTOR = 0x9E3779B97F4A7C15
+#: Bytes whose words are hashed together.
+_SPAN = 1 << 19
+
+
+@cache
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash's factor and of its inverse modulo 2^64."""
+    with np.errstate(over="ignore"):
+        return tuple(np.full(n, f, np.uint64).cumprod() for f in (_FACTOR, pow(_FACTOR, -1, 1 << 64)))
+
+
+def word_arrays(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, last two bytes, words by text) of the ``WORD`` words of string texts, A-Z lower-cased; null is empty.
+
+    Works on the bytes of the whole column: a word's hash is the difference of two prefix
+    sums of a polynomial modulo 2^64 over random byte codes.
+    """
+    texts = texts.fill_null("").cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    if len(texts) == 0 or ends[-1] == ends[0]:
+        return np.empty(0, np.uint64), np.empty(0, np.uint16), np.zeros(len(texts), np.int64)
+    data = _LOWER_BYTE[np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]]]
+    ends = ends - ends[0]
+    inside = _WORD_BYTE[data]
+    first = np.zeros(len(data) + 1, bool)  # a text starts here
+    first[ends] = True
+    begin = np.flatnonzero(inside & (first[:-1] | ~np.concatenate([[False], inside[:-1]])))
+    end = np.flatnonzero(inside & (first[1:] | ~np.concatenate([inside[1:], [False]]))) + 1
+    hashes = np.empty(len(begin), np.uint64)
+    at = 0
+    while at < len(begin):
+        stop = max(at + 1, int(np.searchsorted(end, begin[at] + _SPAN, side="right")))
+        low, high = begin[at], end[stop - 1]
+        power, inverse = powers(1 << max(16, int(high - low).bit_length()))
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([np.zeros(1, np.uint64), (_BYTE_CODE[data[low:high]] * power[: high - low]).cumsum()])
+            a, z = begin[at:stop] - low, end[at:stop] - low
+            hashes[at:stop] = mix((sums[z] - sums[a]) * inverse[a] + (z - a).astype(np.uint64))
+        at = stop
+    tail = data[end - 1].astype(np.uint16) | np.where(end - begin > 1, data[end - 2], 0).astype(np.uint16) << 8
+    return hashes, tail, np.diff(np.searchsorted(begin, ends))
+
+
 def shingle_hashes(words: np.ndarray, size: int = 5) -> np.ndarray:
     """Hashes of the runs of ``size`` words, in order of position; fewer words than ``size`` give none."""
     n = len(words) - size + 1

@@ -32,14 +32,13 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import cache
 from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ribospark.llm.common import WORD, map_batches, mix
+from ribospark.llm.common import WORD, map_batches, mix, powers
 from ribospark.plans.runtime import ensure_checkpoint_dir
 
 MAGIC = b"RSWM0001"
@@ -242,14 +241,6 @@ _CODE = np.random.default_rng(17).integers(1, 2**63, _TOP).astype(np.uint64)
 _APOSTROPHE = ord("'")
 #: Characters that are looked at together; a longer text is cut at white space.
 SPAN = 1 << 19
-_FACTOR = 0x9E3779B97F4A7C15
-
-
-@cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash's factor and of its inverse modulo 2^64."""
-    with np.errstate(over="ignore"):
-        return tuple(np.full(n, f, np.uint64).cumprod() for f in (_FACTOR, pow(_FACTOR, -1, 1 << 64)))
 
 
 def cut_units(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -273,7 +264,7 @@ def cut_units(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
         start, end = start[order], end[order]
         whole = order >= keep.sum()
     size = 1 << max(16, (len(code)).bit_length())
-    power, inverse = _powers(size)
+    power, inverse = powers(size)
     with np.errstate(over="ignore"):
         sums = np.concatenate([np.zeros(1, np.uint64), (_CODE[low] * power[: len(low)]).cumsum()])
         key = mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64) * np.uint64(2) + whole)
