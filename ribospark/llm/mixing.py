@@ -14,14 +14,17 @@ words of all documents by weight; a target stops at ``max_repeat`` times the sou
 and what is left over is shared again by weight until none is above its limit.
 
 The seeded choice needs no global sort: documents fall into hash buckets, bucket sums tell
-in which bucket a pattern's rest runs out, and only that bucket's documents are ordered.
+in which bucket a pattern's rest runs out, and only that bucket is looked at more closely,
+by finer buckets, then by hash, id and size, and last, for rows that are equal in these, by
+partition and place in it. No window is longer than a bucket, a partition or their number.
 
 Bounds: the patterns' totals and the flow are on the driver; more than ``MAX_PATTERNS``
 patterns raise. Everything by document stays distributed.
 
 Defined results: a null text has size 0 and is never taken; a null source is a source of
-its own; rows that share a doc_id are chosen one by one; documents equal in hash are
-ordered by id and size; an empty table gives an empty table; other columns are not read.
+its own; rows that share a doc_id are chosen one by one, rows that are equal in id and size
+in the order in which they are read; an empty table gives an empty table; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -145,7 +148,20 @@ def route(patterns: dict[tuple, int], targets: dict, max_repeat: int = 3) -> dic
 def _keyed(rows: DataFrame, id_col: str, seed: int) -> DataFrame:
     """``rows`` with the seeded hash, its bucket and the order of choice (columns starting with _mix)."""
     hashed = F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), F.col("_mix_size"))
-    return rows.withColumn("_mix_hash", hashed).withColumn("_mix_bucket", F.pmod(F.col("_mix_hash"), F.lit(BUCKETS)).cast("int")).withColumn("_mix_order", F.struct(F.col("_mix_hash").alias("hash"), F.col(id_col).cast("long").alias("id"), F.col("_mix_size").alias("size")))
+    order = F.struct(F.col("_mix_hash").alias("hash"), F.col(id_col).cast("long").alias("id"), F.col("_mix_size").alias("size"), F.col("_mix_row").alias("row"))
+    return rows.withColumn("_mix_row", F.monotonically_increasing_id()).withColumn("_mix_hash", hashed).withColumn("_mix_bucket", F.pmod(F.col("_mix_hash"), F.lit(BUCKETS)).cast("int")).withColumn("_mix_order", order)
+
+
+def _running(rows: DataFrame, level: Column) -> DataFrame:
+    """The sizes of ``rows`` by pattern and ``level``, with running sums in its order."""
+    sums = rows.groupBy("_members", level.alias("_level")).agg(F.sum("_mix_size").alias("_n"))
+    return sums.withColumn("_upto", F.sum("_n").over(Window.partitionBy("_members").orderBy("_level").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+
+
+def _edge(rows: DataFrame, left: DataFrame, level: Column) -> DataFrame:
+    """(_p, _at, _left): at which ``level`` the words ``_left`` of a pattern run out, and what is left there."""
+    ends = _running(rows, level).join(F.broadcast(left), F.col("_members").eqNullSafe(F.col("_p"))).filter("_upto > _left")
+    return cut(ends.groupBy("_p").agg(F.min(F.struct("_level", (F.col("_left") - F.col("_upto") + F.col("_n")).alias("left"))).alias("e")).select("_p", F.col("e._level").alias("_at"), F.col("e.left").alias("_left")))
 
 
 def mixing_plan(docs: DataFrame, members: Column, size: Column, id_col: str = "doc_id", weights: tuple[int, ...] = (5, 2, 1), max_repeat: int = 3, seed: int = 7) -> DataFrame:
@@ -165,28 +181,36 @@ def mixing_plan(docs: DataFrame, members: Column, size: Column, id_col: str = "d
     quotas = {s: t * scale for s, t in share_targets(sizes, weights, max_repeat).items()}
     used = route(patterns, quotas, max_repeat)
     plan = [(list(p), used[p] // n if n else 0, used[p] % n if n else 0, sizes[p[0]] if p else 0, quotas[p[0]] if p else 0.0) for p, n in patterns.items()]
-    wanted = F.broadcast(spark.createDataFrame(plan, "_p array<string>, _whole long, _rest long, source_size long, target double"))
-    upto = Window.partitionBy("_members").orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = sized.groupBy("_members", "_mix_bucket").agg(F.sum("_mix_size").alias("_n")).withColumn("_upto", F.sum("_n").over(upto))
-    # the bucket in which the rest runs out: the first whose running sum passes it
-    ends = sums.join(wanted, F.col("_members").eqNullSafe(F.col("_p"))).filter("_upto > _rest")
-    edge = ends.groupBy("_p").agg(F.min(F.struct("_mix_bucket", (F.col("_rest") - F.col("_upto") + F.col("_n")).alias("left"))).alias("e")).select(F.col("_p").alias("_q"), F.col("e._mix_bucket").alias("_last"), F.col("e.left").alias("_left"))
-    inside = sized.join(F.broadcast(edge), F.col("_members").eqNullSafe(F.col("_q")) & (F.col("_mix_bucket") == F.col("_last")))
-    running = Window.partitionBy("_members").orderBy("_mix_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = inside.withColumn("_upto", F.sum("_mix_size").over(running)).filter("_left > 0 and _upto - _mix_size / 2 <= _left")
-    final = inside.groupBy("_q").agg(F.max("_mix_order").alias("_until")).withColumnRenamed("_q", "_r")
-    out = spark.createDataFrame(plan, "_p array<string>, _whole long, _rest long, source_size long, target double").join(edge, F.col("_p").eqNullSafe(F.col("_q")), "left").join(final, F.col("_p").eqNullSafe(F.col("_r")), "left")
-    return cut(out.select("_p", "_whole", "source_size", "target", F.coalesce("_last", F.lit(-1)).alias("_last"), "_until"))
+    told = spark.createDataFrame(plan, "_p array<string>, _whole long, _rest long, source_size long, target double")
+    finer = F.pmod(F.shiftright("_mix_hash", 12), F.lit(BUCKETS)).cast("int")
+    levels = [F.col("_mix_bucket"), finer, F.struct("_mix_order.hash", "_mix_order.id", "_mix_order.size"), F.shiftright("_mix_row", 33)]
+    inside, left, last = sized, told.select("_p", F.col("_rest").alias("_left")), None
+    for level in levels:
+        left = _edge(inside, left, level)
+        last = last or left.select(F.col("_p").alias("_q"), F.col("_at").alias("_last"))
+        here = F.broadcast(left.select(F.col("_p").alias("_q"), "_at"))
+        inside = cut(inside.join(here, F.col("_members").eqNullSafe(F.col("_q")) & level.eqNullSafe(F.col("_at"))).drop("_q", "_at"))
+    ends = _running(inside, F.col("_mix_order")).join(F.broadcast(left), F.col("_members").eqNullSafe(F.col("_p")))
+    final = ends.groupBy(F.col("_p").alias("_r")).agg(
+        F.max(F.when((F.col("_left") > 0) & (F.col("_upto") - F.col("_n") / 2 <= F.col("_left")), F.col("_level"))).alias("_until"),
+        F.min(F.col("_level")).alias("_first"),
+    )
+    out = told.join(last, F.col("_p").eqNullSafe(F.col("_q")), "left").join(final, F.col("_p").eqNullSafe(F.col("_r")), "left")
+    return cut(out.select("_p", "_whole", "source_size", "target", F.coalesce("_last", F.lit(-1)).alias("_last"), "_until", "_first"))
 
 
 def with_copies(docs: DataFrame, plan: DataFrame, members: Column, size: Column, id_col: str = "doc_id", max_repeat: int = 3, seed: int = 7) -> DataFrame:
     """``docs`` and ``_mix_size``, ``_mix_copies``, ``_mix_source_size``, ``_mix_target``; the plan (bounded) is broadcast, nothing is shuffled."""
-    told = F.broadcast(plan.select(F.col("_p").alias("_mix_p"), F.col("_whole").alias("_mix_whole"), F.col("source_size").alias("_mix_source_size"), F.col("target").alias("_mix_target"), F.col("_last").alias("_mix_last"), F.col("_until").alias("_mix_until")))
+    told = F.broadcast(plan.select(F.col("_p").alias("_mix_p"), F.col("_whole").alias("_mix_whole"), F.col("source_size").alias("_mix_source_size"), F.col("target").alias("_mix_target"), F.col("_last").alias("_mix_last"), F.col("_until").alias("_mix_until"), F.col("_first").alias("_mix_first")))
     keyed = _keyed(docs.withColumn("_mix_size", size.cast("long")).withColumn("_mix_members", members), id_col, seed)
     joined = keyed.join(told, F.col("_mix_members").eqNullSafe(F.col("_mix_p")))
-    chosen = (F.col("_mix_bucket") < F.col("_mix_last")) | ((F.col("_mix_bucket") == F.col("_mix_last")) & F.coalesce(F.col("_mix_order") <= F.col("_mix_until"), F.lit(False)))
+    fine = F.pmod(F.shiftright("_mix_hash", 12), F.lit(BUCKETS))
+    edge = F.pmod(F.shiftright(F.col("_mix_first.hash"), 12), F.lit(BUCKETS))
+    until = F.coalesce(F.col("_mix_order") <= F.col("_mix_until"), F.lit(False)) | (F.col("_mix_order") < F.col("_mix_first"))
+    inside = (fine < edge) | ((fine == edge) & until)
+    chosen = (F.col("_mix_bucket") < F.col("_mix_last")) | ((F.col("_mix_bucket") == F.col("_mix_last")) & F.coalesce(inside, F.lit(False)))
     copies = F.when(F.col("_mix_size") > 0, F.least(F.col("_mix_whole") + chosen.cast("long"), F.lit(max_repeat))).otherwise(0).cast("int")
-    return joined.withColumn("_mix_copies", copies).drop("_mix_hash", "_mix_bucket", "_mix_order", "_mix_p", "_mix_whole", "_mix_last", "_mix_until")
+    return joined.withColumn("_mix_copies", copies).drop("_mix_hash", "_mix_bucket", "_mix_order", "_mix_row", "_mix_first", "_mix_p", "_mix_whole", "_mix_last", "_mix_until")
 
 
 def mix_sources(docs: DataFrame, members: Column, size: Column, id_col: str = "doc_id", **options) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -137,6 +138,39 @@ def test_ppm_code_length_is_exact():
         assert tree.code_lengths([data])[0] == pytest.approx(_plain_code_length(tree, texts, data))
 
 
+def test_a_small_tree_keeps_whole_grams():
+    """Where memory is short the seldom grams of all lengths go, with their longer ones."""
+    import pickle
+
+    rng = random.Random(6)
+    texts = {x: [" ".join(rng.choice(["eins", "zwei", "one", "two", "uno"]) + rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(300)).encode()] for x in "xyz"}
+    full = language_id.PpmLanguages(texts)
+    for room in (60_000, 20_000):
+        tree = language_id.PpmLanguages(texts, max_tree=room)
+        assert tree.seen > full.seen == 2 and sum(map(len, tree.parents)) < sum(map(len, full.parents))
+        again = pickle.loads(pickle.dumps(tree))
+        assert np.array_equal(again.code_lengths(texts["x"]), tree.code_lengths(texts["x"]))
+
+
+def test_signs_are_no_letters():
+    tree = language_id.PpmLanguages({"x": [b"abab"]})
+    assert [r[0] for r in language_id.judge(tree, ["²", "½ ①", "12_", "é", "漢"])] == ["und", "und", "und", "x", "x"]
+
+
+def test_unknown_languages_are_rejected():
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(200)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    tree = language_id.PpmLanguages({"x": [text(300).encode() for _ in range(20)]})
+    other = " ".join("".join(rng.choice("qrstuvwxyz") for _ in range(6)) for _ in range(100))
+    assert language_id.is_known(tree, [text(5), text(500), other, "漢字" * 60, None, "1"], 0.5) == [True, True, False, False, False, False]
+
+
+def test_no_signatures():
+    none = near_dedup.bag_minhash([])
+    assert near_dedup.band_keys(none).shape == (0, near_dedup.BANDS)
+
+
 def test_hmm_forward_and_counts():
     rng = np.random.default_rng(4)
     norm = lambda x, axis: x / x.sum(axis=axis, keepdims=True)
@@ -162,6 +196,34 @@ def test_hmm_forward_and_counts():
         assert np.allclose(found, counts / p, atol=1e-4)
 
 
+def test_counts_over_the_cuts_of_a_text(monkeypatch):
+    """Stretches with a lap count nearly what the whole text does, and as many transitions."""
+    rng = np.random.default_rng(8)
+    norm = lambda x, axis: x / x.sum(axis=axis, keepdims=True)
+    model = lm_scoring.HiddenMarkov(norm(rng.random(3), 0), norm(rng.random((3, 3)), 1), norm(rng.random((6, 3)), 0))
+    texts = [rng.integers(0, 6, n) for n in (3000, 801, 400, 1)]
+    cut, whole = np.zeros((10, 3)), np.zeros((10, 3))
+    model.expected(texts, cut)
+    monkeypatch.setattr(lm_scoring, "STRETCH", 10_000)
+    model.expected(texts, whole)
+    assert cut[6:9].sum() == pytest.approx(sum(len(t) - 1 for t in texts), rel=1e-4)
+    assert np.allclose(cut, whole, rtol=1e-3, atol=0.02)
+
+
+def test_word_arrays(monkeypatch):
+    from ribospark.llm import common
+
+    texts = ["", None, "One two", "two ÉÉ\x85x \t\v one", "a" * 50 + " B", " ", "漢字 b\n", "one"]
+    for span in (1 << 19, 8):
+        monkeypatch.setattr(common, "_SPAN", span)
+        h, tail, n = common.word_arrays(pa.array([*texts, "x", *texts])[len(texts) + 1 :])
+        words = [common.ascii_lower(w) for t in texts for w in common.WORD.findall(t or "")]
+        assert n.tolist() == [len(common.WORD.findall(t or "")) for t in texts] and len(h) == len(words)
+        assert len(set(zip(words, h.tolist()))) == len(set(words)) == len(set(h.tolist()))
+        assert [int(t) for t in tail] == [int.from_bytes(w.encode()[-2:], "big") for w in words]
+    assert [len(x) for x in common.word_arrays(pa.array([], pa.string()))] == [0, 0, 0]
+
+
 def test_boosted_trees_are_monotone():
     rng = np.random.default_rng(2)
     x = rng.random((800, 2))

@@ -1,15 +1,17 @@
 """The operators on small tables: odd rows, empty tables and brute-force versions."""
 
 import hashlib
+import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ribospark.llm import decontamination, language_id, line_dedup, lm_scoring, mixing, near_dedup, quality_rules, suffix_dedup, token_output, url_filters
-from ribospark.llm.common import WordHashes
-from ribospark.llm.queries import mix_documents, op6_line_dedup, tokenizer_path
+from ribospark.llm.common import WORD, WordHashes, ascii_lower
+from ribospark.llm.queries import mix_documents, op6_line_dedup, op7_mixing, tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, kept string, class_id long, size string"
 PASSAGE = " ".join(f"word{i * 7919 % 1000}" for i in range(120))
@@ -68,6 +70,7 @@ def test_near_duplicates(docs, empty):
     hashes = WordHashes()
     rows = _texts(docs)
     bags = [near_dedup.bag(t, hashes) for _, t in rows]
+    bags = [b if len(b[0]) else (np.array([zlib.crc32((t or "").encode())], np.uint64), np.array([10**6])) for b, (_, t) in zip(bags, rows)]  # equal without words
     root = list(range(len(rows)))
 
     def find(x):
@@ -77,17 +80,27 @@ def test_near_duplicates(docs, empty):
 
     for i in range(len(rows)):
         for j in range(i):
-            if len(bags[i][0]) and len(bags[j][0]) and near_dedup.bag_similarity(bags[i], bags[j]) >= 0.8:
+            if near_dedup.bag_similarity(bags[i], bags[j]) >= 0.8:
                 root[find(i)] = find(j)
     least = {}
     for i, (d, _) in enumerate(rows):
         if d is not None:
             least[find(i)] = min(least.get(find(i), 10**9), d)
-    assert got == Counter((d, least.get(find(i)) if len(bags[i][0]) else d) for i, (d, _) in enumerate(rows))
+    assert Counter((d, c if c is None or c >= 0 else "none") for d, c in got.elements()) == Counter((d, least.get(find(i), "none")) for i, (d, _) in enumerate(rows))
     assert near_dedup.near_duplicates(empty).count() == 0
     kept = near_dedup.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
-    assert kept.count() == len({find(i) for i in range(len(rows)) if len(bags[i][0])}) + sum(1 for b in bags if not len(b[0]))
+    assert kept.count() == len({find(i) for i in range(len(rows))})
+
+
+def test_near_duplicates_without_words_or_ids(spark):
+    """A partition of only wordless texts, and classes none of whose rows has an id."""
+    rows = [(i, t) for i, t in enumerate([None, "", "!!!", "!!!", "?"])] + [(None, PASSAGE), (None, PASSAGE + " x"), (None, LONG)]
+    df = spark.createDataFrame(rows[:5], "doc_id long, text string").coalesce(1).unionByName(spark.createDataFrame(rows[5:], "doc_id long, text string"))
+    got = [(r["doc_id"], r["class_id"]) for r in near_dedup.near_duplicates(df).collect()]
+    assert sorted(x for x in got if x[0] is not None) == [(0, 0), (1, 0), (2, 2), (3, 2), (4, 4)]
+    assert sorted(Counter(c for d, c in got if d is None).values()) == [1, 2] and all(c < 0 for d, c in got if d is None)
+    assert near_dedup.near_duplicates(df.filter("doc_id < 5")).count() == 5
 
 
 def test_near_duplicates_across_blocks(spark, monkeypatch):
@@ -95,7 +108,7 @@ def test_near_duplicates_across_blocks(spark, monkeypatch):
     base = [f"w{i}" for i in range(400)]
     rows = [(n, " ".join(base[: 400 - 12 * n])) for n in range(12)] + [(50 + n, " ".join(base[:200] + [f"z{n}{i}" for i in range(150)])) for n in range(6)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(near_dedup, "BLOCK", 2)
+    monkeypatch.setattr(near_dedup, "BLOCK", 2)  # groups are dealt anew by longer keys, then into blocks
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(df).collect()}
     assert all(got[n] == 0 for n in range(12)) and all(got[50 + n] == 50 + n for n in range(6))
 
@@ -178,19 +191,23 @@ def test_quality(spark, docs, empty):
     assert quality_rules.judge_quality(empty, None).count() == 0
 
 
+def _lm_tokens(text):
+    return [ascii_lower(w) for w in WORD.findall(text or "")]
+
+
 def test_lm_scores(docs, empty):
     learn = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 != 2
     rows = lm_scoring.score_texts(docs, learn, n_top=30, warm_rounds=2).collect()
     counts = Counter()
     for d, t in _texts(docs):
         if zlib.crc32(("" if d is None else str(d)).encode()) % 7 != 2:
-            counts.update([*lm_scoring.tokens(t), ""])
+            counts.update([*_lm_tokens(t), ""])
     n, v = sum(counts.values()), len(counts)
     texts = {d: t for d, t in _texts(docs)}
     import math
 
     for r in rows:
-        words = [*lm_scoring.tokens(texts[r["doc_id"]]), ""]
+        words = [*_lm_tokens(texts[r["doc_id"]]), ""]
         assert r["n_tokens"] == len(words) and r["train_tokens"] == n
         assert r["n_known"] == sum(counts[w] > 0 for w in words)
         assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words))
@@ -218,6 +235,36 @@ def test_mixing(docs, empty):
     assert out.columns == docs.columns and out.count() == sum(r["copies"] for r in rows)
 
 
+def test_mixing_of_equal_rows(spark):
+    """Rows that share id and size are told apart: no target is missed by more than a document."""
+    for ids in ("cast(null as long)", "7L", "id % 3"):
+        df = spark.range(3000).selectExpr(f"{ids} as doc_id", "'a b c d e' as text", "array('s', 't', 'u')[cast(id % 2 + if(id % 6 = 5, 1, 0) as int)] as source")
+        rows = mix_documents(df.repartition(7, "doc_id", "source")).collect()
+        taken, target = Counter(), {}
+        for r in rows:
+            taken[r["members"][0]] += r["taken"]
+            target[r["members"][0]] = r["target"]
+        assert len(target) == 3 and all(abs(taken[k] - target[k]) <= 5 for k in target), (ids, taken, target)
+
+
+def test_mixing_query_against_plain_sums(spark):
+    """size, source_size and target of every row of the registered query, computed anew."""
+    folder = "/root/testdata/sf0.001"
+    words = {r["doc_id"]: len(re.findall("[^\x20\x09-\x0d]+", r["text"] or "")) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    source = {r["doc_id"]: r["source"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    sizes = Counter()
+    for d, n in words.items():
+        sizes[source[d]] += n
+    rows, taken = op7_mixing(spark, folder).collect(), Counter()
+    targets = mixing.share_targets(dict(sizes))
+    for r in rows:
+        assert (r["size"], r["source_size"]) == (words[r["doc_id"]], sizes[source[r["doc_id"]]])
+        assert r["target"] == pytest.approx(targets[source[r["doc_id"]]])
+        assert r["taken"] <= 3 * r["size"]
+        taken[source[r["doc_id"]]] += r["taken"]
+    assert len(rows) == len(words) and all(abs(taken[s] - targets[s]) <= max(words.values()) for s in targets)
+
+
 def test_token_output(spark, docs, empty, tmp_path):
     got = token_output.token_output(docs, tokenizer_path(), 2, str(tmp_path / "a"), shard_tokens=500).orderBy("start").collect()
     assert [r["doc_id"] for r in got] == sorted((d for d, _ in _texts(docs)), key=lambda d: (d is not None, d))
