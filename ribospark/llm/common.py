@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from functools import cache
@@ -12,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ribospark.plans.runtime import ensure_checkpoint_dir
+
 #: A word is a maximal run of characters other than the six ASCII white-space characters.
 WORD = re.compile("[^\x20\x09-\x0d]+")
 #: A word of a shingle: letters, digits and marks of any script, case folded by lower().
@@ -43,6 +46,26 @@ def map_batches(df: DataFrame, rows: Callable[[Iterator[dict]], Iterable[dict]],
 _PA = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64()), "array<string>": pa.list_(pa.string())}
 
 
+def hash_limit(share: float) -> int:
+    """The signed 64-bit hash up to which about ``share`` of all hashes lie."""
+    return 2**63 - 1 if share >= 1 else int(share * 2**64) - 2**63
+
+
+class Stored:
+    """A table written once to the shared folder, for readers that would compute it anew each; ``drop`` removes it."""
+
+    def __init__(self, df: DataFrame):
+        self.spark = df.sparkSession
+        self.path = f"{ensure_checkpoint_dir(self.spark)}/stored-{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+        self.table = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def pa_schema(ddl: str) -> pa.Schema:
     """The Arrow schema of a flat DDL such as ``doc_id long, text string``."""
     return pa.schema([pa.field(name, _PA[kind]) for name, kind in (part.strip().split(" ", 1) for part in ddl.split(", "))])

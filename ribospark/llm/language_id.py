@@ -39,7 +39,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ribospark.llm.common import map_batches, remainder
+from ribospark.llm.common import hash_limit, map_batches, remainder
 
 _LETTER = regex.compile(r"\p{L}")
 #: Bytes scored at a time; a longer text goes on with the last bytes of the piece before as context.
@@ -84,7 +84,7 @@ class PpmLanguages:
         self.floor = self.escape[0][0] + 8.0  # a byte never learned, after the empty context
         # bits per byte that the sample of a language stays well below
         own = {x: [t for t in texts[x] if t] for x in self.languages}
-        self.usual = [1.5 * float(np.quantile(self.code_lengths(own[x])[:, j] / [len(t) for t in own[x]], 0.99)) + 0.5 if own[x] else 8.0 for j, x in enumerate(self.languages)]
+        self.usual = [2 * float(np.quantile(self.code_lengths(own[x])[:, j] / [len(t) for t in own[x]], 0.99)) + 2 if own[x] else 8.0 for j, x in enumerate(self.languages)]
 
     def _grow(self, codes: np.ndarray, lang: np.ndarray, doc: np.ndarray, k: int, max_tree: int) -> bool:
         """Take the grams that occur ``self.seen`` times; false if they need more than ``max_tree`` bytes."""
@@ -93,20 +93,27 @@ class PpmLanguages:
         node, used = np.zeros(len(codes), np.int32), 0
         for length in range(1, self.depth + 2):
             n = max(0, len(codes) - length + 1)
-            at = np.flatnonzero((node[:n] >= 0) & (doc[:n] == doc[length - 1 : length - 1 + n]))
-            key = node[at].astype(np.int64) * self.width + codes[at + length - 1]
-            keys, inverse = np.unique(key, return_inverse=True)
-            by = np.bincount(inverse * k + lang[at], minlength=len(keys) * k).reshape(len(keys), k)
+            at = np.flatnonzero((node[:n] >= 0) & (doc[:n] == doc[length - 1 : length - 1 + n])).astype(np.int32)
+            key = node[at]
+            key *= self.width  # nodes times codes stay far below 2^31
+            key += codes[at + length - 1]
+            order = key.argsort()
+            at, key = at[order], key[order]
+            del order
+            first = np.flatnonzero(np.diff(key, prepend=-1) > 0)
+            keys, own = key[first], lang[at]
+            del key
+            by = np.stack([np.add.reduceat(own == j, first, dtype=np.int32) for j in range(k)], axis=1) if len(first) else np.zeros((0, k), np.int32)
             keep = by.sum(axis=1) >= (1 if length <= 2 else self.seen)
             number = np.where(keep, keep.cumsum() - 1, -1).astype(np.int32)
-            self.parents.append((keys[keep] // self.width).astype(np.int32))
-            self.symbols.append((keys[keep] % self.width).astype(np.int32))
+            self.parents.append(keys[keep] // self.width)
+            self.symbols.append(keys[keep] % self.width)
             self._counts.append(by[keep].astype(np.float64))
             used += int(keep.sum()) * (8 * k + 8 + (4 * self.width if length <= self.depth else 0))
             if used > max_tree and length > 2 and keep.any():
                 return False
             node = np.full(len(codes), -1, np.int32)
-            node[at] = number[inverse]
+            node[at] = np.repeat(number, np.diff(first, append=len(at)))
         self._tables()
         return True
 
@@ -223,8 +230,7 @@ def learn_languages(docs: DataFrame, learn: Column, id_col: str = "doc_id", text
 
 def _limit(n: int, size: int, max_docs: int, max_bytes: int) -> int:
     """The hash up to which about twice the bounds' share of ``n`` texts of ``size`` bytes lies, but not fewer than some twenty."""
-    share = max(2 * min(max_docs / n, max_bytes / size), 20 / n)
-    return 2**63 - 1 if share >= 1 else int(share * 2**64) - 2**63
+    return hash_limit(max(2 * min(max_docs / n, max_bytes / size), 20 / n))
 
 
 def judge(tree: PpmLanguages | None, texts: list[str | None]) -> list[tuple[str, float, float]]:
@@ -244,8 +250,9 @@ def judge(tree: PpmLanguages | None, texts: list[str | None]) -> list[tuple[str,
 def is_known(tree: PpmLanguages | None, texts: list[str | None], least: float) -> list[bool]:
     """Whether a text has a language of at least this score and costs no more than texts of that language do.
 
-    The bound is half as much again as 99 of 100 sample texts cost a byte, and half a bit and
-    64 bits for the whole text on top, so that it lies far above any text of the language.
+    The bound is twice what 99 of 100 sample texts cost a byte, and two bits a byte and 64 for
+    the whole text on top, so that it lies far above any text of the language, shouted or
+    garbled ones included; a text in letters that were never learned costs more.
     """
     out = []
     for t, (lang, score, bits) in zip(texts, judge(tree, texts)):
