@@ -12,8 +12,9 @@ A corpus has no single suffix array here. Strings that can be equal are brought
    so a run whose core (a 64-bit key) occurs nowhere else has no repeated window.
 2. Of the runs whose key occurs again, equal ones (same bytes, same place in the core) are
    collapsed: two copies repeat all their windows. The distinct ones of a key go to one
-   task, which concatenates the runs of many keys into a text of bounded size and builds its
-   suffix array; neighbours in it that agree on ``LENGTH`` bytes are repeated windows.
+   task, which concatenates the runs of many keys into a text of bounded size, writes a core
+   as one symbol (all windows of a run hold it whole) and builds the text's suffix array;
+   neighbours in it that agree on a window's symbols are repeated windows.
 3. Repeated starts go back to their documents, which are cut.
 
 The suffix array is built without recursive renaming: phase 1 takes the groups of suffixes
@@ -25,8 +26,8 @@ before it along the same pointers.
 
 A key with more than ``HOT`` distinct runs would be an unbounded group for one task; its
 windows are compared by hash with a distributed aggregation instead (an exact way of its
-own: equal windows, equal key and hash). Hashes have 64 bits, window hashes count together
-with their key.
+own: equal windows, equal key and hash). Hashes have 64 bits; digests and window hashes
+count together with their key, cores are compared by their bytes.
 
 Defined results: a null text is empty; rows with equal doc_id and text share a result but
 count as two documents; texts under ``LENGTH`` bytes lose nothing; an empty table gives an
@@ -44,11 +45,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ribospark.llm.common import map_batches
+from ribospark.llm.common import Stored, map_batches
 from ribospark.plans.runtime import cut
 
-LENGTH, GRAM, BLOCK, HOT = 400, 32, 128, 400
-#: Window starts that are looked at together, and bytes of one suffix array.
+LENGTH, GRAM, BLOCK, HOT = 400, 32, 128, 2000
+CORE = LENGTH - BLOCK + 1
+#: Window starts that are looked at together, and symbols of one suffix array.
 PIECE, TEXT = 1 << 20, 1 << 15
 _MIX = np.random.default_rng(29).integers(1, 2**63, 256).astype(np.uint64)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -113,23 +115,21 @@ def suffix_array(text: list[int]) -> list[int]:
     return out
 
 
-def repeated_starts(regions: list[bytes], length: int = LENGTH) -> list[list[int]]:
-    """For every region, the starts whose window of ``length`` bytes occurs at another start of the regions."""
+def repeated_starts(regions: list[list[int]], length: int) -> list[list[int]]:
+    """For every sequence, the starts whose window of ``length`` symbols occurs at another start of the sequences."""
     text: list[int] = []
-    first = []
     for r in regions:
-        first.append(len(text))
         text += [b + 2 for b in r]
         text.append(1)
-    owner = np.repeat(np.arange(len(regions)), [len(r) + 1 for r in regions])
-    inside = np.arange(len(text)) - np.repeat(first, [len(r) + 1 for r in regions])
-    able = inside + length <= np.repeat([len(r) for r in regions], [len(r) + 1 for r in regions])
+    sizes = np.array([len(r) + 1 for r in regions])
+    owner = np.repeat(np.arange(len(regions)), sizes)
+    inside = np.arange(len(text)) - np.repeat(sizes.cumsum() - sizes, sizes)
+    able = inside + length < np.repeat(sizes, sizes)
     order = np.array(suffix_array([*text, 0]))[1:]
-    joined = b"\0".join(regions) + b"\0"
     found = np.zeros(len(text), bool)
     close = np.flatnonzero(able[order[:-1]] & able[order[1:]])
     for a, b in zip(order[close].tolist(), order[close + 1].tolist()):
-        if joined[a : a + length] == joined[b : b + length]:
+        if text[a : a + length] == text[b : b + length]:
             found[a] = found[b] = True
     out: list[list[int]] = [[] for _ in regions]
     for i in np.flatnonzero(found):
@@ -157,13 +157,12 @@ def picked_places(data: np.ndarray) -> np.ndarray:
     return (np.minimum(ahead[:starts], behind[span - 1 : span - 1 + starts]) & np.uint64(0xFFFFFF)).astype(np.int64)
 
 
-def short_runs(data: bytes) -> list[tuple[int, int, int, int, int]]:
-    """(start, starts, repetitions, key, digest) of the runs of window starts of a text.
+def short_runs(data: bytes) -> list[tuple[int, int, int, int, int, int]]:
+    """(start, starts, repetitions, key, digest, place of the core) of the runs of window starts of a text.
 
     ``repetitions`` equal runs may follow one another directly.
     """
-    out: list[tuple[int, int, int, int, int]] = []
-    core = LENGTH - BLOCK + 1
+    out: list[tuple[int, int, int, int, int, int]] = []
     for base in range(0, len(data) - LENGTH + 1, PIECE):
         piece = data[base : base + PIECE + LENGTH - 1]
         place = picked_places(np.frombuffer(piece, np.uint8))
@@ -173,13 +172,13 @@ def short_runs(data: bytes) -> list[tuple[int, int, int, int, int]]:
         stops = np.concatenate([edge, [len(place)]]).tolist()
         for a, z, p, b in zip(starts, stops, place[starts].tolist(), block[starts].tolist()):
             c = p - b * BLOCK
-            key = xxhash.xxh3_64_intdigest(piece[c : c + core], b)
+            key = xxhash.xxh3_64_intdigest(piece[c : c + CORE], b)
             digest = xxhash.xxh3_64_intdigest(piece[a : z + LENGTH - 1], p - a)
             if out and out[-1][3] == key and out[-1][4] == digest and out[-1][1] == z - a and out[-1][0] + out[-1][1] * out[-1][2] == base + a:
-                s, n, times, _, _ = out[-1]
-                out[-1] = (s, n, times + 1, key, digest)
+                s, n, times, *_ = out[-1]
+                out[-1] = (s, n, times + 1, key, digest, c - a)
             else:
-                out.append((base + a, z - a, 1, key, digest))
+                out.append((base + a, z - a, 1, key, digest, c - a))
     return out
 
 
@@ -215,21 +214,22 @@ def _runs(docs: DataFrame) -> DataFrame:
                 found = [short_runs(t.as_py()) for t in b["_bytes"][at : at + 200]]
                 flat = [r for f in found for r in f]
                 if flat:
-                    s, n, times, key, digest = zip(*flat)
-                    yield {"doc": b["_k"][at : at + 200].take(np.repeat(np.arange(len(found)), [len(f) for f in found])), "start": s, "starts": n, "times": times, "key": _signed(key), "digest": _signed(digest)}
+                    s, n, times, key, digest, core = zip(*flat)
+                    yield {"doc": b["_k"][at : at + 200].take(np.repeat(np.arange(len(found)), [len(f) for f in found])), "start": s, "starts": n, "times": times, "key": _signed(key), "digest": _signed(digest), "core": core}
 
-    return map_batches(docs, rows, "doc long, start int, starts int, times int, key long, digest long")
+    return map_batches(docs, rows, "doc long, start int, starts int, times int, key long, digest long, core int")
 
 
 def _judged(docs: DataFrame, runs: DataFrame) -> DataFrame:
     """(key, digest, firsts, lasts): the repeated starts, as ranges inside a run, of the runs that have any."""
-    kinds = runs.groupBy("key", "digest").agg(F.sum("times").alias("n"), F.min(F.struct("doc", "start", "starts")).alias("at"))
-    per_key = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"))
-    kinds = cut(kinds.join(per_key, "key"))
+    kinds = runs.groupBy("key", "digest").agg(F.sum("times").alias("n"), F.min(F.struct("doc", "start", "starts", "core")).alias("at"))
+    kinds = cut(kinds)
+    per_key = cut(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")))  # apart, so that a hot key's join can be split
+    kinds = kinds.join(per_key, "key")
     alone = kinds.filter("kinds = 1").select("key", "digest", F.array(F.lit(0)).alias("firsts"), F.array((F.col("at.starts") - 1).cast("int")).alias("lasts"))
     several = kinds.filter("kinds > 1")
-    asked = several.groupBy(F.col("at.doc").alias("doc")).agg(F.collect_list(F.struct("key", "digest", "n", "kinds", F.col("at.start").alias("start"), F.col("at.starts").alias("starts"))).alias("x"))
-    asked = asked.select("doc", *(F.col(f"x.{c}").alias(c) for c in ("key", "digest", "n", "kinds", "start", "starts")))
+    asked = several.groupBy(F.col("at.doc").alias("doc")).agg(F.collect_list(F.struct("key", "digest", "n", "kinds", F.col("at.start").alias("start"), F.col("at.starts").alias("starts"), F.col("at.core").alias("core"))).alias("x"))
+    asked = asked.select("doc", *(F.col(f"x.{c}").alias(c) for c in ("key", "digest", "n", "kinds", "start", "starts", "core")))
     texts = docs.join(asked, docs["_k"] == asked["doc"]).dropDuplicates(["doc"]).drop("doc", "_k")
 
     def regions(batches: Iterator[dict]):
@@ -239,33 +239,37 @@ def _judged(docs: DataFrame, runs: DataFrame) -> DataFrame:
                 cuts = [data[s : s + n + LENGTH - 1] for s, n in zip(starts, sizes)]
                 hot = [k > HOT for k in b["kinds"][i].as_py()]
                 hashes = [[xxhash.xxh3_64_intdigest(c[o : o + LENGTH]) - 2**63 for o in range(len(c) - LENGTH + 1)] if on else None for c, on in zip(cuts, hot)]
-                yield {"key": b["key"][i].values, "digest": b["digest"][i].values, "n": b["n"][i].values, "hot": hot, "bytes": [None if on else c for c, on in zip(cuts, hot)], "windows": hashes}
+                yield {"key": b["key"][i].values, "digest": b["digest"][i].values, "n": b["n"][i].values, "core": b["core"][i].values, "hot": hot, "bytes": [None if on else c for c, on in zip(cuts, hot)], "windows": hashes}
 
-    fetched = cut(map_batches(texts, regions, "key long, digest long, n long, hot boolean, bytes binary, windows array<long>"))
+    fetched = cut(map_batches(texts, regions, "key long, digest long, n long, core int, hot boolean, bytes binary, windows array<long>"))
 
     def sorted_suffixes(batches: Iterator[dict]):
-        held: list[tuple[int, int, int, bytes]] = []
+        held: list[tuple[int, int, int, list[int]]] = []
+        cores: dict[bytes, int] = {}
 
         def done() -> dict:
-            found = repeated_starts([h[3] for h in held])
-            found = [_ranges(f) if n < 2 else [(0, len(r) - LENGTH)] for f, (_, _, n, r) in zip(found, held)]
+            found = repeated_starts([h[3] for h in held], BLOCK)  # a window is its core and BLOCK - 1 bytes
+            found = [_ranges(f) if n < 2 else [(0, len(r) - BLOCK)] for f, (_, _, n, r) in zip(found, held)]
             on = [i for i, f in enumerate(found) if f]
             out = {"key": [held[i][0] for i in on], "digest": [held[i][1] for i in on], "firsts": [[a for a, _ in found[i]] for i in on], "lasts": [[z for _, z in found[i]] for i in on]}
             held.clear()
+            cores.clear()
             return out
 
         total = 0
         for b in batches:
-            for row in zip(*(b[c].to_pylist() for c in ("key", "digest", "n", "bytes"))):
-                if total >= TEXT and held[-1][0] != row[0]:  # the runs of a key stay together
+            for key, digest, n, core, data in zip(*(b[c].to_pylist() for c in ("key", "digest", "n", "core", "bytes"))):
+                if total >= TEXT and held[-1][0] != key:  # the runs of a key stay together
                     yield done()
                     total = 0
-                held.append(row)
-                total += len(row[3])
+                symbol = cores.setdefault(data[core : core + CORE], 256 + len(cores))
+                held.append((key, digest, n, [*data[:core], symbol, *data[core + CORE :]]))
+                total += len(held[-1][3])
         if held:
             yield done()
 
-    sorted_runs = fetched.filter("not hot").select("key", "digest", "n", "bytes").repartition("key").sortWithinPartitions("key", "digest")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, as the work isn't in the bytes
+    sorted_runs = fetched.filter("not hot").select("key", "digest", "n", "core", "bytes").repartition(parts, "key").sortWithinPartitions("key", "digest")
     cold = map_batches(sorted_runs, sorted_suffixes, "key long, digest long, firsts array<int>, lasts array<int>")
     windows = fetched.filter("hot").select("key", "digest", "n", F.posexplode("windows").alias("o", "w"))
     often = windows.groupBy("key", "w").agg(F.sum("n").alias("m")).filter("m > 1").select("key", "w")
@@ -278,9 +282,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     taken = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.col(id_col).cast("long"), text).alias("_k"), text.cast("binary").alias("_bytes"))
     able = taken.select("_k", "_bytes").filter(F.octet_length("_bytes") >= LENGTH)
-    runs = _runs(able)
-    again = runs.groupBy("key").agg(F.sum("times").alias("n")).filter("n > 1").select("key")
-    runs = cut(runs.join(again, "key"))
+    stored = Stored(_runs(able))
+    again = cut(stored.table.groupBy("key").agg(F.sum("times").alias("n")).filter("n > 1").select("key"))
+    runs = cut(stored.table.join(again, "key"))
+    stored.drop()
     judged = _judged(able, runs)
     back = runs.join(judged, ["key", "digest"]).groupBy("doc").agg(F.collect_set(F.struct("start", "starts", "times", "firsts", "lasts")).alias("x"))
     marks = back.select(F.col("doc"), *(F.col(f"x.{c}").alias(c) for c in ("start", "starts", "times", "firsts", "lasts")))
