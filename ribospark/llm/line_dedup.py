@@ -5,16 +5,17 @@ white space, into sentences: its units, each with its offsets in the original te
 unit's digest is a 64-bit hash of its words (lower-cased runs of letters and digits). Digests
 are grouped globally; the occurrence of the least rank (doc_id, then the text's hash, then
 place) stays, and every other one is repeated. A maximal run of repeated units that stand
-next to each other in a text is removed if it has at least ``min_words`` words; with 1, as in the
-registered query, every repeated unit goes, however short. Offsets of what is removed are
+next to each other in a text is removed if it has at least ``min_words`` words; with 1, the
+default, every repeated unit goes, however short. Offsets of what is removed are
 kept.
 
 Digest groups are never gathered: the first occurrence is a partially aggregated minimum,
-and only digests that occur twice are joined back to their units, a hot digest being split
-by the adaptive skew join. What is gathered is a text's own list of units.
+written apart, and joined back to the units of digests that occur twice, where adaptive
+execution splits a hot digest. Texts are cut once: units are written with their offsets.
+What is gathered is a text's own list of units.
 
 Defined results: rows with equal doc_id and text are one document and get the same result;
-null ids rank last; null and empty texts and units without a word lose nothing; an empty
+null ids rank last (a kept document without an id shows as null in ``kept_docs``); null and empty texts and units without a word lose nothing; an empty
 table gives an empty table; other columns are not read.
 """
 
@@ -24,13 +25,13 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ribospark.llm.common import SHINGLE_WORD, map_batches
+from ribospark.llm.common import SHINGLE_WORD, Stored, hash_bytes, map_batches
+from ribospark.plans.runtime import cut
 
-_UNIT = re.compile(r"[^\n]*?(?:[.!?]+(?=\s)|(?=\n)|\Z)")
+_END = re.compile(r"(?<=[.!?])(?=\s)|\n")
 
 
 def units(text: str | None) -> list[tuple[int, int, int, int]]:
@@ -38,33 +39,29 @@ def units(text: str | None) -> list[tuple[int, int, int, int]]:
     out: list[tuple[int, int, int, int]] = []
     if not text:
         return out
-    at, n = 0, len(text)
-    while at < n:
-        found = _UNIT.match(text, at)
-        end = found.end()
-        words = SHINGLE_WORD.findall(text[at:end].lower())
+    at = 0
+    for end, after in [*(m.span() for m in _END.finditer(text)), (len(text), len(text))]:
+        unit = text[at:end]
+        words = SHINGLE_WORD.findall(unit.lower())
         if words:
-            digest = int.from_bytes(xxhash.xxh3_64_digest(" ".join(words).encode("utf-8", "surrogatepass")), "big", signed=True)
-            start = at + len(text[at:end]) - len(text[at:end].lstrip())
-            out.append((start, end, len(words), digest))
-        at = end + 1 if end < n and text[end] == "\n" else max(end, at + 1)
+            start = end - len(unit.lstrip())
+            out.append((start, end, len(words), hash_bytes(" ".join(words).encode("utf-8", "surrogatepass"))))
+        at = after
     return out
 
 
-def removed_runs(marked: list[bool], sizes: list[int], least: int) -> list[tuple[int, int]]:
-    """Runs [i, j) of marked units that have at least ``least`` words together."""
+def removed_runs(places: list[int], sizes: list[int], least: int) -> list[tuple[int, int]]:
+    """Runs [i, j) of marked units, given by place and words, that stand next to each other and have at least ``least`` words."""
     out, i = [], 0
-    while i < len(marked):
-        j = i
-        while j < len(marked) and marked[j]:
-            j += 1
-        if j > i and sum(sizes[i:j]) >= least:
-            out.append((i, j))
-        i = max(j, i + 1)
+    for j in range(1, len(places) + 1):
+        if j == len(places) or places[j] != places[j - 1] + 1:
+            if sum(sizes[i:j]) >= least:
+                out.append((i, j))
+            i = j
     return out
 
 
-def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 10) -> DataFrame:
+def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 1) -> DataFrame:
     """The documents that lose something: doc_id, n_units, n_removed, starts and ends of the removed runs, kept_docs (where their units stay), kept_text."""
     taken = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).withColumn("_h", F.xxhash64("_text"))
 
@@ -73,28 +70,37 @@ def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for at in range(0, len(b["_id"]), 500):
                 found = [units(t.as_py()) for t in b["_text"][at : at + 500]]
                 n = np.array([len(u) for u in found])
-                yield {"_id": b["_id"][at : at + 500].take(np.repeat(np.arange(len(n)), n)), "_h": b["_h"][at : at + 500].take(np.repeat(np.arange(len(n)), n)), "place": np.concatenate([np.arange(x) for x in n]) if len(n) else [], "digest": [u[3] for x in found for u in x]}
+                if n.sum():
+                    start, end, words, digest = zip(*(u for x in found for u in x))
+                    own = np.repeat(np.arange(len(n)), n)
+                    yield {"_id": b["_id"][at : at + 500].take(own), "_h": b["_h"][at : at + 500].take(own), "place": np.concatenate([np.arange(x) for x in n]), "units": n[own], "start": start, "end": end, "words": words, "digest": digest}
 
-    every = map_batches(taken, rows, "_id long, _h long, place int, digest long")
+    stored = Stored(map_batches(taken, rows, "_id long, _h long, place int, units int, start int, end int, words int, digest long"))
+    every = stored.table
     rank = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_h").alias("h"), F.col("place").alias("place"))
-    first = every.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1").select("digest", "first")
+    # written apart: the join is then between two plain shuffles, which adaptive execution can split
+    first = cut(every.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1").select("digest", "first"))
     repeated = every.join(first, "digest").filter(rank != F.col("first"))
-    marks = repeated.groupBy("_id", "_h").agg(F.collect_set(F.struct("place", F.col("first.id").alias("kept"))).alias("marks")).select(F.col("_id").alias("_i"), F.col("_h").alias("_g"), F.col("marks.place").alias("places"), F.col("marks.kept").alias("kept"))
-    joined = taken.join(marks, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g"))).select("_id", "_text", "places", "kept")
+    fields = ("place", "units", "start", "end", "words", "kept")
+    marks = repeated.groupBy("_id", "_h").agg(F.collect_set(F.struct("place", "units", "start", "end", "words", F.col("first.id").alias("kept"))).alias("marks"))
+    marks = cut(marks.select(F.col("_id").alias("_i"), F.col("_h").alias("_g"), *(F.col(f"marks.{c}").alias(c) for c in fields)))
+    stored.drop()
+    joined = taken.join(marks, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g"))).select("_id", "_text", *fields)
 
     def cut_out(batches: Iterator[dict]):
         for b in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "n_units", "n_removed", "starts", "ends", "kept_docs", "kept_text")}
             for i in range(len(b["_id"])):
-                text, kept = b["_text"][i].as_py(), dict(zip(b["places"][i].as_py(), b["kept"][i].as_py()))
-                found = units(text)
-                runs = removed_runs([k in kept for k in range(len(found))], [u[2] for u in found], min_words)
+                text = b["_text"][i].as_py()
+                marked = sorted(zip(*(b[c][i].as_py() for c in ("place", "start", "end", "words", "kept"))), key=lambda m: m[0])
+                runs = removed_runs([m[0] for m in marked], [m[3] for m in marked], min_words)
                 if not runs:
                     continue
-                starts, ends = [found[i][0] for i, _ in runs], [found[j - 1][1] for _, j in runs]
+                starts, ends = [marked[i][1] for i, _ in runs], [marked[j - 1][2] for _, j in runs]
                 pieces = [text[a:z] for a, z in zip([0, *ends], [*starts, len(text)])]
-                docs_kept = {kept[k] for i, j in runs for k in range(i, j)} - {None}
-                row = (b["_id"][i].as_py(), len(found), sum(j - i for i, j in runs), starts, ends, sorted(docs_kept), "".join(pieces))
+                docs_kept = {marked[k][4] for i, j in runs for k in range(i, j)}
+                docs_kept = sorted(docs_kept - {None}) + [None] * (None in docs_kept)
+                row = (b["_id"][i].as_py(), b["units"][i][0].as_py(), sum(j - i for i, j in runs), starts, ends, docs_kept, "".join(pieces))
                 for name, value in zip(out, row):
                     out[name].append(value)
             yield out
