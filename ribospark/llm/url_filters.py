@@ -1,10 +1,11 @@
 """URL filters: pattern rules behind an index of their rarest literal tokens.
 
 Every rule is a regular expression over ``host + path`` together with the literal
-tokens (runs of a-z and 0-9) that any matching URL must hold. A rule is filed under
-the one of its tokens that occurs least often in the URLs at hand; the tokens of a URL
-fetch its candidate rules, and only those candidates run their regular expression. A
-rule without a literal token is filed under no token and runs on every URL.
+tokens (runs of a-z and 0-9) that any matching URL must hold; a pattern rule's tokens are
+derived from the parsed expression (``literal_tokens``), so that none can be wrong. A rule
+is filed under the one of its tokens that occurs least often in the URLs at hand; the tokens
+of a URL fetch its candidate rules, and only those candidates run their regular expression.
+A rule without a literal token is filed under no token and runs on every URL.
 
 Host rules such as ``example.net/en/`` decide first: the longest one that fits wins.
 Where none fits, pattern rules decide: an allowing pattern beats a blocking one, and a
@@ -57,8 +58,48 @@ def host_rule(rule: str, action: str) -> Rule:
     return Rule(rule, action, pattern, tuple(dict.fromkeys(inner)), True, (len(rule), rule))
 
 
-def pattern_rule(name: str, action: str, pattern: str, tokens: tuple[str, ...]) -> Rule:
-    return Rule(name, action, pattern, tokens, False, (action == "allow", name))
+def _shape(parsed) -> list[str | None]:
+    """What an expression matches one after another: a character, "" for an edge (no letter or digit), None for anything else."""
+    out: list[str | None] = []
+    for op, value in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            c = chr(value).lower()
+            out.append(c if TOKEN.fullmatch(c) else "" if chr(value).isascii() else None)
+        elif name == "AT":
+            out.append("" if str(value) in ("AT_BEGINNING", "AT_BEGINNING_STRING", "AT_END", "AT_END_STRING") else None)
+        elif name == "IN" and all(str(k) == "LITERAL" and chr(v).isascii() and not chr(v).isalnum() for k, v in value):
+            out.append("")
+        elif name == "SUBPATTERN" and not value[1] and not value[2]:
+            out += _shape(value[3])
+        elif name == "BRANCH" and all(_shape(x) and set(_shape(x)) == {""} for x in value[1]):
+            out.append("")
+        elif name == "MAX_REPEAT" and value[0] > 0 and set(_shape(value[2])) == {""}:
+            out.append("")
+        elif name == "MAX_REPEAT" and out[-1:] == [""] and _shape(value[2])[-1:] == [""]:
+            out.append("")  # left out or not, an edge comes last
+        else:
+            out.append(None)
+    return out
+
+
+def literal_tokens(pattern: str) -> tuple[str, ...]:
+    """The tokens that every URL matched by ``pattern`` holds whole: literal runs with an edge on both sides."""
+    from re import _parser
+
+    found, run, open_ = [], "", False
+    for c in [*_shape(_parser.parse(pattern)), None]:
+        if c:
+            run += c
+            continue
+        if run and open_ and c == "":
+            found.append(run)
+        run, open_ = "", c == ""
+    return tuple(dict.fromkeys(found))
+
+
+def pattern_rule(name: str, action: str, pattern: str) -> Rule:
+    return Rule(name, action, pattern, literal_tokens(pattern), False, (action == "allow", name))
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -72,7 +113,7 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 def url_tokens(host: str, path: str) -> set[str]:
     """The tokens that fetch candidates: of the host and of the path, letter case ignored."""
-    return set(TOKEN.findall(f"{host}{path}".lower()))
+    return set(TOKEN.findall(f"{host}{path}".casefold()))
 
 
 class RuleIndex:
@@ -141,14 +182,14 @@ def filter_urls(df: DataFrame, rules: list[Rule], id_col: str = "page_id", url_c
 
 #: The host rules of the pages query.
 HOST_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
-#: Pattern rules (name, action, regular expression over host + path, literal tokens of every match).
+#: Example pattern rules (name, action, regular expression over host + path), invented for the pages query.
 PATTERN_RULES = [
-    ("spam farm", "block", r"(?:^|[.\-])spam-farm(?:[.\-]|$)", ("spam", "farm")),
-    ("cheap pills", "block", r"(?:^|[.\-])cheap-pills(?:[.\-]|$)", ("cheap", "pills")),
-    ("casino host", "block", r"^(?:[^/]*[.\-])?casino[.\-]", ("casino",)),
-    ("adult host", "block", r"^(?:[^/]*[.\-])?(?:xxx)[.\-]", ("xxx",)),
-    ("archive file", "block", r"/[^/]*\.(?:exe)$", ("exe",)),
-    ("robots file", "allow", r"/robots\.txt$", ("robots", "txt")),
+    ("spam farm", "block", r"(?:^|[.\-])spam-farm(?:[.\-]|$)"),
+    ("cheap pills", "block", r"(?:^|[.\-])cheap-pills(?:[.\-]|$)"),
+    ("casino host", "block", r"^(?:[^/]*[.\-])?casino[.\-]"),
+    ("adult host", "block", r"^(?:[^/]*[.\-])?(?:xxx)[.\-]"),
+    ("archive file", "block", r"/[^/]*\.(?:exe)$"),
+    ("robots file", "allow", r"/robots\.txt$"),
 ]
 
 
