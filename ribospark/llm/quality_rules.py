@@ -15,8 +15,8 @@ a threshold that their number gives; labels are learned from, never used when ju
 trees are fitted and the base rule alone decides.
 
 Defined results: a null text has no words (and fails); repeated rows give repeated
-results; a doc_id with several labels is taken as often as it is labelled; an empty table
-gives an empty table; other columns are not read.
+results; of a doc_id with several labels their mean counts (over a half is good), of several
+texts with one id the least is learned from; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ribospark.llm.common import WORD, map_batches
+from ribospark.llm.common import WORD, hash_limit, map_batches
 
 _SYMBOLS = list(b"#*$%&|<>")
 _SPACES = list(b"\x20\x09\x0a\x0b\x0c\x0d")
@@ -171,15 +171,16 @@ def _stats_columns(stats: list[Stats]) -> dict:
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = 8_000) -> BoostedTrees | None:
     """Trees fitted on a hash sample of about ``max_labelled`` labelled documents."""
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y")).filter("_id is not null and _y is not null")
-    share = min(1.0, max_labelled / max(1, known.count()))
-    picked = known.filter(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < round(share * 1_000_000))
-    sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_id")
+    known = known.groupBy("_id").agg(F.avg("_y").alias("_y"))
+    picked = known.filter(F.xxhash64("_id") <= hash_limit(max_labelled / max(1, known.count())))
+    sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(picked), "_id")
+    sample = sample.groupBy("_id").agg(F.min(F.struct("_text", "_y")).alias("m")).select("m._text", "m._y")  # one text of each id
 
     def rows(batches: Iterator[dict]):
         for b in batches:
             yield {"y": b["_y"], "x": [list(document_stats(t).features) for t in b["_text"].to_pylist()]}
 
-    found = map_batches(sample.select("_text", "_y"), rows, "y double, x array<double>").collect()
+    found = map_batches(sample, rows, "y double, x array<double>").collect()
     y = np.array([float(r["y"] > 0.5) for r in found])
     if len(y) == 0 or y.min() == y.max():
         return None
