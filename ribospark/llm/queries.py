@@ -40,7 +40,7 @@ def tokenizer_path() -> str:
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.find_contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontamination.find_contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("_h")
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lost = line_dedup.dedup_units(_table(spark, sf_dir, "documents"), min_words=1)
+    lost = line_dedup.dedup_units(_table(spark, sf_dir, "documents"))
     return lost.select("doc_id", "n_units", "n_removed", "starts", "ends", "kept_docs", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
@@ -99,9 +99,88 @@ def _op5_sql() -> str:
         FROM matched"""
 
 
+# Columns of the operators' results that SQL can express, as queries of their own.
+
+
+def base_lm_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op2 counts: everything but the model's score."""
+    return op2_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def base_quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op4 counts: everything but the trees' verdict."""
+    return op4_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def base_mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op7 aims at, and whether a source's taken words come within its largest document of it."""
+    mixed = mix_documents(_table(spark, sf_dir, "documents")).withColumn("source", F.col("members")[0])
+    near = mixed.groupBy("source").agg((F.abs(F.sum("taken") - F.first("target")) <= F.max("size")).alias("near"))
+    joined = mixed.alias("m").join(near.alias("n"), F.col("m.source").eqNullSafe(F.col("n.source")))
+    return joined.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "near", (F.col("taken") <= 3 * F.col("size")).alias("within"))
+
+
+def base_language_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op10 the fold, and which documents get no language."""
+    return op10_language_id(spark, sf_dir).select("doc_id", "held_out", (F.col("lang_pred") == "und").alias("unknown"), F.col("score").between(0, 1).alias("in_range"))
+
+
+_CRC = """
+    xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295)"""
+_WORDS = "regexp_extract_all(coalesce({text}, ''), '[^\\x20\\x09-\\x0D]+')"
+
+
+def _base_lm_sql() -> str:
+    words = _WORDS.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+    return f"""
+        WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_CRC.format(text="CAST(doc_id AS VARCHAR)")} % 7 = 2 AS held_out, list_append({words}, '') AS w FROM documents),
+        tokens AS (SELECT r, held_out, unnest(w) AS t FROM docs),
+        counts AS (SELECT t, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY t),
+        sums AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM counts),
+        scored AS (SELECT r, count(*) AS n_tokens, count(c) AS n_known, sum(log10((coalesce(c, 0) + 1) / (n + v + 1))) AS base_score
+                   FROM tokens LEFT JOIN counts USING (t), sums GROUP BY r)
+        SELECT doc_id, held_out, n_tokens, n_known, n AS train_tokens, round(base_score, 4) AS base_score FROM scored JOIN docs USING (r), sums"""
+
+
+def _base_quality_sql() -> str:
+    return f"""
+        WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {_WORDS.format(text="text")} AS w,
+                             list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents),
+        places AS (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM docs),
+        windows AS (SELECT r, i, list_slice(w, i, i + 2) AS x FROM places),
+        often AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, x) > 1),
+        covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM often) GROUP BY r),
+        counted AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+                           CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+                           CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+                    FROM docs LEFT JOIN covered USING (r))
+        SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted"""
+
+
+def _base_mixing_sql() -> str:
+    return f"""
+        WITH docs AS (SELECT doc_id, source, CAST(len({_WORDS.format(text="text")}) AS BIGINT) AS size FROM documents),
+        sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM docs GROUP BY source),
+        ranked AS (SELECT *, sum(source_size) OVER () AS total, row_number() OVER (ORDER BY 3 * source_size / weight, weight, source) AS k FROM sources),
+        before AS (SELECT *, total - coalesce(sum(3 * source_size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spare,
+                          sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM ranked),
+        free AS (SELECT min(k) AS k FROM before WHERE 3 * source_size >= weight * spare / weights),
+        unit AS (SELECT spare / weights AS u FROM before JOIN free USING (k)),
+        targets AS (SELECT source, source_size, CASE WHEN k < (SELECT k FROM free) THEN 3.0 * source_size ELSE weight * (SELECT u FROM unit) END AS target FROM before)
+        SELECT doc_id, size, source_size, round(CAST(target AS DOUBLE), 3) AS target, true AS near, true AS within
+        FROM docs JOIN targets ON docs.source IS NOT DISTINCT FROM targets.source"""
+
+
+def _base_language_sql() -> str:
+    return f"""
+        SELECT doc_id, {_CRC.format(text="CAST(doc_id AS VARCHAR)")} % 3 = 1 AS held_out,
+               NOT regexp_matches(coalesce(text, ''), '\\p{{L}}') AS unknown, true AS in_range FROM documents"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op2_lm_scoring": op2_lm_scoring, "op3_token_output": op3_token_output, "op4_quality_rules": op4_quality_rules, "op5_url_filters": op5_url_filters, "op6_line_dedup": op6_line_dedup, "op7_mixing": op7_mixing, "op8_near_dedup": op8_near_dedup, "op9_suffix_dedup": op9_suffix_dedup, "op10_language_id": op10_language_id}
+    return {"op1_decontamination": op1_decontamination, "op2_lm_scoring": op2_lm_scoring, "op3_token_output": op3_token_output, "op4_quality_rules": op4_quality_rules, "op5_url_filters": op5_url_filters, "op6_line_dedup": op6_line_dedup, "op7_mixing": op7_mixing, "op8_near_dedup": op8_near_dedup, "op9_suffix_dedup": op9_suffix_dedup, "op10_language_id": op10_language_id, "base_lm_counts": base_lm_counts, "base_quality_counts": base_quality_counts, "base_mixing_targets": base_mixing_targets, "base_language_folds": base_language_folds}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filters": _op5_sql()}
+    return {"op5_url_filters": _op5_sql(), "base_lm_counts": _base_lm_sql(), "base_quality_counts": _base_quality_sql(), "base_mixing_targets": _base_mixing_sql(), "base_language_folds": _base_language_sql()}

@@ -1,6 +1,7 @@
 """The operators' inner parts against plain versions, without Spark."""
 
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -261,7 +262,14 @@ def test_units_keep_their_offsets():
     text = "One two.  Three four!\n\nFive"
     assert [text[a:b] for a, b, _, _ in line_dedup.units(text)] == ["One two.", "Three four!", "Five"]
     assert line_dedup.units(None) == line_dedup.units(" \n.\n") == []
-    assert line_dedup.removed_runs([True, True, False, True], [3, 4, 9, 5], 6) == [(0, 2)]
+    assert line_dedup.removed_runs([0, 1, 3], [3, 4, 5], 6) == [(0, 2)] and line_dedup.removed_runs([0, 1, 3], [3, 4, 5], 1) == [(0, 2), (2, 3)]
+    assert line_dedup.removed_runs([], [], 1) == []
+
+
+def test_units_of_long_runs_of_marks():
+    start = time.process_time()
+    assert [x[:2] for x in line_dedup.units("!" * 200_000 + "a" + "?" * 200_000 + " b...\n\nc")] == [(0, 400_001), (400_002, 400_006), (400_008, 400_009)]
+    assert time.process_time() - start < 1
 
 
 def test_containment_finds_short_items_in_long_texts():
@@ -271,13 +279,52 @@ def test_containment_finds_short_items_in_long_texts():
     index = decontamination.ContainmentIndex([(7, " ".join(item)), (8, "too short for it"), (9, " ".join(item[:6]))])
     noise = [rng.choice(words) for _ in range(20_000)]
     assert index.search(noise, WordHashes()) == []
-    assert [index.ids[c] for c, _, _ in index.search(noise[:9000] + item + noise[9000:], WordHashes())] == [7, 9]
-    assert [index.ids[c] for c, _, _ in index.search(item[:36], WordHashes())] == [7, 9]  # 32 of 36 shingles
-    assert [index.ids[c] for c, _, _ in index.search(item[:30], WordHashes())] == [9]
+    found = lambda w: [index.ids[c] for c, _, _ in index.search(w, WordHashes())]
+    assert found(noise[:9000] + item + noise[9000:]) == [7, 9]
+    assert found(item[:36]) == [7, 9]  # 32 of 36 shingles
+    assert found(item[:30]) == [9]
+    assert found(["is", *"too short for it".split(), "x"]) == [8] and found("too short for".split()) == []  # exact below five words
+
+
+@pytest.mark.parametrize("size", [12, 25, 70, 300, 3000])
+def test_every_size_class_is_found(size):
+    rng = random.Random(size)
+    items = [(n, " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(size + 4))) for n in range(10)]
+    index = decontamination.ContainmentIndex(items)
+    for n, text in items:
+        words = text.split()
+        assert [c for c, _, _ in index.search(["x"] * 500 + words[: int(size * 0.85) + 5], WordHashes())] == [n]
 
 
 def test_short_runs_cover_every_window():
     rng = random.Random(1)
     data = bytes(rng.choice(b"ab") for _ in range(700)) + b"x" * 900 + bytes(rng.choice(b"abc") for _ in range(500))
-    starts = [s + k * n + i for s, n, times, _, _ in suffix_dedup.short_runs(data) for k in range(times) for i in range(n)]
+    starts = [s + k * n + i for s, n, times, *_ in suffix_dedup.short_runs(data) for k in range(times) for i in range(n)]
     assert sorted(starts) == list(range(len(data) - suffix_dedup.LENGTH + 1))
+    for s, n, _, _, _, core in suffix_dedup.short_runs(data):
+        assert n - 1 <= core < suffix_dedup.BLOCK and s + core + suffix_dedup.CORE <= s + suffix_dedup.LENGTH  # inside the first and the last window
+
+
+def test_tokens_come_from_the_expression():
+    assert url_filters.literal_tokens(r"(?:^|[.\-])spam-farm(?:[.\-]|$)") == ("spam", "farm")
+    assert url_filters.literal_tokens(r"^(?:[^/]*[.\-])?casino[.\-]") == ("casino",)
+    for none in ("abc", "/abc", "/a?bc/", "/(?:ab|cd)/", "/ab{2}/", "/(?:ab)?/", r"\bab\b", "/ab|/cd/", "[^/]ab/"):
+        assert url_filters.literal_tokens(none) == (), none
+    assert url_filters.literal_tokens("(?i)/AbC/x1$") == ("abc", "x1")
+
+
+def test_thousands_of_rules_match_like_running_each():
+    """The index against every expression on every URL, ties and allowing rules included."""
+    rng = random.Random(12)
+    names = ["".join(rng.choice("abcdks") for _ in range(rng.randint(1, 3))) for _ in range(300)]
+    forms = ["/{0}/", "^{0}[.]", "(?:^|[.-]){0}-{1}(?:[.-]|$)", "/{0}\\.{1}$", "{0}", "/[^/]*{0}/", "(?i)/{0}/{1}/", "^(?:[^/]*[.])?{0}[./]", "/(?:{0}|{1})/"]
+    rules = [url_filters.pattern_rule(f"r{i}", rng.choice(["allow", "block"]), rng.choice(forms).format(rng.choice(names), rng.choice(names))) for i in range(3000)]
+    rules += [url_filters.host_rule(f"{a}.{b}/{c}", "block") for a, b, c in (rng.sample(names, 3) for _ in range(200))]
+    index = url_filters.RuleIndex(rules, {n: rng.randint(0, 50) for n in names})
+    import re
+
+    part = lambda: rng.choice(names) if rng.random() < 0.9 else rng.choice(["ſ", "K", "É", "AB", "x" * 3000])
+    for _ in range(150):
+        host, path = f"{part()}.{part()}".lower(), "".join(rng.choice("/.-_") + part() for _ in range(rng.randint(0, 4)))
+        want = sorted(r.name for r in rules if (re.match if r.host_rule else re.search)(r.pattern, host + path))
+        assert sorted(r.name for r in index.matches(host, path)) == want

@@ -33,7 +33,7 @@ def empty(spark):
 
 @pytest.fixture(scope="module")
 def items(spark):
-    return spark.createDataFrame([(1, " ".join(PASSAGE.split()[10:60])), (2, "short item"), (None, LONG[:400]), (3, None)], "item_id long, text string")
+    return spark.createDataFrame([(1, " ".join(PASSAGE.split()[10:60])), (2, "short item"), (None, LONG[:400]), (3, None), (4, "Text, der")], "item_id long, text string")
 
 
 def _texts(docs):
@@ -43,25 +43,29 @@ def _texts(docs):
 def test_decontamination(docs, empty, items):
     got = {(r["doc_id"], r["item_id"]) for r in decontamination.find_contained(docs, items).collect()}
 
-    def shingles(t):
+    def shingles(t, size=5):
         w = decontamination.shingle_words(t)
-        return set(zip(*(w[k:] for k in range(5))))
+        return set(zip(*(w[k:] for k in range(size))))
 
     want = set()
     for d, t in _texts(docs):
         for i, q in [(r["item_id"], r["text"]) for r in items.collect()]:
-            if shingles(q) and len(shingles(q) & shingles(t)) >= 0.8 * len(shingles(q)):
+            size = min(5, len(decontamination.shingle_words(q))) or 5
+            if shingles(q, size) and len(shingles(q, size) & shingles(t, size)) >= 0.8 * len(shingles(q, size)):
                 want.add((d, i))
-    assert got == want and got
+    assert got == want and len({i for _, i in got}) == 3
     assert decontamination.find_contained(empty, items).count() == 0
     assert decontamination.find_contained(docs, items.limit(0)).count() == 0
     kept = decontamination.drop_contaminated(docs, items)
-    assert kept.columns == docs.columns and kept.count() == docs.count() - sum(1 for d, _ in _texts(docs) if d in {x for x, _ in got})
+    assert kept.columns == docs.columns and kept.count() == docs.count() - sum(1 for d, _ in _texts(docs) if d in {x for x, i in got if i != 4})
+    assert decontamination.drop_contaminated(docs, items, least_words=1).count() == kept.count() - 1
 
 
 def test_blocks_of_a_large_benchmark(docs, items, monkeypatch):
     whole = sorted(map(str, decontamination.find_contained(docs, items).collect()))
-    monkeypatch.setattr(decontamination, "BLOCK_SHINGLES", 20)
+    kept = sorted(map(str, decontamination.drop_contaminated(docs, items).collect()))
+    monkeypatch.setattr(decontamination, "BLOCK_SHINGLES", 60)
+    assert sorted(map(str, decontamination.drop_contaminated(docs, items).collect())) == kept
     assert sorted(map(str, decontamination.find_contained(docs, items).collect())) == whole
 
 
@@ -137,13 +141,35 @@ def test_suffix_dedup(docs, empty, monkeypatch):
 
 
 def test_line_dedup(docs, empty):
-    got = {r["doc_id"]: r for r in line_dedup.dedup_units(docs).collect()}
+    got = {r["doc_id"]: r for r in line_dedup.dedup_units(docs, min_words=10).collect()}
     assert set(got) == {6, 7, 14}  # the copies behind the first; a row like another is the same document
     assert got[6]["kept_text"] == "" and got[6]["kept_docs"] == [5]
     assert got[7]["kept_text"].split() == ["Before", "it.", ".", "After", "it."] or got[7]["kept_text"].split() == ["Before", "it.", "After", "it."]
     assert line_dedup.dedup_units(empty).count() == 0
 
 
+def test_line_dedup_against_a_plain_pass(spark, docs):
+    """Every repeated unit goes, in the order of ids (none last), over odd rows and driver documents."""
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id + 100 as doc_id", "text")
+    df = docs.select("doc_id", "text").unionByName(real)
+    rows = sorted({(d is None, d or 0, t) for d, t in _texts(df) if t}, key=lambda r: r[:2])
+    assert len({r[:2] for r in rows}) == len(rows)
+    seen, want = {}, {}
+    for none, d, text in rows:
+        lost, kept = [], set()
+        for k, (a, z, _, digest) in enumerate(line_dedup.units(text)):
+            if digest in seen:
+                lost.append((k, a, z))
+                kept.add(seen[digest])
+            seen.setdefault(digest, None if none else d)
+        if lost:
+            starts = [a for i, (k, a, _) in enumerate(lost) if not i or lost[i - 1][0] != k - 1]
+            ends = [z for i, (k, _, z) in enumerate(lost) if i + 1 == len(lost) or lost[i + 1][0] != k + 1]
+            want[None if none else d] = (len(line_dedup.units(text)), len(lost), starts, ends, sorted(kept))
+    got = {r["doc_id"]: (r["n_units"], r["n_removed"], r["starts"], r["ends"], r["kept_docs"]) for r in line_dedup.dedup_units(df).collect()}
+    assert got == want and len(got) > 20
+
+
 def test_line_dedup_query_removes_short_units(spark, tmp_path):
     """The registered query against a plain pass: every occurrence of a unit but the first goes, however short."""
     texts = ["Read more\nUp here it rains. Ok.", "Sign up!\nA line of its own\nRead more\nRead  MORE\nAnother one", "Ok. But why? Ok.\nsign up", "Nothing twice."]
