@@ -13,46 +13,37 @@ from ribospark.functions.constants import ALPHABET, AMBIGUOUS_BASES, CODON_ORDER
 _IUPAC = "".join(AMBIGUOUS_BASES)
 
 
-def _ambiguous_codes(table: int) -> str:
-    """Amino acids of all IUPAC codons in the order of ``_IUPAC``, from the bases that they stand for."""
+def _amino_acids(table: int) -> str:
+    """Amino acids by codon number: three hexadecimal digits, each the place of a base in ``_IUPAC``; X for other letters.
+
+    An ambiguous codon stands for the amino acids of all codons that its bases stand for.
+    """
     code = CODON_TABLES[table]
+    pairs = {frozenset("DN"): "B", frozenset("EQ"): "Z", frozenset("IL"): "J"}
     out = []
-    for codon in product(_IUPAC, repeat=3):
-        found = {code[16 * CODON_ORDER.index(a) + 4 * CODON_ORDER.index(b) + CODON_ORDER.index(c)] for a, b, c in product(*(AMBIGUOUS_BASES[x] for x in codon))}
-        pairs = {frozenset("DN"): "B", frozenset("EQ"): "Z", frozenset("IL"): "J"}
+    for codon in product(range(16), repeat=3):
+        if max(codon) >= len(_IUPAC):
+            out.append("X")
+            continue
+        found = {code[16 * CODON_ORDER.index(a) + 4 * CODON_ORDER.index(b) + CODON_ORDER.index(c)] for a, b, c in product(*(AMBIGUOUS_BASES[_IUPAC[x]] for x in codon))}
         out.append(found.pop() if len(found) == 1 else pairs.get(frozenset(found), "X"))
     return "".join(out)
 
 
-def _codons(digits: Column, base: int, amino: Column) -> Column:
-    """Amino acids of a text of base-``base`` digits (as letters from 'A'); other letters give X.
-
-    The text is cut into codons by one pass of a regular expression, so the cost is linear.
-    """
-
-    def amino_acid(codon: Column) -> Column:
-        a, b, c = (F.ascii(F.substring(codon, k, 1)) - 65 for k in (1, 2, 3))
-        known = (a >= 0) & (a < base) & (b >= 0) & (b < base) & (c >= 0) & (c < base)
-        return F.when(known, F.substring(amino, a * (base * base) + b * base + c + 1, F.lit(1))).otherwise(F.lit("X"))
-
-    return F.array_join(F.transform(F.regexp_extract_all(digits, F.lit("(?s).{3}"), F.lit(0)), amino_acid), "")
-
-
 def translate(seq: Column, table: int = 1, to_stop: bool = False, mitochondrial: Column | None = None) -> Column:
     """Frame-0 translation: a partial last codon is ignored, a stop is ``*``, ambiguous codons give B, J, Z or X.
 
-    Rows where ``mitochondrial`` holds use table 2.
+    Bases become hexadecimal digits, one pass of a regular expression cuts them into codons,
+    and a codon's number is its place in a table. Rows where ``mitochondrial`` holds use table 2.
     """
     upper = F.upper(seq)
-    letters = "".join(chr(65 + i) for i in range(15))
-
-    def code(build) -> Column:
-        own = F.lit(build(table))
-        return own if mitochondrial is None else F.when(mitochondrial, F.lit(build(2))).otherwise(own)
-
-    plain = _codons(F.translate(upper, "TCAGU", "ABCDA"), 4, code(CODON_TABLES.__getitem__))
-    mixed = _codons(F.translate(F.regexp_replace(upper, "[^TCAGURYSWKMBDHVN]", "Z"), _IUPAC + "UZ", letters + "Az"), 15, code(_ambiguous_codes))
-    out = F.when(upper.rlike("^[TCAGU]*$"), plain).otherwise(mixed)
+    known = F.when(upper.rlike(f"^[{_IUPAC}U]*$"), upper).otherwise(F.regexp_replace(upper, f"[^{_IUPAC}U]", "Z"))
+    digits = F.translate(known, _IUPAC + "UZ", "0123456789abcdef"[: len(_IUPAC)] + "0f")
+    amino = F.split(F.lit(_amino_acids(table)), "")
+    if mitochondrial is not None:
+        amino = F.when(mitochondrial, F.split(F.lit(_amino_acids(2)), "")).otherwise(amino)
+    codons = F.regexp_extract_all(digits, F.lit("(?s).{3}"), F.lit(0))
+    out = F.array_join(F.transform(codons, lambda c: F.get(amino, F.conv(c, 16, 10).cast("int"))), "")
     return F.substring_index(out, "*", 1) if to_stop else out
 
 

@@ -52,12 +52,14 @@ def unique_variant_peptides(mutants: DataFrame, canonical: DataFrame, prefix: st
     mutation's place in the peptide; ``*`` becomes ``-``. Headers with under two fields
     have no mutation place.
     """
-    pieces = mutants.filter(F.length("seq") >= min_length).select("description", "seq", F.explode(trypsin_pieces(F.col("seq"), missed, min_length, max_length)).alias("peptide"))
-    fresh = pieces.withColumn("_key", isobaric(F.col("peptide"))).join(peptidome(canonical, missed, min_length, max_length).withColumnRenamed("key", "_key"), "_key", "left_anti")
     fields = F.split("description", ":")
     n = F.size(fields)
-    place = F.regexp_extract(F.try_element_at(fields, n - 1), r"(\d+)", 1).try_cast("int") - F.instr(F.col("seq"), F.col("peptide")) + 1
     missense = (n >= 2) & F.contains(F.element_at(fields, -1), F.lit("Missense"))
+    # a peptide's first place is found beside its protein, so that no sequence travels with its peptides
+    placed = F.transform(trypsin_pieces(F.col("seq"), missed, min_length, max_length), lambda p: F.struct(p.alias("peptide"), F.when(missense, F.instr(F.col("seq"), p)).alias("at")))
+    pieces = mutants.filter(F.length("seq") >= min_length).select("description", F.inline(placed))
+    fresh = pieces.withColumn("_key", isobaric(F.col("peptide"))).join(peptidome(canonical, missed, min_length, max_length).withColumnRenamed("key", "_key"), "_key", "left_anti")
+    place = F.regexp_extract(F.try_element_at(fields, n - 1), r"(\d+)", 1).try_cast("int") - F.col("at") + 1
     renamed = F.concat(F.lit(prefix), F.when(n > 1, F.substring(F.col("description"), F.instr("description", ":"), F.lit(2**31 - 1))).otherwise(F.lit("")))
     header = F.when(missense, F.concat(renamed, F.lit(":"), place.cast("string"))).otherwise(renamed)  # null where Missense has no number
     return fresh.withColumn("header", F.replace(header, F.lit("*"), F.lit("-"))).filter("header is not null").groupBy("peptide").agg(F.array_join(F.array_sort(F.collect_set("header")), ";").alias("header"))

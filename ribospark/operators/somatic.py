@@ -50,6 +50,6 @@ def mutation_table_proteins(maf: DataFrame, transcripts: DataFrame, samples: Dat
     elif "group" not in kept.columns:
         kept = kept.withColumn("group", F.lit(None).cast("string"))
     seqs = transcripts.groupBy(unversioned(F.col("id")).alias("_tx")).agg(F.min_by("seq", "ord").alias("_seq"))
-    protein = translate(maf_dna(F.col("_seq"), F.col("hgvsc"), F.col("vartype")))
-    made = kept.join(seqs, F.col("transcript_id") == F.col("_tx")).withColumn("seq", protein).filter(F.length("seq") > min_length)
+    made = kept.join(seqs, F.col("transcript_id") == F.col("_tx")).withColumn("_dna", maf_dna(F.col("_seq"), F.col("hgvsc"), F.col("vartype")))
+    made = made.filter(F.length("_dna") >= 3 * (min_length + 1)).withColumn("seq", translate(F.col("_dna")))  # a protein has a residue for every three bases
     return made.select("ord", F.concat_ws(":", F.lit("cbiomut"), "transcript_id", "gene", "hgvsp", "varclass").alias("header"), "seq", "group")
