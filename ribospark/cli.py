@@ -5,16 +5,32 @@ from __future__ import annotations
 import argparse
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ribospark.config import load_config, resolve
+from ribospark.config import load_config, resolve, section
 from ribospark.functions.constants import ENZYMES
 from ribospark.functions.variants import clinical_header, format_fields, option_list
 from ribospark.operators import genome, intervals, peptides, proteins, somatic, spectra, translation, variant_proteins
 from ribospark.sources import fetch_plan, flatfiles, mzml, sinks, tables
 
 
+class Counters:
+    """Row counts taken while the rows pass: no job of their own."""
+
+    def __init__(self):
+        self.seen: dict[str, Observation] = {}
+
+    def of(self, df: DataFrame, name: str) -> DataFrame:
+        self.seen[name] = Observation(name)
+        return df.observe(self.seen[name], F.count(F.lit(1)).alias("n"))
+
+    def report(self) -> dict[str, int]:
+        counts = {name: o.get["n"] for name, o in self.seen.items()}
+        print("\n".join(f"{name}: {n}" for name, n in counts.items()), file=sys.stderr)
+        return counts
+
+
 def _transcripts(spark: SparkSession, path: str) -> DataFrame:
     records = flatfiles.read_fasta(spark, path)
     kv = translation.header_values(F.col("description"))
@@ -29,7 +45,10 @@ def _models(gtf: DataFrame, transcripts: DataFrame) -> DataFrame:
     return intervals.transcript_models(kind.filter("(_coding and type <> 'exon') or (not _coding and type = 'exon')"))
 
 
-def vcf_to_proteindb(spark: SparkSession, a: argparse.Namespace) -> None:
+def vcf_to_proteindb(spark: SparkSession, a: argparse.Namespace) -> dict[str, int]:
+    from ribospark.functions.variants import passes_choice
+
+    seen = Counters()
     header, records = flatfiles.read_vcf(spark, a.vcf)
     gtf = flatfiles.read_gtf(spark, a.gene_annotations_gtf)
     transcripts = _transcripts(spark, a.input_fasta)
@@ -38,35 +57,36 @@ def vcf_to_proteindb(spark: SparkSession, a: argparse.Namespace) -> None:
         fields = format_fields(header, key)
     else:
         records, key, fields = flatfiles.annotate_overlaps(records, gtf), "transcriptOverlaps", [a.transcript_str.upper()]
-    rows = variant_proteins.filter_variants(records, option_list(a.accepted_filters), a.ignore_filters, a.af_field, a.af_threshold)
-    rows = variant_proteins.explode_annotations(rows, key, fields, a.transcript_str, a.consequence_str, a.biotype_str)
-    from ribospark.functions.variants import passes_choice
-
+        sinks.write_vcf(records, f"{a.output}_annotated.vcf", [*header, "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO"])
+    rows = variant_proteins.filter_variants(seen.of(records, "variants read"), option_list(a.accepted_filters), a.ignore_filters, a.af_field, a.af_threshold)
+    rows = variant_proteins.explode_annotations(seen.of(rows, "alleles kept by the filters"), key, fields, a.transcript_str, a.consequence_str, a.biotype_str)
     for name, include, exclude in (("consequence", a.include_consequences, a.exclude_consequences), ("biotype", a.include_biotypes, a.exclude_biotypes)):
         if name in rows.columns:
             rows = rows.filter(passes_choice(F.col(name), option_list(include), option_list(exclude)))
-    found = intervals.resolve_versions(rows, transcripts, "transcript_id", "id", "ord").withColumn("transcript_id", F.col("resolved_id")).filter("transcript_id is not null")
-    out = variant_proteins.variant_proteins(found, transcripts, _models(gtf, transcripts), a.protein_prefix, a.translation_table, report_reference=a.report_ref_seq)
-    sinks.write_fasta(out, a.output, "accession")
+    found = intervals.resolve_versions(seen.of(rows, "annotations kept"), transcripts, "transcript_id", "id", "ord").withColumn("transcript_id", F.col("resolved_id")).filter("transcript_id is not null")
+    out = variant_proteins.variant_proteins(seen.of(found, "annotations with a transcript"), transcripts, _models(gtf, transcripts), a.protein_prefix, a.translation_table, report_reference=a.report_ref_seq)
+    sinks.write_fasta(seen.of(out, "proteins written"), a.output, "accession")
+    return seen.report()
 
 
-def clinvar_to_proteindb(spark: SparkSession, a: argparse.Namespace) -> None:
-    defaults = {"clinical_significance_exclude": ["Benign", "Likely_benign", "Benign/Likely_benign"], "include_consequences": ["missense_variant", "nonsense", "frameshift_variant", "inframe_insertion", "inframe_deletion", "stop_gained", "stop_lost", "start_lost"], "protein_prefix": "clinvar_", "translation_table": 1, "num_orfs": 1, "include_biotypes": "protein_coding"}
-    options = resolve({}, load_config(a.config).get("clinvar_translation", {}), defaults)
+def clinvar_to_proteindb(spark: SparkSession, a: argparse.Namespace) -> dict[str, int]:
+    seen = Counters()
     _, records = flatfiles.read_vcf(spark, a.vcf)
-    kept = variant_proteins.clinical_filter(records, options["clinical_significance_exclude"], options["include_consequences"])
-    kept = variant_proteins.map_chromosomes(kept, tables.read_assembly_report(spark, a.assembly_report), "chrom", "refseq")
+    kept = variant_proteins.clinical_filter(seen.of(records, "variants read"), option_list(a.clinical_significance_exclude), option_list(a.include_consequences))
+    kept = variant_proteins.map_chromosomes(seen.of(kept, "variants kept by the filters"), tables.read_assembly_report(spark, a.assembly_report), "chrom", "refseq")
     gtf = flatfiles.read_gtf(spark, a.gtf)
     transcripts = _transcripts(spark, a.fasta)
     blocks = flatfiles.coding_blocks(gtf).select("transcript_id", F.col("chrom").alias("f_chrom"), F.col("start").alias("f_start"), F.col("end").alias("f_end"))
     spans = kept.withColumn("start", F.col("pos")).withColumn("end", F.col("pos") + F.length("ref") - 1)
     met = intervals.interval_join(spans, blocks, chrom="f_chrom", start="f_start", end="f_end").dropDuplicates(["chrom", "pos", "ref", "alt", "transcript_id"])
     biotypes = flatfiles.transcript_biotypes(gtf).withColumnRenamed("transcript_id", "_bt")
-    wanted = option_list(options["include_biotypes"])
+    wanted = option_list(a.include_biotypes)
+    met = seen.of(met, "overlaps with transcripts")
     if wanted != ["all"]:
         met = met.join(biotypes, F.col("transcript_id") == F.col("_bt"), "left").filter(F.coalesce(F.col("biotype") == "", F.lit(True)) | F.col("biotype").isin(*wanted))
-    out = variant_proteins.variant_proteins(met, transcripts, _models(gtf, transcripts), options["protein_prefix"], options["translation_table"], header=clinical_header)
-    sinks.write_fasta(out, a.output, "accession")
+    out = variant_proteins.variant_proteins(seen.of(met, "overlaps kept by biotype"), transcripts, _models(gtf, transcripts), a.protein_prefix, a.translation_table, orf_frames=a.num_orfs, report_reference=a.report_ref_seq, header=clinical_header)
+    sinks.write_fasta(seen.of(out, "proteins written"), a.output, "accession")
+    return seen.report()
 
 
 def cosmic_to_proteindb(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -109,6 +129,9 @@ def generate_decoy(spark: SparkSession, a: argparse.Namespace) -> None:
         out = proteins.whole_decoys(records, a.method.removeprefix("protein-"), a.decoy_prefix)
     else:
         missed = a.max_missed_cleavages if a.method == "pgdbdeep" else 0
+        if not a.do_not_shuffle:
+            swaps = proteins.decoy_swaps(records, a.enzyme, a.min_peptide_length, a.max_iterations, missed)
+            sinks.write_lines(swaps.filter("other is null"), f"{a.output_database}_noAlternative.fa", "peptide")
         out = proteins.switched_decoys(records, a.enzyme, a.decoy_prefix, a.min_peptide_length, a.max_iterations, missed, not a.do_not_shuffle, keep_target_hits=a.keep_target_hits or a.method == "decoypyrat")
     sinks.write_fasta(out, a.output_database)
 
@@ -138,28 +161,57 @@ def spectrumai(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def downloads(spark: SparkSession | None, a: argparse.Namespace) -> None:
-    plans = {"ensembl-downloader": lambda: fetch_plan.genome_files(a.name, a.assembly, a.release, grch37=a.grch37), "ncbi-downloader": fetch_plan.clinical_files, "cosmic-downloader": fetch_plan.census_files, "cbioportal-downloader": lambda: fetch_plan.study_files(option_list(a.studies))}
-    print("\n".join(fetch_plan.url_lines(plans[a.command](), a.output)))
+    if a.command == "ensembl-downloader" and a.list_species:
+        print("\n".join(fetch_plan.species_names(a.species_server)))
+        return
+    if a.command == "cbioportal-downloader" and a.list_studies:
+        print("\n".join(fetch_plan.study_names(a.study_list)))
+        return
+    plans = {
+        "ensembl-downloader": lambda: fetch_plan.genome_files(a.name, a.assembly, a.release, tuple(k for k in ("protein", "gtf", "cds", "cdna", "ncrna", "dna", "vcf") if not getattr(a, f"skip_{k}")), grch37=a.grch37, server=a.ensembl_base_url),
+        "ncbi-downloader": lambda: fetch_plan.clinical_files(a.ncbi_refseq_ftp, a.clinvar_ftp),
+        "cosmic-downloader": lambda: fetch_plan.census_files(a.cosmic_ftp),
+        "cbioportal-downloader": lambda: fetch_plan.study_files(option_list(a.studies), a.cbioportal_download_url, a.study_list),
+    }
+    files = plans[a.command]()
+    lines = fetch_plan.url_lines(files, a.output)
+    if not a.fetch:
+        print("\n".join(lines))
+        return
+    named = (lambda url: fetch_plan.census_url(url, a.cosmic_user, a.cosmic_password)) if a.command == "cosmic-downloader" else None
+    for url, path in fetch_plan.fetch_all(files, a.output, a.force, named):
+        print(f"{url}\t{path or 'failed'}")
+
+
+# What commands take and leave out unless told otherwise.
+NOT_CLINICAL = "Benign,Likely_benign,Benign/Likely_benign"
+CLINICAL_CONSEQUENCES = "missense_variant,nonsense,frameshift_variant,inframe_insertion,inframe_deletion,stop_gained,stop_lost,start_lost"
+NOT_CODING = "downstream_gene_variant, upstream_gene_variant, intergenic_variant, intron_variant, synonymous_variant"
+#: The section of a configuration file that a command reads.
+SECTIONS = {"vcf-to-proteindb": "ensembl_translation", "dnaseq-to-proteindb": "ensembl_translation", "threeframe-translation": "ensembl_translation", "ensembl-check": "ensembl_translation", "clinvar-to-proteindb": "clinvar_translation", "ncbi-downloader": "clinvar_translation", "cosmic-to-proteindb": "proteindb", "cbioportal-to-proteindb": "proteindb", "generate-decoy": "proteindb_decoy", "ensembl-downloader": "ensembl_data_downloader", "cosmic-downloader": "cosmic_data", "cbioportal-downloader": "cbioportal_data_downloader"}
+DEFAULTS: dict[str, dict] = {}
 
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="ribospark")
     commands = top.add_subparsers(dest="command", required=True)
 
-    def command(name: str, run, required: str = "", **options) -> None:
-        p = commands.add_parser(name)
+    def command(title: str, run, required: str = "", /, **options) -> None:
+        p = commands.add_parser(title)
+        p.add_argument("--config", default=None, help="a YAML or JSON file; what is given on the command line comes before it")
         for option in required.split():
             p.add_argument(f"--{option}", required=True)
         for option, default in options.items():
             if isinstance(default, bool):
-                p.add_argument(f"--{option}", action="store_true")
+                p.add_argument(f"--{option}", action="store_true", default=None)
             else:
-                p.add_argument(f"--{option}", default=default, type=type(default) if default is not None else str)
+                p.add_argument(f"--{option}", default=None, type=type(default))
+        DEFAULTS[title] = options
         p.set_defaults(run=run)
 
     biotypes = {"include_biotypes": "all", "exclude_biotypes": ""}
-    command("vcf-to-proteindb", vcf_to_proteindb, "input_fasta vcf gene_annotations_gtf output", translation_table=1, protein_prefix="var", report_ref_seq=False, annotation_field_name="CSQ", af_field="", af_threshold=0.01, transcript_str="FEATURE", biotype_str="BIOTYPE", consequence_str="CONSEQUENCE", include_consequences="all", exclude_consequences="downstream_gene_variant, upstream_gene_variant, intergenic_variant, intron_variant, synonymous_variant", ignore_filters=False, accepted_filters="PASS", **biotypes)
-    command("clinvar-to-proteindb", clinvar_to_proteindb, "vcf gtf fasta assembly_report output", config=None)
+    command("vcf-to-proteindb", vcf_to_proteindb, "input_fasta vcf gene_annotations_gtf output", translation_table=1, protein_prefix="var", report_ref_seq=False, annotation_field_name="CSQ", af_field="", af_threshold=0.01, transcript_str="FEATURE", biotype_str="BIOTYPE", consequence_str="CONSEQUENCE", include_consequences="all", exclude_consequences=NOT_CODING, ignore_filters=False, accepted_filters="PASS", **biotypes)
+    command("clinvar-to-proteindb", clinvar_to_proteindb, "vcf gtf fasta assembly_report output", clinical_significance_exclude=NOT_CLINICAL, include_consequences=CLINICAL_CONSEQUENCES, protein_prefix="clinvar_", translation_table=1, num_orfs=1, report_ref_seq=False, include_biotypes="protein_coding")
     groups = {"filter_column": "Primary site", "accepted_values": "all", "split_by_filter_column": False}
     command("cosmic-to-proteindb", cosmic_to_proteindb, "input_mutation input_genes output_db", **groups)
     command("cbioportal-to-proteindb", cbioportal_to_proteindb, "input_mutation input_cds output_db", clinical_sample_file="", **(groups | {"filter_column": "CANCER_TYPE"}))
@@ -171,18 +223,30 @@ def parser() -> argparse.ArgumentParser:
     command("map-peptide2genome", map_peptide2genome, "input gtf fasta idmap output", pep_col=1, prot_col=2)
     command("blast_get_position", blast_get_position, "input_psm_to_blast output_psm input_reference_database")
     command("spectrumai", spectrumai, "infile_name outfile_name", mzml_path="", mzml_files="", ions_tolerance=0.02, relative=False, mztab=False)
-    command("ensembl-downloader", downloads, "name assembly release", output=".", grch37=False)
-    command("ncbi-downloader", downloads, "", output=".")
-    command("cosmic-downloader", downloads, "", output=".")
-    command("cbioportal-downloader", downloads, "studies", output=".")
+    fetching = {"output": ".", "fetch": False, "force": False}
+    skips = {f"skip_{k}": False for k in ("protein", "gtf", "cds", "cdna", "ncrna", "dna", "vcf")}
+    command("ensembl-downloader", downloads, name="homo_sapiens", assembly="GRCh38", release="110", grch37=False, ensembl_base_url=fetch_plan.GENOME_SERVER, list_species=False, species_server=fetch_plan.SPECIES_LIST, **skips, **fetching)
+    command("ncbi-downloader", downloads, ncbi_refseq_ftp=fetch_plan.REFSEQ_SERVER, clinvar_ftp=fetch_plan.CLINICAL_SERVER, **fetching)
+    command("cosmic-downloader", downloads, cosmic_ftp=fetch_plan.CENSUS_SERVER, cosmic_user="", cosmic_password="", **fetching)
+    command("cbioportal-downloader", downloads, studies="all", cbioportal_download_url=fetch_plan.STUDY_SERVER, list_studies=False, study_list=fetch_plan.STUDY_LIST, **fetching)
     return top
 
 
-def main(args: list[str] | None = None) -> None:
+def options_of(args: list[str] | None = None) -> argparse.Namespace:
+    """What was given, over the configuration file, over the defaults."""
     a = parser().parse_args(args)
+    defaults = DEFAULTS[a.command]
+    configured = section(load_config(a.config), SECTIONS.get(a.command, a.command))
+    configured = {k: ",".join(map(str, v)) if isinstance(v, list) else v for k, v in configured.items()}
+    vars(a).update(resolve({k: v for k, v in vars(a).items() if k in defaults}, configured, defaults))
+    return a
+
+
+def main(args: list[str] | None = None) -> dict[str, int] | None:
+    a = options_of(args)
     if hasattr(a, "enzyme") and a.enzyme not in ENZYMES:
         raise SystemExit(f"unknown enzyme {a.enzyme}; known: {', '.join(ENZYMES)}")
-    a.run(None if a.command.endswith("-downloader") else SparkSession.builder.appName(f"ribospark {a.command}").getOrCreate(), a)
+    return a.run(None if a.command.endswith("-downloader") else SparkSession.builder.appName(f"ribospark {a.command}").getOrCreate(), a)
 
 
 if __name__ == "__main__":

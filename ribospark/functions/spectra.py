@@ -64,7 +64,7 @@ def intensity_summary(peaks: Column) -> Column:
     def summed(values: Column) -> Column:
         n = F.size(values)
         total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
-        low, high = F.try_element_at(values, ((n + 1) / 2).cast("int")), F.try_element_at(values, (n / 2).cast("int") + 1)
+        low, high = F.get(values, ((n + 1) / 2).cast("int") - 1), F.get(values, (n / 2).cast("int"))
         return F.struct(total.alias("sum"), F.array_max(values).alias("max"), (total / F.nullif(n, F.lit(0))).alias("mean"), ((low + high) / 2).alias("median"))
 
     return bind(F.array_sort(F.transform(peaks, lambda p: p["intensity"])), summed)

@@ -76,6 +76,25 @@ def digested(records: DataFrame, enzyme: str, missed: int, min_length: int) -> D
     return records.select(F.explode(cleave(F.col("seq"), enzyme, missed, min_length)).alias("peptide")).distinct()
 
 
+def _decoy_pieces(records: DataFrame, enzyme: str) -> tuple[DataFrame, DataFrame]:
+    """The targets with I as L, and (id, k, peptide) of their reversed and switched decoys."""
+    targets = records.select("id", isobaric(F.col("seq")).alias("seq"))
+    decoys = targets.select("id", reverse_switch(F.col("seq"), ENZYMES[enzyme][2]).alias("seq"))
+    return targets, decoys.select("id", F.posexplode(F.filter(F.split("seq", ENZYMES[enzyme][0]), lambda p: p != "")).alias("k", "peptide"))
+
+
+def decoy_swaps(records: DataFrame, enzyme: str = "Trypsin", min_length: int = 5, max_iterations: int = 100, missed_targets: int = 0, shuffle: bool = True, seed: int = 1) -> DataFrame:
+    """(peptide, other): the decoy peptides that are target peptides too, and what takes their place (null: no order is free)."""
+    targets, placed = _decoy_pieces(records, enzyme)
+    known = targets.select(F.explode(cleave(F.col("seq"), enzyme, missed_targets, min_length)).alias("peptide")).distinct()
+    hit = placed.filter(F.length("peptide") >= min_length).select("peptide").distinct().join(known, "peptide", "left_semi")
+    if not shuffle:
+        return hit.withColumn("other", F.col("peptide"))
+    tried = hit.select("peptide", F.explode(F.sequence(F.lit(1), F.lit(max_iterations))).alias("i")).withColumn("other", shuffled(F.col("peptide"), F.lit(seed) + F.col("i")))
+    best = tried.join(known.withColumnRenamed("peptide", "other"), "other", "left_anti").groupBy("peptide").agg(F.min_by("other", "i").alias("other"))
+    return hit.join(best, "peptide", "left")
+
+
 def switched_decoys(records: DataFrame, enzyme: str = "Trypsin", prefix: str = "DECOY_", min_length: int = 5, max_iterations: int = 100, missed_targets: int = 0, shuffle: bool = True, keep_targets: bool = True, keep_target_hits: bool = False, seed: int = 1) -> DataFrame:
     """(id, seq, is_decoy): reversed and switched decoys whose peptides are no target peptides.
 
@@ -85,19 +104,8 @@ def switched_decoys(records: DataFrame, enzyme: str = "Trypsin", prefix: str = "
     without such an order stay or, without ``keep_target_hits``, are left out. Collisions
     are few, so only they are joined back to the proteins.
     """
-    sites = ENZYMES[enzyme][2]
-    targets = records.select("id", isobaric(F.col("seq")).alias("seq"))
-    decoys = targets.select("id", reverse_switch(F.col("seq"), sites).alias("seq"))
-    known = targets.select(F.explode(cleave(F.col("seq"), enzyme, missed_targets, min_length)).alias("peptide")).distinct()
-    placed = decoys.select("id", F.posexplode(F.filter(F.split("seq", ENZYMES[enzyme][0]), lambda p: p != "")).alias("k", "peptide"))
-    hit = placed.filter(F.length("peptide") >= min_length).select("peptide").distinct().join(known, "peptide", "left_semi")
-    if shuffle:
-        tried = hit.select("peptide", F.explode(F.sequence(F.lit(1), F.lit(max_iterations))).alias("i")).withColumn("other", shuffled(F.col("peptide"), F.lit(seed) + F.col("i")))
-        best = tried.join(known.withColumnRenamed("peptide", "other"), "other", "left_anti").groupBy("peptide").agg(F.min_by("other", "i").alias("other"))
-        swap = hit.join(best, "peptide", "left")
-    else:
-        swap = hit.withColumn("other", F.col("peptide"))
-    swap = swap.withColumn("_hit", F.lit(True))
+    targets, placed = _decoy_pieces(records, enzyme)
+    swap = decoy_swaps(records, enzyme, min_length, max_iterations, missed_targets, shuffle, seed).withColumn("_hit", F.lit(True))
     kept = F.when(F.col("_hit").isNull(), F.col("peptide")).when(F.col("other").isNotNull(), F.col("other")).otherwise(F.col("peptide") if keep_target_hits else F.lit(""))
     parts = placed.join(swap, "peptide", "left").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", kept.alias("p")))).alias("x"))
     made = parts.select(F.concat(F.lit(prefix), "id").alias("id"), F.array_join(F.transform("x", lambda x: x["p"]), "").alias("seq"), F.lit(True).alias("is_decoy")).filter("seq <> ''")

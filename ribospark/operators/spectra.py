@@ -12,10 +12,12 @@ def inspect_spectra(psms: DataFrame, spectra: DataFrame, tolerance: float = 0.02
     """PSM rows (sequence, file, scan, position) with matched ions, intensity summary and support of the substituted residue.
 
     PSMs without a spectrum keep their defaults (``skiped``); only a place inside the
-    peptide is checked.
+    peptide is checked. A PSM whose file has no readable spectrum at all says so in ``ions_support``.
     """
     s = spectra.select(F.col("file").alias("_file"), F.col("scan").alias("_scan"), "peaks")
+    readable = spectra.filter("peaks is not null").select(F.col("file").alias("_readable")).distinct()
     joined = psms.join(s, (F.col("file") == F.col("_file")) & (F.col("scan") == F.col("_scan")), "left").drop("_file", "_scan")
+    joined = joined.join(readable, F.col("file") == F.col("_readable"), "left")
     joined = joined.withColumn("_ions", matched_ions(fragment_ions(F.col("sequence")), F.col("peaks"), tolerance, relative)).withColumn("_sum", intensity_summary(F.col("peaks")))
     place = F.col("position").try_cast("int")
     checked = (F.size("_ions") > 0) & place.between(1, F.length("sequence"))
@@ -24,7 +26,7 @@ def inspect_spectra(psms: DataFrame, spectra: DataFrame, tolerance: float = 0.02
     support = lambda name, default: F.coalesce(F.col(f"_support.{name}"), default)
     return joined.select(
         *psms.columns, F.length("sequence").alias("peptide_length"), F.when(F.coalesce(checked, F.lit(False)), F.lit("checked")).otherwise(F.lit("skiped")).alias("status"),
-        support("ions_support", no).alias("ions_support"), support("support_ions", none).alias("support_ions"), support("support_intensity", zero).alias("sum_supportions_intensity"),
+        F.when(F.col("_readable").isNull(), F.lit("mzML ERROR")).otherwise(support("ions_support", no)).alias("ions_support"), support("support_ions", none).alias("support_ions"), support("support_intensity", zero).alias("sum_supportions_intensity"),
         support("flanking_ions_support", no).alias("flanking_ions_support"), support("flanking_ions", none).alias("flanking_ions"), support("flanking_intensity", zero).alias("sum_flanking_ions_intensity"),
         F.coalesce(F.array_join(F.array_distinct(F.transform("_ions", lambda x: x["ion"])), ","), none).alias("matched_ions"),
         F.coalesce(F.aggregate("_ions", F.lit(0.0), lambda a, x: a + x["intensity"]), zero).alias("sum_matchedions_intensity"),

@@ -1,9 +1,15 @@
-"""Which files a data set needs: URLs and local names. Fetching is left to the caller."""
+"""Which files a data set needs, as URLs and local names, and a plain way to fetch them."""
 
 from __future__ import annotations
 
+import base64
+import gzip
+import json
+import os
 import re
+import shutil
 import urllib.parse
+import urllib.request
 
 # Public servers and the names of their files.
 GENOME_SERVER = "ftp://ftp.ensembl.org/pub"
@@ -11,6 +17,9 @@ REFSEQ_SERVER = "https://ftp.ncbi.nlm.nih.gov/refseq/H_sapiens/annotation/GRCh38
 CLINICAL_SERVER = "https://ftp.ncbi.nlm.nih.gov/pub/clinvar/vcf_GRCh38/"
 CENSUS_SERVER = "https://cancer.sanger.ac.uk"
 STUDY_SERVER = "https://cbioportal-datahub.s3.amazonaws.com"
+STUDY_LIST = "https://www.cbioportal.org/api/studies"
+SPECIES_LIST = "https://rest.ensembl.org/info/species"
+SCHEMES = ("http", "https", "ftp")
 REFSEQ_FILES = ("GRCh38_latest_genomic.gtf.gz", "GRCh38_latest_rna.fna.gz", "GRCh38_latest_assembly_report.txt")
 CLINICAL_FILES = ("clinvar.vcf.gz", "clinvar.vcf.gz.tbi")
 CENSUS_FILES = (("cosmic/file_download/GRCh38/cosmic/v94", "CosmicMutantExport.tsv.gz"), ("cosmic/file_download/GRCh38/cosmic/v94", "All_COSMIC_Genes.fasta.gz"), ("cosmic/file_download/GRCh38/cell_lines/v94", "All_CellLines_Genes.fasta.gz"), ("cosmic/file_download/GRCh38/cell_lines/v94", "CosmicCLP_MutantExport.tsv.gz"))
@@ -48,13 +57,68 @@ def census_files(server: str = CENSUS_SERVER) -> list[tuple[str, str]]:
     return [(f"{server}/{folder}/{file}", file) for folder, file in CENSUS_FILES]
 
 
-def study_files(studies: list[str], server: str = STUDY_SERVER) -> list[tuple[str, str]]:
-    return [(f"{server}/{s}.tar.gz", f"{s}.tar.gz") for s in studies]
+def study_files(studies: list[str], server: str = STUDY_SERVER, listed: str = STUDY_LIST) -> list[tuple[str, str]]:
+    """Files of the named studies; ``all`` asks the server which there are."""
+    names = study_names(listed) if "all" in studies else studies
+    return [(f"{server}/{s}.tar.gz", f"{s}.tar.gz") for s in names]
+
+
+def _asked(url: str, headers: dict[str, str] | None = None) -> object:
+    _allowed(url)
+    with urllib.request.urlopen(urllib.request.Request(url, headers={"Accept": "application/json", "Content-Type": "application/json"} | (headers or {})), timeout=60) as answer:
+        return json.loads(answer.read().decode("utf-8"))
+
+
+def study_names(listed: str = STUDY_LIST) -> list[str]:
+    return [s["studyId"] for s in _asked(listed)]
+
+
+def species_names(listed: str = SPECIES_LIST) -> list[str]:
+    return [s["name"] for s in _asked(listed)["species"]]
+
+
+def census_url(url: str, user: str, password: str) -> str:
+    """The short-lived URL that the census server gives for a file to a known user."""
+    token = base64.b64encode(f"{user}:{password}".encode()).decode()
+    return _asked(url, {"Authorization": f"Basic {token}"})["url"]
+
+
+def _allowed(url: str) -> None:
+    if urllib.parse.urlparse(url).scheme not in SCHEMES:
+        raise ValueError(f"scheme of {url} is not allowed")
+
+
+def fetch(url: str, path: str, tries: int = 6, force: bool = False) -> str | None:
+    """Fetch ``url`` to ``path`` (unpacked if gzipped) unless it is there; its final name, or None after ``tries`` failures."""
+    _allowed(url)
+    final = path.removesuffix(".gz")
+    if os.path.exists(final) and not force:
+        return final
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    for _ in range(tries):
+        try:
+            part = f"{path}.part"
+            with urllib.request.urlopen(url, timeout=60) as answer, open(part, "wb") as out:
+                shutil.copyfileobj(answer, out)
+            if path.endswith(".gz"):
+                with gzip.open(part) as packed, open(final, "wb") as out:
+                    shutil.copyfileobj(packed, out)
+                os.remove(part)
+            else:
+                os.replace(part, final)
+            return final
+        except OSError:  # of the network, the server or the archive
+            continue
+    return None
+
+
+def fetch_all(files: list[tuple[str, str]], folder: str, force: bool = False, resolve=None) -> list[tuple[str, str | None]]:
+    """(url, where it is now or None) of every file; ``resolve`` may turn a listed URL into the one to read."""
+    return [(url, fetch(resolve(url) if resolve else url, f"{folder}/{name}", force=force)) for url, name in files]
 
 
 def url_lines(files: list[tuple[str, str]], folder: str) -> list[str]:
     """``url<TAB>file`` lines; only http, https and ftp URLs are allowed."""
     for url, _ in files:
-        if urllib.parse.urlparse(url).scheme not in ("http", "https", "ftp"):
-            raise ValueError(f"scheme of {url} is not allowed")
+        _allowed(url)
     return [f"{url}\t{folder}/{name}" for url, name in files]

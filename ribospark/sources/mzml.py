@@ -25,7 +25,10 @@ def decode_array(text: str, accessions: list[str]) -> np.ndarray:
 
 
 def read_mzml(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """file, scan and peaks (mz, intensity) of all spectra; the scan is the last number of the spectrum's id."""
+    """file, scan and peaks (mz, intensity) of all spectra; the scan is the last number of the spectrum's id.
+
+    The peaks of a spectrum whose arrays can't be decoded are null.
+    """
     raw = spark.read.schema(_SCHEMA).option("rowTag", "spectrum").xml(path)
     arrays = raw.select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("file"), F.regexp_extract("_id", r"(\d+)$", 1).try_cast("int").alias("scan"), F.col("binaryDataArrayList.binaryDataArray").alias("arrays"))
     peak = pa.list_(pa.struct([("mz", pa.float64()), ("intensity", pa.float64())]))
@@ -35,11 +38,15 @@ def read_mzml(spark: SparkSession, path: str | list[str]) -> DataFrame:
             out = []
             for entry in b.column("arrays").to_pylist():
                 found: dict[str, np.ndarray] = {}
-                for a in entry or []:
-                    names = [c["_accession"] for c in a["cvParam"] or []]
-                    for key in (MZ_ARRAY, INTENSITY_ARRAY):
-                        if key in names:
-                            found[key] = decode_array(a["binary"], names)
+                try:
+                    for a in entry or []:
+                        names = [c["_accession"] for c in a["cvParam"] or []]
+                        for key in (MZ_ARRAY, INTENSITY_ARRAY):
+                            if key in names:
+                                found[key] = decode_array(a["binary"], names)
+                except (ValueError, zlib.error):  # not base64, not compressed, or a broken number
+                    out.append(None)
+                    continue
                 out.append([{"mz": m, "intensity": i} for m, i in zip(found.get(MZ_ARRAY, np.empty(0)).tolist(), found.get(INTENSITY_ARRAY, np.empty(0)).tolist())])
             yield pa.RecordBatch.from_arrays([b.column("file"), b.column("scan"), pa.array(out, peak)], names=["file", "scan", "peaks"])
 

@@ -11,15 +11,23 @@ MAF_COLUMNS = {"hgvsc": "HGVSc", "transcript_id": "Transcript_ID", "varclass": "
 
 
 def _by_header(lines: DataFrame, needed: list[str], pick) -> DataFrame:
-    """Rows of tab-separated lines under a header line that holds the needed columns; ragged rows go."""
-    header = next((r[0] for r in lines.filter(F.size(F.array_intersect(F.split("value", "\t"), F.array(*map(F.lit, needed)))) == len(set(needed))).limit(1).collect()), None)
-    if header is None:
-        raise ValueError(f"missing required columns: expected {needed}")
-    names = [x.strip() for x in header.split("\t")]
+    """Rows of tab-separated lines under a header line that holds the needed columns; ragged rows go.
+
+    A file may hold several header lines (tables put one behind another): each binds the
+    columns anew for the lines behind it. Header lines are few; their places are literals.
+    """
+    numbered = lines.withColumn("ord", F.monotonically_increasing_id())
     parts = F.split("value", "\t")
-    places = pick(names)
-    body = lines.filter((F.col("value") != header) & (F.size(parts) > max(places.values())))
-    return body.withColumn("ord", F.monotonically_increasing_id()).select(*(F.element_at(parts, i + 1).alias(n) for n, i in places.items()), "ord")
+    is_header = F.size(F.array_intersect(F.transform(parts, lambda x: F.trim(x)), F.array(*map(F.lit, needed)))) == len(set(needed))
+    headers = sorted((r["ord"], r["value"]) for r in numbered.filter(is_header).collect())
+    if not headers:
+        raise ValueError(f"missing required columns: expected {needed}")
+    picked = [pick([x.strip() for x in h.split("\t")]) for _, h in headers]
+    before = F.size(F.filter(F.array(*(F.lit(o) for o, _ in headers)), lambda o: o < F.col("ord")))
+    body = numbered.filter(~is_header).withColumn("_table", before).filter("_table > 0")
+    place = lambda name: F.get(F.array(*(F.lit(x[name]) for x in picked)), F.col("_table") - 1)
+    last = F.get(F.array(*(F.lit(max(x.values())) for x in picked)), F.col("_table") - 1)
+    return body.filter(F.size(parts) > last).select(*(F.get(parts, place(n)).alias(n) for n in picked[0]), "ord")
 
 
 def read_census(spark: SparkSession, path: str, filter_column: str = "") -> DataFrame:
@@ -59,14 +67,14 @@ def read_psms(spark: SparkSession, path: str) -> DataFrame:
     plain = path.removesuffix(".gz")
     if not plain.endswith((".csv", ".tsv")):
         raise ValueError(f"{path}: expected a .csv or .tsv file, possibly with .gz")
-    return spark.read.csv(path, header=True, inferSchema=True, sep="," if plain.endswith(".csv") else "\t")
+    return spark.read.csv(path, header=True, sep="," if plain.endswith(".csv") else "\t")
 
 
 def read_peptides(spark: SparkSession, path: str, peptide_column: int = 1, protein_column: int = 2) -> DataFrame:
     """peptide (letters only), protein (before the first ``;``) and ord; the first line is a header."""
     parts = F.split("value", "\t")
     rows = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id())
-    body = rows.join(rows.agg(F.min("ord").alias("_first")), F.col("ord") != F.col("_first"))  # one row
+    body = rows.filter(F.col("ord") > 0)  # the first line of the first file has number 0
     return body.select(F.regexp_replace(F.trim(F.try_element_at(parts, F.lit(peptide_column))), r"[\W\d]", "").alias("peptide"), F.split_part(F.try_element_at(parts, F.lit(protein_column)), F.lit(";"), F.lit(1)).alias("protein"), "ord")
 
 

@@ -32,8 +32,8 @@ def test_vcf_and_gtf(spark, tmp_path):
     assert header == ["##INFO=<ID=CSQ>"] and [r["pos"] for r in rows.orderBy("ord").collect()] == [3, 99]
     gtf = flatfiles.read_gtf(spark, _write(tmp_path / "a.gtf", '#!x\n1\ts\tCDS\t1\t50\t.\t+\t0\tgene_id "g"; transcript_id "t1"; tag "a";\n1\ts\texon\t1\t60\t.\t+\t.\ttranscript_id "t1";\n'))
     assert flatfiles.coding_blocks(gtf).collect()[0]["transcript_id"] == "t1"
-    found = flatfiles.annotate_overlaps(rows, gtf).collect()
-    assert [r["info"] for r in found] == ["AF=0.2;transcriptOverlaps=t1"]
+    found = flatfiles.annotate_overlaps(rows, gtf).orderBy("ord").collect()
+    assert [r["info"] for r in found] == ["AF=0.2;transcriptOverlaps=t1", "DB"]  # records without overlap stay as they are
     kept = variant_proteins.filter_variants(rows, ["PASS"], af_key="AF", af_threshold=0.1)
     assert [(r["pos"], r["alt"]) for r in kept.collect()] == [(3, "C")]
     assert {(r["pos"], r["alt"]) for r in variant_proteins.filter_variants(rows).collect()} == {(3, "C"), (99, "G")}
