@@ -86,13 +86,17 @@ def reverse_switch(seq: Column, sites: str = "KR") -> Column:
 
 
 def shuffled(seq: Column, seed: Column, keep_last: bool = True) -> Column:
-    """The residues in an order that a hash of seed, sequence and place gives; the last may stay."""
+    """The residues in the order of digests of (digest of seed and sequence, place); the last may stay."""
     size = F.length(seq)
     movable = F.substring(seq, F.lit(1), size - 1) if keep_last else seq
     last = F.substring(seq, size, F.lit(1)) if keep_last else F.lit("")
-    chars = F.filter(F.split(movable, ""), lambda c: c != "")
-    keyed = F.transform(chars, lambda c, i: F.struct(F.xxhash64(seed, seq, i).alias("k"), i.alias("i"), c.alias("c")))
-    return F.concat(F.array_join(F.transform(F.array_sort(keyed), lambda x: x["c"]), ""), last)
+    own = F.struct(F.filter(F.split(movable, ""), lambda c: c != "").alias("chars"), F.md5(F.concat_ws("|", seed.cast("string"), seq)).alias("own"))
+
+    def ordered(v: Column) -> Column:
+        keyed = F.transform(v["chars"], lambda c, i: F.struct(F.md5(F.concat_ws("|", v["own"], i.cast("string"))).alias("k"), c.alias("c")))
+        return F.array_join(F.transform(F.array_sort(keyed), lambda x: x["c"]), "")
+
+    return F.concat(bind(own, ordered), last)
 
 
 def residue_count(seq: Column, residue: str) -> Column:

@@ -76,6 +76,27 @@ def revswitch(seq: str) -> str:
     return f"regexp_replace(reverse({seq}), '(^.|[^KR])([KR]+)', '\\2\\1', 'g')"
 
 
+def _shuffle(chars: str, own: str) -> str:
+    """The characters of a text in the order of the digests of ``own`` and their places."""
+    return f"coalesce(array_to_string(list_transform(list_sort(list_transform(range(0, length({chars})), lambda i: {{'k': md5({own} || '|' || i), 'c': substr({chars}, i + 1, 1)}})), lambda x: x.c), ''), '')"
+
+
+def _switched_decoys() -> str:
+    """Decoys whose peptides are no target peptides, with 100 orders for each collision."""
+    return f"""
+        WITH targets AS (SELECT id, replace(seq, 'I', 'L') AS seq FROM {PROTEIN}),
+        cut AS (SELECT id, {pieces(revswitch("seq"))} AS x FROM targets),
+        placed AS (SELECT id, unnest(range(1, len(x) + 1)) AS k, unnest(x) AS p FROM cut),
+        known AS (SELECT DISTINCT p FROM (SELECT unnest({pieces("seq")}) AS p FROM targets) WHERE length(p) >= 5),
+        hit AS (SELECT DISTINCT p FROM placed SEMI JOIN known USING (p) WHERE length(p) >= 5),
+        orders AS (SELECT p, i, left(p, length(p) - 1) AS body, md5((1 + i) || '|' || p) AS own FROM hit, range(1, 101) AS r(i)),
+        tried AS (SELECT p AS old, i, {_shuffle("body", "own")} || right(p, 1) AS p FROM orders),
+        best AS (SELECT old AS p, arg_min(p, i) AS other FROM tried ANTI JOIN known USING (p) GROUP BY old),
+        made AS (SELECT id, string_agg(CASE WHEN hit.p IS NULL THEN placed.p ELSE coalesce(other, '') END, '' ORDER BY k) AS seq
+                 FROM placed LEFT JOIN hit ON placed.p = hit.p LEFT JOIN best ON placed.p = best.p GROUP BY id)
+        SELECT id, seq, false AS is_decoy FROM targets UNION ALL SELECT 'DECOY_' || id, seq, true FROM made WHERE seq <> ''"""
+
+
 def _missed(seq: str, n: int) -> str:
     joined = " || ".join(f"list_transform(range(1, greatest(len(p) - {k} + 1, 1)), lambda i: array_to_string(p[i:i + {k}], ''))" for k in range(1, n + 1))
     return f"(SELECT id, list_distinct(list_filter(p || {joined}, lambda x: length(x) >= 6)) AS ps FROM (SELECT id, {pieces(seq)} AS p FROM {PROTEIN}))"
@@ -165,7 +186,7 @@ PLACED = f"""(SELECT peptide, any_value(chrom) AS chrom, any_value(strand) AS st
     SELECT *, CASE WHEN strand = '+' THEN start + greatest(n1 - trans_start, 0) ELSE "end" - (least(n2, trans_end) - trans_start) END AS lo,
               CASE WHEN strand = '+' THEN start + least(n2, trans_end) - trans_start ELSE "end" - greatest(n1 - trans_start, 0) END AS hi FROM (
     SELECT peptide, 3 * strpos(p.seq, peptide) - 2 AS n1, 3 * strpos(p.seq, peptide) - 3 + 3 * length(peptide) AS n2, b.* FROM (
-        SELECT peptide, arg_min(id, o) AS id FROM (SELECT id, unnest(ps) AS peptide, ord * 100000 + unnest(range(0, len(ps))) AS o FROM (SELECT id, ord, list_filter({pieces("seq", "KR")}, lambda x: length(x) BETWEEN 7 AND 40) AS ps FROM {PROTEIN})) GROUP BY peptide) f
+        SELECT peptide, arg_min(id, o) AS id FROM (SELECT id, unnest(ps) AS peptide, ord * 100000 + unnest(range(0, len(ps))) AS o FROM (SELECT id, ord, list_filter({pieces("seq")}, lambda x: length(x) BETWEEN 7 AND 40) AS ps FROM {PROTEIN})) GROUP BY peptide) f
     JOIN {PROTEIN} p ON p.id = f.id JOIN {POSITIONS} b ON b.transcript_id = f.id) WHERE trans_start <= n2 AND n1 <= trans_end)
     GROUP BY peptide HAVING min(trans_start) <= any_value(n1) AND max(trans_end) >= any_value(n2) AND min(lo) > 0)"""
 
@@ -253,6 +274,8 @@ def oracle_sql() -> dict[str, str]:
         "decoy_reverse": f"SELECT id, seq FROM {PROTEIN} UNION ALL SELECT 'DECOY_' || id, reverse(seq) FROM {PROTEIN}",
         "decoy_revswitch": f"SELECT id, {revswitch("replace(seq, 'I', 'L')")} AS seq FROM {PROTEIN}",
         "decoy_collision_peptides": collisions,
+        "decoy_database": _switched_decoys(),
+        "decoy_shuffle": f"SELECT id, seq FROM {PROTEIN} UNION ALL SELECT 'DECOY_' || id, {_shuffle('seq', 'own')} FROM (SELECT *, md5('1|' || seq) AS own FROM {PROTEIN})",
         "target_decoy_composition": _composition(),
         "stop_codon_qc_split": _qc(True),
         "stop_codon_qc_truncate": _qc(False),
