@@ -112,9 +112,11 @@ def test_near_duplicates_across_blocks(spark, monkeypatch):
     base = [f"w{i}" for i in range(400)]
     rows = [(n, " ".join(base[: 400 - 12 * n])) for n in range(12)] + [(50 + n, " ".join(base[:200] + [f"z{n}{i}" for i in range(150)])) for n in range(6)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(near_dedup, "BLOCK", 2)  # groups are dealt anew by longer keys, then into blocks
-    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(df).collect()}
-    assert all(got[n] == 0 for n in range(12)) and all(got[50 + n] == 50 + n for n in range(6))
+    monkeypatch.setattr(near_dedup, "BLOCK", 2)
+    for large in (200_000, 3):  # in blocks, and dealt anew by longer keys before
+        monkeypatch.setattr(near_dedup, "LARGE", large)
+        got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(df).collect()}
+        assert all(got[n] == 0 for n in range(12)) and all(got[50 + n] == 50 + n for n in range(6))
 
 
 def test_suffix_dedup(docs, empty, monkeypatch):
