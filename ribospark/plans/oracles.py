@@ -97,6 +97,32 @@ def _switched_decoys() -> str:
         SELECT id, seq, false AS is_decoy FROM targets UNION ALL SELECT 'DECOY_' || id, seq, true FROM made WHERE seq <> ''"""
 
 
+def _ion_support() -> str:
+    """Matched fragments of short peptides against their spectra, and the support of the residue three before the end."""
+    crc = "xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(sequence, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295)"
+    return f"""
+        WITH peaks AS MATERIALIZED {PEAKS},
+        spectra AS (SELECT scan, sum(intensity) AS total, max(intensity) AS most, sum(intensity) / count(*) AS mean, median(intensity) AS mid FROM peaks GROUP BY scan),
+        psms AS (SELECT sequence, length(sequence) AS n, length(sequence) - 3 AS p, ({crc} % ((SELECT max(scan) FROM peaks) + 1))::int AS scan FROM {SHORT}),
+        places AS (SELECT *, unnest(range(1, n + 1)) AS i FROM psms),
+        ions AS (SELECT *, 'b' AS kind, {_mass("substr(sequence, 1, i::int)")} + 1.007276 AS mz FROM places
+                 UNION ALL SELECT *, 'y', {_mass("right(sequence, i::int)")} + 1.007276 + 18.010565 FROM places),
+        matched AS (SELECT sequence, n, p, ions.i AS i, kind, kind || ions.i AS ion, ions.mz AS mz, arg_min(intensity, abs(peaks.mz - ions.mz)) AS x
+                    FROM ions JOIN peaks ON ions.scan = peaks.scan GROUP BY ALL HAVING min(abs(peaks.mz - ions.mz)) < 7.0),
+        marked AS (SELECT *, (kind = 'b' AND i >= p) OR (kind = 'y' AND i > n - p) AS s,
+                          (kind = 'b' AND i = p - 1) OR (kind = 'y' AND i = n - p + 1) AS l, (kind = 'b' AND i = p) OR (kind = 'y' AND i = n - p) AS r FROM matched),
+        summed AS (SELECT sequence, string_agg(ion, ',' ORDER BY mz, ion) AS ions, sum(x) AS all_x,
+                          coalesce(string_agg(ion, ',' ORDER BY mz, ion) FILTER (s), '') AS s_ions, coalesce(sum(x) FILTER (s), 0) AS s_x, count(*) FILTER (s) AS s_n,
+                          coalesce(string_agg(ion, ',' ORDER BY ion) FILTER (l OR r), '') AS f_ions, coalesce(sum(x) FILTER (l OR r), 0) AS f_x, count(*) FILTER (l) AS l_n, count(*) FILTER (r) AS r_n
+                   FROM marked GROUP BY sequence),
+        judged AS (SELECT *, s_n > 0 AND s_x >= mid AS s_ok, l_n > 0 AND r_n > 0 AND f_x >= mid AS f_ok FROM psms LEFT JOIN spectra USING (scan) LEFT JOIN summed USING (sequence))
+        SELECT sequence, 'f' AS file, scan, cast(p AS varchar) AS position, n::int AS peptide_length, CASE WHEN ions IS NULL THEN 'skiped' ELSE 'checked' END AS status,
+               CASE WHEN s_ok THEN 'YES' ELSE 'NO' END AS ions_support, coalesce(s_ions, '') AS support_ions, coalesce(s_x, 0) AS sum_supportions_intensity,
+               CASE WHEN CASE WHEN substr(sequence, p, 1) = 'P' THEN s_ok ELSE f_ok END THEN 'YES' ELSE 'NO' END AS flanking_ions_support, coalesce(f_ions, '') AS flanking_ions, coalesce(f_x, 0) AS sum_flanking_ions_intensity,
+               coalesce(ions, '') AS matched_ions, coalesce(all_x, 0) AS sum_matchedions_intensity, total AS sum_fragmentions_intensity, most AS maxintensity, mean AS average_intensity, mid AS median_intensity
+        FROM judged"""
+
+
 def _missed(seq: str, n: int) -> str:
     joined = " || ".join(f"list_transform(range(1, greatest(len(p) - {k} + 1, 1)), lambda i: array_to_string(p[i:i + {k}], ''))" for k in range(1, n + 1))
     return f"(SELECT id, list_distinct(list_filter(p || {joined}, lambda x: length(x) >= 6)) AS ps FROM (SELECT id, {pieces(seq)} AS p FROM {PROTEIN}))"
@@ -292,6 +318,7 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT peptide, k::int, 'chr' || replace(chrom, 'MT', 'M'), 'MS', 'CDS', parts[k].lo::bigint, parts[k].hi::bigint, '.', strand, CASE WHEN k = 1 THEN '0' ELSE '.' END, 'Parent=' || peptide FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS k FROM {PLACED})""",
         "theoretical_ions": f"""SELECT sequence, 'b' || i AS ion, round({_mass("substr(sequence, 1, i::int)")} + 1.007276, 3) AS mz FROM (SELECT sequence, unnest(range(1, length(sequence) + 1)) AS i FROM {SHORT})
             UNION ALL SELECT sequence, 'y' || i, round({_mass("right(sequence, i::int)")} + 1.007276 + 18.010565, 3) FROM (SELECT sequence, unnest(range(1, length(sequence) + 1)) AS i FROM {SHORT})""",
+        "ion_support_flags": _ion_support(),
         "spectrum_summary": f"SELECT scan, sum(intensity) AS sum, max(intensity) AS max, round(sum(intensity) / count(*), 3) AS mean, median(intensity) AS median FROM {PEAKS} GROUP BY scan",
         "nearest_peak_match": f"SELECT scan, mz, round(err, 6) AS error, intensity, round_even(err / mz * 1000000, 2) AS ppm FROM {near}",
         "version_resolution": """SELECT o_orderkey AS ord, cast(o_custkey AS varchar) AS wanted, CASE WHEN c_nationkey % 2 = 0 THEN c_custkey || '.2' ELSE cast(c_custkey AS varchar) END AS resolved_id FROM orders LEFT JOIN customer ON o_custkey = c_custkey""",
