@@ -51,7 +51,7 @@ STAGES = [
     ("token output", token_stage),
 ]
 
-#: SQL can express neither the language model nor the signatures; tests hold ``run`` against a plain version.
+#: SQL can express neither the language model nor the signatures; a test holds the stages against plain loops.
 ORACLE_SQL = None
 
 

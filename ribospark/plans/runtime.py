@@ -9,6 +9,7 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,16 +50,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Seconds between two collections of the driver's garbage, and when the last one was.
+COLLECT_EVERY = 3.0
+_collected = [0.0]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
 
-    The driver then collects its garbage, so that shuffle files and checkpoints that
-    nothing refers to any more leave the executors' disks now and not only once the
-    driver's memory happens to be short.
+    The driver then collects its garbage (unless it just did), so that shuffle files and
+    checkpoints that nothing refers to any more leave the executors' disks now and not only
+    once the driver's memory happens to be short.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     out = df.checkpoint(eager=True)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if time.monotonic() - _collected[0] > COLLECT_EVERY:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _collected[0] = time.monotonic()
     return out
