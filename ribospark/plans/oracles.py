@@ -154,7 +154,7 @@ ALT_ORFS = f"""(SELECT 'var_' || id || '_' || chrom || '.' || pos || '.' || ref
     FROM {SPLICED} WHERE alt_seq <> '')) WHERE NOT list_contains(ref_orfs, alt_orfs[f + 1]))"""
 
 
-def _mutations() -> str:
+def mutations_sql() -> str:
     n, m = "cast(o_orderkey % 90 + 1 AS varchar)", "cast(o_orderkey % 90 + 3 AS varchar)"
     forms = [f"'c.' || {n} || {_base('o_orderkey')} || '>' || {_base('o_orderkey + 1')}", f"'c.' || {n} || '_' || {m} || 'delinsGAT'", f"'c.' || {n} || '_' || {m} || 'insACG'", f"'c.' || {n} || '_' || {m} || 'del'", f"'c.' || {n} || 'del'", "'c.?'", "'c.?'"]
     aa = [f"'p.V' || {n} || 'E'", f"'p.Val' || {n} || 'Glu'", f"'p.K' || {n} || '*'", f"'p.A' || {n} || '_G' || {m} || 'insKR'", f"'p.A' || {n} || '_G' || {m} || 'del'", f"'p.A' || {n} || '_G' || {m} || '>WW'"]
@@ -175,7 +175,7 @@ def _aa_edit(p: str) -> str:
         WHEN kind = 4 THEN substr({p}, 1, n - 1) || substr({p}, n + 3) ELSE substr({p}, 1, n - 1) || 'WW' || substr({p}, n + 3) END"""
 
 
-EDITED = f"(SELECT m.*, d.seq FROM {_mutations()} m JOIN {DNA} d ON m.gene = d.id)"
+EDITED = f"(SELECT m.*, d.seq FROM {mutations_sql()} m JOIN {DNA} d ON m.gene = d.id)"
 CENSUS = f"""(SELECT ord, 'COSMIC:' || gene || ':' || aa_mut || ':' || replace(mutation_type, ' ', '') AS header, seq, "group" FROM (
     SELECT * EXCLUDE (seq), CASE WHEN form < 5 THEN coalesce({tr(_dna_edit("seq"))}, '') ELSE {_aa_edit(tr("seq"))} END AS seq FROM {EDITED}) WHERE seq <> '')"""
 

@@ -10,29 +10,47 @@ CENSUS_COLUMNS = {"gene": "Gene name", "mrna": "Accession Number", "dna_mut": "M
 MAF_COLUMNS = {"hgvsc": "HGVSc", "transcript_id": "Transcript_ID", "varclass": "Variant_Classification", "vartype": "Variant_Type", "hgvsp": "HGVSp_Short", "sample": "Tumor_Sample_Barcode"}
 
 
+def _placed(lines: DataFrame) -> DataFrame:
+    """value, and where in which file a line stands."""
+    return lines.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+
+
 def _by_header(lines: DataFrame, needed: list[str], pick) -> DataFrame:
     """Rows of tab-separated lines under a header line that holds the needed columns; ragged rows go.
 
-    A file may hold several header lines (tables put one behind another): each binds the
-    columns anew for the lines behind it. Header lines are few; their places are literals.
+    ``lines`` come from ``_placed``. Where header lines differ (tables put one behind another),
+    each binds the columns anew for the lines behind it in its file; a line without a header
+    before it goes by the file's first one, a file without a header by the first of all.
     """
     numbered = lines.withColumn("ord", F.monotonically_increasing_id())
     parts = F.split("value", "\t")
     is_header = F.size(F.array_intersect(F.transform(parts, lambda x: F.trim(x)), F.array(*map(F.lit, needed)))) == len(set(needed))
-    headers = sorted((r["ord"], r["value"]) for r in numbered.filter(is_header).collect())
+    headers = sorted(tuple(r) for r in numbered.filter(is_header).select("_file", "_block", "ord", "value").collect())  # one for each table
     if not headers:
         raise ValueError(f"missing required columns: expected {needed}")
-    picked = [pick([x.strip() for x in h.split("\t")]) for _, h in headers]
-    before = F.size(F.filter(F.array(*(F.lit(o) for o, _ in headers)), lambda o: o < F.col("ord")))
-    body = numbered.filter(~is_header).withColumn("_table", before).filter("_table > 0")
-    place = lambda name: F.get(F.array(*(F.lit(x[name]) for x in picked)), F.col("_table") - 1)
-    last = F.get(F.array(*(F.lit(max(x.values())) for x in picked)), F.col("_table") - 1)
-    return body.filter(F.size(parts) > last).select(*(F.get(parts, place(n)).alias(n) for n in picked[0]), "ord")
+    layouts: list[dict[str, int]] = []
+    by_file: dict[str, list[tuple[int, int, int]]] = {}
+    for file, block, ord_, line in headers:
+        layout = pick([x.strip() for x in line.split("\t")])
+        if layout not in layouts:
+            layouts.append(layout)
+        by_file.setdefault(file, []).append((block, ord_, layouts.index(layout)))
+    body = numbered.filter(~is_header)
+    table = F.lit(0)
+    if len(layouts) > 1:
+        told = lines.sparkSession.createDataFrame(list(by_file.items()), "_in string, _heads array<struct<block: long, ord: long, layout: int>>")
+        body = body.join(F.broadcast(told), F.col("_file") == F.col("_in"), "left")
+        before = F.filter("_heads", lambda h: (h["block"] < F.col("_block")) | ((h["block"] == F.col("_block")) & (h["ord"] < F.col("ord"))))
+        table = F.coalesce(F.get(before, F.size(before) - 1)["layout"], F.get("_heads", 0)["layout"], F.lit(0))
+    body = body.withColumn("_table", table)
+    place = lambda name: F.get(F.array(*(F.lit(x[name]) for x in layouts)), F.col("_table"))
+    last = F.get(F.array(*(F.lit(max(x.values())) for x in layouts)), F.col("_table"))
+    return body.filter(F.size(parts) > last).select(*(F.get(parts, place(n)).alias(n) for n in layouts[0]), "ord")
 
 
 def read_census(spark: SparkSession, path: str, filter_column: str = "") -> DataFrame:
     """gene, mrna, dna_mut, aa_mut, mutation_type, group, ord of a census export (latin-1)."""
-    lines = spark.read.option("encoding", "ISO-8859-1").option("sep", "\x01").option("quote", "").csv(path, schema="value string")
+    lines = _placed(spark.read.option("encoding", "ISO-8859-1").option("sep", "\x01").option("quote", "").csv(path, schema="value string"))
 
     def pick(names: list[str]) -> dict[str, int]:
         found = {k: names.index(v) for k, v in CENSUS_COLUMNS.items()}
@@ -44,13 +62,13 @@ def read_census(spark: SparkSession, path: str, filter_column: str = "") -> Data
 
 def read_maf(spark: SparkSession, path: str) -> DataFrame:
     """gene (first column), the named mutation-table columns and ord; comment lines and the header are skipped."""
-    lines = spark.read.text(path).filter(~F.startswith("value", F.lit("#")))
+    lines = _placed(spark.read.text(path)).filter(~F.startswith("value", F.lit("#")))
     return _by_header(lines, list(MAF_COLUMNS.values()), lambda names: {"gene": 0} | {k: names.index(v) for k, v in MAF_COLUMNS.items()})
 
 
 def read_samples(spark: SparkSession, path: str, group_column: str) -> DataFrame:
     """sample and group (spaces as ``_``) of a clinical sample table."""
-    lines = spark.read.text(path).filter(~F.startswith("value", F.lit("#")))
+    lines = _placed(spark.read.text(path)).filter(~F.startswith("value", F.lit("#")))
     rows = _by_header(lines, ["SAMPLE_ID", group_column], lambda names: {"sample": names.index("SAMPLE_ID"), "group": names.index(group_column)})
     return rows.select("sample", F.replace("group", F.lit(" "), F.lit("_")).alias("group"))
 

@@ -163,6 +163,40 @@ def test_streamed_filter(spark, tmp_path):
     assert [(r["pos"], r["alt"]) for r in spark.table("kept").collect()] == [(5, "C")]
 
 
+def test_counts_and_clinical_filter_on_streams(spark, tmp_path):
+    """Late records count until the watermark passes; the clinical filter keeps no state."""
+    rows = [("1", "2024-01-01 00:10:00", "CLNSIG=Pathogenic;MC=SO:1|missense_variant"), ("1", "2024-01-01 00:50:00", "CLNSIG=Benign;MC=SO:1|missense_variant"), ("2", "2024-01-01 01:10:00", "CLNSIG=Pathogenic;MC=SO:1|intron_variant")]
+    schema = "chrom string, ts timestamp, pos long, ref string, alt string, info string"
+    spark.createDataFrame(rows, "chrom string, ts string, info string").selectExpr("chrom", "cast(ts as timestamp) as ts", "5L as pos", "'A' as ref", "'C' as alt", "info").write.json(str(tmp_path / "in/a"))
+    read = lambda: spark.readStream.schema(schema).json(str(tmp_path / "in/*"))
+
+    def run(out, name, mode):
+        q = out.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return spark.table(name).collect()
+
+    counted = run(streams.windowed_counts(read(), "ts").select("window.start", "chrom", "n"), "counted", "complete")
+    assert sorted((str(r["start"]), r["chrom"], r["n"]) for r in counted) == [("2024-01-01 00:00:00", "1", 2), ("2024-01-01 01:00:00", "2", 1)]
+    kept = run(streams.streamed_clinical_filter(read(), ["Benign"], ["missense_variant"]), "clinical", "append")
+    assert len(kept) == 1
+
+
+def test_headers_bind_by_file(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    head = "PATIENT_ID\tSAMPLE_ID\tCANCER_TYPE\n"
+    _write(tmp_path / "d/a.txt", head + "".join(f"p\ts{i}\tA\n" for i in range(50)))
+    _write(tmp_path / "d/b.txt", "CANCER_TYPE\tSAMPLE_ID\nB\tt1\n" + head + "p\tt2\tC\n")
+    rows = {r["sample"]: r["group"] for r in tables.read_samples(spark, str(tmp_path / "d"), "CANCER_TYPE").collect()}
+    assert rows == {f"s{i}": "A" for i in range(50)} | {"t1": "B", "t2": "C"}
+
+
+def test_duplicate_keys_of_an_index(spark, tmp_path):
+    records = flatfiles.read_fasta(spark, _write(tmp_path / "a.fa", ">x\nA\n>x\nC\n>y\nG\n"))
+    assert flatfiles.index_fasta(records.filter("id = 'y'")).collect()[0]["key"] == "y"
+    with pytest.raises(Exception, match="duplicate key x"):
+        flatfiles.index_fasta(records).collect()
+
+
 def test_entry_and_oracles_agree_on_names(spark):
     import __spark_entry__ as entry
 
