@@ -116,3 +116,14 @@ def test_ions_and_support(spark):
     assert [x["ion"] for x in got] == ["b1", "y1", "y2"]
     flags = one(spark, P.ion_support(F.col("p"), F.lit(2), P.matched_ions(P.fragment_ions(F.col("p")), F.expr(peaks), 0.02), F.lit(7.0)), p="GAK")
     assert flags["ions_support"] == "YES" and flags["support_ions"] == "y2" and flags["flanking_ions_support"] == "YES"
+
+
+def test_peptide_classes(spark):
+    from ribospark.functions.classes import class_groups, has_prefix, in_group
+
+    assert class_groups("{var:[COSMIC,cbiomut]};{alt:[altorf]}") == {"var": ["COSMIC", "cbiomut"], "alt": ["altorf"]}
+    assert class_groups("a,b") == {"a": ["a"], "b": ["b"]}
+    rows = [(1, ["COSMIC:1", "cbiomut:2"]), (2, ["COSMIC:1", "ENSP"]), (3, ["DECOY_COSMIC"]), (4, [])]
+    df = spark.createDataFrame(rows, "id int, a array<string>")
+    got = {r["id"]: (r["g"], r["d"]) for r in df.select("id", in_group(F.col("a"), ["COSMIC", "cbiomut"]).alias("g"), has_prefix(F.col("a"), "DECOY_").alias("d")).collect()}
+    assert got == {1: (True, False), 2: (False, False), 3: (True, True), 4: (True, False)}
