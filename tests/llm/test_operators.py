@@ -318,24 +318,6 @@ def test_urls(spark):
     assert url_filters.filter_urls(pages.limit(0), url_filters.default_rules()).count() == 0
 
 
-def test_pipeline(spark):
-    """``run`` is its stages one after another, each on what the one before kept."""
-    import corpus_pipeline
-
-    folder = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
-    now = docs
-    kept = []
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        now = stage(spark, now, folder)
-        assert now.columns == docs.columns
-        kept.append(now.count())
-    got = corpus_pipeline.run(spark, folder)
-    assert got.count() == kept[-1]
-    assert kept[1] < kept[0] <= docs.count() and kept[2] < kept[1]
-    assert Counter(r["doc_id"] for r in got.collect()) == Counter(r["doc_id"] for r in now.collect())
-
-
 def test_pipeline_against_plain_loops(spark, tmp_path):
     """Odd rows through ``run``: nulls, repeated rows and ids, texts without words, extra columns, near copies and a leak."""
     from tokenizers import Tokenizer
