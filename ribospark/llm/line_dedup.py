@@ -14,7 +14,8 @@ written apart, and joined back to the units of digests that occur twice, where a
 execution splits a hot digest. Texts are cut once: units are written with their offsets.
 What is gathered is a text's own list of units.
 
-Defined results: rows with equal doc_id and text are one document and get the same result;
+Defined results: every row has a result; rows with equal doc_id and text are one document and
+get the same one;
 null ids rank last (a kept document without an id shows as null in ``kept_docs``); null and empty texts and units without a word lose nothing; an empty
 table gives an empty table; other columns are not read.
 """
@@ -62,7 +63,7 @@ def removed_runs(places: list[int], sizes: list[int], least: int) -> list[tuple[
 
 
 def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 1) -> DataFrame:
-    """The documents that lose something: doc_id, n_units, n_removed, starts and ends of the removed runs, kept_docs (where their units stay), kept_text."""
+    """Every document: doc_id, n_units, n_removed, removed_words, longest_run (words), starts and ends of the removed runs, kept_docs (where their units stay), kept_text."""
     taken = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).withColumn("_h", F.xxhash64("_text"))
 
     def rows(batches: Iterator[dict]):
@@ -85,24 +86,24 @@ def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marks = repeated.groupBy("_id", "_h").agg(F.collect_set(F.struct("place", "units", "start", "end", "words", F.col("first.id").alias("kept"))).alias("marks"))
     marks = cut(marks.select(F.col("_id").alias("_i"), F.col("_h").alias("_g"), *(F.col(f"marks.{c}").alias(c) for c in fields)))
     stored.drop()
-    joined = taken.join(marks, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g"))).select("_id", "_text", *fields)
+    joined = taken.join(marks, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g")), "left").select("_id", "_text", *fields)
 
     def cut_out(batches: Iterator[dict]):
         for b in batches:
-            out: dict[str, list] = {k: [] for k in ("doc_id", "n_units", "n_removed", "starts", "ends", "kept_docs", "kept_text")}
+            out: dict[str, list] = {k: [] for k in ("doc_id", "n_units", "n_removed", "removed_words", "longest_run", "starts", "ends", "kept_docs", "kept_text")}
             for i in range(len(b["_id"])):
-                text = b["_text"][i].as_py()
-                marked = sorted(zip(*(b[c][i].as_py() for c in ("place", "start", "end", "words", "kept"))), key=lambda m: m[0])
+                text, lost = b["_text"][i].as_py() or "", b["place"][i].is_valid
+                marked = sorted(zip(*(b[c][i].as_py() for c in ("place", "start", "end", "words", "kept"))), key=lambda m: m[0]) if lost else []
                 runs = removed_runs([m[0] for m in marked], [m[3] for m in marked], min_words)
-                if not runs:
-                    continue
                 starts, ends = [marked[i][1] for i, _ in runs], [marked[j - 1][2] for _, j in runs]
                 pieces = [text[a:z] for a, z in zip([0, *ends], [*starts, len(text)])]
                 docs_kept = {marked[k][4] for i, j in runs for k in range(i, j)}
                 docs_kept = sorted(docs_kept - {None}) + [None] * (None in docs_kept)
-                row = (b["_id"][i].as_py(), b["units"][i][0].as_py(), sum(j - i for i, j in runs), starts, ends, docs_kept, "".join(pieces))
+                words = [sum(m[3] for m in marked[i:j]) for i, j in runs]
+                n_units = b["units"][i][0].as_py() if lost else len(units(text))
+                row = (b["_id"][i].as_py(), n_units, sum(j - i for i, j in runs), sum(words), max(words, default=0), starts, ends, docs_kept, "".join(pieces))
                 for name, value in zip(out, row):
                     out[name].append(value)
             yield out
 
-    return map_batches(joined, cut_out, "doc_id long, n_units long, n_removed long, starts array<int>, ends array<int>, kept_docs array<long>, kept_text string")
+    return map_batches(joined, cut_out, "doc_id long, n_units long, n_removed long, removed_words long, longest_run long, starts array<int>, ends array<int>, kept_docs array<long>, kept_text string")

@@ -50,8 +50,8 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lost = line_dedup.dedup_units(_table(spark, sf_dir, "documents"))
-    return lost.select("doc_id", "n_units", "n_removed", "starts", "ends", "kept_docs", F.sha2("kept_text", 256).alias("kept_sha256"))
+    cut = line_dedup.dedup_units(_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_units", "n_removed", "removed_words", "longest_run", "starts", "ends", "kept_docs", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

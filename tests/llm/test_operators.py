@@ -143,8 +143,11 @@ def test_suffix_dedup(docs, empty, monkeypatch):
 
 
 def test_line_dedup(docs, empty):
-    got = {r["doc_id"]: r for r in line_dedup.dedup_units(docs, min_words=10).collect()}
-    assert set(got) == {6, 7, 14}  # the copies behind the first; a row like another is the same document
+    rows = line_dedup.dedup_units(docs, min_words=10).collect()
+    got = {r["doc_id"]: r for r in rows}
+    assert len(rows) == docs.count() and {(r["n_removed"], r["longest_run"], r["kept_text"]) for r in rows if r["doc_id"] in (0, 1)} == {(0, 0, "")}
+    assert all(got[d]["removed_words"] == got[d]["longest_run"] == 120 for d in (6, 14))
+    assert {d for d, r in got.items() if r["n_removed"]} == {6, 7, 14}  # the copies behind the first; a row like another is the same document
     assert got[6]["kept_text"] == "" and got[6]["kept_docs"] == [5]
     assert got[7]["kept_text"].split() == ["Before", "it.", ".", "After", "it."] or got[7]["kept_text"].split() == ["Before", "it.", "After", "it."]
     assert line_dedup.dedup_units(empty).count() == 0
@@ -169,7 +172,8 @@ def test_line_dedup_against_a_plain_pass(spark, docs):
             ends = [z for i, (k, _, z) in enumerate(lost) if i + 1 == len(lost) or lost[i + 1][0] != k + 1]
             want[None if none else d] = (len(line_dedup.units(text)), len(lost), starts, ends, sorted(kept))
     got = {r["doc_id"]: (r["n_units"], r["n_removed"], r["starts"], r["ends"], r["kept_docs"]) for r in line_dedup.dedup_units(df).collect()}
-    assert got == want and len(got) > 20
+    assert {d: r for d, r in got.items() if r[1]} == want and len(want) > 20
+    assert all(r == (len(line_dedup.units(t)), 0, [], [], []) for d, t in _texts(df) if d not in want for r in [got[d]])
 
 
 def test_line_dedup_query_removes_short_units(spark, tmp_path):
@@ -187,7 +191,7 @@ def test_line_dedup_query_removes_short_units(spark, tmp_path):
         if starts:
             kept = "".join(text[a:z] for a, z in zip([0, *ends], [*starts, len(text)]))
             want[d] = (sum(r for _, _, r in marked), starts, ends, hashlib.sha256(kept.encode()).hexdigest())
-    got = {r["doc_id"]: (r["n_removed"], r["starts"], r["ends"], r["kept_sha256"]) for r in op6_line_dedup(spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: (r["n_removed"], r["starts"], r["ends"], r["kept_sha256"]) for r in op6_line_dedup(spark, str(tmp_path)).filter("n_removed > 0").collect()}
     assert got == want and {d: n for d, (n, *_) in got.items()} == {1: 2, 2: 3}
 
 
