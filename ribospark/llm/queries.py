@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ribospark.llm import decontamination, language_id, line_dedup, lm_scoring, mixing, near_dedup, quality_rules, suffix_dedup, token_output, url_filters
+from ribospark.llm import decontamination, language_id, line_dedup, lm_scoring, mixing, near_dedup, quality_rules, suffix_dedup, token_output, url_filters, vector_codes
 from ribospark.llm.common import remainder
 
 
@@ -74,6 +74,10 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(_table(spark, sf_dir, "pages"), url_filters.default_rules())
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def _op5_sql() -> str:
     rules = sorted(url_filters.HOST_RULES, key=lambda r: (len(r[0]), r[0]), reverse=True)
 
@@ -179,7 +183,7 @@ def _base_language_sql() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op2_lm_scoring": op2_lm_scoring, "op3_token_output": op3_token_output, "op4_quality_rules": op4_quality_rules, "op5_url_filters": op5_url_filters, "op6_line_dedup": op6_line_dedup, "op7_mixing": op7_mixing, "op8_near_dedup": op8_near_dedup, "op9_suffix_dedup": op9_suffix_dedup, "op10_language_id": op10_language_id, "base_lm_counts": base_lm_counts, "base_quality_counts": base_quality_counts, "base_mixing_targets": base_mixing_targets, "base_language_folds": base_language_folds}
+    return {"op1_decontamination": op1_decontamination, "op2_lm_scoring": op2_lm_scoring, "op3_token_output": op3_token_output, "op4_quality_rules": op4_quality_rules, "op5_url_filters": op5_url_filters, "op6_line_dedup": op6_line_dedup, "op7_mixing": op7_mixing, "op8_near_dedup": op8_near_dedup, "op9_suffix_dedup": op9_suffix_dedup, "op10_language_id": op10_language_id, "op13_vector_codes": op13_vector_codes, "base_lm_counts": base_lm_counts, "base_quality_counts": base_quality_counts, "base_mixing_targets": base_mixing_targets, "base_language_folds": base_language_folds}
 
 
 def oracle_sql() -> dict[str, str]:
