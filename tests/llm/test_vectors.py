@@ -6,8 +6,8 @@ import math
 import numpy as np
 import pytest
 
-from ribospark.llm import vector_codes
-from ribospark.llm.queries import op13_vector_codes
+from ribospark.llm import vector_codes, whitening
+from ribospark.llm.queries import op11_whitening, op13_vector_codes
 
 SCHEMA = "vec_id long, embedding array<float>, label int, x string, n long, id string, code string"
 
@@ -104,3 +104,54 @@ def test_vector_codes_query(spark):
     assert _got(vector_codes.encode_vectors(df)) == _plain_codes(small)
     got = op13_vector_codes(spark, "/root/testdata/sf0.001").collect()
     assert len(got) == len(_sound(rows)) and len({r["codebooks_sha256"] for r in got}) == 1
+
+
+def _plain_whitening(rows, components=16):
+    kept = [(r[0], tuple(math.floor(64 * c) + 1_000_000 for c in r[1])) for r in _sound(rows)]
+    fit = sorted({x for _, x in kept})
+    n, sums = len(fit), [sum(c) for c in zip(*fit)]
+    exact = np.array([[n * c - s for c, s in zip(x, sums)] for x in fit], object)
+    cov = (exact.T @ exact).astype(np.float64) / float(n) ** 3
+    values, vectors = np.linalg.eigh(cov)
+    values, vectors = values[::-1][:components], vectors[:, ::-1][:, :components]
+    out = {}
+    for i, x in kept:
+        d = [n * c - s for c, s in zip(x, sums)]
+        out[i if i is not None else -1] = (n, sum(v * v for v in d), np.array(d, float) / n @ vectors / np.sqrt(values))
+    return out, values / np.trace(cov)
+
+
+def test_whitening(spark):
+    rows = _rows(n=600, d=21)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    want, explained = _plain_whitening(rows)
+    for tile, block in ((32, 2048), (5, 64)):
+        got = whitening.whiten_vectors(df, tile=tile, row_block=block).collect()
+        assert len(got) == 16 * len(_sound(rows))
+        signs = {}
+        for r in sorted(got, key=lambda r: r["component"]):
+            n, deviation, white = want[r["vec_id"] if r["vec_id"] is not None else -1]
+            k = r["component"] - 1
+            assert (r["n"], r["deviation"]) == (n, deviation) and r["identity_error"] < 1e-9
+            assert abs(r["explained"] / explained[k] - 1) < 1e-9
+            if k not in signs and abs(white[k]) > 0.1:
+                signs[k] = 1 if r["whitened"] * white[k] > 0 else -1
+            if k in signs:
+                assert abs(signs[k] * r["whitened"] - white[k]) < 1e-6
+        assert len(signs) == 16
+
+
+def test_whitening_without_variance(spark):
+    one = spark.createDataFrame([(1, [0.5, 0.25]), (1, [0.5, 0.25]), (2, [0.501, 0.251]), (3, [0.1])], "vec_id long, embedding array<double>")
+    got = whitening.whiten_vectors(one).collect()
+    assert len(got) == 6 and all(r["whitened"] is None and r["explained"] == 0 and r["deviation"] == 0 and r["identity_error"] == 0 and r["n"] == 1 for r in got)
+    line = spark.createDataFrame([(i, [float(i), 2.0 * i, 2.0**40 * (i % 2)]) for i in range(9)], "vec_id long, embedding array<double>")
+    got = whitening.whiten_vectors(line).collect()
+    assert [r["component"] for r in got if r["vec_id"] == 1] == [1, 2, 3] and got[0]["n"] == 9 and all(r["deviation"] is None for r in got)
+    assert whitening.whiten_vectors(one.limit(0)).collect() == []
+
+
+def test_whitening_query(spark):
+    got = op11_whitening(spark, "/root/testdata/sf0.001")
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", "embedding").collect()
+    assert got.count() == 16 * len(_sound([tuple(r) for r in rows])) and got.agg({"identity_error": "max"}).collect()[0][0] < 1e-4
