@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ribospark.llm import decontamination, language_id, line_dedup, lm_scoring, mixing, near_dedup, quality_rules, suffix_dedup, token_output, url_filters, vector_codes, whitening
+from ribospark.llm import decontamination, html_extraction, language_id, line_dedup, lm_scoring, mixing, near_dedup, quality_rules, suffix_dedup, token_output, url_filters, vector_codes, whitening
 from ribospark.llm.common import remainder
 
 
@@ -78,6 +78,11 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return html_extraction.extract_text(pages, html_extraction.learn_layout(pages))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.encode_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -187,7 +192,7 @@ def _base_language_sql() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op2_lm_scoring": op2_lm_scoring, "op3_token_output": op3_token_output, "op4_quality_rules": op4_quality_rules, "op5_url_filters": op5_url_filters, "op6_line_dedup": op6_line_dedup, "op7_mixing": op7_mixing, "op8_near_dedup": op8_near_dedup, "op9_suffix_dedup": op9_suffix_dedup, "op10_language_id": op10_language_id, "op11_whitening": op11_whitening, "op13_vector_codes": op13_vector_codes, "base_lm_counts": base_lm_counts, "base_quality_counts": base_quality_counts, "base_mixing_targets": base_mixing_targets, "base_language_folds": base_language_folds}
+    return {"op1_decontamination": op1_decontamination, "op2_lm_scoring": op2_lm_scoring, "op3_token_output": op3_token_output, "op4_quality_rules": op4_quality_rules, "op5_url_filters": op5_url_filters, "op6_line_dedup": op6_line_dedup, "op7_mixing": op7_mixing, "op8_near_dedup": op8_near_dedup, "op9_suffix_dedup": op9_suffix_dedup, "op10_language_id": op10_language_id, "op11_whitening": op11_whitening, "op12_html_extraction": op12_html_extraction, "op13_vector_codes": op13_vector_codes, "base_lm_counts": base_lm_counts, "base_quality_counts": base_quality_counts, "base_mixing_targets": base_mixing_targets, "base_language_folds": base_language_folds}
 
 
 def oracle_sql() -> dict[str, str]:
