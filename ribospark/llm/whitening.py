@@ -34,6 +34,8 @@ from ribospark.llm.vectors import exact_sums, integer_vectors, largest, matrix
 
 #: Dimensions of a tile's side and vectors of a row-block.
 TILE, ROW_BLOCK = 32, 2048
+#: Sums of a tile that are made apart before the last sum.
+PARTS = 32
 #: What is added to every floor(64 * c).
 OFFSET = 1_000_000
 
@@ -110,9 +112,16 @@ def _sums(blocks: DataFrame) -> tuple[int, list[int]]:
 
 
 def _summed(products: DataFrame) -> list:
-    """Tiles' sums (i, j, cells) of the tasks' parts (i, j, cells)."""
-    cells = products.select("i", "j", F.posexplode("cells").alias("at", "v")).groupBy("i", "j", "at").agg(F.sum("v").alias("v"))
-    return cells.groupBy("i", "j").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("cells")).select("i", "j", F.col("cells.v").alias("cells")).collect()
+    """Tiles' sums (i, j, cells) of the tasks' parts (i, j, part, cells): first the parts with one remainder, then all."""
+
+    def added(table: pa.Table) -> pa.Table:
+        cells = table.column("cells").combine_chunks()
+        total = cells.flatten().to_numpy().reshape(len(cells), -1).sum(axis=0)
+        head = table.slice(0, 1)
+        return pa.table({"i": head.column("i"), "j": head.column("j"), "cells": pa.array([total], pa.list_(pa.float64()))})
+
+    some = products.groupBy("i", "j", F.pmod("part", F.lit(PARTS)).alias("p")).applyInArrow(added, "i int, j int, cells array<double>")
+    return some.groupBy("i", "j").applyInArrow(added, "i int, j int, cells array<double>").collect()
 
 
 def _covariance(blocks: DataFrame, n: int, sums: list[int], tile: int) -> np.ndarray:
@@ -131,10 +140,10 @@ def _covariance(blocks: DataFrame, n: int, sums: list[int], tile: int) -> np.nda
                 v = centre(np.frombuffer(y.as_buffer(), np.int64).reshape(-1, len(other)), n, other)
                 total[i, j] = total.get((i, j), 0) + u.T @ v
         if total:
-            yield {"i": [k[0] for k in total], "j": [k[1] for k in total], "cells": [m.ravel() for m in total.values()]}
+            yield {"i": [k[0] for k in total], "j": [k[1] for k in total], "part": [TaskContext.get().partitionId()] * len(total), "cells": [m.ravel() for m in total.values()]}
 
     out = np.zeros((dims, dims))
-    for r in _summed(map_batches(met.select("i", "j", "a", "b"), multiplied, "i int, j int, cells array<double>")):
+    for r in _summed(map_batches(met.select("i", "j", "a", "b"), multiplied, "i int, j int, part int, cells array<double>")):
         own, other = slice(r["i"] * tile, (r["i"] + 1) * tile), slice(r["j"] * tile, (r["j"] + 1) * tile)
         cells = np.array(r["cells"]).reshape(out[own, other].shape) / n
         out[own, other], out[other, own] = cells, cells.T
@@ -155,9 +164,9 @@ def _identity_error(blocks: DataFrame, model: Whitening, tile: int) -> float:
                 columns = [np.frombuffer(p, np.int64).reshape(-1, min(tile, dims - k * tile)) for k, p in enumerate(parts)]
                 w = model.whiten(np.concatenate(columns, axis=1))[:, sound]
                 total += w.T @ w
-        yield {"i": [0], "j": [0], "cells": [total.ravel()]}
+        yield {"i": [0], "j": [0], "part": [TaskContext.get().partitionId()], "cells": [total.ravel()]}
 
-    (found,) = _summed(map_batches(whole.select(F.col("x.data").alias("parts")), multiplied, "i int, j int, cells array<double>"))
+    (found,) = _summed(map_batches(whole.select(F.col("x.data").alias("parts")), multiplied, "i int, j int, part int, cells array<double>"))
     return float(np.abs(np.array(found["cells"]).reshape(len(sound), -1) / model.n - np.eye(len(sound))).max())
 
 
