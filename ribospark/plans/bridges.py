@@ -101,15 +101,6 @@ def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.lit("f").alias("file"), F.col("vec_id").cast("int").alias("scan"), peaks.alias("peaks"))
 
 
-def psm_peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Peptides of 20 or 21 residues of all proteins, and each of them with its tenth residue changed."""
-    from ribospark.functions.sequences import cleave
-
-    p = protein(spark, sf_dir).select(F.explode(cleave(F.col("seq"), "Trypsin", 0, 20, 21)).alias("sequence")).distinct()
-    changed = F.concat(F.substring("sequence", 1, 9), F.translate(F.substring("sequence", 10, 1), FROM, TO), F.substring("sequence", 11, 100))
-    return p.unionByName(p.select(changed.alias("sequence"))).distinct()
-
-
 def digested_peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All tryptic peptides of 7 to 40 residues of all proteins."""
     from ribospark.functions.sequences import cleave

@@ -103,7 +103,7 @@ def id_map_files(spark: SparkSession, d: str) -> DataFrame:
 def psm_files(spark: SparkSession, d: str) -> DataFrame:
     """Peptides written as a PSM table and scanned; text stays as it is."""
     folder = f"{_folder(spark)}.tsv"
-    sinks.write_psms(B.psm_peptides(spark, d).select("sequence", F.concat(F.lit("00"), F.length("sequence").cast("string")).alias("scan_number")), folder)
+    sinks.write_psms(B.searched_peptides(spark, d).select("sequence", F.concat(F.lit("00"), F.length("sequence").cast("string")).alias("scan_number")), folder)
     return tables.read_psms(spark, folder).select("sequence", "scan_number")
 
 
@@ -123,5 +123,5 @@ def oracle_sql() -> dict[str, str]:
         "sample_files": "SELECT cast(c_custkey AS varchar) AS sample, 'A_' || c_mktsegment AS \"group\" FROM customer",
         "assembly_files": "SELECT cast(n_nationkey AS varchar) AS \"numeric\", 'NC_' || n_nationkey AS refseq, CASE WHEN n_nationkey % 2 = 1 THEN 'chr' || n_nationkey END AS ucsc FROM nation",
         "id_map_files": "SELECT cast(c_nationkey AS varchar) AS gene, cast(c_custkey AS varchar) AS transcript, 'p' || c_custkey AS protein FROM customer",
-        "psm_files": f"SELECT sequence, '00' || length(sequence) AS scan_number FROM {O.PSM}",
+        "psm_files": f"SELECT sequence, '00' || length(sequence) AS scan_number FROM {O.SEARCHED}",
     }

@@ -98,12 +98,12 @@ def _switched_decoys() -> str:
 
 
 def _ion_support() -> str:
-    """Matched fragments of short peptides against their spectra, and the support of the residue three before the end."""
+    """Matched fragments of all digested peptides against their spectra, and the support of the residue three before the end."""
     crc = "xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(sequence, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295)"
     return f"""
         WITH peaks AS MATERIALIZED {PEAKS},
         spectra AS (SELECT scan, sum(intensity) AS total, max(intensity) AS most, sum(intensity) / count(*) AS mean, median(intensity) AS mid FROM peaks GROUP BY scan),
-        psms AS (SELECT sequence, length(sequence) AS n, length(sequence) - 3 AS p, ({crc} % ((SELECT max(scan) FROM peaks) + 1))::int AS scan FROM {SHORT}),
+        psms AS (SELECT sequence, length(sequence) AS n, length(sequence) - 3 AS p, ({crc} % ((SELECT max(scan) FROM peaks) + 1))::int AS scan FROM {DIGESTED}),
         places AS (SELECT *, unnest(range(1, n + 1)) AS i FROM psms),
         ions AS (SELECT *, 'b' AS kind, {_mass("substr(sequence, 1, i::int)")} + 1.007276 AS mz FROM places
                  UNION ALL SELECT *, 'y', {_mass("right(sequence, i::int)")} + 1.007276 + 18.010565 FROM places),
@@ -192,19 +192,22 @@ MAF = f"""(SELECT ord, 'cbiomut:' || tx || ':' || gene || ':' || hgvsp || ':' ||
     WHEN 0 THEN CASE WHEN n <= length(s) AND substr(s, n, 1) = b0 THEN substr(s, 1, n - 1) || b1 || substr(s, n + 1) END
     WHEN 1 THEN CASE WHEN substr(s, n, 1) = b0 THEN substr(s, 1, n - 1) || substr(s, n + 1) END
     WHEN 2 THEN substr(s, 1, n) || 'GG' || substr(s, n + 1) ELSE substr(s, 1, n + 1) || 'AC' || substr(s, n + 2) END AS e FROM {_maf()}))"""
-PSM = f"""(SELECT DISTINCT unnest([p, substr(p, 1, 9) || translate(substr(p, 10, 1), '{B.FROM}', '{B.TO}') || substr(p, 11)]) AS sequence FROM (
-    SELECT DISTINCT unnest({pieces("seq")}) AS p FROM {PROTEIN}) WHERE length(p) BETWEEN 20 AND 21)"""
-WINDOWS = f"""(SELECT seq, len, i AS place0, substr(seq, i, len) AS w FROM (SELECT seq, len, unnest(range(1, length(seq) - len + 2)) AS i FROM (SELECT DISTINCT seq FROM {PROTEIN}), (VALUES (20), (21)) AS l(len) WHERE length(seq) >= len))"""
-MISMATCH = f"""(SELECT sequence, position, variant, array_to_string(list_sort(list_distinct(list(id))), ',') AS proteins FROM (
-    SELECT sequence, seq, arg_min(place, place0) AS position, arg_min(change, place0) AS variant FROM (
-    SELECT *, substr(w, place, 1) || '>' || substr(sequence, place, 1) AS change FROM (
-    SELECT *, diff[1]::int AS place FROM (
-    SELECT p.sequence, x.seq, x.place0, x.w, list_filter(range(1, length(p.sequence) + 1), lambda i: substr(x.w, i, 1) <> substr(p.sequence, i, 1)) AS diff FROM (
-        SELECT DISTINCT seq, place0, w, sequence FROM (
-            SELECT a.seq, a.place0, a.w, b.sequence FROM {WINDOWS} a JOIN {PSM} b ON a.len = length(b.sequence) AND left(a.w, 10) = left(b.sequence, 10) AND a.w <> b.sequence
-            UNION ALL SELECT a.seq, a.place0, a.w, b.sequence FROM {WINDOWS} a JOIN {PSM} b ON a.len = length(b.sequence) AND substr(a.w, 11) = substr(b.sequence, 11) AND a.w <> b.sequence)) x
-        JOIN (SELECT sequence FROM {PSM}) p USING (sequence)) WHERE len(diff) = 1)) GROUP BY ALL) f JOIN {PROTEIN} q USING (seq) GROUP BY ALL)"""
-CANONICAL = f"(SELECT sequence FROM {PSM} WHERE sequence IN (SELECT w FROM {WINDOWS}))"
+DIGESTED = f"(SELECT DISTINCT p AS sequence FROM (SELECT unnest({pieces('seq')}) AS p FROM {PROTEIN}) WHERE length(p) BETWEEN 7 AND 40)"
+SEARCHED = f"""(SELECT DISTINCT unnest([sequence, substr(sequence, 1, length(sequence) // 2 - 1) || translate(substr(sequence, length(sequence) // 2, 1), '{B.FROM}', '{B.TO}') || substr(sequence, length(sequence) // 2 + 1)]) AS sequence FROM {DIGESTED})"""
+#: Peptides with their first seven residues and the rest, and the sequences' windows of seven residues with what stands before and behind them.
+SEARCH = f"""asked AS MATERIALIZED (SELECT sequence, length(sequence)::int AS n, left(sequence, 7) AS head, substr(sequence, 8) AS rest FROM {SEARCHED}),
+    windows AS MATERIALIZED (SELECT seq, i::int AS i, substr(seq, i, 7) AS k, substr(seq, i + 7, 33) AS behind, CASE WHEN i > 7 THEN substr(seq, i - 7, 7) END AS before
+                             FROM (SELECT seq, unnest(range(1, length(seq) - 5)) AS i FROM (SELECT DISTINCT seq FROM {PROTEIN}))),
+    canonical AS MATERIALIZED (SELECT DISTINCT sequence FROM asked JOIN windows ON k = head AND starts_with(behind, rest))"""
+#: A change behind the first seven residues, in them with the next seven intact, or in them at a left-out place of a peptide of under fourteen.
+MISMATCH = f"""places AS (SELECT sequence, seq, i, rest AS p, left(behind, n - 7) AS w, 7 AS shift FROM asked JOIN windows ON k = head AND length(behind) >= n - 7 AND n > 7 AND hamming(left(behind, n - 7), rest) = 1
+        UNION ALL SELECT sequence, seq, i - 7, head, before, 0 FROM asked JOIN windows ON n >= 14 AND k = substr(sequence, 8, 7) AND starts_with(behind, substr(sequence, 15)) AND before IS NOT NULL AND hamming(before, head) = 1
+        UNION ALL SELECT sequence, seq, i, head, k, 0 FROM (SELECT *, unnest(range(1, 8)) AS j FROM asked WHERE n < 14) a JOIN (SELECT *, unnest(range(1, 8)) AS h FROM windows) b
+            ON h = j AND left(k, h - 1) || substr(k, h + 1) = left(head, j - 1) || substr(head, j + 1) AND k <> head AND starts_with(behind, rest)),
+    changes AS (SELECT sequence, seq, arg_min({{'p': p, 'w': w, 'shift': shift}}, i) AS c FROM places GROUP BY ALL),
+    named AS (SELECT sequence, seq, c, list_filter(range(1, length(c.p) + 1), lambda x: substr(c.p, x, 1) <> substr(c.w, x, 1))[1]::int AS spot FROM changes),
+    mismatched AS (SELECT sequence, spot + c.shift AS position, substr(c.w, spot, 1) || '>' || substr(c.p, spot, 1) AS variant, array_to_string(list_sort(list_distinct(list(id))), ',') AS proteins
+                   FROM named JOIN {PROTEIN} USING (seq) GROUP BY ALL)"""
 POSITIONS = f"""(SELECT *, trans_end - ("end" - start) AS trans_start FROM (
     SELECT transcript_id, chrom, strand, start, "end", (row_number() OVER w)::int AS rank, (sum("end" - start + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::bigint AS trans_end
     FROM {BLOCKS} WINDOW w AS (PARTITION BY transcript_id ORDER BY CASE WHEN strand = '+' THEN start ELSE -start END, "end")))"""
@@ -221,7 +224,6 @@ def _mass(p: str) -> str:
     return " + ".join(f"{m!r}::double * (length({p}) - length(replace({p}, '{aa}', '')))" for aa, m in RESIDUE_MASS.items())
 
 
-SHORT = f"(SELECT DISTINCT p AS sequence FROM (SELECT unnest({pieces('seq')}) AS p FROM {PROTEIN}) WHERE length(p) BETWEEN 7 AND 12)"
 PEAKS = "(SELECT vec_id::int AS scan, unnest(range(0, len(embedding))) AS i, 100.0::double + unnest(range(0, len(embedding))) * 13.5::double AS mz, abs(floor(unnest(embedding)::double * 1000000)) AS intensity FROM embeddings)"
 
 
@@ -308,17 +310,18 @@ def oracle_sql() -> dict[str, str]:
         "stop_codon_summary": f"SELECT count(*) AS n, count(*) FILTER (NOT starts_with(seq, 'M')) AS no_met, count(*) FILTER (contains(b, '-')) AS gaps, count(*) FILTER (contains(b, '*')) AS stops, count(*) FILTER (length(b) <= 6) AS short FROM (SELECT seq, regexp_replace(seq, '\\*$', '') AS b FROM {STOPPED})",
         "residue_totals": " UNION ALL ".join(f"SELECT '{aa}' AS residue, sum(length(seq) - length(replace(seq, '{aa}', '')))::bigint AS n FROM {PROTEIN}" for aa in ALPHABET),
         "merged_database": f"SELECT seq, array_to_string(list_sort(list_distinct(list(id))), ',') AS ids FROM (SELECT id, seq FROM {PROTEIN} UNION ALL SELECT 'B' || id, replace(seq, 'I', 'L') FROM {PROTEIN}) GROUP BY seq",
-        "peptide_containment_semijoin": f"SELECT sequence FROM {CANONICAL}",
-        "one_mismatch_locate": f"SELECT sequence, position, variant, proteins FROM {MISMATCH}",
-        "psm_locate_positions": f"""SELECT 'mzspec:' || sequence AS usi, sequence, 'canonical' AS position, NULL::varchar AS variant, NULL::varchar AS proteins FROM {CANONICAL}
-            UNION ALL SELECT 'mzspec:' || p.sequence, p.sequence, coalesce(cast(m.position AS varchar), 'non-canonical'), m.variant, m.proteins FROM (SELECT sequence FROM {PSM} WHERE sequence NOT IN (SELECT sequence FROM {CANONICAL})) p LEFT JOIN {MISMATCH} m USING (sequence)""",
+        "peptide_containment_all": f"WITH {SEARCH} SELECT sequence FROM canonical",
+        "one_mismatch_all": f"WITH {SEARCH}, {MISMATCH} SELECT sequence, position, variant, proteins FROM mismatched",
+        "psm_locate_all": f"""WITH {SEARCH}, {MISMATCH}
+            SELECT 'mzspec:' || sequence AS usi, sequence, 'canonical' AS position, NULL::varchar AS variant, NULL::varchar AS proteins FROM canonical
+            UNION ALL SELECT 'mzspec:' || sequence, sequence, coalesce(cast(position AS varchar), 'non-canonical'), variant, proteins FROM (FROM asked ANTI JOIN canonical USING (sequence)) LEFT JOIN mismatched USING (sequence)""",
         "cds_transcript_positions": f'SELECT transcript_id, start, "end", rank, trans_start, trans_end FROM {POSITIONS}',
         "peptide_to_genome": f'SELECT peptide, chrom, strand, start, "end", len(parts)::int AS n_blocks FROM {PLACED}',
         "gff3_rows": f"""SELECT peptide, 0 AS ord, 'chr' || replace(chrom, 'MT', 'M') AS seqid, 'MS' AS source, 'mRNA' AS type, start, "end", '.' AS score, strand, '.' AS phase, 'ID=' || peptide AS attributes FROM {PLACED}
             UNION ALL SELECT peptide, k::int, 'chr' || replace(chrom, 'MT', 'M'), 'MS', 'CDS', parts[k].lo::bigint, parts[k].hi::bigint, '.', strand, CASE WHEN k = 1 THEN '0' ELSE '.' END, 'Parent=' || peptide FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS k FROM {PLACED})""",
-        "theoretical_ions": f"""SELECT sequence, 'b' || i AS ion, round({_mass("substr(sequence, 1, i::int)")} + 1.007276, 3) AS mz FROM (SELECT sequence, unnest(range(1, length(sequence) + 1)) AS i FROM {SHORT})
-            UNION ALL SELECT sequence, 'y' || i, round({_mass("right(sequence, i::int)")} + 1.007276 + 18.010565, 3) FROM (SELECT sequence, unnest(range(1, length(sequence) + 1)) AS i FROM {SHORT})""",
-        "ion_support_flags": _ion_support(),
+        "theoretical_ions_all": f"""SELECT sequence, 'b' || i AS ion, round({_mass("substr(sequence, 1, i::int)")} + 1.007276, 3) AS mz FROM (SELECT sequence, unnest(range(1, length(sequence) + 1)) AS i FROM {DIGESTED})
+            UNION ALL SELECT sequence, 'y' || i, round({_mass("right(sequence, i::int)")} + 1.007276 + 18.010565, 3) FROM (SELECT sequence, unnest(range(1, length(sequence) + 1)) AS i FROM {DIGESTED})""",
+        "ion_support_all": _ion_support(),
         "spectrum_summary": f"SELECT scan, sum(intensity) AS sum, max(intensity) AS max, round(sum(intensity) / count(*), 3) AS mean, median(intensity) AS median FROM {PEAKS} GROUP BY scan",
         "nearest_peak_match": f"SELECT scan, mz, round(err, 6) AS error, intensity, round_even(err / mz * 1000000, 2) AS ppm FROM {near}",
         "version_resolution": """SELECT o_orderkey AS ord, cast(o_custkey AS varchar) AS wanted, CASE WHEN c_nationkey % 2 = 0 THEN c_custkey || '.2' ELSE cast(c_custkey AS varchar) END AS resolved_id FROM orders LEFT JOIN customer ON o_custkey = c_custkey""",

@@ -278,37 +278,21 @@ def merged_database(spark, d):
     return proteins.merged_database([p, p.select(F.concat(F.lit("B"), "id").alias("id"), S.isobaric(F.col("seq")).alias("seq"))]).select("seq", F.array_join("ids", ",").alias("ids"))
 
 
-@query
-def peptide_containment_semijoin(spark, d):
-    return peptides.contained_peptides(B.psm_peptides(spark, d), B.protein(spark, d))
-
-
-@query
-def one_mismatch_locate(spark, d):
-    return peptides.one_mismatch(B.psm_peptides(spark, d), B.protein(spark, d))
-
-
-@query
-def psm_locate_positions(spark, d):
-    psms = B.psm_peptides(spark, d).withColumn("usi", F.concat(F.lit("mzspec:"), "sequence"))
-    return peptides.locate_peptides(psms, B.protein(spark, d))
-
-
 @query
 def peptide_containment_all(spark, d):
-    """``peptide_containment_semijoin`` for all digested peptides."""
+    """Which of all digested peptides, as they are or with a residue changed, a protein contains."""
     return peptides.contained_peptides(B.searched_peptides(spark, d), B.protein(spark, d))
 
 
 @query
 def one_mismatch_all(spark, d):
-    """``one_mismatch_locate`` for all digested peptides."""
+    """Where the same peptides stand with one change."""
     return peptides.one_mismatch(B.searched_peptides(spark, d), B.protein(spark, d))
 
 
 @query
 def psm_locate_all(spark, d):
-    """``psm_locate_positions`` for all digested peptides."""
+    """Both, for each of these peptides as a PSM."""
     psms = B.searched_peptides(spark, d).withColumn("usi", F.concat(F.lit("mzspec:"), "sequence"))
     return peptides.locate_peptides(psms, B.protein(spark, d))
 
@@ -335,23 +319,14 @@ def gff3_rows(spark, d):
     return genome.gff3_rows(_placed(spark, d))
 
 
-def _short(spark, d):
-    return B.protein(spark, d).select(F.explode(S.cleave(F.col("seq"), "Trypsin", 0, 7, 12)).alias("sequence")).distinct()
-
-
 def _ions(sequences):
     ions = sequences.select("sequence", F.explode(P.fragment_ions(F.col("sequence"))).alias("x"))
     return ions.select("sequence", "x.ion", F.round("x.mz", 3).alias("mz"))
 
 
-@query
-def theoretical_ions(spark, d):
-    return _ions(_short(spark, d))
-
-
 @query
 def theoretical_ions_all(spark, d):
-    """``theoretical_ions`` for all digested peptides."""
+    """Fragment ions of all digested peptides."""
     return _ions(B.digested_peptides(spark, d))
 
 
@@ -374,14 +349,9 @@ def _supported(spark, d, sequences):
     return spectra.inspect_spectra(psms, B.spectra(spark, d), 7.0)
 
 
-@query
-def ion_support_flags(spark, d):
-    return _supported(spark, d, _short(spark, d))
-
-
 @query
 def ion_support_all(spark, d):
-    """``ion_support_flags`` for all digested peptides."""
+    """Support of all digested peptides by spectra."""
     return _supported(spark, d, B.digested_peptides(spark, d))
 
 

@@ -201,3 +201,34 @@ def test_entry_and_oracles_agree_on_names(spark):
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_seed_search_equals_plain_loops(spark, monkeypatch):
+    """Peptides shorter than a seed, longer than the compared stretch, repeated texts and letters of any kind."""
+    import random
+
+    from ribospark.operators import seeds
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("ACDK", k=rng.randint(0, 300))) for _ in range(25)] + ["A" * 200, "A" * 90 + "C" + "A" * 90, "MÜX*" * 20, "", "ACDK" * 50]
+    asked = {t[a : a + n] for t in texts for n in (1, 3, 6, 7, 8, 10, 13, 14, 15, 21, 40, 64, 65, 100) for a in rng.choices(range(max(1, len(t))), k=2)}
+    asked |= {p[:k] + "W" + p[k + 1 :] for p in sorted(asked) for k in [rng.randrange(max(1, len(p)))]} | {"WWWWWWW", "", "MÜX*MÜXA"}
+    db = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts + texts[:3])], "id string, seq string").repartition(4)
+    peps = spark.createDataFrame([(p,) for p in sorted(asked)] + [(None,)], "sequence string")
+    exact, changed = set(), set()
+    for p in asked - {""}:
+        found = {}
+        for i, t in enumerate(texts + texts[:3]):
+            if p in t:
+                exact.add(p)
+            for at in range(len(t) - len(p) + 1):
+                diff = [k for k in range(len(p)) if t[at + k] != p[k]]
+                if len(diff) == 1:
+                    found.setdefault((diff[0] + 1, f"{t[at + diff[0]]}>{p[diff[0]]}"), set()).add(str(i))
+                    break
+        changed |= {(p, k, v, ",".join(sorted(ids))) for (k, v), ids in found.items()}
+    for span in (100,):
+        monkeypatch.setattr(seeds, "SPAN", span)
+        assert {r[0] for r in peptides.contained_peptides(peps, db).collect()} == exact
+        assert {tuple(r) for r in peptides.one_mismatch(peps, db).collect()} == changed
+    assert peptides.contained_peptides(peps.limit(0), db).collect() == [] and peptides.one_mismatch(peps, db.limit(0)).collect() == []
