@@ -2,13 +2,94 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ribospark.functions.spectra import fragment_ions, intensity_summary, ion_support, matched_ions
+from ribospark.functions.constants import PROTON, RESIDUE_MASS, WATER
+from ribospark.functions.spectra import intensity_summary, ion_support, ppm
+
+_ION = pa.struct([("mz", pa.float64()), ("ion", pa.string()), ("type", pa.string()), ("pos", pa.int32()), ("z", pa.int32()), ("error", pa.float64()), ("intensity", pa.float64())])
+_ION_DDL = "array<struct<mz: double, ion: string, type: string, pos: int, z: int, error: double, intensity: double>>"
+
+
+@cache
+def _names(n: int, charge: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ion, type, pos, z) of the b and y ladders of n residues for the charges up to ``charge``."""
+    kinds = np.repeat(np.array(["b", "y"], object), n)
+    places = np.tile(np.arange(1, n + 1, dtype=np.int32), 2)
+    ions = np.array([f"{k}{p}" for k, p in zip(kinds, places)], object)
+    return tuple(np.tile(x, charge) for x in (ions, kinds, places)) + (np.repeat(np.arange(1, charge + 1, dtype=np.int32), 2 * n),)
+
+
+_MASSES = np.full(128, np.nan)
+_MASSES[[ord(aa) for aa in RESIDUE_MASS]] = list(RESIDUE_MASS.values())
+
+
+def ladder_masses(peptide: str, charge: int) -> np.ndarray:
+    """m/z of b1..bL and y1..yL, then of their forms with more charges; NaN from an unknown residue on."""
+    codes = np.frombuffer(peptide.encode("utf-32-le", "surrogatepass"), np.uint32)
+    masses = _MASSES[np.minimum(codes, 127)]
+    single = np.concatenate([masses.cumsum() + PROTON, masses[::-1].cumsum() + (PROTON + WATER)])
+    return np.concatenate([(single + PROTON * (z - 1)) / z for z in range(1, charge + 1)])
+
+
+def nearest_peaks(mz: np.ndarray, peaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(error, index of the nearest peak) of each m/z; of equally near ones the first. Sorts the peaks once and looks at two for each m/z."""
+    order = np.argsort(peaks, kind="stable")
+    ascending = peaks[order]
+    right = np.searchsorted(ascending, mz, side="left")  # the first of equal peaks
+    left = np.searchsorted(ascending, ascending[np.maximum(right - 1, 0)], side="left")
+    right = np.minimum(right, len(peaks) - 1)
+    errors = np.abs(ascending[left] - mz), np.abs(ascending[right] - mz)
+    take = (errors[0] < errors[1]) | ((errors[0] == errors[1]) & (order[left] < order[right]))
+    return np.where(take, *errors), np.where(take, order[left], order[right])
+
+
+def match_fragments(psms: DataFrame, charge: int = 1, name: str = "_ions") -> DataFrame:
+    """The rows (sequence, peaks, ...) with the fragment ions of their peptide, by m/z, and the nearest peak of each.
+
+    Rows without peaks or sequence have none; an ion with an unknown residue has no mass and is left out.
+    """
+    columns = psms.columns
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            peaks, sequences = b.column("peaks"), b.column("sequence").to_pylist()
+            offsets, there = peaks.offsets.to_numpy(), peaks.is_valid().to_numpy(zero_copy_only=False)
+            all_mz, all_intensity = (peaks.values.field(k).to_numpy(zero_copy_only=False) for k in ("mz", "intensity"))
+            sizes, parts = [0], []
+            for k, sequence in enumerate(sequences):
+                own = slice(offsets[k], offsets[k + 1])
+                n = 0
+                if sequence and there[k] and offsets[k] < offsets[k + 1]:
+                    mz = ladder_masses(sequence, charge)
+                    kept = np.flatnonzero(~np.isnan(mz))
+                    ions, kinds, places, charges = (x[kept] for x in _names(len(sequence), charge))
+                    mz = mz[kept]
+                    order = np.lexsort([charges, ions.astype(str), mz])
+                    if (n := len(order)):
+                        error, at = nearest_peaks(mz[order], all_mz[own])
+                        parts.append((mz[order], ions[order], kinds[order], places[order], charges[order], error, all_intensity[own][at]))
+                sizes.append(n)
+            joined = [np.concatenate(x) for x in zip(*parts)] or [[]] * _ION.num_fields
+            made = pa.StructArray.from_arrays([pa.array(x, type=f.type) for x, f in zip(joined, _ION)], fields=list(_ION))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), made)], names=[*columns, name])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in psms.schema)
+    return psms.mapInArrow(rows, f"{kinds}, `{name}` {_ION_DDL}")
+
+
+def matched(ions: str, tolerance: float, relative: bool = False):
+    """The ions of a column of ``match_fragments`` whose error (Da, or ppm) is under the tolerance."""
+    return F.filter(F.transform(ions, lambda x: x.withField("ppm", ppm(x["error"], x["mz"]))), lambda x: (x["ppm"] if relative else x["error"]) < tolerance)
 
 
-def inspect_spectra(psms: DataFrame, spectra: DataFrame, tolerance: float = 0.02, relative: bool = False) -> DataFrame:
+def inspect_spectra(psms: DataFrame, spectra: DataFrame, tolerance: float = 0.02, relative: bool = False, charge: int = 1) -> DataFrame:
     """PSM rows (sequence, file, scan, position) with matched ions, intensity summary and support of the substituted residue.
 
     PSMs without a spectrum keep their defaults (``skiped``); only a place inside the
@@ -18,7 +99,7 @@ def inspect_spectra(psms: DataFrame, spectra: DataFrame, tolerance: float = 0.02
     readable = spectra.filter("peaks is not null").select(F.col("file").alias("_readable")).distinct()
     joined = psms.join(s, (F.col("file") == F.col("_file")) & (F.col("scan") == F.col("_scan")), "left").drop("_file", "_scan")
     joined = joined.join(readable, F.col("file") == F.col("_readable"), "left")
-    joined = joined.withColumn("_ions", matched_ions(fragment_ions(F.col("sequence")), F.col("peaks"), tolerance, relative)).withColumn("_sum", intensity_summary(F.col("peaks")))
+    joined = match_fragments(joined, charge).withColumn("_ions", matched("_ions", tolerance, relative)).withColumn("_sum", intensity_summary(F.col("peaks")))
     place = F.col("position").try_cast("int")
     checked = (F.size("_ions") > 0) & place.between(1, F.length("sequence"))
     joined = joined.withColumn("_support", F.when(checked, ion_support(F.col("sequence"), place, F.col("_ions"), F.col("_sum.median"))))

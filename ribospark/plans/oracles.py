@@ -97,13 +97,29 @@ def _switched_decoys() -> str:
         SELECT id, seq, false AS is_decoy FROM targets UNION ALL SELECT 'DECOY_' || id, seq, true FROM made WHERE seq <> ''"""
 
 
+def _scan_psms() -> str:
+    """Digested peptides with the scan that their digest names."""
+    crc = "xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(sequence, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295)"
+    return f"SELECT sequence, length(sequence) AS n, length(sequence) - 3 AS p, ({crc} % ((SELECT max(scan) FROM peaks) + 1))::int AS scan FROM {DIGESTED}"
+
+
+def _charged() -> str:
+    """Ions of charge 1 and 2 whose nearest peak, the first of equals, is less than 1.5 away."""
+    return f"""
+        WITH peaks AS MATERIALIZED {PEAKS}, psms AS ({_scan_psms()}), places AS (SELECT *, unnest(range(1, n + 1)) AS k FROM psms),
+        single AS (SELECT sequence, scan, 'b' || k AS ion, {_mass("substr(sequence, 1, k::int)")} + 1.007276 AS m FROM places
+                   UNION ALL SELECT sequence, scan, 'y' || k, {_mass("right(sequence, k::int)")} + 1.007276 + 18.010565 FROM places),
+        ions AS (SELECT *, unnest([1, 2]) AS z, unnest([m, (m + 1.007276) / 2]) AS mz FROM single)
+        SELECT sequence, ion, z, round(ions.mz, 3) AS mz, arg_min(intensity, {{'e': abs(peaks.mz - ions.mz), 'i': i}}) AS intensity
+        FROM ions JOIN peaks ON ions.scan = peaks.scan AND abs(peaks.mz - ions.mz) < 1.5 GROUP BY sequence, ion, z, ions.mz"""
+
+
 def _ion_support() -> str:
     """Matched fragments of all digested peptides against their spectra, and the support of the residue three before the end."""
-    crc = "xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(sequence, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295)"
     return f"""
         WITH peaks AS MATERIALIZED {PEAKS},
         spectra AS (SELECT scan, sum(intensity) AS total, max(intensity) AS most, sum(intensity) / count(*) AS mean, median(intensity) AS mid FROM peaks GROUP BY scan),
-        psms AS (SELECT sequence, length(sequence) AS n, length(sequence) - 3 AS p, ({crc} % ((SELECT max(scan) FROM peaks) + 1))::int AS scan FROM {DIGESTED}),
+        psms AS ({_scan_psms()}),
         places AS (SELECT *, unnest(range(1, n + 1)) AS i FROM psms),
         ions AS (SELECT *, 'b' AS kind, {_mass("substr(sequence, 1, i::int)")} + 1.007276 AS mz FROM places
                  UNION ALL SELECT *, 'y', {_mass("right(sequence, i::int)")} + 1.007276 + 18.010565 FROM places),
@@ -322,6 +338,7 @@ def oracle_sql() -> dict[str, str]:
         "theoretical_ions_all": f"""SELECT sequence, 'b' || i AS ion, round({_mass("substr(sequence, 1, i::int)")} + 1.007276, 3) AS mz FROM (SELECT sequence, unnest(range(1, length(sequence) + 1)) AS i FROM {DIGESTED})
             UNION ALL SELECT sequence, 'y' || i, round({_mass("right(sequence, i::int)")} + 1.007276 + 18.010565, 3) FROM (SELECT sequence, unnest(range(1, length(sequence) + 1)) AS i FROM {DIGESTED})""",
         "ion_support_all": _ion_support(),
+        "doubly_charged_matches": _charged(),
         "spectrum_summary": f"SELECT scan, sum(intensity) AS sum, max(intensity) AS max, round(sum(intensity) / count(*), 3) AS mean, median(intensity) AS median FROM {PEAKS} GROUP BY scan",
         "nearest_peak_match": f"SELECT scan, mz, round(err, 6) AS error, intensity, round_even(err / mz * 1000000, 2) AS ppm FROM {near}",
         "version_resolution": """SELECT o_orderkey AS ord, cast(o_custkey AS varchar) AS wanted, CASE WHEN c_nationkey % 2 = 0 THEN c_custkey || '.2' ELSE cast(c_custkey AS varchar) END AS resolved_id FROM orders LEFT JOIN customer ON o_custkey = c_custkey""",

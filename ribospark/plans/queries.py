@@ -343,16 +343,23 @@ def nearest_peak_match(spark, d):
     return B.spectra(spark, d).select("scan", "peaks", masses).select("scan", "mz", F.round(near["error"], 6).alias("error"), near["intensity"].alias("intensity"), P.ppm(near["error"], F.col("mz")).alias("ppm"))
 
 
-def _supported(spark, d, sequences):
+def _psms(spark, d, sequences):
     n = B.spectra(spark, d).agg(F.max("scan").alias("m"))  # one row
-    psms = sequences.crossJoin(n).select("sequence", F.lit("f").alias("file"), F.pmod(F.crc32("sequence"), F.col("m") + 1).cast("int").alias("scan"), (F.length("sequence") - 3).cast("string").alias("position"))
-    return spectra.inspect_spectra(psms, B.spectra(spark, d), 7.0)
+    return sequences.crossJoin(n).select("sequence", F.lit("f").alias("file"), F.pmod(F.crc32("sequence"), F.col("m") + 1).cast("int").alias("scan"), (F.length("sequence") - 3).cast("string").alias("position"))
 
 
 @query
 def ion_support_all(spark, d):
     """Support of all digested peptides by spectra."""
-    return _supported(spark, d, B.digested_peptides(spark, d))
+    return spectra.inspect_spectra(_psms(spark, d, B.digested_peptides(spark, d)), B.spectra(spark, d), 7.0)
+
+
+@query
+def doubly_charged_matches(spark, d):
+    """The singly and doubly charged ions of all digested peptides that a peak of their spectrum matches."""
+    psms = _psms(spark, d, B.digested_peptides(spark, d)).join(B.spectra(spark, d).select("scan", "peaks"), "scan")
+    ions = spectra.match_fragments(psms, 2).select("sequence", F.inline(spectra.matched("_ions", 1.5)))
+    return ions.select("sequence", "ion", "z", F.round("mz", 3).alias("mz"), "intensity")
 
 
 @query

@@ -65,10 +65,23 @@ def test_mzml(spark, tmp_path):
 
 
 def test_interval_join_counts_a_pair_once(spark):
-    a = spark.createDataFrame([(1, "1", 5, 45), (2, "1", 100, 100), (3, "2", 5, 45)], "k int, chrom string, start long, end long")
-    b = spark.createDataFrame([(9, "1", 1, 99), (8, "1", 46, 99), (7, "1", 45, 45)], "j int, c string, s long, e long")
-    got = intervals.interval_join(a, b, chrom="c", start="s", end="e", width=10).select("k", "j").collect()
-    assert sorted(map(tuple, got)) == [(1, 7), (1, 9)]
+    import random
+
+    rng = random.Random(8)
+
+    def some(n):
+        sizes = [0, 1, 30, 16_383, 16_384, 200_000, 2_000_000, 70_000_000, 248_956_422]
+        starts = [(rng.randrange(0, 249_000_000), rng.choice(sizes)) for _ in range(n)] + [(1, 248_956_422), (16_383, 1), (16_384, 0), (2**26 - 1, 1)]
+        return [(k, rng.choice("12"), s, s + w) for k, (s, w) in enumerate(starts)] + [(None, None, 5, 6), (n + 9, "1", None, 7)]
+
+    left, right = some(150), some(150)
+    a = spark.createDataFrame(left, "k int, chrom string, start long, end long")
+    b = spark.createDataFrame(right, "j int, c string, s long, e long")
+    got = intervals.interval_join(a, b, chrom="c", start="s", end="e").select("k", "j").collect()
+    want = [(x[0], y[0]) for x in left for y in right if x[1] and x[1] == y[1] and None not in x[1:] + y[1:] and x[2] <= y[3] and y[2] <= x[3]]
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 1000
+    spread = a.select(intervals.F.size(intervals._bins(intervals.F.col("start"), intervals.F.col("end"))).alias("n")).agg({"n": "max"}).first()[0]
+    assert spread <= 6
 
 
 def test_peptides(spark):

@@ -127,3 +127,28 @@ def test_peptide_classes(spark):
     df = spark.createDataFrame(rows, "id int, a array<string>")
     got = {r["id"]: (r["g"], r["d"]) for r in df.select("id", in_group(F.col("a"), ["COSMIC", "cbiomut"]).alias("g"), has_prefix(F.col("a"), "DECOY_").alias("d")).collect()}
     assert got == {1: (True, False), 2: (False, False), 3: (True, True), 4: (True, False)}
+
+
+def test_nearest_peaks_and_ladders_equal_plain_loops(spark):
+    import time
+
+    import numpy as np
+
+    from ribospark.operators import spectra as OS
+
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 7, 50):
+        peaks, mz = rng.integers(0, 20, n) / 2.0, rng.integers(-2, 44, 60) / 4.0
+        error, at = OS.nearest_peaks(mz, peaks)
+        want = [min((abs(p - m), i) for i, p in enumerate(peaks)) for m in mz]
+        assert [(e, i) for e, i in zip(error, at)] == want
+    began = time.perf_counter()
+    OS.nearest_peaks(rng.random(10_000), rng.random(10_000))
+    assert time.perf_counter() - began < 1
+    rows = [("PEPTIDEK", [(98.06, 5.0), (147.11, 2.0), (74.06, 9.0)], 1), ("AXK", [(72.04, 1.0)], 2), ("", [(1.0, 1.0)], 3), (None, None, 4), ("GK", None, 5), ("GK", [], 6)]
+    df = spark.createDataFrame(rows, "sequence string, peaks array<struct<mz: double, intensity: double>>, _ion int")
+    for charge in (1, 2):
+        got = {r["_ion"]: [(x["ion"], x["z"], round(x["mz"], 6), x["intensity"]) for x in r["m"]] for r in OS.match_fragments(df, charge).select("_ion", OS.matched("_ions", 0.02).alias("m")).collect()}
+        plain = df.select("_ion", P.matched_ions(P.fragment_ions(F.col("sequence"), charge), F.col("peaks"), 0.02).alias("m")).collect()
+        assert {k: [(i, m, x) for i, _, m, x in v] for k, v in got.items()} == {r["_ion"]: [(x["ion"], round(x["mz"], 6), x["intensity"]) for x in r["m"] or []] for r in plain}
+        assert len(got[1]) == charge + 1 and [x[0] for x in got[2]] == ["b1"]
