@@ -13,14 +13,12 @@ and read again as the next stage's ``docs``. All stages but the last return the
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ribospark.llm import decontamination, language_id, mixing, near_dedup, token_output
+from ribospark.llm.common import Stored
 from ribospark.llm.queries import END_ID, tokenizer_path
-from ribospark.plans.runtime import ensure_checkpoint_dir
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +54,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; the tables between them go to the shared checkpoint folder."""
-    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
-        docs = spark.read.parquet(f"{folder}/{i}")
+    """All stages over ``documents``; a table between two stages lies in the shared folder until the later one is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES:
+        written = Stored(stage(spark, docs, sf_dir))
+        if before:
+            before.drop()
+        docs, before = written.table, written
     return docs

@@ -10,6 +10,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +18,8 @@ from ribospark.plans.runtime import ensure_checkpoint_dir
 
 #: A word is a maximal run of characters other than the six ASCII white-space characters.
 WORD = re.compile("[^\x20\x09-\x0d]+")
-#: A word of a shingle: letters, digits and marks of any script, case folded by lower().
-SHINGLE_WORD = re.compile(r"\w+")
+#: A word of a shingle: letters, digits and marks of any script, case folded by lower(); ASCII text has no marks.
+SHINGLE_WORD, ASCII_SHINGLE_WORD = regex.compile(r"[\w\p{M}]+"), re.compile(r"\w+", re.ASCII)
 _ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
@@ -46,6 +47,14 @@ def map_batches(df: DataFrame, rows: Callable[[Iterator[dict]], Iterable[dict]],
 _PA = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64()), "array<string>": pa.list_(pa.string())}
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, with underscores before it as long as a column is called so in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def hash_limit(share: float) -> int:
     """The signed 64-bit hash up to which about ``share`` of all hashes lie."""
     return 2**63 - 1 if share >= 1 else int(share * 2**64) - 2**63
@@ -164,7 +173,7 @@ def shingle_hashes(words: np.ndarray, size: int = 5) -> np.ndarray:
 
 def shingle_words(text: str | None) -> list[str]:
     """The words whose runs make the shingles of a text."""
-    return SHINGLE_WORD.findall(text.lower()) if text else []
+    return (ASCII_SHINGLE_WORD if text.isascii() else SHINGLE_WORD).findall(text.lower()) if text else []
 
 
 def crc32_u(data: bytes, start: int = 0) -> int:

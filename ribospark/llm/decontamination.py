@@ -21,14 +21,15 @@ documents of its own. A benchmark of one block is one pass; of a larger one the
 every task hold one block at a time, and what each pass finds is written to the shared
 folder before the next begins. Nothing else is broadcast and nothing is shuffled.
 
-Shingles: words are runs of letters and digits, lower-cased, so white space and punctuation
+Shingles: words are runs of letters, digits and marks, lower-cased, so white space and punctuation
 don't matter. An item of one to four words is one shingle of all its words, looked for as it
-stands; ``drop_contaminated`` leaves such items out unless ``least_words`` says otherwise,
-because ordinary texts hold them.
+stands; for ``drop_contaminated`` such an item must be all that the document says, unless
+``least_words`` says otherwise, because ordinary texts hold a few words by chance.
 
 Defined results: null or empty texts match nothing; repeated documents are reported each;
-items with the same shingles are reported each; an empty table on either side gives an
-empty result; other columns are not read.
+items with the same shingles are reported each, repeated rows of an item (which are looked for
+once) as often as they come; an empty table on either side gives an empty result; other columns
+are not read, whatever their names; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ribospark.llm.common import WordHashes, map_batches, mix, shingle_hashes, shingle_words
+from ribospark.llm.common import WordHashes, fresh, map_batches, mix, shingle_hashes, shingle_words
 from ribospark.plans.runtime import cut
 
 SHINGLE = 5
@@ -93,17 +94,24 @@ class Partition:
 class ContainmentIndex:
     """A block of items: partitions by size, and the items under ``SHINGLE`` words by their number of words."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = 0.8, miss: float = 1e-6):
-        hashes, self.ids, self.words, need, least = WordHashes(), [], [], [], []
+    def __init__(self, items: list[tuple], threshold: float = 0.8, miss: float = 1e-6, least_words: int = 1):
+        hashes, self.ids, self.counts, self.words, need, least = WordHashes(), [], [], [], [], []
+        self.least_words, self.whole = least_words, {}  # what is too short for a search is held against whole texts
         signed: dict[int, list[tuple[int, np.ndarray]]] = {}
         self.short: dict[int, dict[tuple[str, ...], list[int]]] = {}
-        for item_id, text in items:
+        for item_id, text, *times in items:
             words = shingle_words(text)
             if not words:
                 continue
             number = len(self.ids)
             self.ids.append(item_id)
+            self.counts.append(times[0] if times else 1)
             self.words.append(words)
+            if len(words) < least_words:
+                self.whole.setdefault(tuple(words), []).append(number)
+                need.append(1)
+                least.append(1)
+                continue
             if len(words) < SHINGLE:
                 self.short.setdefault(len(words), {}).setdefault(tuple(words), []).append(number)
                 need.append(1)
@@ -137,7 +145,7 @@ class ContainmentIndex:
 
     def search(self, words: list[str], hashes: WordHashes) -> list[tuple[int, int, int]]:
         """(item number, its shingles, those that the document holds) of all items contained in the words."""
-        out = []
+        out = [(c, 1, 1) for c in self.whole.get(tuple(words), ())] if len(words) < self.least_words else []
         for size, asked in self.short.items():
             out += [(c, 1, 1) for words_of in asked.keys() & _tuples(words, size) for c in asked[words_of]]
         if not self.partitions or len(words) < SHINGLE:
@@ -166,12 +174,13 @@ def _blocks(docs: DataFrame, items: DataFrame, item_id: str, text_col: str, thre
     """The number of the benchmark's blocks, and a function that broadcasts the index of one."""
     sc = docs.sparkSession.sparkContext
     asked = items.select(F.col(item_id).cast("long").alias("_item"), F.col(text_col).cast("string").alias("_text")).filter("_text is not null")
-    asked = asked.withColumn("_words", F.regexp_count("_text", F.lit(r"(?U)\w++")).cast("long")).filter(F.col("_words") >= least_words)
+    asked = asked.groupBy("_item", "_text").agg(F.count(F.lit(1)).alias("_times"))
+    asked = asked.withColumn("_words", F.regexp_count("_text", F.lit(r"[\p{L}\p{N}\p{M}_]++")).cast("long"))
     blocks = max(1, -(-int(asked.agg(F.sum("_words").alias("n")).first()["n"] or 0) // BLOCK_SHINGLES))
 
     def block(number: int):
-        own = asked.filter(F.pmod(F.xxhash64("_item", "_text"), F.lit(blocks)) == number).select("_item", "_text").collect()
-        return sc.broadcast(ContainmentIndex(sorted(((r[0], r[1]) for r in own), key=lambda r: (r[0] is None, r[0] or 0, r[1])), threshold))
+        own = asked.filter(F.pmod(F.xxhash64("_item", "_text"), F.lit(blocks)) == number).select("_item", "_text", "_times").collect()
+        return sc.broadcast(ContainmentIndex(sorted(map(tuple, own), key=lambda r: (r[0] is None, r[0] or 0, r[1])), threshold, least_words=least_words))
 
     return blocks, block
 
@@ -185,7 +194,8 @@ def _searched(taken: DataFrame, shared, keep: str) -> DataFrame:
         for b in batches:
             found = []
             for i, k, t in zip(b["_id"].to_pylist(), b[keep].to_pylist(), b["_text"]):
-                found += [(i, k, index.ids[c], n, both, both / n) for c, n, both in index.search(shingle_words(t.as_py()), hashes)]
+                for c, n, both in index.search(shingle_words(t.as_py()), hashes):
+                    found += [(i, k, index.ids[c], n, both, both / n)] * index.counts[c]
             if found:
                 yield dict(zip(names, zip(*found)))
 
@@ -212,8 +222,10 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id",
     """The rows of ``docs`` whose text holds no test item, all columns kept: for a benchmark of one block a filter without a shuffle."""
     blocks, block = _blocks(docs, items, item_id, text_col, threshold, least_words)
     if blocks > 1:
-        found = find_contained(docs, items, doc_id, item_id, text_col, threshold, least_words).select(F.col("doc_id").alias("_leak_id"), F.col("_h").alias("_leak_h")).distinct()
-        own = F.col(doc_id).cast("long").eqNullSafe(F.col("_leak_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_leak_h"))
+        found = find_contained(docs, items, doc_id, item_id, text_col, threshold, least_words)
+        leak_id, leak_hash = fresh(docs.columns, "_leak_id"), fresh(docs.columns, "_leak_h")
+        found = found.select(F.col("doc_id").alias(leak_id), F.col("_h").alias(leak_hash)).distinct()
+        own = F.col(doc_id).cast("long").eqNullSafe(F.col(leak_id)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(leak_hash))
         return docs.join(found, own, "left_anti")
     shared = block(0)
 

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ribospark.llm.common import SHINGLE_WORD, Stored, hash_bytes, map_batches
+from ribospark.llm.common import Stored, hash_bytes, map_batches, shingle_words
 from ribospark.plans.runtime import cut
 
 _END = re.compile(r"(?<=[.!?])(?=\s)|\n")
@@ -43,7 +43,7 @@ def units(text: str | None) -> list[tuple[int, int, int, int]]:
     at = 0
     for end, after in [*(m.span() for m in _END.finditer(text)), (len(text), len(text))]:
         unit = text[at:end]
-        words = SHINGLE_WORD.findall(unit.lower())
+        words = shingle_words(unit)
         if words:
             start = end - len(unit.lstrip())
             out.append((start, end, len(words), hash_bytes(" ".join(words).encode("utf-8", "surrogatepass"))))

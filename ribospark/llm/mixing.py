@@ -228,5 +228,6 @@ def mixed_documents(docs: DataFrame, members: Column, size: Column, id_col: str
     """The rows that the mix takes, each as often as it is taken, all columns kept."""
     plan = mixing_plan(docs, members, size, id_col, **options)
     options = {k: v for k, v in options.items() if k in ("max_repeat", "seed")}
-    taken = with_copies(docs, plan, members, size, id_col, **options).filter("_mix_copies > 0")
-    return taken.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)
+    packed = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("id"), members.alias("m"), size.alias("s"))  # so that no column's name can clash
+    taken = with_copies(packed, plan, F.col("m"), F.col("s"), "id", **options).filter("_mix_copies > 0")
+    return taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select("doc.*")

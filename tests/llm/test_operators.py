@@ -383,3 +383,54 @@ def test_languages_of_the_fold(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and 0 <= r["score"] <= 1 for r in rows) and len(rows) == len(truth)
     fold = [r for r in rows if r["held_out"] and truth[r["doc_id"]] is not None]
     assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in fold) >= 0.95 * len(fold)
+
+
+def test_items_with_marks_and_repeated_items(spark, monkeypatch):
+    """Combining marks belong to their words; rows of an item that come twice are reported twice; names may clash."""
+    hindi = "यह हिन्दी की पंक्ति"
+    assert len(decontamination.shingle_words(hindi)) == 4
+    rows = [(1, f"आज {hindi} है और कुछ नहीं", 1, 2, 3, 4), (2, hindi + "!", 1, 2, 3, 4), (3, "something else entirely and more of it", 1, 2, 3, 4), (4, None, 1, 2, 3, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _leak_id int, _leak_h int, _dedup_own int, _mix_hash int")
+    items = spark.createDataFrame([(7, hindi), (7, hindi), (8, "else entirely and more of")], "item_id long, text string")
+    for size in (decontamination.BLOCK_SHINGLES, 4):
+        monkeypatch.setattr(decontamination, "BLOCK_SHINGLES", size)
+        assert sorted((r["doc_id"], r["item_id"]) for r in decontamination.find_contained(docs, items).collect()) == [(1, 7), (1, 7), (2, 7), (2, 7), (3, 8)]
+        kept = decontamination.drop_contaminated(docs, items)
+        assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 4]  # a short item must be the whole text
+        assert sorted(r["doc_id"] for r in decontamination.drop_contaminated(docs, items, least_words=1).collect()) == [4]
+
+
+def test_clashing_names_stay(spark):
+    names = ("_dedup_own", "_dedup_id", "_dedup_h", "_mix_hash", "_mix_size", "_mix_row", "_mix_order", "doc", "m", "s", "id")
+    docs = spark.createDataFrame([(i, f"text number {i} of many words that stay apart {i * 7} {i * 13}", "ab"[i % 2], *range(len(names))) for i in range(12)], "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    kept = near_dedup.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == sorted(map(tuple, docs.collect()))
+    mixed = mixing.mixed_documents(docs, F.array("source"), mixing.word_count(F.col("text")))
+    assert mixed.columns == docs.columns and set(map(tuple, mixed.collect())) <= set(map(tuple, docs.collect())) and mixed.count() > 0
+
+
+def test_flow_equals_exhaustive_search_with_overlapping_sources():
+    """Words routed and their repetition cost, over all ways to give each pattern's words to its sources."""
+    import itertools
+    import random
+
+    rng = random.Random(2)
+    for _ in range(40):
+        patterns = {p: rng.randint(1, 3) for p in rng.sample([("a",), ("b",), ("a", "b"), ("b", "c"), ("c",)], 3)}
+        targets = {s: rng.randint(0, 5) for s in sorted({s for p in patterns for s in p})}
+        used = mixing.route(patterns, targets)
+        assert all(0 <= used[p] <= 3 * n for p, n in patterns.items())
+
+        def reachable(amounts):
+            """Whether the sources' quotas hold the amounts, each pattern's split among its sources."""
+            left = [targets]
+            for p, n in amounts.items():
+                left = [{**t, **{s: t[s] - k for s, k in zip(p, ks)}} for t in left for ks in itertools.product(range(n + 1), repeat=len(p)) if sum(ks) == n and all(t[s] >= k for s, k in zip(p, ks))]
+            return bool(left)
+
+        cost = lambda amounts: sum(sum(range(1, 4)[k // patterns[p]] for k in range(n)) for p, n in amounts.items())
+        ways = [dict(zip(patterns, ns)) for ns in itertools.product(*(range(3 * n + 1) for n in patterns.values()))]
+        ways = [w for w in ways if reachable(w)]
+        most = max(sum(w.values()) for w in ways)
+        least = min(cost(w) for w in ways if sum(w.values()) == most)
+        assert reachable(used) and sum(used.values()) == most and cost(used) == least
