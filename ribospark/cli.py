@@ -89,23 +89,27 @@ def clinvar_to_proteindb(spark: SparkSession, a: argparse.Namespace) -> dict[str
     return seen.report()
 
 
-def cosmic_to_proteindb(spark: SparkSession, a: argparse.Namespace) -> None:
-    made = somatic.census_proteins(tables.read_census(spark, a.input_mutation, a.filter_column), flatfiles.read_fasta(spark, a.input_genes), option_list(a.accepted_values))
-    sinks.write_fasta(somatic.first_by_header(made), a.output_db, "header")
+def cosmic_to_proteindb(spark: SparkSession, a: argparse.Namespace) -> dict[str, int]:
+    seen = Counters()
+    made = somatic.census_proteins(tables.read_census(spark, a.input_mutation, a.filter_column), flatfiles.read_fasta(spark, a.input_genes), option_list(a.accepted_values), seen.of)
+    sinks.write_fasta(seen.of(somatic.first_by_header(made), "proteins written"), a.output_db, "header")
     if a.split_by_filter_column:
-        sinks.write_grouped_fasta(somatic.last_by_group(made), f"{a.output_db}_groups")
+        sinks.write_grouped_fasta(somatic.last_by_group(made), a.output_db)
+    return seen.report()
 
 
-def cbioportal_to_proteindb(spark: SparkSession, a: argparse.Namespace) -> None:
+def cbioportal_to_proteindb(spark: SparkSession, a: argparse.Namespace) -> dict[str, int]:
     accepted = option_list(a.accepted_values)
     grouped = accepted != ["all"] or a.split_by_filter_column
     if grouped and not a.clinical_sample_file:
         raise SystemExit("a filter needs a clinical sample file")
     samples = tables.read_samples(spark, a.clinical_sample_file, a.filter_column) if grouped else None
-    made = somatic.mutation_table_proteins(tables.read_maf(spark, a.input_mutation), flatfiles.read_fasta(spark, a.input_cds), samples, accepted)
-    sinks.write_fasta(made, a.output_db, "header")
+    seen = Counters()
+    made = somatic.mutation_table_proteins(tables.read_maf(spark, a.input_mutation), flatfiles.read_fasta(spark, a.input_cds), samples, accepted, seen=seen.of)
+    sinks.write_fasta(seen.of(made, "proteins written"), a.output_db, "header")
     if a.split_by_filter_column:
-        sinks.write_grouped_fasta(somatic.last_by_group(made), f"{a.output_db}_groups")
+        sinks.write_grouped_fasta(somatic.last_by_group(made), a.output_db)
+    return seen.report()
 
 
 def dnaseq_to_proteindb(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -134,6 +138,8 @@ def generate_decoy(spark: SparkSession, a: argparse.Namespace) -> None:
             sinks.write_lines(swaps.filter("other is null"), f"{a.output_database}_noAlternative.fa", "peptide")
         out = proteins.switched_decoys(records, a.enzyme, a.decoy_prefix, a.min_peptide_length, a.max_iterations, missed, not a.do_not_shuffle, keep_target_hits=a.keep_target_hits or a.method == "decoypyrat")
     sinks.write_fasta(out, a.output_database)
+    counts = proteins.decoy_composition(flatfiles.read_fasta(spark, a.output_database), a.decoy_prefix, a.enzyme, a.max_missed_cleavages, a.min_peptide_length)
+    print("\n".join(proteins.composition_report(counts.first().asDict())), file=sys.stderr)
 
 
 def digest_mutant_protein(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -142,9 +148,11 @@ def digest_mutant_protein(spark: SparkSession, a: argparse.Namespace) -> None:
     sinks.write_fasta(out, a.output, "header", "peptide")
 
 
-def map_peptide2genome(spark: SparkSession, a: argparse.Namespace) -> None:
-    mapped = genome.map_peptides(tables.read_peptides(spark, a.input, a.pep_col, a.prot_col), tables.read_id_map(spark, a.idmap), flatfiles.read_fasta(spark, a.fasta), flatfiles.coding_blocks(flatfiles.read_gtf(spark, a.gtf)))
-    sinks.write_gff3(genome.gff3_rows(mapped), a.output)
+def map_peptide2genome(spark: SparkSession, a: argparse.Namespace) -> dict[str, int]:
+    seen = Counters()
+    mapped = genome.map_peptides(tables.read_peptides(spark, option_list(a.input), a.pep_col, a.prot_col), tables.read_id_map(spark, a.idmap), flatfiles.read_fasta(spark, a.fasta), flatfiles.coding_blocks(flatfiles.read_gtf(spark, a.gtf)), seen.of)
+    sinks.write_gff3(genome.gff3_rows(seen.of(mapped, "peptides on the genome")), a.output)
+    return seen.report()
 
 
 def blast_get_position(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -220,7 +228,7 @@ def parser() -> argparse.ArgumentParser:
     command("ensembl-check", ensembl_check, "input_fasta output", add_stop_codon=False, num_aa=6)
     command("generate-decoy", generate_decoy, "input_database output_database", method="protein-reverse", enzyme="Trypsin", decoy_prefix="DECOY_", min_peptide_length=5, max_missed_cleavages=2, max_iterations=100, do_not_shuffle=False, keep_target_hits=False)
     command("digest-mutant-protein", digest_mutant_protein, "input fasta output", prefix="Mutation", min_length=7, max_length=40, missed_cleavages=0)
-    command("map-peptide2genome", map_peptide2genome, "input gtf fasta idmap output", pep_col=1, prot_col=2)
+    command("map-peptide2genome", map_peptide2genome, "input gtf fasta idmap output", pep_col=0, prot_col=1)
     command("blast_get_position", blast_get_position, "input_psm_to_blast output_psm input_reference_database")
     command("spectrumai", spectrumai, "infile_name outfile_name", mzml_path="", mzml_files="", ions_tolerance=0.02, relative=False, mztab=False)
     fetching = {"output": ".", "fetch": False, "force": False}

@@ -18,6 +18,8 @@ def _amino_acids(table: int) -> str:
 
     An ambiguous codon stands for the amino acids of all codons that its bases stand for.
     """
+    if table not in CODON_TABLES:
+        raise ValueError(f"no genetic code {table}; known: {', '.join(map(str, CODON_TABLES))}")
     code = CODON_TABLES[table]
     pairs = {frozenset("DN"): "B", frozenset("EQ"): "Z", frozenset("IL"): "J"}
     out = []

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,16 +18,18 @@ def transcript_positions(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("rank", F.row_number().over(order)).withColumn("trans_end", end).withColumn("trans_start", F.col("trans_end") - size + 1)
 
 
-def map_peptides(peptides: DataFrame, id_map: DataFrame, proteins: DataFrame, blocks: DataFrame) -> DataFrame:
+def map_peptides(peptides: DataFrame, id_map: DataFrame, proteins: DataFrame, blocks: DataFrame, seen: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
     """Peptides (peptide, protein, ord) with chrom, strand, start, end and their coding blocks, in rank order.
 
     The first row of a peptide and the first mapping of a protein count. Peptides that no
-    protein, transcript or block places are left out.
+    protein, transcript or block places are left out; ``seen`` is told the rows at each step by name.
     """
-    asked = peptides.groupBy("peptide").agg(F.min_by("protein", "ord").alias("protein"))
+    asked = seen(peptides.groupBy("peptide").agg(F.min_by("protein", "ord").alias("protein")), "distinct peptides")
     first = id_map.groupBy("protein").agg(F.min_by("transcript", "ord").alias("transcript_id"))
     known = proteins.groupBy(F.col("id").alias("protein")).agg(F.min_by("seq", "ord").alias("_seq"))
-    found = asked.join(first, "protein").join(known, "protein").withColumn("_at", F.instr(F.col("_seq"), F.col("peptide"))).filter("_at > 0")
+    mapped = seen(asked.join(first, "protein"), "peptides with a transcript")
+    found = mapped.join(known, "protein").withColumn("_at", F.instr(F.col("_seq"), F.col("peptide"))).filter("_at > 0")
+    found = seen(found, "peptides that their protein holds")
     found = found.withColumn("n1", F.col("_at") * 3 - 2).withColumn("n2", F.col("_at") * 3 - 3 + F.length("peptide") * 3).drop("_seq", "_at")
     placed = found.join(transcript_positions(blocks), "transcript_id").filter("trans_start <= n2 and n1 <= trans_end")
     plus = F.col("strand") == "+"

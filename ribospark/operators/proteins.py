@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ribospark.functions.constants import ALPHABET, ENZYMES
 from ribospark.functions.sequences import cleave, isobaric, residue_count, reverse_switch, shuffled, trypsin_pieces
+from ribospark.plans.runtime import cut
 
 
 def check_proteins(records: DataFrame, split_at_stops: bool = False, min_length: int = 6) -> DataFrame:
@@ -84,15 +85,23 @@ def _decoy_pieces(records: DataFrame, enzyme: str) -> tuple[DataFrame, DataFrame
 
 
 def decoy_swaps(records: DataFrame, enzyme: str = "Trypsin", min_length: int = 5, max_iterations: int = 100, missed_targets: int = 0, shuffle: bool = True, seed: int = 1) -> DataFrame:
-    """(peptide, other): the decoy peptides that are target peptides too, and what takes their place (null: no order is free)."""
+    """(peptide, other): the decoy peptides that are target peptides too, and what takes their place (null: no order is free).
+
+    Orders are tried in rounds: the first, the next two, the next four and so on, each only for
+    the peptides that are still without one, so under twice the orders up to the free one are made.
+    """
     targets, placed = _decoy_pieces(records, enzyme)
     known = targets.select(F.explode(cleave(F.col("seq"), enzyme, missed_targets, min_length)).alias("peptide")).distinct()
     hit = placed.filter(F.length("peptide") >= min_length).select("peptide").distinct().join(known, "peptide", "left_semi")
     if not shuffle:
         return hit.withColumn("other", F.col("peptide"))
-    tried = hit.select("peptide", F.explode(F.sequence(F.lit(1), F.lit(max_iterations))).alias("i")).withColumn("other", shuffled(F.col("peptide"), F.lit(seed) + F.col("i")))
-    best = tried.join(known.withColumnRenamed("peptide", "other"), "other", "left_anti").groupBy("peptide").agg(F.min_by("other", "i").alias("other"))
-    return hit.join(best, "peptide", "left")
+    taken, left, first, found = cut(known.withColumnRenamed("peptide", "other")), cut(hit), 1, []
+    while first <= max_iterations and not left.isEmpty():
+        last = min(2 * first - 1, max_iterations)  # twice as many orders each round, and only for what is left
+        tried = left.select("peptide", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("i")).withColumn("other", shuffled(F.col("peptide"), F.lit(seed) + F.col("i")))
+        found.append(cut(tried.join(taken, "other", "left_anti").groupBy("peptide").agg(F.min_by("other", "i").alias("other"))))
+        left, first = cut(left.join(found[-1], "peptide", "left_anti")), last + 1
+    return reduce(DataFrame.unionByName, found, left.withColumn("other", F.lit(None).cast("string")))
 
 
 def switched_decoys(records: DataFrame, enzyme: str = "Trypsin", prefix: str = "DECOY_", min_length: int = 5, max_iterations: int = 100, missed_targets: int = 0, shuffle: bool = True, keep_targets: bool = True, keep_target_hits: bool = False, seed: int = 1) -> DataFrame:
@@ -128,6 +137,18 @@ def decoy_composition(records: DataFrame, prefix: str = "DECOY", enzyme: str = "
     return counts.crossJoin(records.agg(*sums))  # one row each
 
 
+def composition_report(counts: dict) -> list[str]:
+    """The lines of a report on the row of ``decoy_composition``: peptides of one side only or both, and residue ratios.
+
+    A peptide of both sides counts as a decoy.
+    """
+    target, decoy, both = counts["target_peptides"] - counts["shared_peptides"], counts["decoy_peptides"], counts["shared_peptides"]
+    share = lambda n: 100 * n / max(1, target + decoy)
+    lines = [f"target peptides: {target} ({share(target):.1f} %)", f"decoy peptides: {decoy} ({share(decoy):.1f} %)", f"peptides of both: {both} ({share(both):.1f} %)"]
+    ratios = {aa: (counts[f"target_{aa}"], counts[f"decoy_{aa}"]) for aa in ALPHABET}
+    return lines + [f"residue {aa}, target to decoy: {t / d:.1f}" for aa, (t, d) in ratios.items() if t and d]
+
+
 def residue_totals(records: DataFrame) -> DataFrame:
     """(residue, n) over all records for the alphabet of composition reports."""
     row = records.agg(*(F.sum(residue_count(F.col("seq"), aa)).alias(aa) for aa in ALPHABET))

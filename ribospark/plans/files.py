@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ribospark.plans import bridges as B
 from ribospark.plans import oracles as O
+from ribospark.operators import somatic
 from ribospark.plans.runtime import ensure_checkpoint_dir
-from ribospark.sources import flatfiles, sinks, tables
+from ribospark.sources import blockgzip, flatfiles, sinks, tables
 
 
 def _folder(spark: SparkSession) -> str:
@@ -64,6 +65,35 @@ def annotated_vcf(spark: SparkSession, d: str) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("records"), F.count_if(F.contains("info", F.lit(";transcriptOverlaps="))).alias("overlapping"))
 
 
+def block_gzip_region(spark: SparkSession, d: str) -> DataFrame:
+    """All variants written in order as one block-gzip file, indexed, and the records of a region read through the index."""
+    v = B.variants(spark, d).withColumn("qual", F.lit("."))
+    cells = [F.col(c).cast("string") for c in ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info")]
+    lines = v.orderBy("chrom", "pos", "ord").select(F.concat_ws("\t", *cells).alias("value"))
+    path = blockgzip.write_block_gzip(lines, _folder(spark), "variants.vcf.gz")
+    blockgzip.write_index(spark, path)
+    _, rows = flatfiles.read_vcf(spark, path)
+    return rows.filter(F.col("chrom").isin("3", "17") & F.col("pos").between(2_000_000, 7_500_000)).select("chrom", "pos", "id", "ref", "alt", "filter")
+
+
+def block_gzip_runs(spark: SparkSession, d: str) -> DataFrame:
+    """The same file without an index, all of it, in runs of 64 KiB."""
+    v = B.variants(spark, d).withColumn("qual", F.lit("."))
+    cells = [F.col(c).cast("string") for c in ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info")]
+    path = blockgzip.write_block_gzip(v.orderBy("ord").select(F.concat_ws("\t", *cells).alias("value")), _folder(spark), "variants.vcf.gz")
+    return blockgzip.read_variants(spark, path, 1 << 16).select("chrom", "pos", "id", "ref", "alt", "qual", "filter")
+
+
+def group_files(spark: SparkSession, d: str) -> DataFrame:
+    """Mutated proteins written as one file for each sample group, and what the files hold."""
+    made = somatic.last_by_group(somatic.mutation_table_proteins(B.maf(spark, d), B.dna(spark, d), B.samples(spark, d)))
+    folder = _folder(spark)
+    sinks.write_grouped_fasta(made, f"{folder}/out.fa")
+    found = spark.read.option("lineSep", "\n>").text(folder)
+    text = F.regexp_replace("value", "^>|\n$", "")
+    return found.select(F.regexp_extract("_metadata.file_path", "out_(.*)[.]fa$", 1).alias("group"), F.split_part(text, F.lit("\n"), F.lit(1)).alias("header"), F.split_part(text, F.lit("\n"), F.lit(2)).alias("seq"))
+
+
 def gtf_files(spark: SparkSession, d: str) -> DataFrame:
     """Coding blocks written as GTF and scanned."""
     def attribute(name: str, value: Column) -> Column:
@@ -108,7 +138,7 @@ def psm_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (fasta_files, fasta_index, vcf_files, annotated_vcf, gtf_files, census_files, sample_files, assembly_files, id_map_files, psm_files)
+    own = (fasta_files, fasta_index, vcf_files, annotated_vcf, block_gzip_region, block_gzip_runs, group_files, gtf_files, census_files, sample_files, assembly_files, id_map_files, psm_files)
     return {f.__name__: f for f in own}
 
 
@@ -118,6 +148,9 @@ def oracle_sql() -> dict[str, str]:
         "fasta_index": f"SELECT 'k' || id AS key, id, seq FROM {O.PROTEIN}",
         "vcf_files": f"SELECT chrom, pos, id, ref, alt, '.' AS qual, filter FROM {O.VARIANTS}",
         "annotated_vcf": f"""SELECT count(*) AS records, count(*) FILTER (ord IN (SELECT ord FROM {O.VARIANTS} v JOIN {O.BLOCKS} b ON v.chrom = b.chrom AND v.pos <= b."end" AND v.pos + length(ref) - 1 >= b.start)) AS overlapping FROM {O.VARIANTS}""",
+        "block_gzip_region": f"SELECT chrom, pos, id, ref, alt, filter FROM {O.VARIANTS} WHERE chrom IN ('3', '17') AND pos BETWEEN 2000000 AND 7500000",
+        "block_gzip_runs": f"SELECT chrom, pos, id, ref, alt, '.' AS qual, filter FROM {O.VARIANTS}",
+        "group_files": f"""SELECT "group", header, arg_max(seq, ord) AS seq FROM {O.MAF} WHERE length(seq) > 6 GROUP BY ALL""",
         "gtf_files": f'SELECT \'g\' || transcript_id AS gene_id, transcript_id, chrom, strand, start, "end" FROM {O.BLOCKS}',
         "census_files": f'SELECT \'é\' || gene AS gene, dna_mut, aa_mut, mutation_type, "group" FROM {O.mutations_sql()}',
         "sample_files": "SELECT cast(c_custkey AS varchar) AS sample, 'A_' || c_mktsegment AS \"group\" FROM customer",

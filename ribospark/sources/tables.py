@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ribospark.sources.flatfiles import in_file_order
+
 #: Columns of the mutation tables.
 CENSUS_COLUMNS = {"gene": "Gene name", "mrna": "Accession Number", "dna_mut": "Mutation CDS", "aa_mut": "Mutation AA", "mutation_type": "Mutation Description"}
 MAF_COLUMNS = {"hgvsc": "HGVSc", "transcript_id": "Transcript_ID", "varclass": "Variant_Classification", "vartype": "Variant_Type", "hgvsp": "HGVSp_Short", "sample": "Tumor_Sample_Barcode"}
@@ -22,10 +24,10 @@ def _by_header(lines: DataFrame, needed: list[str], pick) -> DataFrame:
     each binds the columns anew for the lines behind it in its file; a line without a header
     before it goes by the file's first one, a file without a header by the first of all.
     """
-    numbered = lines.withColumn("ord", F.monotonically_increasing_id())
+    numbered = lines.withColumn("ord", F.struct(F.col("_file").alias("file"), F.col("_block").alias("block"), F.monotonically_increasing_id().alias("row")))
     parts = F.split("value", "\t")
     is_header = F.size(F.array_intersect(F.transform(parts, lambda x: F.trim(x)), F.array(*map(F.lit, needed)))) == len(set(needed))
-    headers = sorted(tuple(r) for r in numbered.filter(is_header).select("_file", "_block", "ord", "value").collect())  # one for each table
+    headers = sorted(tuple(r) for r in numbered.filter(is_header).select("_file", "_block", "ord.row", "value").collect())  # one for each table
     if not headers:
         raise ValueError(f"missing required columns: expected {needed}")
     layouts: list[dict[str, int]] = []
@@ -40,7 +42,7 @@ def _by_header(lines: DataFrame, needed: list[str], pick) -> DataFrame:
     if len(layouts) > 1:
         told = lines.sparkSession.createDataFrame(list(by_file.items()), "_in string, _heads array<struct<block: long, ord: long, layout: int>>")
         body = body.join(F.broadcast(told), F.col("_file") == F.col("_in"), "left")
-        before = F.filter("_heads", lambda h: (h["block"] < F.col("_block")) | ((h["block"] == F.col("_block")) & (h["ord"] < F.col("ord"))))
+        before = F.filter("_heads", lambda h: (h["block"] < F.col("_block")) | ((h["block"] == F.col("_block")) & (h["ord"] < F.col("ord.row"))))
         table = F.coalesce(F.get(before, F.size(before) - 1)["layout"], F.get("_heads", 0)["layout"], F.lit(0))
     body = body.withColumn("_table", table)
     place = lambda name: F.get(F.array(*(F.lit(x[name]) for x in layouts)), F.col("_table"))
@@ -88,16 +90,17 @@ def read_psms(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, sep="," if plain.endswith(".csv") else "\t")
 
 
-def read_peptides(spark: SparkSession, path: str, peptide_column: int = 1, protein_column: int = 2) -> DataFrame:
-    """peptide (letters only), protein (before the first ``;``) and ord; the first line is a header."""
+def read_peptides(spark: SparkSession, path: str | list[str], peptide_column: int = 0, protein_column: int = 1) -> DataFrame:
+    """peptide (letters only), protein (before the first ``;``) and ord; columns count from 0, the first line of each file is a header."""
     parts = F.split("value", "\t")
-    rows = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id())
-    body = rows.filter(F.col("ord") > 0)  # the first line of the first file has number 0
-    return body.select(F.regexp_replace(F.trim(F.try_element_at(parts, F.lit(peptide_column))), r"[\W\d]", "").alias("peptide"), F.split_part(F.try_element_at(parts, F.lit(protein_column)), F.lit(";"), F.lit(1)).alias("protein"), "ord")
+    lines = spark.read.options(header=True, sep="\x01", quote="", escape="").schema("value string")
+    cell = lambda i: F.get(parts, F.lit(i))
+    body = in_file_order(lines.csv, path).filter("value is not null")
+    return body.select(F.regexp_replace(F.trim(cell(peptide_column)), r"[\W\d]", "").alias("peptide"), F.split_part(cell(protein_column), F.lit(";"), F.lit(1)).alias("protein"), "ord")
 
 
 def read_id_map(spark: SparkSession, path: str) -> DataFrame:
     """gene, transcript, protein and ord of the lines with exactly three columns."""
     parts = F.split(F.trim("value"), "\t")
-    rows = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id()).filter(F.size(parts) == 3)
+    rows = in_file_order(spark.read.text, path).filter(F.size(parts) == 3)
     return rows.select(*(F.element_at(parts, i + 1).alias(n) for i, n in enumerate(("gene", "transcript", "protein"))), "ord")

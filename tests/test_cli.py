@@ -84,7 +84,7 @@ def test_cosmic_to_proteindb(spark, tmp_path):
     mutations = _write(tmp_path / "m.tsv", head + "G1\tE\tc.4A>C\tp.K2Q\tSubstitution - Missense\tlung\nG1\tE\tc.4A>C\tp.K2Q\tSubstitution - Missense\tskin\nG1\tE\tc.7T>G\tp.F3V\tSubstitution - Missense\tskin\nG1\tE\tc.6A>G\tp.K2K\tSubstitution - coding silent\tlung\n")
     cli.main(["cosmic-to-proteindb", "--input_mutation", mutations, "--input_genes", genes, "--output_db", str(tmp_path / "out"), "--split_by_filter_column"])
     assert set(_fasta(tmp_path / "out")) == {"COSMIC:G1:p.K2Q:Substitution-Missense", "COSMIC:G1:p.F3V:Substitution-Missense"}
-    assert {x.name for x in (tmp_path / "out_groups").iterdir() if x.is_dir()} == {"group=lung", "group=skin"}
+    assert {x.name for x in tmp_path.iterdir() if x.name.startswith("out_")} == {"out_lung.fa", "out_skin.fa"}
     config = _write(tmp_path / "c.yaml", "proteindb:\n  filter_info:\n    filter_column: Primary site\n    accepted_values: lung\n")
     cli.main(["cosmic-to-proteindb", "--input_mutation", mutations, "--input_genes", genes, "--output_db", str(tmp_path / "one"), "--config", config])
     assert set(_fasta(tmp_path / "one")) == {"COSMIC:G1:p.K2Q:Substitution-Missense"}

@@ -245,3 +245,38 @@ def test_seed_search_equals_plain_loops(spark, monkeypatch):
         assert {r[0] for r in peptides.contained_peptides(peps, db).collect()} == exact
         assert {tuple(r) for r in peptides.one_mismatch(peps, db).collect()} == changed
     assert peptides.contained_peptides(peps.limit(0), db).collect() == [] and peptides.one_mismatch(peps, db.limit(0)).collect() == []
+
+
+def test_order_and_headers_over_several_files(spark, tmp_path):
+    """The first record is the first file's, whatever the files' sizes; each file's first line is its header."""
+    (tmp_path / "in").mkdir()
+    a = _write(tmp_path / "in" / "a.fa", ">x one\nAAA\n")
+    b = _write(tmp_path / "in" / "b.fa", ">x two\n" + "CCC\n" * 5000 + ">y\nG\n")
+    for path, want in ((str(tmp_path / "in"), ["AAA", "C" * 15_000, "G"]), ([b, a], ["C" * 15_000, "G", "AAA"]), ([a, b], ["AAA", "C" * 15_000, "G"])):
+        assert [r["seq"] for r in flatfiles.read_fasta(spark, path).orderBy("ord").collect()] == want
+    first = flatfiles.read_fasta(spark, [b, a]).groupBy("id").agg({"id": "count"}).collect()
+    assert {r["id"]: r["count(id)"] for r in first} == {"x": 2, "y": 1}
+    p = _write(tmp_path / "p.tsv", "pep\tprot\nKR\tA;B\n")
+    q = _write(tmp_path / "q.tsv", "pep\tprot\n" + "LL\tC\n" * 3000)
+    rows = tables.read_peptides(spark, [p, q]).orderBy("ord").collect()
+    assert [(r["peptide"], r["protein"]) for r in rows] == [("KR", "A")] + [("LL", "C")] * 3000
+
+
+def test_all_genetic_codes(spark):
+    from ribospark.functions import sequences as S
+    from ribospark.functions.constants import CODON_TABLES
+
+    assert len(CODON_TABLES) == 27 and all(len(t) == 64 for t in CODON_TABLES.values())
+    df = spark.createDataFrame([("CTGTGATAAAGGGGGCTA",)], "s string")
+    got = {t: df.select(S.translate(F.col("s"), t)).first()[0] for t in (1, 10, 12, 13, 26, 33)}
+    assert got == {1: "L**RGL", 10: "LC*RGL", 12: "S**RGL", 13: "LW*GGL", 26: "A**RGL", 33: "LWYKGL"}
+    with pytest.raises(ValueError):
+        S.translate(F.col("s"), 7)
+
+
+def test_composition_report(spark):
+    from ribospark.operators import proteins as PR
+
+    db = spark.createDataFrame([("a", "AAAAAAKCCCCCCKGGGGGGK"), ("DECOY_a", "AAAAAAKCCCCCCGKGGGGGK")], "id string, seq string")
+    lines = PR.composition_report(PR.decoy_composition(db).first().asDict())
+    assert lines[:3] == ["target peptides: 2 (40.0 %)", "decoy peptides: 3 (60.0 %)", "peptides of both: 1 (20.0 %)"] and "residue A, target to decoy: 1.0" in lines
