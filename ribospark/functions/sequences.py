@@ -1,9 +1,13 @@
-"""Column functions over nucleotide and protein sequences; all of them stay in the JVM."""
+"""Column functions over nucleotide and protein sequences; all but translation stay in the JVM."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,23 +36,97 @@ def _amino_acids(table: int) -> str:
     return "".join(out)
 
 
+#: Bases that are translated at a time.
+_SPAN = 1 << 20
+_OTHER = 15
+
+
+def _base_numbers(complemented: bool) -> np.ndarray:
+    """By byte: the place of a base in ``_IUPAC`` (U is T, any case), ``_OTHER`` for what is none."""
+    out = np.full(256, _OTHER, np.uint16)
+    swap = str.maketrans(COMPLEMENT_FROM, COMPLEMENT_TO) if complemented else {}
+    for byte in range(128):
+        base = chr(byte).translate(swap).upper().replace("U", "T")
+        if base in _IUPAC:
+            out[byte] = _IUPAC.index(base)
+    return out
+
+
+def _reader(table: int, forward: int, backward: int) -> Callable[[pa.Array, pa.Array | None], pa.Array]:
+    """A function from sequences (and which of them take table 2) to the strings of all their frames, frame after frame for each sequence."""
+    tables = [np.frombuffer(_amino_acids(t).encode(), np.uint8) for t in (table, 2)]
+    numbers = _base_numbers(False), _base_numbers(True)
+
+    def amino_acids(data: np.ndarray, code: np.ndarray, strand: int) -> np.ndarray:
+        """The amino acid of the codon that starts at every base, on the reverse strand towards the left."""
+        n = numbers[strand][data]
+        first, second, third = (n[:-2], n[1:-1], n[2:]) if strand == 0 else (n[2:], n[1:-1], n[:-2])
+        return code[first << 8 | second << 4 | third]
+
+    def read(seqs: pa.Array, other: pa.Array | None = None) -> pa.Array:
+        texts = [b"" if s is None else s.encode("ascii", "replace") for s in seqs.to_pylist()]
+        second = other.fill_null(False).to_pylist() if other is not None else [False] * len(texts)
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):
+            stop, size = at, 0
+            while stop < len(texts) and (stop == at or size + len(texts[stop]) <= _SPAN):
+                size += len(texts[stop])
+                stop += 1
+            data = np.frombuffer(b"".join(texts[at:stop]) + b"   ", np.uint8)
+            made: dict[tuple[int, int], np.ndarray] = {}
+            start = 0
+            for text, code in zip(texts[at:stop], second[at:stop]):
+                end = start + len(text)
+                for strand, frames in enumerate((forward, backward)):
+                    if frames and (strand, code) not in made:
+                        made[strand, code] = amino_acids(data, tables[code], strand)
+                    for f in range(frames):
+                        if end - start - f < 3:
+                            out.append(b"")
+                        elif strand == 0:
+                            out.append(made[strand, code][start + f : end - 2 : 3].tobytes())
+                        else:  # a codon of the reverse strand is kept at its last base's place
+                            out.append(made[strand, code][start : end - 2 - f][::-3].tobytes())
+                start = end
+            at = stop
+        ends = np.cumsum([0, *map(len, out)])
+        strings = pa.LargeStringArray.from_buffers(len(out), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(b"".join(out))).cast(pa.string())
+        if seqs.null_count:
+            gone = np.repeat(seqs.is_null().to_numpy(zero_copy_only=False), forward + backward)
+            strings = pc.if_else(pa.array(~gone), strings, pa.scalar(None, pa.string()))
+        return strings
+
+    return read
+
+
 def translate(seq: Column, table: int = 1, to_stop: bool = False, mitochondrial: Column | None = None) -> Column:
     """Frame-0 translation: a partial last codon is ignored, a stop is ``*``, ambiguous codons give B, J, Z or X.
 
-    Bases become hexadecimal digits, one pass of a regular expression cuts them into codons,
-    and a codon's number is its place in a table. Rows where ``mitochondrial`` holds use table 2.
+    An Arrow function looks up the codon at every base of a batch at once. Rows where
+    ``mitochondrial`` holds use table 2.
     """
-    upper = F.upper(seq)
-    known = F.when(upper.rlike(f"^[{_IUPAC}U]*$"), upper).otherwise(F.regexp_replace(upper, f"[^{_IUPAC}U]", "Z"))
-    digits = F.translate(known, _IUPAC + "UZ", "0123456789abcdef"[: len(_IUPAC)] + "0f")
-    amino = F.split(F.lit(_amino_acids(table)), "")
-    if mitochondrial is not None:
-        amino = F.when(mitochondrial, F.split(F.lit(_amino_acids(2)), "")).otherwise(amino)
-    codons = F.regexp_extract_all(digits, F.lit("(?s).{3}"), F.lit(0))
-    out = F.array_join(F.transform(codons, lambda c: F.get(amino, F.conv(c, 16, 10).cast("int"))), "")
+    out = _translation(seq, table, mitochondrial, 1, 0)[0]
     return F.substring_index(out, "*", 1) if to_stop else out
 
 
+def _translation(seq: Column, table: int, mitochondrial: Column | None, forward: int, backward: int) -> Column:
+    read, frames = _reader(table, forward, backward), forward + backward
+
+    def listed(strings: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(strings) + 1, frames, dtype=np.int32)), strings)
+
+    @F.arrow_udf("array<string>")
+    def one(seqs: pa.Array) -> pa.Array:
+        return listed(read(seqs))
+
+    @F.arrow_udf("array<string>")
+    def either(seqs: pa.Array, other: pa.Array) -> pa.Array:
+        return listed(read(seqs, other))
+
+    return one(seq) if mitochondrial is None else either(seq, mitochondrial)
+
+
 def translate_by(seq: Column, mitochondrial: Column, table: int = 1) -> Column:
     """Table 2 where ``mitochondrial`` holds."""
     return translate(seq, table, mitochondrial=mitochondrial)
@@ -71,11 +149,11 @@ def frame(seq: Column, offset: int) -> Column:
     return F.substring(seq, offset + 1, 2**31 - 1)
 
 
-def orfs(seq: Column, forward: int, backward: int = 0, table: int = 1) -> Column:
+def orfs(seq: Column, forward: int, backward: int = 0, table: int = 1, mitochondrial: Column | None = None) -> Column:
     """Translations of the first ``forward`` frames and of ``backward`` frames of the reverse complement."""
-    back = reverse_complement(seq)
-    frames = F.array(*(frame(seq, n) for n in range(forward)), *(frame(back, n) for n in range(backward)))
-    return F.transform(frames, lambda s: translate(s, table))
+    if forward + backward == 0:
+        return F.array().cast("array<string>")
+    return _translation(seq, table, mitochondrial, forward, backward)
 
 
 def isobaric(seq: Column) -> Column:
