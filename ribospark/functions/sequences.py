@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from itertools import product
 
@@ -207,6 +208,38 @@ def trypsin_pieces(seq: Column, missed: int = 0, min_length: int = 1, max_length
     return _cleaved(seq, "(?<=[KR])(?!P)", missed, min_length, max_length)
 
 
+def placed_pieces(seq: Column, min_length: int, max_length: int) -> Column:
+    """Structs (peptide, at) of ``trypsin_pieces`` without missed cleavages, each with its first place in the sequence (from 1).
+
+    A piece's residues hold no cut, so an earlier place of it can only be the end of an earlier
+    piece or end before a P inside one: all such ends of the asked lengths are noted once, which
+    takes time in proportion to the sequence. Only the last piece, which need not end in K or R,
+    is searched for.
+    """
+    cut, inner = re.compile("(?<=[KR])(?!P)"), re.compile("[KR](?=P)")
+
+    def places(seq: str) -> list[dict]:
+        first: dict[str, int] = {}
+        found, start = [], 0
+        for piece in cut.split(seq):
+            stop = start + len(piece)
+            ends = [start + m.end() for m in inner.finditer(piece)] if len(piece) > min_length else []
+            for end in (*ends, stop):
+                for at in range(end - min_length, max(start, end - max_length) - 1, -1):
+                    first.setdefault(seq[at:end], at)
+            if min_length <= len(piece) <= max_length:
+                found.append((piece, first[piece] if stop < len(seq) else seq.find(piece)))
+            start = stop
+        return [{"peptide": p, "at": at + 1} for p, at in found]
+
+    @F.arrow_udf("array<struct<peptide: string, at: int>>")
+    def run(seqs: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("peptide", pa.string()), ("at", pa.int32())]))
+        return pa.array([None if s is None else places(s) for s in seqs.to_pylist()], kind)
+
+    return run(seq)
+
+
 def _cleaved(seq: Column, rule: str, missed: int, min_length: int, max_length: int | None) -> Column:
     pieces = F.filter(F.split(seq, rule), lambda p: p != "")
     fits = (lambda p: (F.length(p) >= min_length) & (F.length(p) <= max_length)) if max_length else (lambda p: F.length(p) >= min_length)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -18,19 +19,36 @@ def transcript_positions(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("rank", F.row_number().over(order)).withColumn("trans_end", end).withColumn("trans_start", F.col("trans_end") - size + 1)
 
 
+#: Peptides that are looked for in a protein at a time.
+PEPTIDES = 2000
+
+
+def _places(seq: Column, peptides: Column) -> Column:
+    """The first place (from 1, or 0) of each peptide in its sequence."""
+
+    @F.arrow_udf("array<int>")
+    def run(seqs: pa.Array, lists: pa.Array) -> pa.Array:
+        return pa.array([[s.find(p) + 1 for p in ps] for s, ps in zip(seqs.to_pylist(), lists.to_pylist())], pa.list_(pa.int32()))
+
+    return run(seq, peptides)
+
+
 def map_peptides(peptides: DataFrame, id_map: DataFrame, proteins: DataFrame, blocks: DataFrame, seen: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
     """Peptides (peptide, protein, ord) with chrom, strand, start, end and their coding blocks, in rank order.
 
     The first row of a peptide and the first mapping of a protein count. Peptides that no
     protein, transcript or block places are left out; ``seen`` is told the rows at each step by name.
     """
-    asked = seen(peptides.groupBy("peptide").agg(F.min_by("protein", "ord").alias("protein")), "distinct peptides")
+    asked = seen(peptides.filter("peptide is not null").groupBy("peptide").agg(F.min_by("protein", "ord").alias("protein")), "distinct peptides")
     first = id_map.groupBy("protein").agg(F.min_by("transcript", "ord").alias("transcript_id"))
-    known = proteins.groupBy(F.col("id").alias("protein")).agg(F.min_by("seq", "ord").alias("_seq"))
+    known = proteins.filter("seq is not null").groupBy(F.col("id").alias("protein")).agg(F.min_by("seq", "ord").alias("_seq"))
     mapped = seen(asked.join(first, "protein"), "peptides with a transcript")
-    found = mapped.join(known, "protein").withColumn("_at", F.instr(F.col("_seq"), F.col("peptide"))).filter("_at > 0")
+    # a protein's text meets some thousand of its peptides in one row
+    many = mapped.groupBy("protein").agg(F.ceil(F.count(F.lit(1)) / PEPTIDES).alias("_parts"))
+    grouped = mapped.join(many, "protein").groupBy("protein", "transcript_id", F.pmod(F.xxhash64("peptide"), F.col("_parts")).alias("_part")).agg(F.collect_list("peptide").alias("_peptides"))
+    found = grouped.join(known, "protein").select("protein", "transcript_id", F.inline(F.arrays_zip(F.col("_peptides").alias("peptide"), _places(F.col("_seq"), F.col("_peptides")).alias("_at")))).filter("_at > 0")
     found = seen(found, "peptides that their protein holds")
-    found = found.withColumn("n1", F.col("_at") * 3 - 2).withColumn("n2", F.col("_at") * 3 - 3 + F.length("peptide") * 3).drop("_seq", "_at")
+    found = found.withColumn("n1", F.col("_at") * 3 - 2).withColumn("n2", F.col("_at") * 3 - 3 + F.length("peptide") * 3).drop("_at")
     placed = found.join(transcript_positions(blocks), "transcript_id").filter("trans_start <= n2 and n1 <= trans_end")
     plus = F.col("strand") == "+"
     low = F.when(plus, F.col("start") + F.greatest(F.col("n1") - F.col("trans_start"), F.lit(0))).otherwise(F.col("end") - (F.least("n2", "trans_end") - F.col("trans_start")))

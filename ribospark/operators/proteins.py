@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ribospark.functions.constants import ALPHABET, ENZYMES
-from ribospark.functions.sequences import cleave, isobaric, residue_count, reverse_switch, shuffled, trypsin_pieces
+from ribospark.functions.sequences import cleave, isobaric, placed_pieces, residue_count, reverse_switch, shuffled, trypsin_pieces
 from ribospark.plans.runtime import cut
 
 
@@ -57,7 +57,10 @@ def unique_variant_peptides(mutants: DataFrame, canonical: DataFrame, prefix: st
     n = F.size(fields)
     missense = (n >= 2) & F.contains(F.element_at(fields, -1), F.lit("Missense"))
     # a peptide's first place is found beside its protein, so that no sequence travels with its peptides
-    placed = F.transform(trypsin_pieces(F.col("seq"), missed, min_length, max_length), lambda p: F.struct(p.alias("peptide"), F.when(missense, F.instr(F.col("seq"), p)).alias("at")))
+    if missed or max_length is None:
+        placed = F.transform(trypsin_pieces(F.col("seq"), missed, min_length, max_length), lambda p: F.struct(p.alias("peptide"), F.when(missense, F.instr(F.col("seq"), p)).alias("at")))
+    else:
+        placed = placed_pieces(F.col("seq"), min_length, max_length)
     pieces = mutants.filter(F.length("seq") >= min_length).select("description", F.inline(placed))
     fresh = pieces.withColumn("_key", isobaric(F.col("peptide"))).join(peptidome(canonical, missed, min_length, max_length).withColumnRenamed("key", "_key"), "_key", "left_anti")
     place = F.regexp_extract(F.try_element_at(fields, n - 1), r"(\d+)", 1).try_cast("int") - F.col("at") + 1

@@ -152,3 +152,18 @@ def test_nearest_peaks_and_ladders_equal_plain_loops(spark):
         plain = df.select("_ion", P.matched_ions(P.fragment_ions(F.col("sequence"), charge), F.col("peaks"), 0.02).alias("m")).collect()
         assert {k: [(i, m, x) for i, _, m, x in v] for k, v in got.items()} == {r["_ion"]: [(x["ion"], round(x["mz"], 6), x["intensity"]) for x in r["m"] or []] for r in plain}
         assert len(got[1]) == charge + 1 and [x[0] for x in got[2]] == ["b1"]
+
+
+def test_placed_pieces_equal_first_places(spark):
+    import random
+    import re
+
+    from ribospark.functions import sequences as S
+
+    rng = random.Random(9)
+    seqs = ["".join(rng.choices("AKPR", [4, 1, 2, 1], k=rng.randint(0, 400))) for _ in range(60)] + [None, "", "KPKPKPAKPAKPAAKPA", "AAAAAAAK" * 3 + "AAAAAAA", "WWWWWWWAAAAAAAK" + "AAAAAAAK", "AAAAAAAKPAAAAAAAK"]
+    df = spark.createDataFrame([(s,) for s in seqs], "s string")
+    for low, high in ((1, 40), (3, 6), (7, 40)):
+        got = [r[0] for r in df.select(S.placed_pieces(F.col("s"), low, high)).collect()]
+        want = [None if s is None else [(p, s.find(p) + 1) for p in re.split("(?<=[KR])(?!P)", s) if low <= len(p) <= high] for s in seqs]
+        assert [None if g is None else [tuple(x) for x in g] for g in got] == want
