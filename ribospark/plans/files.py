@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ribospark.plans import bridges as B
 from ribospark.plans import oracles as O
+from ribospark.functions.spectra import intensity_summary
 from ribospark.operators import somatic
-from ribospark.plans.runtime import ensure_checkpoint_dir
-from ribospark.sources import blockgzip, flatfiles, sinks, tables
+from ribospark.plans.runtime import cut, ensure_checkpoint_dir
+from ribospark.sources import blockgzip, flatfiles, mzml, sinks, tables
+from ribospark.sources import offsets as offsets_of
 
 
 def _folder(spark: SparkSession) -> str:
@@ -47,6 +49,25 @@ def fasta_index(spark: SparkSession, d: str) -> DataFrame:
     return found.select("key", "id", "seq")
 
 
+def fasta_offset_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The proteins that orders name, fetched by their places from a FASTA folder."""
+    folder = _folder(spark)
+    sinks.write_fasta(B.protein(spark, d), folder)
+    offsets = cut(offsets_of.fasta_offsets(spark, folder))
+    asked = B.table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("id"))
+    return offsets_of.fetch_records(asked, offsets).select("id", "seq")
+
+
+def spectra_by_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Spectra written as indexed mzML files, and those that orders name fetched by scan."""
+    folder = _folder(spark)
+    written = cut(mzml.write_indexed_mzml(B.spectra(spark, d), folder))
+    named = B.table(spark, d, "orders").select(F.col("o_orderkey").cast("int").alias("scan")).distinct()
+    found = offsets_of.fetch_spectra(written.join(named, "scan"), folder)
+    s = intensity_summary(F.col("peaks"))
+    return found.select("scan", F.size("peaks").alias("n"), s["sum"].alias("sum"), s["median"].alias("median"))
+
+
 def vcf_files(spark: SparkSession, d: str) -> DataFrame:
     folder = _folder(spark)
     sinks.write_vcf(B.variants(spark, d).withColumn("qual", F.lit(None).cast("string")), folder, ["##fileformat=VCFv4.2", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO"])
@@ -138,7 +159,7 @@ def psm_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (fasta_files, fasta_index, vcf_files, annotated_vcf, block_gzip_region, block_gzip_runs, group_files, gtf_files, census_files, sample_files, assembly_files, id_map_files, psm_files)
+    own = (fasta_files, fasta_index, vcf_files, annotated_vcf, fasta_offset_lookup, spectra_by_scan, block_gzip_region, block_gzip_runs, group_files, gtf_files, census_files, sample_files, assembly_files, id_map_files, psm_files)
     return {f.__name__: f for f in own}
 
 
@@ -148,6 +169,8 @@ def oracle_sql() -> dict[str, str]:
         "fasta_index": f"SELECT 'k' || id AS key, id, seq FROM {O.PROTEIN}",
         "vcf_files": f"SELECT chrom, pos, id, ref, alt, '.' AS qual, filter FROM {O.VARIANTS}",
         "annotated_vcf": f"""SELECT count(*) AS records, count(*) FILTER (ord IN (SELECT ord FROM {O.VARIANTS} v JOIN {O.BLOCKS} b ON v.chrom = b.chrom AND v.pos <= b."end" AND v.pos + length(ref) - 1 >= b.start)) AS overlapping FROM {O.VARIANTS}""",
+        "fasta_offset_lookup": f"SELECT id, seq FROM {O.PROTEIN} WHERE id IN (SELECT cast(o_custkey AS varchar) FROM orders)",
+        "spectra_by_scan": f"SELECT scan, count(*)::int AS n, sum(intensity) AS sum, median(intensity) AS median FROM {O.PEAKS} WHERE scan IN (SELECT o_orderkey FROM orders) GROUP BY scan",
         "block_gzip_region": f"SELECT chrom, pos, id, ref, alt, filter FROM {O.VARIANTS} WHERE chrom IN ('3', '17') AND pos BETWEEN 2000000 AND 7500000",
         "block_gzip_runs": f"SELECT chrom, pos, id, ref, alt, '.' AS qual, filter FROM {O.VARIANTS}",
         "group_files": f"""SELECT "group", header, arg_max(seq, ord) AS seq FROM {O.MAF} WHERE length(seq) > 6 GROUP BY ALL""",
