@@ -187,7 +187,7 @@ def downloads(spark: SparkSession | None, a: argparse.Namespace) -> None:
         print("\n".join(lines))
         return
     named = (lambda url: fetch_plan.census_url(url, a.cosmic_user, a.cosmic_password)) if a.command == "cosmic-downloader" else None
-    for url, path in fetch_plan.fetch_all(files, a.output, a.force, named):
+    for url, path in fetch_plan.fetch_all(files, a.output, a.force, named, fetch_plan.by_chromosome):
         print(f"{url}\t{path or 'failed'}")
 
 

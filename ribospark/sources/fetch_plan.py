@@ -8,8 +8,12 @@ import json
 import os
 import re
 import shutil
+import threading
+import time
+import urllib.error
 import urllib.parse
 import urllib.request
+from concurrent.futures import ThreadPoolExecutor
 
 # Public servers and the names of their files.
 GENOME_SERVER = "ftp://ftp.ensembl.org/pub"
@@ -88,14 +92,37 @@ def _allowed(url: str) -> None:
         raise ValueError(f"scheme of {url} is not allowed")
 
 
-def fetch(url: str, path: str, tries: int = 6, force: bool = False) -> str | None:
-    """Fetch ``url`` to ``path`` (unpacked if gzipped) unless it is there; its final name, or None after ``tries`` failures."""
+class Pace:
+    """At most ``most`` requests a second by all threads together."""
+
+    def __init__(self, most: float):
+        self.gap, self.next, self.lock = 1 / most, 0.0, threading.Lock()
+
+    def wait(self) -> None:
+        with self.lock:
+            now = time.monotonic()
+            self.next = max(now, self.next) + self.gap
+            pause = self.next - self.gap - now
+        if pause > 0:
+            time.sleep(pause)
+
+
+def fetch(url: str, path: str, tries: int = 6, force: bool = False, pace: Pace | None = None, pause: float = 0.5) -> str | None:
+    """Fetch ``url`` to ``path`` (unpacked if gzipped) unless it is there; its final name, or None after ``tries`` failures.
+
+    Between tries it waits ``pause`` seconds, each time twice as long; what the server says
+    isn't there or isn't allowed is not asked for again.
+    """
     _allowed(url)
     final = path.removesuffix(".gz")
     if os.path.exists(final) and not force:
         return final
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    for _ in range(tries):
+    for turn in range(tries):
+        if turn:
+            time.sleep(pause * 2 ** (turn - 1))
+        if pace:
+            pace.wait()
         try:
             part = f"{path}.part"
             with urllib.request.urlopen(url, timeout=60) as answer, open(part, "wb") as out:
@@ -107,14 +134,39 @@ def fetch(url: str, path: str, tries: int = 6, force: bool = False) -> str | Non
             else:
                 os.replace(part, final)
             return final
+        except urllib.error.HTTPError as error:
+            if error.code < 500 and error.code not in (408, 429):
+                return None
         except OSError:  # of the network, the server or the archive
             continue
     return None
 
 
-def fetch_all(files: list[tuple[str, str]], folder: str, force: bool = False, resolve=None) -> list[tuple[str, str | None]]:
-    """(url, where it is now or None) of every file; ``resolve`` may turn a listed URL into the one to read."""
-    return [(url, fetch(resolve(url) if resolve else url, f"{folder}/{name}", force=force)) for url, name in files]
+def fetch_all(files: list[tuple[str, str]], folder: str, force: bool = False, resolve=None, instead=None, threads: int = 10, most: float = 15.0) -> list[tuple[str, str | None]]:
+    """(url, where it is now or None) of every file, in order, ``threads`` at a time and at most ``most`` requests a second.
+
+    ``resolve`` may turn a listed URL into the one to read; ``instead`` may name the files that
+    take the place of one that can't be had.
+    """
+    pace = Pace(most)
+
+    def one(file: tuple[str, str]) -> tuple[str, str | None]:
+        url, name = file
+        return url, fetch(resolve(url) if resolve else url, f"{folder}/{name}", force=force, pace=pace)
+
+    with ThreadPoolExecutor(threads) as pool:
+        found = list(pool.map(one, files))
+        others = {url: instead(url) for url, path in found if path is None and instead}
+        more = dict(pool.map(one, [file for some in others.values() for file in some]))
+    return [row for url, path in found for row in ([(u, more[u]) for u, _ in others[url]] if others.get(url) else [(url, path)])]
+
+
+def by_chromosome(url: str) -> list[tuple[str, str]]:
+    """The files by chromosome of a human variant file; none of another."""
+    folder, _, file = url.rpartition("/")
+    if file != "homo_sapiens_incl_consequences.vcf.gz":
+        return []
+    return [(f"{folder}/{name}", name) for c in [*range(1, 23), "X", "Y", "MT"] for name in [file.replace(".vcf.gz", f"-chr{c}.vcf.gz")]]
 
 
 def url_lines(files: list[tuple[str, str]], folder: str) -> list[str]:

@@ -280,3 +280,44 @@ def test_composition_report(spark):
     db = spark.createDataFrame([("a", "AAAAAAKCCCCCCKGGGGGGK"), ("DECOY_a", "AAAAAAKCCCCCCGKGGGGGK")], "id string, seq string")
     lines = PR.composition_report(PR.decoy_composition(db).first().asDict())
     assert lines[:3] == ["target peptides: 2 (40.0 %)", "decoy peptides: 3 (60.0 %)", "peptides of both: 1 (20.0 %)"] and "residue A, target to decoy: 1.0" in lines
+
+
+def test_fetching_in_threads_with_tries_and_files_instead(tmp_path):
+    import http.server
+    import threading
+    import time
+
+    asked = []
+
+    class Server(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append(self.path)
+            flaky = self.path.startswith("/flaky") and asked.count(self.path) < 3
+            there = self.path.startswith(("/flaky", "/ok")) or "-chr" in self.path and "-chrMT" not in self.path
+            self.send_response(503 if flaky else 200 if there else 404)
+            self.end_headers()
+            if there and not flaky:
+                time.sleep(0.1)
+                self.wfile.write(b"data")
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    assert fetch_plan.fetch(f"{base}/flaky", f"{tmp_path}/f", pause=0.01) == f"{tmp_path}/f" and asked.count("/flaky") == 3
+    assert fetch_plan.fetch(f"{base}/none", f"{tmp_path}/n", pause=5) is None and asked.count("/none") == 1
+    began = time.perf_counter()
+    files = [(f"{base}/ok{k}", f"ok{k}") for k in range(20)]
+    assert fetch_plan.fetch_all(files, str(tmp_path), most=1000) == [(u, f"{tmp_path}/{n}") for u, n in files]
+    assert time.perf_counter() - began < 1.5
+    pace = fetch_plan.Pace(50)
+    began = time.perf_counter()
+    for _ in range(11):
+        pace.wait()
+    assert time.perf_counter() - began >= 0.19
+    url = f"{base}/vcf/homo_sapiens_incl_consequences.vcf"
+    found = fetch_plan.fetch_all([(url + ".gz", "v"), (f"{base}/ok1", "ok1")], str(tmp_path / "w"), instead=lambda u: [(x.removesuffix(".gz"), n.removesuffix(".gz")) for x, n in fetch_plan.by_chromosome(u)], most=1000)
+    assert len(found) == 26 and found[0] == (url.replace(".vcf", "-chr1.vcf"), f"{tmp_path}/w/homo_sapiens_incl_consequences-chr1.vcf") and found[24][1] is None and found[25][1]
+    server.shutdown()
