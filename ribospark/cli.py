@@ -198,6 +198,28 @@ NOT_CODING = "downstream_gene_variant, upstream_gene_variant, intergenic_variant
 #: The section of a configuration file that a command reads.
 SECTIONS = {"vcf-to-proteindb": "ensembl_translation", "dnaseq-to-proteindb": "ensembl_translation", "threeframe-translation": "ensembl_translation", "ensembl-check": "ensembl_translation", "clinvar-to-proteindb": "clinvar_translation", "ncbi-downloader": "clinvar_translation", "cosmic-to-proteindb": "proteindb", "cbioportal-to-proteindb": "proteindb", "generate-decoy": "proteindb_decoy", "ensembl-downloader": "ensembl_data_downloader", "cosmic-downloader": "cosmic_data", "cbioportal-downloader": "cbioportal_data_downloader"}
 DEFAULTS: dict[str, dict] = {}
+# Other names of options, by command. Underscores may be written as hyphens everywhere.
+OTHER_NAMES = {
+    "vcf-to-proteindb": {"input_fasta": "-f", "vcf": "-v", "gene_annotations_gtf": "-g", "translation_table": "-t", "protein_prefix": "-p", "output": "-o --output_proteindb"},
+    "clinvar-to-proteindb": {"vcf": "-v", "gtf": "-g", "fasta": "-f", "assembly_report": "-a", "output": "-o"},
+    "cosmic-to-proteindb": {"input_mutation": "-in", "input_genes": "-fa", "output_db": "-out", "filter_column": "-f", "accepted_values": "-a", "split_by_filter_column": "-s"},
+    "cbioportal-to-proteindb": {"input_mutation": "-in", "input_cds": "-fa", "output_db": "-out", "filter_column": "-f", "accepted_values": "-a", "split_by_filter_column": "-s", "clinical_sample_file": "-cl"},
+    "dnaseq-to-proteindb": {"output": "--output_proteindb"},
+    "threeframe-translation": {"input_fasta": "-in", "translation_table": "-t", "output": "-out"},
+    "ensembl-check": {"input_fasta": "-in", "output": "-out", "add_stop_codon": "-adds --add_stop_codons", "num_aa": "-aa"},
+    "generate-decoy": {"input_database": "-in", "output_database": "-out", "method": "-m", "decoy_prefix": "-d", "enzyme": "-e", "max_missed_cleavages": "-s"},
+    "digest-mutant-protein": {"input": "-i", "fasta": "-f", "output": "-o", "min_length": "--min-len", "max_length": "--max-len"},
+    "map-peptide2genome": {"input": "-i", "gtf": "-g", "fasta": "-f", "idmap": "-m", "output": "-o"},
+    "blast_get_position": {"input_psm_to_blast": "-i", "output_psm": "-o", "input_reference_database": "-r"},
+    "spectrumai": {"mzml_path": "-p", "mzml_files": "-f", "infile_name": "-i", "outfile_name": "-o", "ions_tolerance": "-ion", "relative": "-r", "mztab": "-m"},
+    "ensembl-downloader": {"output": "-o --output_directory", "name": "-en --ensembl_name", "skip_gtf": "-sg", "skip_protein": "-sp", "skip_cds": "-sc", "skip_cdna": "-sdn", "skip_ncrna": "-sn", "skip_dna": "-sd", "skip_vcf": "-sv"},
+    "ncbi-downloader": {"output": "-o --output-dir"},
+    "cosmic-downloader": {"output": "-o --output_directory", "cosmic_user": "-u --username", "cosmic_password": "-p --password"},
+    "cbioportal-downloader": {"output": "-o --output_directory", "list_studies": "-l", "studies": "-d --download_study"},
+}
+# Options that are taken and mean nothing here, as Spark deals the work: with a value, and without one.
+WITHOUT_MEANING = {"blast_get_position": "-n --number_of_processes", "spectrumai": "-n --number_of_processes", "cbioportal-downloader": "-th --multithreading", "generate-decoy": "--temp_file"}
+FLAGS_WITHOUT_MEANING = {"generate-decoy": "--memory_save"}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -206,14 +228,21 @@ def parser() -> argparse.ArgumentParser:
 
     def command(title: str, run, required: str = "", /, **options) -> None:
         p = commands.add_parser(title)
-        p.add_argument("--config", default=None, help="a YAML or JSON file; what is given on the command line comes before it")
+        p.add_argument("-c", "--config", "--config_file", default=None, help="a YAML or JSON file; what is given on the command line comes before it")
+
+        def names(option: str) -> list[str]:
+            return list(dict.fromkeys([f"--{option}", f"--{option.replace('_', '-')}", *OTHER_NAMES.get(title, {}).get(option, "").split()]))
+
         for option in required.split():
-            p.add_argument(f"--{option}", required=True)
+            p.add_argument(*names(option), dest=option, required=True)
         for option, default in options.items():
             if isinstance(default, bool):
-                p.add_argument(f"--{option}", action="store_true", default=None)
+                p.add_argument(*names(option), dest=option, action="store_true", default=None)
             else:
-                p.add_argument(f"--{option}", default=None, type=type(default))
+                p.add_argument(*names(option), dest=option, default=None, type=type(default))
+        for told, flag in ((WITHOUT_MEANING, {}), (FLAGS_WITHOUT_MEANING, {"action": "store_true"})):
+            if title in told:
+                p.add_argument(*told[title].split(), dest="_" + told[title].rpartition("--")[2], help="taken, without effect", **flag)
         DEFAULTS[title] = options
         p.set_defaults(run=run)
 

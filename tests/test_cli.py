@@ -226,3 +226,16 @@ def test_downloaders(server, tmp_path, capsys):
 def test_an_unknown_enzyme_is_refused(tmp_path):
     with pytest.raises(SystemExit, match="unknown enzyme"):
         cli.main(["generate-decoy", "--input_database", "x", "--output_database", "y", "--enzyme", "Nonsense"])
+
+
+def test_other_names_of_options():
+    a = cli.options_of(["map-peptide2genome", "-i", "a", "-g", "b", "-f", "c", "-m", "d", "-o", "e", "--pep-col", "3"])
+    assert (a.input, a.gtf, a.fasta, a.idmap, a.output, a.pep_col, a.prot_col) == ("a", "b", "c", "d", "e", 3, 1)
+    a = cli.options_of(["generate-decoy", "-in", "x", "-out", "y", "-m", "decoypyrat", "-s", "1", "--memory_save", "--temp_file", "t"])
+    assert (a.input_database, a.output_database, a.method, a.max_missed_cleavages) == ("x", "y", "decoypyrat", 1)
+    a = cli.options_of(["cosmic-to-proteindb", "-in", "m", "-fa", "g", "-out", "o", "-s", "-a", "lung"])
+    assert (a.input_mutation, a.input_genes, a.output_db, a.split_by_filter_column, a.accepted_values) == ("m", "g", "o", True, "lung")
+    a = cli.options_of(["spectrumai", "-i", "p", "-o", "q", "-ion", "0.5", "-r", "-n", "4"])
+    assert (a.infile_name, a.ions_tolerance, a.relative) == ("p", 0.5, True)
+    for command in cli.DEFAULTS:
+        assert cli.parser().parse_args([command, *[x for o in cli.parser()._subparsers._group_actions[0].choices[command]._actions if o.required for x in (o.option_strings[0], "v")]]).command == command
