@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ribospark.plans import bridges as B
 from ribospark.plans import oracles as O
+from ribospark.functions.sequences import cleave
 from ribospark.functions.spectra import intensity_summary
 from ribospark.operators import somatic
 from ribospark.plans.runtime import cut, ensure_checkpoint_dir
@@ -135,6 +136,25 @@ def census_files(spark: SparkSession, d: str) -> DataFrame:
     return found.select("gene", "dna_mut", "aa_mut", "mutation_type", "group")
 
 
+def maf_files(spark: SparkSession, d: str) -> DataFrame:
+    """The mutation table written in two halves, each under a header of its own with the columns in another order, and scanned."""
+    rows, names = B.maf(spark, d), {"gene": "Hugo_Symbol"} | tables.MAF_COLUMNS
+    folder = _folder(spark)
+    for half, columns in enumerate((list(names), ["gene", *list(names)[:0:-1]])):
+        part = rows.filter(F.col("ord") % 2 == half).select(*(F.col(c).alias(names[c]) for c in columns))
+        part.write.options(header=True, sep="\t", quote="").csv(f"{folder}/{half}")
+    return tables.read_maf(spark, f"{folder}/*").drop("ord")
+
+
+def peptide_files(spark: SparkSession, d: str) -> DataFrame:
+    """Digested peptides with their proteins as files that each have a header, scanned."""
+    p = B.protein(spark, d).select(F.explode(cleave(F.col("seq"), "Trypsin", 0, 7, 40)).alias("peptide"), "id")
+    rows = p.select(F.concat(F.lit("-."), "peptide", F.lit("+16.")).alias("pep"), F.concat("id", F.lit(";other")).alias("prot"))
+    folder = _folder(spark)
+    rows.write.options(header=True, sep="\t", quote="").csv(folder)
+    return tables.read_peptides(spark, folder).select("peptide", "protein")
+
+
 def sample_files(spark: SparkSession, d: str) -> DataFrame:
     rows = B.samples(spark, d).select(F.lit("p").alias("p"), "sample", F.concat(F.lit("A "), "group").alias("group"))
     return tables.read_samples(spark, _written(rows, "PATIENT_ID\tSAMPLE_ID\tCANCER_TYPE"), "CANCER_TYPE").select("sample", "group")
@@ -159,7 +179,7 @@ def psm_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (fasta_files, fasta_index, vcf_files, annotated_vcf, fasta_offset_lookup, spectra_by_scan, block_gzip_region, block_gzip_runs, group_files, gtf_files, census_files, sample_files, assembly_files, id_map_files, psm_files)
+    own = (fasta_files, fasta_index, vcf_files, annotated_vcf, fasta_offset_lookup, spectra_by_scan, block_gzip_region, block_gzip_runs, group_files, gtf_files, census_files, maf_files, peptide_files, sample_files, assembly_files, id_map_files, psm_files)
     return {f.__name__: f for f in own}
 
 
@@ -176,6 +196,8 @@ def oracle_sql() -> dict[str, str]:
         "group_files": f"""SELECT "group", header, arg_max(seq, ord) AS seq FROM {O.MAF} WHERE length(seq) > 6 GROUP BY ALL""",
         "gtf_files": f'SELECT \'g\' || transcript_id AS gene_id, transcript_id, chrom, strand, start, "end" FROM {O.BLOCKS}',
         "census_files": f'SELECT \'é\' || gene AS gene, dna_mut, aa_mut, mutation_type, "group" FROM {O.mutations_sql()}',
+        "maf_files": O.maf_sql(),
+        "peptide_files": f"SELECT DISTINCT p AS peptide, id AS protein FROM (SELECT id, unnest({O.pieces('seq')}) AS p FROM {O.PROTEIN}) WHERE length(p) BETWEEN 7 AND 40",
         "sample_files": "SELECT cast(c_custkey AS varchar) AS sample, 'A_' || c_mktsegment AS \"group\" FROM customer",
         "assembly_files": "SELECT cast(n_nationkey AS varchar) AS \"numeric\", 'NC_' || n_nationkey AS refseq, CASE WHEN n_nationkey % 2 = 1 THEN 'chr' || n_nationkey END AS ucsc FROM nation",
         "id_map_files": "SELECT cast(c_nationkey AS varchar) AS gene, cast(c_custkey AS varchar) AS transcript, 'p' || c_custkey AS protein FROM customer",

@@ -196,6 +196,15 @@ CENSUS = f"""(SELECT ord, 'COSMIC:' || gene || ':' || aa_mut || ':' || replace(m
     SELECT * EXCLUDE (seq), CASE WHEN form < 5 THEN coalesce({tr(_dna_edit("seq"))}, '') ELSE {_aa_edit(tr("seq"))} END AS seq FROM {EDITED}) WHERE seq <> '')"""
 
 
+def maf_sql() -> str:
+    """The rows of the mutation table as they are written."""
+    n, m = "cast(o_orderkey % 90 + 1 AS varchar)", "cast(o_orderkey % 90 + 2 AS varchar)"
+    forms = [f"'T:c.' || {n} || {_base('o_orderkey')} || '>' || {_base('o_orderkey + 1')}", f"'T:c.' || {n} || 'del' || {_base('o_orderkey')}", f"'c.' || {n} || '_' || {m} || 'insGG'", f"'c.' || {n} || '_' || {m} || 'dupAC'"]
+    classes = _q(["Missense_Mutation", "Frame_Shift_Del", "In_Frame_Ins", "Frame_Shift_Ins", "Silent"])
+    return f"""SELECT 'G' || o_custkey AS gene, {_pick(forms, "o_orderkey")} AS hgvsc, cast(o_custkey AS varchar) AS transcript_id, {_pick(classes, "o_orderkey // 4")} AS varclass,
+        {_pick(_q(["SNP", "DEL", "INS", "INS"]), "o_orderkey")} AS vartype, 'p.X' || {n} AS hgvsp, cast(o_custkey AS varchar) AS sample FROM orders"""
+
+
 def _maf() -> str:
     n, m = "cast(o_orderkey % 90 + 1 AS varchar)", "cast(o_orderkey % 90 + 2 AS varchar)"
     classes = _q(["Missense_Mutation", "Frame_Shift_Del", "In_Frame_Ins", "Frame_Shift_Ins", "Silent"])
@@ -312,6 +321,7 @@ def oracle_sql() -> dict[str, str]:
         "hgvs_dna": f"SELECT ord, coalesce({tr(_dna_edit('seq'))}, '') AS protein FROM {EDITED}",
         "hgvs_protein_level": f"SELECT ord, {_aa_edit('p')} AS protein FROM (SELECT *, {tr('seq')} AS p FROM {EDITED})",
         "census_to_protein": f'SELECT ord, header, seq, "group" FROM {CENSUS}',
+        "census_accepted_groups": f"""SELECT ord, header, seq, "group" FROM {CENSUS} WHERE ord % 5 <> 0 AND "group" IN ('1-URGENT', '2-HIGH')""",
         "census_dedup_by_header": f"SELECT header, arg_min(seq, ord) AS seq FROM {CENSUS} GROUP BY header",
         "maf_to_protein": f"""SELECT ord, header, seq, "group" FROM {MAF} WHERE length(seq) > 6 AND "group" IN ('BUILDING', 'MACHINERY')""",
         "split_by_group": f"""SELECT "group", header, arg_max(seq, ord) AS seq FROM {MAF} WHERE length(seq) > 6 GROUP BY ALL""",

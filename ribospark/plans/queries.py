@@ -205,6 +205,13 @@ def census_to_protein(spark, d):
     return somatic.census_proteins(B.mutations(spark, d), B.dna(spark, d))
 
 
+@query
+def census_accepted_groups(spark, d):
+    """Census mutations of two groups; every fifth one is silent."""
+    kind = F.when(F.col("ord") % 5 == 0, F.lit("Substitution - coding silent")).otherwise(F.col("mutation_type"))
+    return somatic.census_proteins(B.mutations(spark, d).withColumn("mutation_type", kind), B.dna(spark, d), ["1-URGENT", "2-HIGH"])
+
+
 @query
 def census_dedup_by_header(spark, d):
     return somatic.first_by_header(census_to_protein(spark, d))
