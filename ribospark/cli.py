@@ -12,7 +12,7 @@ from ribospark.config import load_config, resolve, section
 from ribospark.functions.constants import ENZYMES
 from ribospark.functions.variants import clinical_header, format_fields, option_list
 from ribospark.operators import genome, intervals, peptides, proteins, somatic, spectra, translation, variant_proteins
-from ribospark.sources import fetch_plan, flatfiles, mzml, sinks, tables
+from ribospark.sources import fetch_plan, flatfiles, mzml, offsets, sinks, tables
 
 
 class Counters:
@@ -164,8 +164,8 @@ def spectrumai(spark: SparkSession, a: argparse.Namespace) -> None:
     psms = tables.read_psms(spark, a.infile_name)
     file, scan = (F.col("SpecFile"), F.col("ScanNum")) if a.mztab else (F.concat("reference_file_name", F.lit(".mzML")), F.col("scan_number"))
     psms = psms.withColumn("file", file).withColumn("scan", scan.cast("int"))
-    paths = option_list(a.mzml_files) if a.mzml_files else [f"{a.mzml_path}/*.mzML"]
-    sinks.write_psms(spectra.inspect_spectra(psms, mzml.read_mzml(spark, paths), a.ions_tolerance, a.relative), a.outfile_name)
+    found = mzml.read_mzml(spark, option_list(a.mzml_files)) if a.mzml_files else offsets.fetch_spectra(psms, a.mzml_path)
+    sinks.write_psms(spectra.inspect_spectra(psms, found, a.ions_tolerance, a.relative), a.outfile_name)
 
 
 def downloads(spark: SparkSession | None, a: argparse.Namespace) -> None:

@@ -66,7 +66,7 @@ def spectra_by_scan(spark: SparkSession, d: str) -> DataFrame:
     named = B.table(spark, d, "orders").select(F.col("o_orderkey").cast("int").alias("scan")).distinct()
     found = offsets_of.fetch_spectra(written.join(named, "scan"), folder)
     s = intensity_summary(F.col("peaks"))
-    return found.select("scan", F.size("peaks").alias("n"), s["sum"].alias("sum"), s["median"].alias("median"))
+    return found.filter("scan is not null").select("scan", F.size("peaks").alias("n"), s["sum"].alias("sum"), s["median"].alias("median"))
 
 
 def vcf_files(spark: SparkSession, d: str) -> DataFrame:

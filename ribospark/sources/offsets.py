@@ -133,6 +133,26 @@ def spectrum_offsets(f) -> dict[int, tuple[int, int]] | None:
     return out
 
 
+def scanned_offsets(f) -> dict[int, tuple[int, int]]:
+    """The same from one pass over a file without an index."""
+    places, base, text = [], 0, b""
+    f.seek(0)
+    while True:
+        more = f.read(READ)
+        text += more
+        last = 0
+        for m in re.finditer(rb"<spectrum\s[^>]*>", text):
+            name = re.search(rb'\sid="[^"]*?(\d+)"', m[0])
+            places.append((base + m.start(), int(name[1]) if name else -1))
+            last = m.end()
+        if not more:
+            break
+        keep = max(last, len(text) - 65_536)
+        base, text = base + max(keep, 0), text[max(keep, 0) :]
+    ends = [p for p, _ in places[1:]] + [base + len(text)]
+    return {scan: (place, end - place) for (place, scan), end in zip(places, ends) if scan >= 0}
+
+
 def _peaks(element: bytes) -> list[dict] | None:
     """The peaks of one spectrum element, None if they can't be decoded."""
     end = element.find(b"</spectrum>")
@@ -150,7 +170,11 @@ def _peaks(element: bytes) -> list[dict] | None:
 
 
 def fetch_spectra(asked: DataFrame, folder: str) -> DataFrame:
-    """(file, scan, peaks) of the asked (file, scan) pairs that indexed mzML files of a folder hold: nothing else is read or decoded."""
+    """(file, scan, peaks) of the asked (file, scan) pairs that mzML files of a folder hold.
+
+    Of a file with an index only the index and the asked spectra are read (and the
+    first ones, until one can be decoded: such a file also gives a row without a scan).
+    """
     kind = pa.list_(pa.struct([("mz", pa.float64()), ("intensity", pa.float64())]))
     near = asked.select("file", "scan").filter("file is not null and scan is not null").distinct().repartition("file", F.floor(F.col("scan") / 10_000)).sortWithinPartitions("file", "scan")
 
@@ -163,9 +187,11 @@ def fetch_spectra(asked: DataFrame, folder: str) -> DataFrame:
                     name, f, places = file, None, {}
                     try:
                         f = open_file(f"{folder.rstrip('/')}/{file}")
-                        places = spectrum_offsets(f) or {}
-                    except FileNotFoundError:
+                        places = spectrum_offsets(f) or scanned_offsets(f)
+                    except (FileNotFoundError, pa.ArrowException):
                         pass
+                    if any(_peaks(f.read_at(size, at)) is not None for at, size in places.values()):
+                        out.append((file, None, []))
                 if scan in places:
                     offset, length = places[scan]
                     out.append((file, scan, _peaks(f.read_at(length, offset))))

@@ -45,7 +45,14 @@ def test_spectra_by_scan(spark, tmp_path, monkeypatch):
     assert sorted(s for _, s in written) == list(range(40))
     asked = [w for w in written if w[1] % 9 == 0] + [("gone.mzML", 1), (written[0][0], 999), (None, 3)]
     got = offsets.fetch_spectra(spark.createDataFrame(asked, "file string, scan int"), str(tmp_path / "m")).collect()
-    assert sorted((r["scan"], [tuple(p) for p in r["peaks"]]) for r in got) == [r for r in rows if r[0] % 9 == 0]
+    assert sorted((r["scan"], [tuple(p) for p in r["peaks"]]) for r in got if r["scan"] is not None) == [r for r in rows if r[0] % 9 == 0]
+    assert {r["file"] for r in got if r["scan"] is None} == {f for f, s in asked if f and f != "gone.mzML"}
+    with offsets.open_file(f"{tmp_path}/m/{written[0][0]}") as f:
+        indexed = offsets.spectrum_offsets(f)
+        for read in (1 << 20, 70_000, 300):
+            monkeypatch.setattr(offsets, "READ", read)
+            f.seek(0)
+            assert {s: p for s, (p, _) in offsets.scanned_offsets(f).items()} == {s: p for s, (p, _) in indexed.items()}
     whole = mzml.read_mzml(spark, str(tmp_path / "m")).filter(F.col("scan") == 7).first()  # the plain reader takes the same files
     assert [tuple(p) for p in whole["peaks"]] == rows[7][1]
     (tmp_path / "plain.mzML").write_text("<mzML></mzML>")
