@@ -240,10 +240,14 @@ def test_seed_search_equals_plain_loops(spark, monkeypatch):
                     found.setdefault((diff[0] + 1, f"{t[at + diff[0]]}>{p[diff[0]]}"), set()).add(str(i))
                     break
         changed |= {(p, k, v, ",".join(sorted(ids))) for (k, v), ids in found.items()}
-    for span in (100,):
-        monkeypatch.setattr(seeds, "SPAN", span)
-        assert {r[0] for r in peptides.contained_peptides(peps, db).collect()} == exact
-        assert {tuple(r) for r in peptides.one_mismatch(peps, db).collect()} == changed
+    monkeypatch.setattr(seeds, "SPAN", 100)
+    assert {r[0] for r in peptides.contained_peptides(peps, db).collect()} == exact
+    assert {tuple(r) for r in peptides.one_mismatch(peps, db).collect()} == changed
+    for name in ("LEAST_BITS", "MOST_BITS"):  # a filter that knows everything, counts that tell nothing
+        monkeypatch.setattr(seeds, name, 6)
+    monkeypatch.setattr(seeds, "SLOTS", 1)
+    assert {r[0] for r in peptides.contained_peptides(peps, db).collect()} == exact
+    assert {tuple(r) for r in peptides.one_mismatch(peps.filter("length(sequence) < 20"), db).collect()} == {x for x in changed if len(x[0]) < 20}
     assert peptides.contained_peptides(peps.limit(0), db).collect() == [] and peptides.one_mismatch(peps, db.limit(0)).collect() == []
 
 
