@@ -112,4 +112,4 @@ def searched_peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All digested peptides, and each of them with its middle residue changed."""
     p = digested_peptides(spark, sf_dir)
     changed = F.expr(f"concat(substring(sequence, 1, length(sequence) div 2 - 1), translate(substring(sequence, length(sequence) div 2, 1), '{FROM}', '{TO}'), substring(sequence, length(sequence) div 2 + 1))")
-    return p.unionByName(p.select(changed.alias("sequence"))).distinct()
+    return p.select(F.explode(F.array("sequence", changed)).alias("sequence")).distinct()
