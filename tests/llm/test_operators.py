@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ribospark.llm import decontamination, language_id, line_dedup, lm_scoring, mixing, near_dedup, quality_rules, suffix_dedup, token_output, url_filters
-from ribospark.llm.common import WORD, WordHashes, ascii_lower
+from ribospark.llm.common import WORD, WordHashes, ascii_lower, key_filter
 from ribospark.llm.queries import mix_documents, op6_line_dedup, op7_mixing, tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, kept string, class_id long, size string"
@@ -119,6 +119,34 @@ def test_near_duplicates_across_blocks(spark, monkeypatch):
         assert all(got[n] == 0 for n in range(12)) and all(got[50 + n] == 50 + n for n in range(6))
 
 
+def _shuffled(spark):
+    """Bytes that all stages of the session have shuffled so far."""
+    jvm = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, jvm.new_array(jvm.jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_near_duplicates_leave_texts_where_they_are(spark):
+    """Only texts that may be near copies are shuffled, not the corpus; copies go and repeated rows stay once all the same."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.integers(0, 10**9, 4000).astype(str)) for _ in range(60)]
+    rows = [*enumerate(texts), (70, texts[3]), (71, texts[3] + " end"), (3, texts[3]), (5, texts[5]), (None, texts[6])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).localCheckpoint()
+    before = _shuffled(spark)
+    kept = near_dedup.drop_near_duplicates(docs).collect()
+    assert sorted(tuple(r) for r in kept) == rows[:60]
+    assert _shuffled(spark) - before < sum(map(len, texts)) / 2
+
+
+def test_key_filter(spark):
+    keys = [0, 1, -1, 2**63 - 1, -(2**63), *range(-(10**6), 10**6, 1001)]
+    frame = spark.createDataFrame([(k,) for k in keys], "k long")
+    known = key_filter(frame)
+    assert frame.filter(known("k")).count() == len(keys)
+    assert spark.range(10**8, 10**8 + 5000).filter(known("id")).count() < 50
+    assert frame.filter(key_filter(frame.limit(0))("k")).count() == 0
+
+
 def test_suffix_dedup(docs, empty, monkeypatch):
     def check():
         rows = [(d, (t or "").encode()) for d, t in _texts(docs)]
