@@ -8,10 +8,11 @@ probability, and only a bounded table (``n_top``) travels to the executors: the
 all other words stay distributed and are joined to the words that ask for them. Words are known
 by 64-bit hashes, so that whole columns of texts are cut and counted with array operations.
 
-Training: a bounded sample of about ``warm_docs`` training texts, of each a stretch of at most
-``WARM_TOKENS``, gives the first parameters (EM on the driver from a seeded start). Then Baum-Welch runs over all training texts: each task
-adds up its expected counts (symbol by state, state by state), the counts are summed across
-partitions, and the driver normalises a table of ``n_top`` + ``CLASSES`` rows. In the E-step
+Training learns from all training texts, at the start too: the pairs of neighbouring symbols of all
+of them are counted (the ``PAIRED`` most frequent symbols apart, all others by class, so the table
+has a fixed size), and EM over that table gives the first parameters. Then Baum-Welch runs over
+all training texts: each task adds up its expected counts (symbol by state, state by state), the
+counts are summed across partitions, and the driver normalises a table of ``n_top`` + ``CLASSES`` rows. In the E-step
 texts are cut into stretches of at most ``STRETCH`` tokens that are handled side by side; each
 runs ``LAP`` tokens into its neighbours, so that the messages over a cut have settled, and
 counts its own tokens and transitions only.
@@ -35,12 +36,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ribospark.llm.common import hash_limit, map_batches, mix, word_arrays
+from ribospark.llm.common import map_batches, mix, word_arrays
 from ribospark.plans.runtime import cut
 
 CLASSES = 64
 STRETCH, LAP = 400, 16
-WARM_TOKENS = 4000
+#: Symbols that have a row of their own in the table of pairs.
+PAIRED = 512
 #: Distinct words that a task counts before it hands them on.
 FLUSH = 1_000_000
 #: Texts whose words are looked at together.
@@ -85,6 +87,28 @@ class HiddenMarkov:
         move = rng.uniform(0.5, 1.5, (states, states)) + states * np.eye(states)
         return cls(np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
+    @classmethod
+    def from_pairs(cls, pairs: np.ndarray, coarse: np.ndarray, unigram: np.ndarray, states: int, rounds: int) -> HiddenMarkov:
+        """EM over the counts of neighbours (rows of ``pairs``: the left ones, at last the starts) of coarse symbols, spread over their symbols."""
+        mass = np.bincount(coarse, unigram, pairs.shape[1])
+        first = cls.seeded(mass, states)
+        emit, start = first.emit, first.start
+        joint = first.move / states  # of the states of two neighbours
+        beside, begun = pairs[:-1].astype(np.float64), pairs[-1].astype(np.float64)
+        told, whole = mass[:, None], beside.sum() + begun.sum() + 1.0
+        for _ in range(rounds):
+            ahead, back = emit @ joint.T, emit @ joint
+            ratio = beside / np.maximum(back @ emit.T, 1e-300)
+            left, right = emit * (ratio @ ahead), emit * (ratio.T @ back)
+            opened = emit * start * (begun / np.maximum(emit @ start, 1e-300))[:, None]
+            joint = joint * (emit.T @ ratio @ emit) + whole * 1e-6
+            start, joint = opened.sum(axis=0) + 0.1, joint / joint.sum()
+            start, emit = start / start.sum(), left + right + opened + told
+            emit /= emit.sum(axis=0)
+        share = unigram / np.maximum(mass[coarse], 1e-300)
+        spread = (emit * (joint.sum(axis=0) * whole))[coarse] * share[:, None]
+        return cls.from_counts(np.concatenate([spread, joint * whole, [start * begun.sum()]]), unigram, 200.0)
+
     @classmethod
     def from_counts(cls, counts: np.ndarray, unigram: np.ndarray, weight: float = 20.0) -> HiddenMarkov:
         """Normalised counts: rows of symbols, then rows of transitions, then the row of starts."""
@@ -234,19 +258,31 @@ def _chunks(batches: Iterator[dict], most_texts: int, most_tokens: int):
                 at, held, encoded = [], 0, []
 
 
-def fit_hmm(train: DataFrame, size: int, unigram: np.ndarray, states: int, passes: int, share: float, warm_rounds: int) -> HiddenMarkov:
-    """Warm start on a hash sample of about ``share`` of ``train`` (_id, symbols), then ``passes`` of Baum-Welch over all of it."""
-    spark = train.sparkSession
-    seed, length = F.xxhash64("_id", "symbols"), F.octet_length("symbols") / 2
-    start = F.when(length > WARM_TOKENS, F.pmod(F.shiftrightunsigned(seed, 8), (length - WARM_TOKENS + 1).cast("long"))).otherwise(0)
-    sample = train.filter(seed <= hash_limit(share)).select(F.substring("symbols", (2 * start + 1).cast("int"), F.lit(2 * WARM_TOKENS)).alias("s")).distinct().collect()
-    encoded = [np.frombuffer(x, "<u2") for x in sorted(bytes(r[0]) for r in sample)]
-    model = HiddenMarkov.seeded(unigram, states)
-    for _ in range(warm_rounds if encoded else 0):
-        counts = np.zeros((size + states + 1, states))
-        for i in range(0, len(encoded), 500):
-            model.expected(encoded[i : i + 500], counts)
-        model = HiddenMarkov.from_counts(counts, unigram, 200.0)
+def count_pairs(train: DataFrame, coarse: np.ndarray) -> np.ndarray:
+    """How often each coarse symbol follows each other one in ``train`` (symbols), and in a last row how often it comes first."""
+    size, shared = int(coarse.max()) + 1, train.sparkSession.sparkContext.broadcast(coarse)
+
+    def rows(batches: Iterator[dict]):
+        table, found = shared.value, np.zeros((size + 1) * size, np.int64)
+        for _, _, texts in _chunks(batches, 2000, 400_000):
+            now = table[np.concatenate(texts)]
+            first = np.concatenate([[0], np.cumsum([len(t) for t in texts])[:-1]])
+            before = np.concatenate([[0], now[:-1]])
+            before[first] = size
+            found += np.bincount(before * size + now, minlength=len(found))
+        on = np.flatnonzero(found)
+        yield {"cell": on, "c": found[on]}
+
+    summed = map_batches(train.select("symbols"), rows, "cell int, c long").groupBy("cell").agg(F.sum("c").alias("c")).toArrow()  # (size + 1) * size rows at most
+    out = np.zeros((size + 1) * size, np.int64)
+    out[summed["cell"].to_numpy()] = summed["c"].to_numpy()
+    return out.reshape(size + 1, size)
+
+
+def fit_hmm(train: DataFrame, coarse: np.ndarray, unigram: np.ndarray, states: int, passes: int, warm_rounds: int) -> HiddenMarkov:
+    """``warm_rounds`` of EM over the pairs of all of ``train`` (symbols), then ``passes`` of Baum-Welch over all of it; ``coarse`` gives the symbols' rows among the pairs."""
+    spark, size = train.sparkSession, len(unigram)
+    model = HiddenMarkov.from_pairs(count_pairs(train, coarse), coarse, unigram, states, warm_rounds)
     names = [f"e{k}" for k in range(states)]
     ddl = "row int, " + ", ".join(f"{n} double" for n in names)
     for _ in range(passes):
@@ -269,7 +305,7 @@ def fit_hmm(train: DataFrame, size: int, unigram: np.ndarray, states: int, passe
 
 
 def top_words(counts: DataFrame, most: int) -> tuple[list, DataFrame]:
-    """The rows (h, c) of the most frequent words, at most ``most``: all above a count that a histogram gives; and the others."""
+    """The rows (h, c, class) of the most frequent words, at most ``most``: all above a count that a histogram gives; and the others."""
     words = counts.filter(F.col("class") >= 0).withColumn("b", F.floor(F.log2("c") * 64).cast("int"))
     sizes = words.groupBy("b").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("b")).collect()  # some thousand buckets
     least, held = 2**31 - 1, 0
@@ -278,11 +314,11 @@ def top_words(counts: DataFrame, most: int) -> tuple[list, DataFrame]:
         if held > most:
             break
         least = r["b"]
-    top = words.filter(F.col("b") >= least).select("h", "c").collect()
+    top = words.filter(F.col("b") >= least).select("h", "c", "class").collect()
     return sorted(top, key=lambda r: (-r["c"], r["h"])), words.filter(F.col("b") < least).drop("b")
 
 
-def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", states: int = 16, n_top: int = 50_000, passes: int = 2, warm_docs: int = 1200, warm_rounds: int = 12) -> DataFrame:
+def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", states: int = 16, n_top: int = 50_000, passes: int = 2, warm_rounds: int = 100) -> DataFrame:
     """doc_id, learned, n_tokens, n_known, train_tokens, base_score and score of every row.
 
     ``learn`` says which rows are learned from. ``n_top`` must leave room for 16-bit symbols.
@@ -301,7 +337,9 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     known = np.array([end, *(r["c"] for r in top)], np.float64)
     mass = np.concatenate([known, class_n[:, 0]]) + 1
     encoded = cut(encode_texts(taken, symbols)).withColumn("_row", F.monotonically_increasing_id())  # fixed: the rows are in the checkpoint
-    model = fit_hmm(encoded.filter("_learn").select("_id", "symbols"), symbols.size, mass / mass.sum(), states, passes, min(1.0, warm_docs / max(1, end)), warm_rounds)
+    apart = min(PAIRED, symbols.n_top)
+    coarse = np.concatenate([np.arange(apart), [apart + r["class"] for r in top[apart - 1 :]], apart + np.arange(CLASSES)]).astype(np.int64)
+    model = fit_hmm(encoded.filter("_learn").select("symbols"), coarse, mass / mass.sum(), states, passes, warm_rounds)
     total = float(n + v + 1)
     # log10 of what a token adds to the base score, and of the class's denominator for the model
     base = np.concatenate([np.log10((known + 1) / total), np.full(CLASSES, -np.log10(total))])

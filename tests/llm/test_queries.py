@@ -68,6 +68,31 @@ def test_lm_score_equals_a_plain_forward_recursion(spark, corpus, monkeypatch):
         assert r["score"] == pytest.approx(forward(texts[r["doc_id"]]), rel=1e-6)
 
 
+def test_the_first_model_learns_from_every_training_text(spark, corpus, monkeypatch):
+    """Pairs of neighbours are counted over all training texts, whole ones: against a plain loop, with few and many symbols apart."""
+    held = {}
+    counted = lm_scoring.count_pairs
+    monkeypatch.setattr(lm_scoring, "count_pairs", lambda *a: held.setdefault("pairs", counted(*a)))
+    learn = F.crc32(F.col("doc_id").cast("string")) % 7 != 2
+    texts = [[ascii_lower(w) for w in WORD.findall(r["text"] or "")] for r in corpus.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 7 != 2]
+    counts = Counter(w for t in texts for w in t)
+    hashed = {w: word_arrays(pa.array([w])) for w in counts}
+    by_count = sorted(counts, key=lambda w: (-counts[w], int(hashed[w][0].view(np.int64)[0])))
+    for apart in (10, 4000):
+        held.clear()
+        monkeypatch.setattr(lm_scoring, "PAIRED", apart)
+        assert lm_scoring.score_texts(corpus, learn, states=3, passes=0, warm_rounds=2).count() == corpus.count()
+        single = {w: k + 1 for k, w in enumerate(by_count[: apart - 1])}
+        rows = min(apart, len(counts) + 1)
+        want = Counter()
+        for t in texts:
+            now = [single[w] if w in single else rows + int(lm_scoring.word_classes(hashed[w][1])[0]) for w in t] + [0]
+            want.update(zip([rows + lm_scoring.CLASSES, *now], now))
+        pairs = held["pairs"]
+        assert {(int(i), int(j)): int(pairs[i, j]) for i, j in np.argwhere(pairs)} == want
+        assert pairs.sum() == sum(len(t) + 1 for t in texts) and pairs.sum() > 200_000
+
+
 def test_kept_equals_a_plain_walk_of_the_trees(spark, corpus):
     labels = corpus.select("doc_id", "quality").distinct()
     model = quality_rules.fit_quality(corpus, labels)
