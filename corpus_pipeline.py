@@ -2,7 +2,7 @@
 
 Each stage is a function (spark, docs, sf_dir) -> DataFrame; its rows are written as Parquet
 and read again as the next stage's ``docs``. All stages but the last return the columns of
-``documents``:
+``documents``, and texts reach Python in Arrow batches of at most ``TEXT_ROWS`` rows:
 
 1. language id      rejects texts without a recognisable language
 2. near dedup       keeps one document of each group of near copies
@@ -19,25 +19,31 @@ from pyspark.sql import functions as F
 from ribospark.llm import decontamination, language_id, mixing, near_dedup, token_output
 from ribospark.llm.common import Stored
 from ribospark.llm.queries import END_ID, tokenizer_path
+from ribospark.plans.runtime import bound_batches
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return language_id.keep_known(docs, language_id.learn_languages(docs, F.lit(True)))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return near_dedup.drop_near_duplicates(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return mixing.mixed_documents(docs, F.array(F.col("source").cast("string")), mixing.word_count(F.col("text")))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return token_output.token_output(docs, tokenizer_path(), END_ID)
 
 

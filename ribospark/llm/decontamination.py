@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ribospark.llm.common import WordHashes, fresh, map_batches, mix, shingle_hashes, shingle_words
+from ribospark.llm.common import WordHashes, fresh, frugal, map_batches, mix, shingle_hashes, shingle_words
 from ribospark.plans.runtime import cut
 
 SHINGLE = 5
@@ -234,4 +234,4 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id",
         for b in batches:
             yield b.filter(pa.array([not index.search(shingle_words(t.as_py()), hashes) for t in b.column(text_col)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)

@@ -39,7 +39,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ribospark.llm.common import hash_limit, map_batches, remainder
+from ribospark.llm.common import frugal, hash_limit, local_table, map_batches, remainder
 
 _LETTER = regex.compile(r"\p{L}")
 #: Bytes scored at a time; a longer text goes on with the last bytes of the piece before as context.
@@ -217,7 +217,7 @@ def learn_languages(docs: DataFrame, learn: Column, id_col: str = "doc_id", text
     bounds = [(r["_lang"], _limit(r["n"], r["bytes"], max_docs, max_bytes)) for r in totals]
     if not bounds:
         return None
-    wanted = F.broadcast(spark.createDataFrame(bounds, "_l string, _below long"))
+    wanted = F.broadcast(local_table(spark, bounds, "_l string, _below long"))
     picked = able.join(wanted, (F.col("_lang") == F.col("_l")) & (F.col("_hash") <= F.col("_below")))
     found = picked.select("_lang", "_hash", F.substring(F.col("_text").cast("binary"), 1, max_bytes).alias("_text")).distinct().collect()
     texts: dict[str, list[bytes]] = {}
@@ -289,7 +289,7 @@ def keep_known(docs: DataFrame, model: PpmLanguages | None, text_col: str = "tex
             on = [x for at in range(0, len(texts), CHUNK) for x in is_known(tree, texts[at : at + CHUNK].to_pylist(), least)]
             yield b.filter(pa.array(on, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 def held_out_languages(docs: DataFrame, modulus: int = 3, fold: int = 1) -> DataFrame:

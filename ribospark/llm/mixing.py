@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ribospark.llm.common import local_table
 from ribospark.plans.runtime import cut
 
 MAX_PATTERNS = 100_000
@@ -181,7 +182,7 @@ def mixing_plan(docs: DataFrame, members: Column, size: Column, id_col: str = "d
     quotas = {s: t * scale for s, t in share_targets(sizes, weights, max_repeat).items()}
     used = route(patterns, quotas, max_repeat)
     plan = [(list(p), used[p] // n if n else 0, used[p] % n if n else 0, sizes[p[0]] if p else 0, quotas[p[0]] if p else 0.0) for p, n in patterns.items()]
-    told = spark.createDataFrame(plan, "_p array<string>, _whole long, _rest long, source_size long, target double")
+    told = local_table(spark, plan, "_p array<string>, _whole long, _rest long, source_size long, target double")
     finer = F.pmod(F.shiftright("_mix_hash", 12), F.lit(BUCKETS)).cast("int")
     levels = [F.col("_mix_bucket"), finer, F.struct("_mix_order.hash", "_mix_order.id", "_mix_order.size"), F.shiftright("_mix_row", 33)]
     inside, left, last = sized, told.select("_p", F.col("_rest").alias("_left")), None

@@ -38,7 +38,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ribospark.llm.common import WORD, map_batches, mix, powers
+from ribospark.llm.common import WORD, local_table, map_batches, mix, powers
 from ribospark.plans.runtime import ensure_checkpoint_dir
 
 MAGIC = b"RSWM0001"
@@ -429,7 +429,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     for part in sorted(sizes):
         base.append((part, total))
         total += sizes[part]
-    starts = spark.createDataFrame(base, "part int, base long")
+    starts = local_table(spark, base, "part int, base long")
     placed = shards.select("part", "seq", "before", "image").join(F.broadcast(starts), "part").select("part", "seq", (F.col("base") + F.col("before")).alias("first"), "image")
 
     def rows(batches: Iterator[dict]):

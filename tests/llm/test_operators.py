@@ -462,3 +462,44 @@ def test_flow_equals_exhaustive_search_with_overlapping_sources():
         most = max(sum(w.values()) for w in ways)
         least = min(cost(w) for w in ways if sum(w.values()) == most)
         assert reachable(used) and sum(used.values()) == most and cost(used) == least
+
+
+def test_pipeline_sends_texts_in_bounded_batches(spark, tmp_path, monkeypatch):
+    """No stage gives Python more than ``TEXT_ROWS`` texts at once, or starts Python workers for rows that the driver has; a lower setting stays."""
+    import corpus_pipeline
+    from pyspark import SparkContext
+    from pyspark.sql.classic.dataframe import DataFrame
+    from ribospark.plans import runtime
+
+    words = [f"w{i}" for i in range(97)]
+    rows = [(i, " ".join(words[(i * k + i) % 97] for k in range(20)), "en" if i % 2 else "de", "ab"[i % 2]) for i in range(2500)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, PASSAGE)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    most, usual, plain = 1000, "10000", DataFrame.mapInArrow
+
+    def watched(self, run, schema, *args):
+        def counted(batches):
+            for b in batches:
+                if b.num_rows > most:
+                    raise ValueError(f"a batch of {b.num_rows} rows")
+                yield b
+
+        return plain(self, lambda batches: run(counted(batches)), schema, *args)
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", watched)
+    monkeypatch.setattr(SparkContext, "parallelize", lambda *a, **b: pytest.fail("a Python RDD for rows of the driver"))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        assert runtime.TEXT_ROWS <= most
+        now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            spark.conf.set(key, usual)
+            stage(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/stage{k}")
+            now = spark.read.parquet(f"{tmp_path}/stage{k}")
+        assert now.count() > 0
+        spark.conf.set(key, "7")
+        runtime.bound_batches(spark)
+        assert spark.conf.get(key) == "7"
+    finally:
+        spark.conf.set(key, before)
