@@ -84,6 +84,46 @@ def test_interval_join_counts_a_pair_once(spark):
     assert spread <= 6
 
 
+def _shuffled(spark):
+    """Bytes that all stages of the session have shuffled so far."""
+    jvm = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, jvm.new_array(jvm.jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("kind", ["string", "int"])
+def test_interval_join_shuffles_short_intervals_once(spark, kind):
+    """A right row goes to its own bin alone where no left row's own bin is larger; names of another type meet all the same."""
+    b = spark.range(0, 20_000, 1, 2).select((F.col("id") % 3).cast(kind).alias("c"), (F.col("id") * 1000).alias("s"), (F.col("id") * 1000 + 50).alias("e"), F.concat(*(F.sha2(F.concat("id", F.lit(str(k))), 256) for k in range(4))).alias("load")).localCheckpoint()
+    a = spark.range(0, 300, 1, 2).select("id", (F.col("id") % 3).cast("string").alias("chrom"), (F.col("id") * 60_000 + 20).alias("start"), (F.col("id") * 60_000 + F.when(F.col("id") % 7 == 0, 2000).otherwise(21)).alias("end")).localCheckpoint()
+    threshold, before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), _shuffled(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        got = intervals.interval_join(a, b, chrom="c", start="s", end="e").select("id", "s", "load").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert _shuffled(spark) - before < 2 * 20_000 * 256
+    near = [(x["id"], s, x) for x in a.collect() for s in range(x["start"] // 1000 * 1000 - 1000, x["end"] + 1, 1000)]
+    assert sorted((r["id"], r["s"]) for r in got) == sorted((i, s) for i, s, x in near if 0 <= s < 20_000_000 and x["chrom"] == str(s // 1000 % 3) and x["start"] <= s + 50 and s <= x["end"])
+
+
+def test_variants_meet_only_blocks_of_transcripts_with_a_sequence(spark, tmp_path):
+    """Blocks that can make no protein are left out before the interval join, and no pair of the others is lost."""
+    from ribospark.plans import bridges as B
+    from ribospark.plans import queries as Q
+
+    d = str(tmp_path)
+    spark.createDataFrame([(n, "acgt" * 200) for n in range(0, 60, 2)] + [(None, "x")], "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(o, k, (o or 0) + 7 * k + j) for o in [*range(100), None] for k in range(1, 5) for j in (0, 90)], "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{d}/lineitem.parquet")
+    spark.createDataFrame([(n, n * 7 % 24, "view") for n in range(20_000)], "event_id long, user_id long, event_type string").write.parquet(f"{d}/events.parquet")
+    every = [tuple(r) for r in Q._met(spark, d).select("ord", "transcript_id").distinct().collect()]
+    sequenced = {str(n) for n in range(0, 60, 2)}
+    got = [tuple(r) for r in Q._met(spark, d, Q._sequenced(spark, d)).select("ord", "transcript_id").distinct().collect()]
+    assert sorted(got) == sorted(x for x in every if x[1] in sequenced) and 0 < len(got) < len(every)
+    assert {r["transcript_id"] for r in Q._paired(spark, d).select("transcript_id").distinct().collect()} <= sequenced
+    assert B.blocks(spark, d).filter("transcript_id is null").count() == 1  # all lines of no order are one block without a place
+
+
 def test_peptides(spark):
     db = spark.createDataFrame([("p1", "MKVLSAGR"), ("p2", "AAMKVLSAGR"), ("p3", "TTTTT")], "id string, seq string")
     psms = spark.createDataFrame([("KVLS", "u1"), ("KILS", "u2"), ("WWWW", "u3")], "sequence string, usi string")
