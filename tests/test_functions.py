@@ -167,3 +167,28 @@ def test_placed_pieces_equal_first_places(spark):
         got = [r[0] for r in df.select(S.placed_pieces(F.col("s"), low, high)).collect()]
         want = [None if s is None else [(p, s.find(p) + 1) for p in re.split("(?<=[KR])(?!P)", s) if low <= len(p) <= high] for s in seqs]
         assert [None if g is None else [tuple(x) for x in g] for g in got] == want
+
+
+def test_spectra_are_inspected_in_batches(spark):
+    """PSMs of all lengths together give what the column functions give one by one: odd peptides, peaks, places and charges."""
+    from ribospark.operators import spectra as OS
+
+    rng = random.Random(12)
+    peptide = lambda: "".join(rng.choice("ACDEFGHIKLMNPQRSTVWY" + "XU" * (rng.random() < 0.1)) for _ in range(rng.randrange(1, 14)))
+    peaks = [[(round(rng.uniform(50, 900), rng.choice([0, 3])), float(rng.randrange(50))) for _ in range(rng.choice([1, 2, 40, 400]))] for _ in range(30)] + [[], None, [(200.0, 5.0)] * 3]
+    spectra = spark.createDataFrame([("f", k, p) for k, p in enumerate(peaks)] + [("g", 1, None)], "file string, scan int, peaks array<struct<mz: double, intensity: double>>")
+    rows = [(x, rng.choice("ffffg"), rng.randrange(-1, len(peaks) + 1), rng.choice([str(rng.randrange(-1, 15)), "canonical", None])) for x in [peptide() for _ in range(300)] + ["", None, "PP", "P"]]
+    psms = spark.createDataFrame(rows, "sequence string, file string, scan int, position string")
+    told = ["sequence", "scan", "position", "status", "support_ions", "sum_supportions_intensity", "flanking_ions_support", "flanking_ions", "sum_flanking_ions_intensity", "matched_ions", "sum_matchedions_intensity", "sum_fragmentions_intensity", "median_intensity"]
+    for tolerance, relative, charge in ((2.0, False, 1), (9000.0, True, 1), (3.0, False, 2), (0.0, False, 1)):
+        plain = OS.match_fragments(psms.join(spectra, ["file", "scan"], "left"), charge).withColumn("_ions", OS.matched("_ions", tolerance, relative)).withColumn("_sum", P.intensity_summary(F.col("peaks")))
+        place = F.col("position").try_cast("int")
+        on = F.coalesce((F.size("_ions") > 0) & place.between(1, F.length("sequence")), F.lit(False))
+        x = F.when(on, P.ion_support(F.col("sequence"), place, F.col("_ions"), F.col("_sum.median")))
+        none, zero = F.lit(""), F.lit(0.0)
+        want = plain.select("sequence", "scan", "position", F.when(on, "checked").otherwise("skiped"), F.coalesce(x["support_ions"], none), F.coalesce(x["support_intensity"], zero), F.coalesce(x["flanking_ions_support"], F.lit("NO")), F.coalesce(x["flanking_ions"], none), F.coalesce(x["flanking_intensity"], zero), F.coalesce(F.array_join(F.array_distinct(F.transform("_ions", lambda i: i["ion"])), ","), none), F.coalesce(F.aggregate("_ions", zero, lambda a, i: a + i["intensity"]), zero), F.coalesce("_sum.sum", zero), F.coalesce("_sum.median", zero))
+        got = OS.inspect_spectra(psms, spectra, tolerance, relative, charge).select(*told)
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want.collect())))
+        joined = psms.join(spectra, ["file", "scan"])
+        each = OS.match_fragments(joined, charge).select("sequence", F.inline(OS.matched("_ions", tolerance, relative))).select("sequence", "ion", "z", "mz", "error", "intensity")
+        assert sorted(map(repr, map(tuple, OS.matched_fragments(joined, tolerance, relative, charge).collect()))) == sorted(map(repr, map(tuple, each.collect())))
