@@ -119,6 +119,18 @@ def test_near_duplicates_across_blocks(spark, monkeypatch):
         assert all(got[n] == 0 for n in range(12)) and all(got[50 + n] == 50 + n for n in range(6))
 
 
+def test_large_groups_are_compared_whole(spark, monkeypatch):
+    """Where neither a group's centre nor its longer keys find a link, the group's own comparison finds all."""
+    base = [f"w{i}" for i in range(400)]
+    rows = [(n, " ".join(base[: 400 - 12 * n])) for n in range(12)] + [(50 + n, " ".join(base[:200] + [f"z{n}{i}" for i in range(150)])) for n in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for name, value in (("LARGE", 3), ("DEALS", 1), ("AGREE", near_dedup.SIZE)):
+        monkeypatch.setattr(near_dedup, name, value)
+    monkeypatch.setattr(near_dedup, "_alike", lambda pairs, *rest: pairs.limit(0))
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(df).collect()}
+    assert got == {n: 0 for n in range(12)} | {50 + n: 50 + n for n in range(6)}
+
+
 def _shuffled(spark):
     """Bytes that all stages of the session have shuffled so far."""
     jvm = spark.sparkContext._gateway
