@@ -98,15 +98,15 @@ def _edited_protein(protein: Column, change: Column, kind: Column, at: Column) -
     )
 
 
-def hgvs_protein(seq: Column, dna: Column, protein: Column, kind: Column) -> Column:
+def hgvs_protein(seq: Column, dna: Column, protein: Column, kind: Column, native: Column | None = None) -> Column:
     """The protein of a somatic mutation, empty where it can't be applied.
 
     A known DNA change decides alone; the protein change is used only where the DNA change
-    (or its effect) is unknown.
+    (or its effect) is unknown. ``native``: the translation of ``seq``, where it is at hand.
     """
     by_dna = dna.isNotNull() & ~F.contains(dna, F.lit("?")) & protein.isNotNull() & (protein != "p.?")
     by_protein = protein.isNotNull() & ~F.contains(protein, F.lit("?"))
-    out = F.when(F.coalesce(by_dna, F.lit(False)), translate(mutated_dna(seq, dna))).when(F.coalesce(by_protein, F.lit(False)), mutated_protein(translate(seq), protein, kind))
+    out = F.when(F.coalesce(by_dna, F.lit(False)), translate(mutated_dna(seq, dna))).when(F.coalesce(by_protein, F.lit(False)), mutated_protein(translate(seq) if native is None else native, protein, kind))
     return F.coalesce(out, F.lit(""))
 
 

@@ -25,14 +25,16 @@ def census_proteins(mutations: DataFrame, genes: DataFrame, accepted: list[str]
 
     Silent mutations go. A gene may have several sequences; the first (by ``ord``) that
     gives a protein counts. Rows are per mutation; ``first_by_header`` makes them distinct. ``seen``
-    is told the rows at each step by name.
+    is told the rows at each step by name. A gene is translated once, a changed sequence once.
     """
     kept = seen(seen(mutations, "mutations read").filter(~F.contains("mutation_type", F.lit("coding silent"))), "mutations that are not silent")
     if accepted and accepted != ["all"]:
         kept = seen(kept.filter(F.col("group").isin(*accepted)), "mutations of accepted groups")
-    g = genes.select(F.col("id").alias("_gene"), "seq", F.col("ord").alias("_gene_ord"))
-    made = seen(kept.join(g, F.col("gene") == F.col("_gene")), "pairs of a mutation and a sequence of its gene").withColumn("_protein", hgvs_protein(F.col("seq"), F.col("dna_mut"), F.col("aa_mut"), F.col("mutation_type"))).filter(F.col("_protein") != "")
-    made = seen(made, "pairs with a protein")
+    g = genes.select(F.col("id").alias("_gene"), "seq", F.col("ord").alias("_gene_ord"), translate(F.col("seq")).alias("_native"))
+    pairs = seen(kept.join(g, F.col("gene") == F.col("_gene")), "pairs of a mutation and a sequence of its gene")
+    protein = hgvs_protein(F.col("seq"), F.col("dna_mut"), F.col("aa_mut"), F.col("mutation_type"), F.col("_native"))
+    # exploded, as a filter on a mere column is moved below it and makes every protein twice
+    made = seen(pairs.select(*kept.columns, "_gene_ord", F.explode(F.array(protein)).alias("_protein")).filter(F.col("_protein") != ""), "pairs with a protein")
     header = F.concat_ws(":", F.lit("COSMIC"), "gene", "aa_mut", F.replace("mutation_type", F.lit(" "), F.lit("")))
     return made.groupBy("ord").agg(F.min_by(header, "_gene_ord").alias("header"), F.min_by("_protein", "_gene_ord").alias("seq"), F.first("group").alias("group"))
 

@@ -192,3 +192,26 @@ def test_spectra_are_inspected_in_batches(spark):
         joined = psms.join(spectra, ["file", "scan"])
         each = OS.match_fragments(joined, charge).select("sequence", F.inline(OS.matched("_ions", tolerance, relative))).select("sequence", "ion", "z", "mz", "error", "intensity")
         assert sorted(map(repr, map(tuple, OS.matched_fragments(joined, tolerance, relative, charge).collect()))) == sorted(map(repr, map(tuple, each.collect())))
+
+
+def test_frame_0_alone_equals_the_general_reader(spark):
+    rng = random.Random(3)
+    rows = [("".join(rng.choice("ACGTUNacgtRY-é") for _ in range(n)),) for n in [*range(12), 300]] + [(None,)]
+    df = spark.createDataFrame(rows, "s string").coalesce(1)
+    got = df.select(S.translate(F.col("s")), S.translate_by(F.col("s"), F.lit(False))).collect()
+    assert [r[0] for r in got] == [r[1] for r in got] and got[-1][0] is None
+
+
+def test_census_proteins_translate_once(spark):
+    """A gene is translated before the join and a changed sequence once, not again in the filter."""
+    import re
+
+    from ribospark.operators.somatic import census_proteins
+
+    genes = spark.createDataFrame([("g", "ATGAAATTTCCC", 2), ("g", "ATGCAATTTCCC", 1), ("h", "ATG", 1)], "id string, seq string, ord long")
+    rows = [("g", "c.4A>C", "p.K2Q", "Substitution - Missense", "x", 1), ("g", "c.4C>A", "p.Q2K", "Substitution - Missense", "x", 2), ("g", "c.?", "p.K2*", "Substitution - Nonsense", "y", 3), ("h", "c.9A>C", "p.K2Q", "Substitution - Missense", "x", 4), ("h", "c.1A>C", "p.M1L", "Substitution - coding silent", "x", 5)]
+    made = census_proteins(spark.createDataFrame(rows, "gene string, dna_mut string, aa_mut string, mutation_type string, group string, ord long"), genes)
+    got = {r["ord"]: (r["header"], r["seq"], r["group"]) for r in made.collect()}
+    assert got == {1: ("COSMIC:g:p.K2Q:Substitution-Missense", "MQFP", "x"), 2: ("COSMIC:g:p.Q2K:Substitution-Missense", "MKFP", "x"), 3: ("COSMIC:g:p.K2*:Substitution-Nonsense", "M", "y")}
+    evaluated = re.findall(r"ArrowEvalPython .*, \[(pythonUDF[^\]]*)\]", made._jdf.queryExecution().optimizedPlan().toString())
+    assert sum(x.count("pythonUDF") for x in evaluated) == 2
